@@ -35,11 +35,13 @@ def horizon_dedup(
     keys: Sequence[str] = EVENT_KEYS,
     at: str = "accepted_at",
     cells_per_horizon: int = 1024,
+    already_counted: DataFrame | None = None,
 ) -> DataFrame:
     """One row per counted event: the key columns and `counted_at` (arrival, a timestamp).
 
     `at` is a column of the rows, so the result does not depend on row order or on when the job runs.
-    Keys and arrival must not be null, which the event contract guarantees.
+    Keys and arrival must not be null, which the event contract guarantees. `already_counted` (an
+    earlier result) continues its chains: `events` then holds only later arrivals.
     """
     reach = micros(positive_duration("horizon", horizon))
     width = max(1, reach // positive_count("cells per horizon", cells_per_horizon))
@@ -47,20 +49,28 @@ def horizon_dedup(
     arrivals = events.select(*keys, F.unix_micros(at).alias("_t"))
     arrivals = arrivals.withColumn("_cell", F.floor(F.col("_t") / width))
 
-    chains = _walk(_cells_per_id(arrivals, keys), reach)
+    ids = _cells_per_id(arrivals, keys)
+    if already_counted is not None:
+        last = already_counted.groupBy(*keys).agg(F.max(F.unix_micros("counted_at")).alias("_last"))
+        ids = ids.join(last, keys, "left")
+    else:
+        ids = ids.withColumn("_last", F.lit(None).cast("bigint"))
+    # the last counted arrival is the head of the chain; it is not counted again
+    chains = _walk(ids.withColumn("_kept", F.array_compact(F.array("_last"))), reach)
     enable_checkpoints(events.sparkSession)
     chains = chains.checkpoint()
 
-    finished = chains.filter("_stuck is null").select(*keys, "_kept")
+    finished = chains.filter("_stuck is null").select(*keys, "_last", "_kept")
     open_chains = chains.filter("_stuck is not null")
     waiting = open_chains.count()
     while waiting:
         resolved = _resolve(arrivals, open_chains, keys, reach, width, broadcast=waiting <= BROADCAST_IDS)
         resolved = resolved.checkpoint()
-        finished = finished.unionByName(resolved.filter("_stuck is null").select(*keys, "_kept"))
+        finished = finished.unionByName(resolved.filter("_stuck is null").select(*keys, "_last", "_kept"))
         open_chains = resolved.filter("_stuck is not null")
         waiting = open_chains.count()
-    return finished.select(*keys, F.explode("_kept").alias("_t")).select(
+    fresh = F.filter("_kept", lambda t: F.col("_last").isNull() | (t > F.col("_last")))
+    return finished.select(*keys, F.explode(fresh).alias("_t")).select(
         *keys, F.timestamp_micros("_t").alias("counted_at")
     )
 
@@ -72,12 +82,10 @@ def _cells_per_id(arrivals: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "n"))).alias("_cells"))
 
 
-def _walk(ids: DataFrame, reach: int, kept: Column | None = None) -> DataFrame:
-    """Walk each chain over its sorted cells; stop at the first cell that needs a lookup."""
+def _walk(ids: DataFrame, reach: int) -> DataFrame:
+    """Walk each chain on from `_kept` over its sorted cells, up to the first cell that needs a lookup."""
     none = F.lit(None).cast("bigint")
-    start = F.struct(
-        (F.array().cast("array<bigint>") if kept is None else kept).alias("kept"), none.alias("stuck")
-    )
+    start = F.struct(F.col("_kept").alias("kept"), none.alias("stuck"))
 
     def step(chain: Column, cell: Column) -> Column:
         kept_so_far = chain["kept"]
@@ -97,7 +105,7 @@ def _walk(ids: DataFrame, reach: int, kept: Column | None = None) -> DataFrame:
     walked = ids.withColumn("_chain", F.aggregate("_cells", start, step))
     stuck = F.col("_chain.stuck")
     return walked.select(
-        *[c for c in ids.columns if c not in ("_cells", "_kept", "_stuck")],
+        *[c for c in ids.columns if c not in ("_cells", "_kept")],
         F.col("_chain.kept").alias("_kept"),
         stuck.alias("_stuck"),
         # cells still ahead, kept only where the walk has to go on
@@ -123,7 +131,8 @@ def _resolve(
     found = candidates.filter("_t > _expiry").groupBy(*keys).agg(F.min("_t").alias("_next"))
     ahead = wanted.join(found, keys).select(
         *keys,
+        "_last",
         F.concat("_kept", F.array("_next")).alias("_kept"),
         F.filter("_cells", lambda c: c["lo"] > F.col("_stuck")).alias("_cells"),
     )
-    return _walk(ahead, reach, kept=F.col("_kept"))
+    return _walk(ahead, reach)

@@ -12,6 +12,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evertally import fixed_values as fixed
 from evertally.functions.identity import projection_key
 from evertally.settings import micros, positive_duration
 
@@ -57,20 +58,19 @@ def newer_than_table(totals: DataFrame, table: DataFrame) -> DataFrame:
     return totals.join(known, "video_id", "left").filter(fresh).drop("_known")
 
 
-def merge_projection(projection: DataFrame, changes: DataFrame, order: str | None = "offset") -> DataFrame:
-    """Apply changes (video_id, count, version, order) to the projection behind its version gate."""
+def merge_projection(
+    projection: DataFrame, changes: DataFrame, order: str = "offset", prefix: str = fixed.PROJECTION_PREFIX
+) -> DataFrame:
+    """Apply changes (video_id, count, version, order) to the projection behind its version gate.
+
+    Of equal versions the stored one stays, then the one that came first.
+    """
     columns = ["key", "video_id", "count", "version"]
-    incoming = changes.withColumn("key", projection_key(F.col("video_id")))
-    if order is None:
-        # count breaks ties only so that equal input gives equal output
-        newest = F.struct("version", "_old", "count")
-        incoming = incoming.select(*columns)
-    else:
-        newest = F.struct("version", "_old", (-F.col("_order")).alias("earliest"))
-        incoming = incoming.select(*columns, F.col(order).alias("_order"))
-    stored = projection.select(*columns).withColumn("_old", F.lit(1))
-    both = stored.unionByName(incoming.withColumn("_old", F.lit(0)), allowMissingColumns=True)
-    return latest_by(both, ["key", "video_id"], newest).select(*columns)
+    keyed = changes.withColumn("key", projection_key(F.col("video_id"), prefix))
+    incoming = keyed.select(*columns, F.lit(0).alias("_stored"), (-F.col(order)).alias("_earliest"))
+    stored = projection.select(*columns, F.lit(1).alias("_stored"), F.lit(0).cast("bigint").alias("_earliest"))
+    both = stored.unionByName(incoming)
+    return latest_by(both, ["key", "video_id"], F.struct("version", "_stored", "_earliest")).select(*columns)
 
 
 def insert_if_absent(ledger: DataFrame, rows: DataFrame, order: str | None = None) -> DataFrame:

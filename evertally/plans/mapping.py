@@ -30,11 +30,20 @@ def every(n: int, remainder: int = 0) -> Column:
     return F.col("source_id") % n == remainder
 
 
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = events(spark, sf_dir).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests_of(events(spark, sf_dir))
+
+
+def requests_of(rows: DataFrame) -> DataFrame:
     """Well-formed requests; one user, video and event type make one identity."""
     at = F.col("ts").cast("timestamp")
     days_ago = F.make_dt_interval((F.col("event_id") % 4000).cast("int"))
-    return events(spark, sf_dir).select(
+    return rows.select(
         F.col("event_id").alias("source_id"),
         "user_id",
         (F.get_json_object("props", "$.k").cast("bigint") % 10 + 1).alias("video_id"),
@@ -86,14 +95,22 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def view_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.to_events(requests(spark, sf_dir), SECRET, email="email", keep=("source_id",))
+    return view_events_of(events(spark, sf_dir))
+
+
+def view_events_of(rows: DataFrame) -> DataFrame:
+    return ingest.to_events(requests_of(rows), SECRET, email="email", keep=("source_id",))
 
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_records_of(events(spark, sf_dir))
+
+
+def event_records_of(rows: DataFrame) -> DataFrame:
     """View events as topic records: some tombstones, truncated values and foreign keys."""
     value = F.encode(contracts.encode(contracts.VIEW_EVENT), "UTF-8")
     key = contracts.shard_key(F.col("video_id"), F.col("counter_shard_id"))
-    return view_events(spark, sf_dir).select(
+    return view_events_of(rows).select(
         F.lit(VIEWS_TOPIC).alias("topic"),
         (F.col("source_id") % 24).cast("int").alias("partition"),
         F.col("source_id").alias("offset"),
@@ -192,6 +209,13 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.select("offset", "arrival", F.encode(value, "UTF-8").alias("value"))
 
 
+def usable_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change envelopes without damage: what a strict projection can take."""
+    json = cdc.envelope(F.lit("u"), F.col("offset") % 2 == 0)
+    feed = total_feed(spark, sf_dir)
+    return feed.select("offset", "arrival", "emitted_at", F.encode(json, "UTF-8").alias("value"))
+
+
 def clean_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usable changes only, as (offset, arrival, video_id, count, version)."""
     return total_feed(spark, sf_dir).select(

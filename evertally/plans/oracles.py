@@ -378,3 +378,12 @@ ORACLES: dict[str, str] = {
            WHERE p.version IS DISTINCT FROM u.view_count""",
     ),
 }
+
+# a stream gives what the batch gives
+ORACLES["stream_horizon_dedup"] = ORACLES["horizon_dedup"]
+ORACLES["stream_horizon_dedup_stateful"] = ORACLES["horizon_dedup"]
+ORACLES["stream_video_totals"] = _with(
+    COUNTED, "SELECT video_id, count(*) AS view_count, count(*) AS version FROM chain GROUP BY video_id"
+)
+ORACLES["stream_quarantine"] = ORACLES["valid_invalid_split"]
+ORACLES["stream_projection"] = ORACLES["projection_rebuild"]
