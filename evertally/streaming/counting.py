@@ -76,7 +76,7 @@ def count_events_stateful(
     """The same with keyed state instead of the log: lower latency, lower throughput."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        counted.append(batch, batch_id)
+        _append_whole(counted, batch, batch, batch_id)
 
     return _batches(horizon_dedup_stream(events, horizon), write, checkpoint, "count-events").outputMode("update")
 
@@ -85,7 +85,7 @@ def emit_shard_snapshots(counted: DataFrame, snapshots: BatchLog, checkpoint: st
     """Absolute count of every (video, shard) that changed in the micro-batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        snapshots.append(counts.as_snapshot(batch, "count"), batch_id)
+        _append_whole(snapshots, counts.as_snapshot(batch, "count"), batch, batch_id)
 
     return _batches(counts.shard_counts(counted), write, checkpoint, "shard-snapshots").outputMode("update")
 
@@ -114,7 +114,7 @@ def emit_totals(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         fresh = gate.newer_than_table(counts.as_snapshot(batch, "view_count"), table.read())
-        totals.append(fresh, batch_id)
+        _append_whole(totals, fresh, batch, batch_id)
         written = totals.read().filter(F.col("batch_id") == batch_id)
         table.replace(gate.merge_counter(table.read(), written), batch_id)
 
@@ -136,5 +136,11 @@ def persist_totals(records: DataFrame, table: Table, dead: BatchLog, checkpoint:
     return _batches(records, write, checkpoint, "persist-totals")
 
 
+def _append_whole(log: BatchLog, rows: DataFrame, batch: DataFrame, batch_id: int) -> None:
+    """Append the rows of a stateful batch. One that is there already still has to renew its state."""
+    if not log.append(rows, batch_id):
+        batch.write.format("noop").mode("overwrite").save()
+
+
 def _batches(stream: DataFrame, write, checkpoint: str, name: str) -> DataStreamWriter:
     return stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(write)
