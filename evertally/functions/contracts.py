@@ -119,37 +119,25 @@ _INSTANT_TEXT = r"\A\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,9})?(Z|[+-]\d\d:\d\d)\
 _FRACTION = r"\.(\d{1,9})(Z|[+-]\d\d:\d\d)\z"
 
 
-def _json_path(document: Column, field: str, kind: str) -> Column:
-    return F.try_variant_get(document, f"$.{field}", kind)
+# How a well-formed record is read in one go
+_PLAIN_TYPES = {"string": "STRING", "bigint": "BIGINT", "int": "INT", "instant": "DECIMAL(29,9)"}
 
 
-def _kind_of(document: Column, field: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(document, f"$.{field}", "variant"))
-
-
-def _whole_number(document: Column, field: str, kind: str) -> tuple[Column, Column]:
+def _whole_number(text: Column, kind: str, cast: Column) -> tuple[Column, Column]:
     """Missing, null and empty become 0; floats are cut to integers; numeric strings are read."""
-    number = _json_path(document, field, kind)
-    found = _kind_of(document, field)
-    blank = (found == "STRING") & (F.trim(_json_path(document, field, "string")) == "")
-    absent = found.isNull() | (found == "VOID") | blank
-    readable = absent | (number.isNotNull() & (found != "BOOLEAN"))
-    return F.when(absent, F.lit(0).cast(kind)).otherwise(number), holds(readable)
+    number = F.when(~text.isin("true", "false"), cast)  # the cast would read booleans too
+    absent = text.isNull() | (F.trim(text) == "")
+    return F.coalesce(number, F.when(absent, F.lit(0).cast(kind))), holds(number.isNotNull() | absent)
 
 
-def _instant(document: Column, field: str) -> tuple[Column, Column]:
+def _instant(text: Column) -> tuple[Column, Column]:
     """Epoch seconds with nine decimals, from a number, a numeric string or an ISO-8601 string."""
-    found = _kind_of(document, field)
-    text = _json_path(document, field, "string")
-    numeric = (found != "BOOLEAN") & ~text.rlike(_INSTANT_TEXT)
-    seconds = _json_path(document, field, "decimal(29,9)")
     iso = F.when(text.rlike(_INSTANT_TEXT), text)
     whole = F.unix_seconds(F.try_to_timestamp(F.regexp_replace(iso, _FRACTION, "$2")))
     fraction = F.rpad(F.regexp_extract(iso, _FRACTION, 1), 9, "0")
-    from_text = whole.cast("decimal(29,9)") + F.concat(F.lit("0."), fraction).cast("decimal(29,9)")
-    epoch = F.when(numeric, seconds).otherwise(from_text).cast("decimal(29,9)")
-    absent = found.isNull() | (found == "VOID")
-    return epoch, holds(absent | epoch.isNotNull())
+    from_iso = whole.cast("decimal(29,9)") + F.concat(F.lit("0."), fraction).cast("decimal(29,9)")
+    epoch = F.coalesce(text.try_cast("decimal(29,9)"), from_iso.cast("decimal(29,9)"))
+    return epoch, holds(text.isNull() | epoch.isNotNull())
 
 
 def instant_to_timestamp(epoch: Column) -> Column:
@@ -158,35 +146,46 @@ def instant_to_timestamp(epoch: Column) -> Column:
 
 
 def decode(records: DataFrame, contract: Contract) -> DataFrame:
-    """Parse `value` bytes once per record and add the contract columns plus `decoded`.
+    """Parse `value` bytes and add the contract columns plus `decoded`.
 
     `decoded` is false for null values, invalid UTF-8, broken JSON, non-objects, unknown fields
     and unreadable field values. Every instant also gets a nine-digit `<name>_epoch` column.
+
+    A record whose fields all have their plain JSON type is read at once. Only the others are parsed
+    as a variant, which can tell a missing field, a numeric string, a float and a boolean apart.
     """
     text = F.col("value").cast("string")
     readable_text = F.when(F.col("value").isNotNull() & F.is_valid_utf8(text), text)
-    parsed = records.withColumn("_text", readable_text).withColumn("_json", F.try_parse_json("_text"))
+    schema = ", ".join(f"{field} {_PLAIN_TYPES[kind]}" for field, _, kind in contract.fields)
+    complete = F.lit(True)
+    for field, _, _ in contract.fields:
+        complete = complete & F.col(f"_plain.{field}").isNotNull()
+    parsed = (
+        records.withColumn("_text", readable_text)
+        .withColumn("_plain", F.from_json("_text", schema))
+        .withColumn("_complete", holds(complete))
+        .withColumn("_json", F.try_parse_json(F.when(~F.col("_complete"), F.col("_text"))))
+        .withColumns({f"_{field}": F.try_variant_get("_json", f"$.{field}", "string") for field, _, _ in contract.fields})
+    )
 
-    columns, checks = [], []
-    document = F.col("_json")
+    columns, readable = [], F.col("_json").isNotNull()
     for field, name, kind in contract.fields:
+        plain, other = F.col(f"_plain.{field}"), F.col(f"_{field}")
         if kind == "string":
-            columns.append(_json_path(document, field, "string").alias(name))
+            columns.append(F.coalesce(plain, other).alias(name))
         elif kind == "instant":
-            epoch, ok = _instant(document, field)
+            epoch, ok = _instant(other)
+            epoch, readable = F.coalesce(plain, epoch), readable & ok
             columns += [instant_to_timestamp(epoch).alias(name), epoch.alias(f"{name}_epoch")]
-            checks.append(ok)
         else:
-            number, ok = _whole_number(document, field, kind)
-            columns.append(number.alias(name))
-            checks.append(ok)
+            number, ok = _whole_number(other, kind, F.try_variant_get("_json", f"$.{field}", kind))
+            columns.append(F.coalesce(plain, number).alias(name))
+            readable = readable & ok
 
     known = F.array(*[F.lit(field) for field, _, _ in contract.fields])
     only_known = F.size(F.array_except(F.json_object_keys("_text"), known)) == 0
-    decoded = document.isNotNull() & holds(only_known)
-    for check in checks:
-        decoded = decoded & check
-    return parsed.select(*records.columns, *columns, holds(decoded).alias("decoded"))
+    decoded = holds(only_known) & (F.col("_complete") | readable)
+    return parsed.select(*records.columns, *columns, decoded.alias("decoded"))
 
 
 # --- encoding ---------------------------------------------------------------------------------

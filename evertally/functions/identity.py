@@ -31,7 +31,7 @@ def hmac_sha256(secret: str, message: Column) -> Column:
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 code units; Spark's own `length` counts code points."""
-    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+    return F.shiftright(F.octet_length(F.encode(text, "UTF-16BE")), 1)
 
 
 def trim_controls(text: Column) -> Column:

@@ -16,13 +16,15 @@ def holds(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def with_verdict(rows: DataFrame, name: str, verdict: Column) -> DataFrame:
-    """Add a verdict column that later filters read instead of recomputing.
+def computed_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add (or replace) a costly column that later filters and join keys read instead of recomputing.
 
-    A plain column would be substituted into every filter on it, and the decoding underneath would
-    run once per mention. The output of a generator is not substituted.
+    The optimizer substitutes a plain column into every filter on it, the inferred not-null ones
+    included, and would run its hashing or parsing once per mention. The output of a generator is
+    not substituted; a one-element array costs next to nothing.
     """
-    return rows.select("*", F.explode(F.array(verdict)).alias(name))
+    others = [c for c in rows.columns if c != name]
+    return rows.select(*others, F.explode(F.array(value)).alias(name))
 
 
 def is_mutation(method: Column, path: Column) -> Column:
@@ -82,8 +84,6 @@ def request_id_or_new(request_id: Column) -> Column:
 def sanitize_identity(requests: DataFrame) -> DataFrame:
     """Replace client-sent identity: only a mutation gets one, from its normalized email."""
     mutation = is_mutation(F.col("method"), F.col("path"))
-    return (
-        requests.withColumn("authenticated_email", F.when(mutation, normalize_email(F.col("email"))))
-        .withColumn("request_id", request_id_or_new(F.col("request_id")))
-        .drop("email")
-    )
+    identity = F.when(mutation, normalize_email(F.col("email")))
+    named = requests.withColumn("request_id", request_id_or_new(F.col("request_id")))
+    return computed_once(named, "authenticated_email", identity).drop("email")

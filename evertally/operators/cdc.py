@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evertally import fixed_values as fixed
 from evertally.functions import contracts
-from evertally.functions.validation import holds, with_verdict
+from evertally.functions.validation import computed_once, holds
 
 FIELDS = ("video_id", "view_count", "version")
 
@@ -42,7 +42,7 @@ def unwrap(feed: DataFrame) -> DataFrame:
         .when(~complete, "field")
         .when(~contracts.is_projection(), "contract")
     )
-    return with_verdict(changes, "error", error).drop("_json_ok")
+    return computed_once(changes, "error", error).drop("_json_ok")
 
 
 def _integral(name: str) -> Column:

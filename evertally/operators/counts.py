@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evertally import fixed_values as fixed
-from evertally.settings import micros, positive_duration
+from evertally.settings import micros, positive_duration, slice_start
 
 SHARD = ("video_id", "counter_shard_id")
 
@@ -37,7 +37,7 @@ def as_snapshot(counts: DataFrame, value: str, emitted_at: Column | None = None)
 def tick_end(at: Column, interval: timedelta = fixed.SNAPSHOT_INTERVAL) -> Column:
     """First tick strictly after the arrival."""
     step = micros(positive_duration("interval", interval))
-    return F.timestamp_micros((F.floor(F.unix_micros(at) / step) + 1) * step)
+    return F.timestamp_micros(slice_start(F.unix_micros(at), step) + F.lit(step))
 
 
 def snapshots_per_tick(

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from evertally import fixed_values as fixed
 from evertally.session import enable_checkpoints
-from evertally.settings import micros, positive_count, positive_duration
+from evertally.settings import micros, positive_count, positive_duration, slice_start
 
 EVENT_KEYS = ("event_id", "video_id", "counter_shard_id")
 
@@ -47,7 +47,7 @@ def horizon_dedup(
     width = max(1, reach // positive_count("cells per horizon", cells_per_horizon))
     keys = list(keys)
     arrivals = events.select(*keys, F.unix_micros(at).alias("_t"))
-    arrivals = arrivals.withColumn("_cell", F.floor(F.col("_t") / width))
+    arrivals = arrivals.withColumn("_cell", slice_start(F.col("_t"), width))
 
     ids = _cells_per_id(arrivals, keys)
     if already_counted is not None:
@@ -123,7 +123,7 @@ def _resolve(
     wanted = open_chains.withColumns(
         {
             "_expiry": F.element_at("_kept", -1) + F.lit(reach),
-            "_cell": F.floor(F.col("_stuck") / width),
+            "_cell": slice_start(F.col("_stuck"), width),
         }
     )
     lookups = wanted.select(*keys, "_cell", "_expiry")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evertally import fixed_values as fixed
 from evertally.functions.identity import projection_key
-from evertally.settings import micros, positive_duration
+from evertally.settings import micros, positive_duration, slice_start
 
 
 def latest_by(rows: DataFrame, keys: Sequence[str], newest: Column) -> DataFrame:
@@ -98,7 +98,7 @@ def flag_stale(
     the rows inside one slice are then ordered.
     """
     width = micros(positive_duration("slice width", slice_width))
-    sliced = rows.withColumn("_slice", F.floor(F.unix_micros(order[0]) / width))
+    sliced = rows.withColumn("_slice", slice_start(F.unix_micros(order[0]), width))
     slices = sliced.groupBy(*keys, "_slice").agg(F.max("version").alias("_slice_max"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = slices.select(*keys, "_slice", F.max("_slice_max").over(earlier).alias("_before"))

@@ -23,7 +23,7 @@ def with_reason(requests: DataFrame, email: str = "authenticated_email", as_of:
     """Add `reason`, null for a valid request; times are judged against `as_of` (arrival by default)."""
     clock = F.col("accepted_at") if as_of is None else as_of
     fields = map(F.col, ("video_id", email, "idempotency_key", "occurred_at"))
-    return requests.withColumn("reason", validation.rejection_reason(*fields, clock))
+    return validation.computed_once(requests, "reason", validation.rejection_reason(*fields, clock))
 
 
 def to_events(
@@ -35,9 +35,8 @@ def to_events(
 ) -> DataFrame:
     """View events of valid requests. An unstated occurrence time is the acceptance time."""
     who = F.col(email)
-    identified = requests.withColumn(
-        "event_id", identity.event_id(secret, who, F.col("video_id"), F.col("idempotency_key"))
-    )
+    digest = identity.event_id(secret, who, F.col("video_id"), F.col("idempotency_key"))
+    identified = validation.computed_once(requests, "event_id", digest)
     return identified.select(
         *keep,
         "event_id",

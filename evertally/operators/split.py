@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evertally import fixed_values as fixed
 from evertally.functions import contracts
 from evertally.functions.contracts import Contract
-from evertally.functions.validation import with_verdict
+from evertally.functions.validation import computed_once
 
 RECORD = ("topic", "partition", "offset", "key", "value", "arrival")
 
@@ -36,7 +36,7 @@ def _checked(records: DataFrame, contract: Contract, is_valid: Column, agrees: C
         .when(~is_valid, "contract")
         .when(~agrees, "key")
     )
-    return with_verdict(contracts.decode(records, contract), "reason", reason)
+    return computed_once(contracts.decode(records, contract), "reason", reason)
 
 
 def valid(checked: DataFrame) -> DataFrame:

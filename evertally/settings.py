@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from evertally import fixed_values as fixed
 
 
@@ -11,6 +14,11 @@ def micros(duration: timedelta) -> int:
     return duration // timedelta(microseconds=1)
 
 
+def slice_start(at: Column, width: int) -> Column:
+    """Start of the slice of `width` that holds the integer `at`; exact for times before 1970 too."""
+    return at - F.pmod(at, F.lit(width).cast("bigint"))
+
+
 def positive_duration(name: str, duration: timedelta) -> timedelta:
     if duration <= timedelta(0):
         raise ValueError(f"{name} must be positive")

@@ -130,6 +130,18 @@ def test_total_snapshots(spark, value, reason):
     assert checked.first()["reason"] == reason
 
 
+@pytest.mark.parametrize("text", [b'{"eventId":"x","videoId":1', b'{"eventId":"x"', event()[:-1], event()[:-20], event() + b"x", event() + event()])
+def test_cut_records_are_undecodable_but_trailing_text_is_ignored(spark, text):
+    expected = None if text.startswith(event()) else "undecodable"
+    assert reason_of(spark, text)["reason"] == expected
+
+
+def test_last_of_repeated_fields_wins(spark):
+    text = event(videoId=5, occurredAt=1).replace(b"{", b'{"videoId": 9, ', 1)
+    row = reason_of(spark, text, "5:0")
+    assert (row["reason"], row["video_id"]) == (None, 5)
+
+
 def test_encode_decode_round_trip(spark):
     rows = spark.createDataFrame([(ID, 9007199254740993, USER, 7)], "event_id STRING, video_id BIGINT, user_hash STRING, counter_shard_id INT")
     rows = rows.withColumns(
