@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from evertally import fixed_values as fixed
@@ -58,23 +58,28 @@ def horizon_dedup(
     # the last counted arrival is the head of the chain; it is not counted again
     chains = _walk(ids.withColumn("_kept", F.array_compact(F.array("_last"))), reach)
     enable_checkpoints(events.sparkSession)
-    chains = chains.checkpoint()
+    chains, waiting = _materialize(chains)
 
     finished = chains.filter("_stuck is null").select(*keys, "_last", "_kept")
-    open_chains = chains.filter("_stuck is not null")
-    waiting = open_chains.count()
     while waiting:
-        resolved = _resolve(arrivals, open_chains, keys, reach, width, broadcast=waiting <= BROADCAST_IDS)
-        resolved = resolved.checkpoint()
-        finished = finished.unionByName(resolved.filter("_stuck is null").select(*keys, "_last", "_kept"))
-        open_chains = resolved.filter("_stuck is not null")
-        waiting = open_chains.count()
+        open_chains = chains.filter("_stuck is not null")
+        chains, waiting = _materialize(
+            _resolve(arrivals, open_chains, keys, reach, width, broadcast=waiting <= BROADCAST_IDS)
+        )
+        finished = finished.unionByName(chains.filter("_stuck is null").select(*keys, "_last", "_kept"))
     fresh = F.filter("_kept", lambda t: F.col("_last").isNull() | (t > F.col("_last")))
     return finished.select(*keys, F.explode(fresh).alias("_t")).select(
         *keys, F.timestamp_micros("_t").alias("counted_at")
     )
 
 
+def _materialize(chains: DataFrame) -> tuple[DataFrame, int]:
+    """The chains written to the checkpoint folder, and how many of them wait for a lookup."""
+    seen = Observation()
+    written = chains.observe(seen, F.count("_stuck").alias("waiting")).checkpoint()
+    return written, seen.get["waiting"]
+
+
 def _cells_per_id(arrivals: DataFrame, keys: list[str]) -> DataFrame:
     cells = arrivals.groupBy(*keys, "_cell").agg(
         F.min("_t").alias("lo"), F.max("_t").alias("hi"), F.count("*").alias("n")

@@ -29,8 +29,13 @@ def compact(records: DataFrame, keys: Sequence[str] = ("key",), order: str = "of
     return latest_by(records, keys, F.col(order))
 
 
+# Two forms of the same gate. The bulk merges touch table and batch once and shuffle both: right when
+# they are of similar size. `newer_rows` + `replace_rows` are for a micro-batch that is small beside
+# its table: the keys of the batch are broadcast and the table is scanned but not shuffled.
+
+
 def merge_counter(table: DataFrame, totals: DataFrame) -> DataFrame:
-    """Upsert totals into the counter table where they are newer.
+    """Bulk upsert of totals into the counter table where they are newer.
 
     Version and count are equal by contract, so a plain maximum is the whole gate. `updated_at`
     moves only with an accepted write.
@@ -51,17 +56,10 @@ def merge_counter(table: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
-def newer_than_table(totals: DataFrame, table: DataFrame) -> DataFrame:
-    """Totals the table does not have yet."""
-    known = table.select("video_id", F.col("version").alias("_known"))
-    fresh = F.col("_known").isNull() | (F.col("version") > F.col("_known"))
-    return totals.join(known, "video_id", "left").filter(fresh).drop("_known")
-
-
 def merge_projection(
     projection: DataFrame, changes: DataFrame, order: str = "offset", prefix: str = fixed.PROJECTION_PREFIX
 ) -> DataFrame:
-    """Apply changes (video_id, count, version, order) to the projection behind its version gate.
+    """Bulk apply of changes (video_id, count, version, order) to the projection.
 
     Of equal versions the stored one stays, then the one that came first.
     """
@@ -73,6 +71,34 @@ def merge_projection(
     return latest_by(both, ["key", "video_id"], F.struct("version", "_stored", "_earliest")).select(*columns)
 
 
+def newer_rows(batch: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the batch (one per key) whose version the table does not have yet."""
+    keys = list(keys)
+    known = table.select(*keys, F.col("version").alias("_known")).join(batch.select(*keys), keys, "left_semi")
+    fresh = F.col("_known").isNull() | (F.col("version") > F.col("_known"))
+    return batch.join(known, keys, "left").filter(fresh).select(*batch.columns)
+
+
+def replace_rows(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The table with the given rows put in place of those with the same key."""
+    keys = list(keys)
+    return table.join(rows.select(*keys), keys, "left_anti").unionByName(rows.select(*table.columns))
+
+
+def newer_totals(totals: DataFrame, table: DataFrame) -> DataFrame:
+    """Greatest total per video where it is above the counter table's."""
+    batch = totals.groupBy("video_id").agg(F.max("view_count").alias("view_count"))
+    return newer_rows(batch.withColumn("version", F.col("view_count")), table, ["video_id"])
+
+
+def newer_changes(
+    changes: DataFrame, projection: DataFrame, order: str = "offset", prefix: str = fixed.PROJECTION_PREFIX
+) -> DataFrame:
+    """Projection rows that the changes bring forward."""
+    nothing = projection.limit(0)
+    return newer_rows(merge_projection(nothing, changes, order, prefix), projection, ["key"])
+
+
 def insert_if_absent(ledger: DataFrame, rows: DataFrame, order: str | None = None) -> DataFrame:
     """Rows of the ledger plus those new ids; the first row of an id wins."""
     return ledger.unionByName(absent_rows(ledger, rows, order))

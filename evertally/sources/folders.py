@@ -7,7 +7,10 @@ from showing up twice. On stores without an atomic rename use a table format wit
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evertally.settings import positive_count
 
@@ -96,6 +99,15 @@ class BatchLog:
         return file_stream(self.spark, self.folder.path, self.schema, max_files)
 
 
+    def expire(self, at: str, oldest: datetime) -> list[int]:
+        """Drop the batches whose rows are all older; returns their numbers."""
+        ages = self.read().groupBy("batch_id").agg(F.max(at).alias("newest"))
+        expired = sorted(row["batch_id"] for row in ages.filter(F.col("newest") < F.lit(oldest)).collect())
+        for batch_id in expired:
+            self.folder.remove(f"batch_id={batch_id}")
+        return expired
+
+
 class Table:
     """A whole-table snapshot per version; the newest complete folder is the table."""
 

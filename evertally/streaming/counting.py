@@ -17,6 +17,7 @@ from evertally import fixed_values as fixed
 from evertally.functions import contracts
 from evertally.operators import counts, gate, ingest, split
 from evertally.operators.dedup import EVENT_KEYS, horizon_dedup
+from evertally.session import enable_checkpoints
 from evertally.settings import positive_count
 from evertally.sources.folders import BatchLog, Table
 from evertally.streaming.dedup import horizon_dedup_stream
@@ -113,10 +114,12 @@ def emit_totals(
     """Changed totals to the totals log and, behind the version gate, to the counter table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = gate.newer_than_table(counts.as_snapshot(batch, "view_count"), table.read())
+        stored = table.read()
+        fresh = gate.newer_totals(batch, stored).withColumn("emitted_at", F.current_timestamp())
         _append_whole(totals, fresh, batch, batch_id)
         written = totals.read().filter(F.col("batch_id") == batch_id)
-        table.replace(gate.merge_counter(table.read(), written), batch_id)
+        rows = written.withColumn("updated_at", F.current_timestamp())
+        table.replace(gate.replace_rows(stored, rows, ["video_id"]), batch_id)
 
     stream = running_totals(snapshots, shard_count)
     return _batches(stream, write, checkpoint, "video-totals").outputMode("update")
@@ -128,10 +131,14 @@ def persist_totals(records: DataFrame, table: Table, dead: BatchLog, checkpoint:
     A failing table stops the query with its offset kept, and a restart retries the batch.
     """
 
+    enable_checkpoints(records.sparkSession)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         checked = split.checked_totals(batch)
         dead.append(split.dead_letters(checked), batch_id)
-        table.replace(gate.merge_counter(table.read(), split.valid(checked)), batch_id)
+        stored = table.read()
+        accepted = gate.newer_totals(split.valid(checked), stored).withColumn("updated_at", F.current_timestamp())
+        table.replace(gate.replace_rows(stored, accepted.checkpoint(), ["video_id"]), batch_id)
 
     return _batches(records, write, checkpoint, "persist-totals")
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from evertally import fixed_values as fixed
 from evertally.operators import cdc, gate
+from evertally.session import enable_checkpoints
 from evertally.sources.folders import Table
 
 MARKER = "_generation"
@@ -51,7 +52,7 @@ class Projection:
             return False
         return self.ledger.replace(gate.insert_if_absent(known, row), _next(self.ledger))
 
-    def apply(self, changes: DataFrame, version: int | None = None) -> None:
+    def apply(self, changes: DataFrame) -> None:
         """Apply changes (video_id, count, version, offset), rebuilding first when the projection is new.
 
         The re-read rows go through the same gate, so newer changes win in any order. The marker is
@@ -62,8 +63,10 @@ class Projection:
             self.request(generation)
             reread = cdc.reread(self.source.read()).withColumn("offset", F.lit(-1).cast("bigint"))
             changes = changes.unionByName(reread.select(*changes.columns))
-        merged = gate.merge_projection(self.table.read(), changes, prefix=self.prefix)
-        self.table.replace(merged, _next(self.table) if version is None else version)
+        stored = self.table.read()
+        enable_checkpoints(stored.sparkSession)
+        accepted = gate.newer_changes(changes, stored, prefix=self.prefix).checkpoint()
+        self.table.replace(gate.replace_rows(stored, accepted, ["key"]), _next(self.table))
         if generation is not None:
             self.mark_requested(generation)
 

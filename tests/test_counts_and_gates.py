@@ -102,8 +102,8 @@ def test_refused_write_keeps_updated_at(spark):
 
 
 def test_only_newer_totals_pass(spark):
-    totals = counts.as_snapshot(spark.createDataFrame([(1, 10), (2, 11), (3, 0)], "video_id BIGINT, view_count BIGINT"), "view_count")
-    fresh = gate.newer_than_table(totals, counter(spark, [(1, 10), (2, 10)]))
+    totals = spark.createDataFrame([(1, 10), (2, 11), (2, 9), (3, 0)], "video_id BIGINT, view_count BIGINT")
+    fresh = gate.newer_totals(totals, counter(spark, [(1, 10), (2, 10)]))
     assert sorted(r["video_id"] for r in fresh.collect()) == [2, 3]
 
 

@@ -247,6 +247,15 @@ def test_batch_folders_appear_whole_and_once(spark, folder):
     assert log.read(before=0).isEmpty()
 
 
+def test_expired_batches_are_dropped_whole(spark, folder):
+    log = BatchLog(spark, f"{folder}/log", "n INT, arrival TIMESTAMP")
+    for batch in range(4):
+        rows = [(n, NOW + timedelta(days=batch + n)) for n in range(2)]
+        log.append(spark.createDataFrame(rows, "n INT, arrival TIMESTAMP"), batch)
+    assert log.expire("arrival", NOW + timedelta(days=2)) == [0]
+    assert log.read().count() == 6
+
+
 def test_table_versions_apply_once(spark, folder):
     table = Table(spark, f"{folder}/table", "n INT")
     one, two = (spark.createDataFrame([(n,)], "n INT") for n in (1, 2))
