@@ -179,7 +179,7 @@ def decode(records: DataFrame, contract: Contract) -> DataFrame:
             columns += [instant_to_timestamp(epoch).alias(name), epoch.alias(f"{name}_epoch")]
         else:
             number, ok = _whole_number(other, kind, F.try_variant_get("_json", f"$.{field}", kind))
-            columns.append(F.coalesce(plain, number).alias(name))
+            columns.append(F.coalesce(plain, F.when(F.col("_json").isNotNull(), number)).alias(name))
             readable = readable & ok
 
     known = F.array(*[F.lit(field) for field, _, _ in contract.fields])
@@ -207,14 +207,14 @@ def encode(contract: Contract) -> Column:
 def event_record() -> list[Column]:
     return [
         shard_key(F.col("video_id"), F.col("counter_shard_id")).alias("key"),
-        F.encode(encode(VIEW_EVENT), "UTF-8").alias("value"),
+        encode(VIEW_EVENT).cast("binary").alias("value"),
     ]
 
 
 def snapshot_record(contract: Contract) -> list[Column]:
     return [
         F.col("video_id").cast("string").alias("key"),
-        F.encode(encode(contract), "UTF-8").alias("value"),
+        encode(contract).cast("binary").alias("value"),
     ]
 
 

@@ -25,13 +25,17 @@ def hmac_sha256(secret: str, message: Column) -> Column:
     key = key.ljust(_BLOCK, b"\0")
     inner_pad = _binary(bytes(b ^ 0x36 for b in key))
     outer_pad = _binary(bytes(b ^ 0x5C for b in key))
-    inner = F.unhex(F.sha2(F.concat(inner_pad, F.encode(message, "UTF-8")), 256))
+    inner = F.unhex(F.sha2(F.concat(inner_pad, message.cast("binary")), 256))
     return F.sha2(F.concat(outer_pad, inner), 256)
 
 
 def utf16_length(text: Column) -> Column:
-    """Length in UTF-16 code units; Spark's own `length` counts code points."""
-    return F.shiftright(F.octet_length(F.encode(text, "UTF-16BE")), 1)
+    """Length in UTF-16 code units; Spark's own `length` counts code points.
+
+    The two agree for ASCII, which therefore is not encoded again.
+    """
+    encoded = F.shiftright(F.octet_length(F.encode(text, "UTF-16BE")), 1)
+    return F.when(F.octet_length(text) > F.length(text), encoded).otherwise(F.length(text))
 
 
 def trim_controls(text: Column) -> Column:

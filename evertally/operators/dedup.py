@@ -6,9 +6,9 @@ one horizon after the last kept one, and so on. A dropped duplicate never moves
 The id's rows are never gathered. They are first summarized per (id, time cell) with partial
 aggregation, so a hot id shrinks to a few numbers per cell before the shuffle, and the chain is
 walked over the cells. One cell is no wider than the horizon, so it holds at most one kept arrival,
-and its minimum and maximum nearly always tell which. Where they do not (three or more arrivals
-around the exact expiry), the one missing value is looked up in the rows, again as a partial
-aggregate, and the walk goes on.
+and its minimum and maximum nearly always tell which. Where they do not (four or more arrivals
+around the exact expiry), the one missing value is looked up in the rows of that time, again as a
+partial aggregate, and the walk goes on. A chain needs at most one lookup per horizon it spans.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def horizon_dedup(
     horizon: timedelta = fixed.DEDUP_HORIZON,
     keys: Sequence[str] = EVENT_KEYS,
     at: str = "accepted_at",
-    cells_per_horizon: int = 1024,
+    cells_per_horizon: int = 4096,
     already_counted: DataFrame | None = None,
 ) -> DataFrame:
     """One row per counted event: the key columns and `counted_at` (arrival, a timestamp).
@@ -46,10 +46,7 @@ def horizon_dedup(
     reach = micros(positive_duration("horizon", horizon))
     width = max(1, reach // positive_count("cells per horizon", cells_per_horizon))
     keys = list(keys)
-    arrivals = events.select(*keys, F.unix_micros(at).alias("_t"))
-    arrivals = arrivals.withColumn("_cell", slice_start(F.col("_t"), width))
-
-    ids = _cells_per_id(arrivals, keys)
+    ids = _cells_per_id(_arrivals(events, keys, at, width), keys)
     if already_counted is not None:
         last = already_counted.groupBy(*keys).agg(F.max(F.unix_micros("counted_at")).alias("_last"))
         ids = ids.join(last, keys, "left")
@@ -58,13 +55,17 @@ def horizon_dedup(
     # the last counted arrival is the head of the chain; it is not counted again
     chains = _walk(ids.withColumn("_kept", F.array_compact(F.array("_last"))), reach)
     enable_checkpoints(events.sparkSession)
-    chains, waiting = _materialize(chains)
+    chains, stuck = _materialize(chains)
 
     finished = chains.filter("_stuck is null").select(*keys, "_last", "_kept")
-    while waiting:
+    while stuck["ids"]:
         open_chains = chains.filter("_stuck is not null")
-        chains, waiting = _materialize(
-            _resolve(arrivals, open_chains, keys, reach, width, broadcast=waiting <= BROADCAST_IDS)
+        # only the time that holds stuck cells is read again; the bounds reach the scan
+        since, until = F.lit(stuck["first"]), F.lit(stuck["last"] + width)
+        during = F.col(at).between(F.timestamp_micros(since), F.timestamp_micros(until))
+        arrivals = _arrivals(events.filter(during), keys, at, width)
+        chains, stuck = _materialize(
+            _resolve(arrivals, open_chains, keys, reach, width, broadcast=stuck["ids"] <= BROADCAST_IDS)
         )
         finished = finished.unionByName(chains.filter("_stuck is null").select(*keys, "_last", "_kept"))
     fresh = F.filter("_kept", lambda t: F.col("_last").isNull() | (t > F.col("_last")))
@@ -73,18 +74,30 @@ def horizon_dedup(
     )
 
 
-def _materialize(chains: DataFrame) -> tuple[DataFrame, int]:
-    """The chains written to the checkpoint folder, and how many of them wait for a lookup."""
+def _arrivals(events: DataFrame, keys: list[str], at: str, width: int) -> DataFrame:
+    arrivals = events.select(*keys, F.unix_micros(at).alias("_t"))
+    return arrivals.withColumn("_cell", slice_start(F.col("_t"), width))
+
+
+def _materialize(chains: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The chains written to the checkpoint folder, with number and time span of those that are stuck."""
     seen = Observation()
-    written = chains.observe(seen, F.count("_stuck").alias("waiting")).checkpoint()
-    return written, seen.get["waiting"]
+    stuck = [F.count("_stuck").alias("ids"), F.min("_stuck").alias("first"), F.max("_stuck").alias("last")]
+    written = chains.observe(seen, *stuck).checkpoint()
+    return written, seen.get
 
 
 def _cells_per_id(arrivals: DataFrame, keys: list[str]) -> DataFrame:
     cells = arrivals.groupBy(*keys, "_cell").agg(
-        F.min("_t").alias("lo"), F.max("_t").alias("hi"), F.count("*").alias("n")
+        F.min("_t").alias("lo"),
+        F.max("_t").alias("hi"),
+        F.count("*").alias("n"),
+        F.try_sum(F.col("_t") - F.col("_cell")).alias("_offsets"),
     )
-    return cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "n"))).alias("_cells"))
+    # of three arrivals the middle one is what the sum leaves
+    middle = F.when(F.col("n") == 3, F.col("_offsets") + 3 * F.col("_cell") - F.col("lo") - F.col("hi"))
+    cell = F.struct("lo", "hi", "n", middle.alias("mid"))
+    return cells.groupBy(*keys).agg(F.sort_array(F.collect_list(cell)).alias("_cells"))
 
 
 def _walk(ids: DataFrame, reach: int) -> DataFrame:
@@ -104,10 +117,20 @@ def _walk(ids: DataFrame, reach: int) -> DataFrame:
             .when(expiry.isNull() | (cell["lo"] > expiry), keep(cell["lo"]))
             .when(cell["hi"] <= expiry, chain)
             .when(cell["n"] == 2, keep(cell["hi"]))
+            .when(cell["n"] == 3, keep(F.when(cell["mid"] > expiry, cell["mid"]).otherwise(cell["hi"])))
             .otherwise(F.struct(kept_so_far.alias("kept"), cell["lo"].alias("stuck")))
         )
 
-    walked = ids.withColumn("_chain", F.aggregate("_cells", start, step))
+    # most ids need no walk: all their arrivals fall within one horizon
+    head = F.get("_kept", F.size("_kept") - 1)
+    first, latest = F.get("_cells", F.lit(0))["lo"], F.get("_cells", F.size("_cells") - 1)["hi"]
+    one = F.struct(F.array(first).alias("kept"), none.alias("stuck"))
+    chain = (
+        F.when(head.isNull() & (latest <= first + F.lit(reach)), one)
+        .when(latest <= head + F.lit(reach), start)
+        .otherwise(F.aggregate("_cells", start, step))
+    )
+    walked = ids.withColumn("_chain", chain)
     stuck = F.col("_chain.stuck")
     return walked.select(
         *[c for c in ids.columns if c not in ("_cells", "_kept")],

@@ -108,7 +108,7 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_records_of(rows: DataFrame) -> DataFrame:
     """View events as topic records: some tombstones, truncated values and foreign keys."""
-    value = F.encode(contracts.encode(contracts.VIEW_EVENT), "UTF-8")
+    value = contracts.encode(contracts.VIEW_EVENT).cast("binary")
     key = contracts.shard_key(F.col("video_id"), F.col("counter_shard_id"))
     return view_events_of(rows).select(
         F.lit(VIEWS_TOPIC).alias("topic"),
@@ -162,6 +162,20 @@ def total_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replayed(total_log(spark, sf_dir), "video_id", "version")
 
 
+def snapshot_records(feed: DataFrame, contract: contracts.Contract, topic: str) -> DataFrame:
+    """Snapshots as topic records, some with a damaged version, a foreign key or no value."""
+    damaged = feed.withColumn("version", F.col("version") - F.when(F.col("offset") % 97 == 0, 1).otherwise(0))
+    key, value = contracts.snapshot_record(contract)
+    return damaged.select(
+        F.lit(topic).alias("topic"),
+        (F.col("offset") % 24).cast("int").alias("partition"),
+        "offset",
+        F.when(F.col("offset") % 89 == 0, F.concat(F.lit("0"), key)).otherwise(key).alias("key"),
+        F.when(F.col("offset") % 83 != 0, value).alias("value"),
+        "arrival",
+    )
+
+
 def counter_table(totals: DataFrame) -> DataFrame:
     """Counter table rows of a totals log."""
     latest = totals.groupBy("video_id").agg(F.max("view_count").alias("view_count"))
@@ -206,14 +220,14 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(offset % 97 == 0, F.substring(json, 1, 20))
         .otherwise(json)
     )
-    return feed.select("offset", "arrival", F.encode(value, "UTF-8").alias("value"))
+    return feed.select("offset", "arrival", value.cast("binary").alias("value"))
 
 
 def usable_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change envelopes without damage: what a strict projection can take."""
     json = cdc.envelope(F.lit("u"), F.col("offset") % 2 == 0)
     feed = total_feed(spark, sf_dir)
-    return feed.select("offset", "arrival", "emitted_at", F.encode(json, "UTF-8").alias("value"))
+    return feed.select("offset", "arrival", "emitted_at", json.cast("binary").alias("value"))
 
 
 def clean_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,15 @@ _STALE = """coalesce(version <= max(version) OVER (PARTITION BY {keys} ORDER BY
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)"""
 
 
+_SNAPSHOT_REASON = """CASE WHEN "offset" % 83 = 0 THEN 'tombstone' WHEN "offset" % 97 = 0 THEN 'contract'
+                            WHEN "offset" % 89 = 0 THEN 'key' END"""
+
+
+def _unless_null(name: str, value: str | None = None) -> str:
+    """A decoded column: null for records without a value."""
+    return f'CASE WHEN "offset" % 83 <> 0 THEN {value or name} END AS {name}'
+
+
 def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes.strip()}\n{select.strip()}"
 
@@ -237,6 +246,20 @@ ORACLES: dict[str, str] = {
                   CASE WHEN ok THEN epoch_us(occurred_at) END AS occurred_us, CASE WHEN ok THEN t END AS accepted_us
            FROM (SELECT *, coalesce(reason NOT IN ('tombstone', 'undecodable'), true) AS ok FROM records)""",
     ),
+    "decode_shard_snapshot": _with(
+        SHARD_FEED,
+        f"""SELECT "offset", {_SNAPSHOT_REASON} AS reason, {_unless_null('video_id')}, {_unless_null('counter_shard_id')},
+                   {_unless_null('count')},
+                   {_unless_null('version', 'version - CASE WHEN "offset" % 97 = 0 THEN 1 ELSE 0 END')},
+                   {_unless_null('emitted_us')} FROM shard_feed""",
+    ),
+    "decode_total_snapshot": _with(
+        TOTAL_FEED,
+        f"""SELECT "offset", {_SNAPSHOT_REASON} AS reason, {_unless_null('video_id')}, {_unless_null('view_count')},
+                   {_unless_null('version', 'version - CASE WHEN "offset" % 97 = 0 THEN 1 ELSE 0 END')},
+                   {_unless_null('emitted_us')} FROM total_feed""",
+    ),
+    "accepted_response": _with(ACCEPTED, "SELECT event_id, 'ACCEPTED' AS status FROM accepted"),
     "cdc_unwrap": _with(
         CHANGES,
         f"""SELECT "offset", CASE WHEN error IS NULL THEN substr('cur', ("offset" % 3 + 1)::INTEGER, 1) END AS op,

@@ -164,6 +164,29 @@ def decode_contract(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def decode_shard_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    records = m.snapshot_records(m.shard_feed(spark, sf), contracts.SHARD_SNAPSHOT, fixed.SHARDS_TOPIC)
+    checked = split.checked_shards(records)
+    return checked.select(
+        "offset", "reason", "video_id", "counter_shard_id", "count", "version", us("emitted_at", "emitted_us")
+    )
+
+
+@query
+def decode_total_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    records = m.snapshot_records(m.total_feed(spark, sf), contracts.TOTAL_SNAPSHOT, fixed.TOTALS_TOPIC)
+    checked = split.checked_totals(records)
+    return checked.select("offset", "reason", "video_id", "view_count", "version", us("emitted_at", "emitted_us"))
+
+
+@query
+def accepted_response(spark: SparkSession, sf: str) -> DataFrame:
+    admitted = ingest.admitted(ingest.view_mutations(m.raw_requests(spark, sf)))
+    accepted = ingest.with_reason(admitted).filter("reason is null")
+    return ingest.accepted_response(ingest.to_events(accepted, m.SECRET))
+
+
 @query
 def cdc_unwrap(spark: SparkSession, sf: str) -> DataFrame:
     changes = cdc.unwrap(m.change_feed(spark, sf))
