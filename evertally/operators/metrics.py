@@ -60,6 +60,11 @@ def sink_counters(persisted: DataFrame) -> DataFrame:
     return persisted.agg(F.count("*").alias("counter_sink_success_total"))
 
 
+def rebuild_counters(inserted: DataFrame) -> DataFrame:
+    """Only requests that were new to the ledger count."""
+    return inserted.agg(F.count("*").alias("counter_cdc_rebuilds"))
+
+
 def projection_counters(flagged: DataFrame) -> DataFrame:
     return flagged.agg(
         F.count_if("applied").alias("counter_cdc_processed"),

@@ -11,7 +11,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evertally.fixed_values import VIEWS_TOPIC
+from evertally.fixed_values import REBUILD_SIGNAL, VIEWS_TOPIC
 from evertally.functions import contracts
 from evertally.functions.identity import projection_key
 from evertally.operators import cdc, counts, ingest
@@ -188,6 +188,15 @@ def before_midpoint(log: DataFrame) -> DataFrame:
     return log.filter(F.col("emitted_at") < F.lit(MIDPOINT).cast("timestamp"))
 
 
+def rebuild_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A ledger that knows every second user's generation, and a request for a generation per event."""
+    generation = F.concat(F.lit("gen-"), F.col("user_id").cast("string")).alias("id")
+    kind = F.lit(REBUILD_SIGNAL).alias("type")
+    rows = events(spark, sf_dir).select(generation, kind, F.col("props").alias("data"), "event_id", "user_id")
+    known = rows.filter("user_id % 2 = 0").select("id", "type", F.lit("earlier").alias("data")).distinct()
+    return known, rows
+
+
 def user_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A wider counter table: one counter per user."""
     per_user = requests(spark, sf_dir).groupBy(F.col("user_id").alias("video_id"))

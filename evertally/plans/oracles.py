@@ -378,6 +378,7 @@ ORACLES: dict[str, str] = {
            UNION ALL SELECT 'stale_shard_snapshots_total', count(*) FROM stale_shards WHERE stale
            UNION ALL SELECT 'video_total_snapshots_total', count(*) FROM total_log
            UNION ALL SELECT 'counter_sink_success_total', count(*) FROM total_feed
+           UNION ALL SELECT 'counter_cdc_rebuilds', count(DISTINCT user_id) FROM events WHERE user_id % 2 = 1
            UNION ALL SELECT 'counter_cdc_processed', count(*) FROM stale_changes WHERE NOT stale
            UNION ALL SELECT 'counter_cdc_stale', count(*) FROM stale_changes WHERE stale""",
     ),

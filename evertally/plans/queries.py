@@ -93,10 +93,7 @@ def projection_apply_outcome(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ledger_insert_if_absent(spark: SparkSession, sf: str) -> DataFrame:
-    generation = F.concat(F.lit("gen-"), F.col("user_id").cast("string")).alias("id")
-    kind = F.lit(fixed.REBUILD_SIGNAL).alias("type")
-    rows = m.events(spark, sf).select(generation, kind, F.col("props").alias("data"), "event_id", "user_id")
-    ledger = rows.filter("user_id % 2 = 0").select("id", "type", F.lit("earlier").alias("data")).distinct()
+    ledger, rows = m.rebuild_requests(spark, sf)
     return gate.insert_if_absent(ledger, rows, order="event_id")
 
 
@@ -399,6 +396,7 @@ def counter_metrics(spark: SparkSession, sf: str) -> DataFrame:
         metrics.shard_snapshot_counters(gate.flag_stale(m.shard_feed(spark, sf), slice_width=HOUR)),
         metrics.total_snapshot_counters(m.total_log(spark, sf)),
         metrics.sink_counters(m.total_feed(spark, sf)),
+        metrics.rebuild_counters(gate.absent_rows(*m.rebuild_requests(spark, sf), order="event_id")),
         metrics.projection_counters(gate.flag_applied(m.clean_changes(spark, sf), slice_width=HOUR)),
     )
 

@@ -1,4 +1,5 @@
 import json
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -227,6 +228,24 @@ def test_unusable_change_stops_the_feed_until_it_is_fixed(spark, folder):
     assert watch.counters["counter_cdc_failures"] >= 1
 
 
+def test_observed_rows_are_added_up(spark, folder):
+    log = BatchLog(spark, f"{folder}/log", "n INT")
+    watch = listener.CounterListener()
+    spark.streams.addListener(watch)
+    try:
+        for batch in range(2):
+            log.append(spark.range(10 + batch).selectExpr("CAST(id AS INT) AS n"), batch)
+            rows = listener.observed(log.stream(), "view_events_published_total")
+            run(rows.writeStream.format("noop").option("checkpointLocation", f"{folder}/checkpoint"))
+        for _ in range(50):
+            if watch.counters["view_events_published_total"] == 21:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(watch)
+    assert watch.counters["view_events_published_total"] == 21
+
+
 # --- pieces -----------------------------------------------------------------------------------
 
 
