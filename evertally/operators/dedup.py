@@ -36,17 +36,21 @@ def horizon_dedup(
     at: str = "accepted_at",
     cells_per_horizon: int = 4096,
     already_counted: DataFrame | None = None,
+    span: timedelta | None = None,
 ) -> DataFrame:
     """One row per counted event: the key columns and `counted_at` (arrival, a timestamp).
 
     `at` is a column of the rows, so the result does not depend on row order or on when the job runs.
     Keys and arrival must not be null, which the event contract guarantees. `already_counted` (an
-    earlier result) continues its chains: `events` then holds only later arrivals.
+    earlier result) continues its chains: `events` then holds only later arrivals. `span` is the time
+    the arrivals cover, where known: within one horizon an id has one cell, which saves a shuffle.
     """
     reach = micros(positive_duration("horizon", horizon))
-    width = max(1, reach // positive_count("cells per horizon", cells_per_horizon))
+    width: int | None = max(1, reach // positive_count("cells per horizon", cells_per_horizon))
+    if span is not None and span <= horizon:
+        width = None
     keys = list(keys)
-    ids = _cells_per_id(_arrivals(events, keys, at, width), keys)
+    ids = _cells_per_id(_arrivals(events, keys, at, width), keys, one_cell=width is None)
     if already_counted is not None:
         last = already_counted.groupBy(*keys).agg(F.max(F.unix_micros("counted_at")).alias("_last"))
         ids = ids.join(last, keys, "left")
@@ -56,13 +60,15 @@ def horizon_dedup(
     chains = _walk(ids.withColumn("_kept", F.array_compact(F.array("_last"))), reach)
     enable_checkpoints(events.sparkSession)
     chains, stuck = _materialize(chains)
+    if width is None and stuck["ids"] > BROADCAST_IDS:
+        # too many lookups to broadcast, and one cell per id would not spread a hot id
+        return horizon_dedup(events, horizon, keys, at, cells_per_horizon, already_counted)
 
     finished = chains.filter("_stuck is null").select(*keys, "_last", "_kept")
     while stuck["ids"]:
         open_chains = chains.filter("_stuck is not null")
         # only the time that holds stuck cells is read again; the bounds reach the scan
-        since, until = F.lit(stuck["first"]), F.lit(stuck["last"] + width)
-        during = F.col(at).between(F.timestamp_micros(since), F.timestamp_micros(until))
+        during = F.col(at).between(*[F.timestamp_micros(F.lit(stuck[end])) for end in ("first", "last")])
         arrivals = _arrivals(events.filter(during), keys, at, width)
         chains, stuck = _materialize(
             _resolve(arrivals, open_chains, keys, reach, width, broadcast=stuck["ids"] <= BROADCAST_IDS)
@@ -74,29 +80,41 @@ def horizon_dedup(
     )
 
 
-def _arrivals(events: DataFrame, keys: list[str], at: str, width: int) -> DataFrame:
+def _cell_of(at: Column, width: int | None) -> Column:
+    return F.lit(0).cast("bigint") if width is None else slice_start(at, width)
+
+
+def _arrivals(events: DataFrame, keys: list[str], at: str, width: int | None) -> DataFrame:
     arrivals = events.select(*keys, F.unix_micros(at).alias("_t"))
-    return arrivals.withColumn("_cell", slice_start(F.col("_t"), width))
+    return arrivals.withColumn("_cell", _cell_of(F.col("_t"), width))
 
 
 def _materialize(chains: DataFrame) -> tuple[DataFrame, dict[str, int]]:
-    """The chains written to the checkpoint folder, with number and time span of those that are stuck."""
+    """The chains written to the checkpoint folder, with number and time span of the stuck cells."""
     seen = Observation()
-    stuck = [F.count("_stuck").alias("ids"), F.min("_stuck").alias("first"), F.max("_stuck").alias("last")]
-    written = chains.observe(seen, *stuck).checkpoint()
+    written = chains.observe(
+        seen,
+        F.count("_stuck").alias("ids"),
+        F.min("_stuck").alias("first"),
+        F.max(F.get("_cells", F.lit(0))["hi"]).alias("last"),
+    ).checkpoint()
     return written, seen.get
 
 
-def _cells_per_id(arrivals: DataFrame, keys: list[str]) -> DataFrame:
-    cells = arrivals.groupBy(*keys, "_cell").agg(
+def _cells_per_id(arrivals: DataFrame, keys: list[str], one_cell: bool = False) -> DataFrame:
+    groups = keys if one_cell else [*keys, "_cell"]
+    base = F.lit(0) if one_cell else F.col("_cell")
+    cells = arrivals.groupBy(*groups).agg(
         F.min("_t").alias("lo"),
         F.max("_t").alias("hi"),
         F.count("*").alias("n"),
-        F.try_sum(F.col("_t") - F.col("_cell")).alias("_offsets"),
+        F.try_sum(F.col("_t") - base).alias("_offsets"),
     )
     # of three arrivals the middle one is what the sum leaves
-    middle = F.when(F.col("n") == 3, F.col("_offsets") + 3 * F.col("_cell") - F.col("lo") - F.col("hi"))
+    middle = F.when(F.col("n") == 3, F.col("_offsets") + 3 * base - F.col("lo") - F.col("hi"))
     cell = F.struct("lo", "hi", "n", middle.alias("mid"))
+    if one_cell:
+        return cells.select(*keys, F.array(cell).alias("_cells"))
     return cells.groupBy(*keys).agg(F.sort_array(F.collect_list(cell)).alias("_cells"))
 
 
@@ -142,7 +160,7 @@ def _walk(ids: DataFrame, reach: int) -> DataFrame:
 
 
 def _resolve(
-    arrivals: DataFrame, open_chains: DataFrame, keys: list[str], reach: int, width: int, broadcast: bool
+    arrivals: DataFrame, open_chains: DataFrame, keys: list[str], reach: int, width: int | None, broadcast: bool
 ) -> DataFrame:
     """Look up the first arrival past the expiry inside the stuck cell, then walk on.
 
@@ -151,7 +169,7 @@ def _resolve(
     wanted = open_chains.withColumns(
         {
             "_expiry": F.element_at("_kept", -1) + F.lit(reach),
-            "_cell": slice_start(F.col("_stuck"), width),
+            "_cell": _cell_of(F.col("_stuck"), width),
         }
     )
     lookups = wanted.select(*keys, "_cell", "_expiry")

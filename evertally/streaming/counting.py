@@ -60,13 +60,14 @@ def count_events(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.select(*EVENT_KEYS, "accepted_at")
-        earliest = batch.agg(F.min("accepted_at")).first()[0]
+        earliest, latest = batch.agg(F.min("accepted_at"), F.max("accepted_at")).first()
         if earliest is None:
             return
         # older entries cannot suppress anything; the bound prunes them in the scan
         reachable = F.col("counted_at") >= F.lit(earliest) - F.lit(horizon)
         seen = counted.read(before=batch_id).filter(reachable).select(*EVENT_KEYS, "counted_at")
-        counted.append(horizon_dedup(batch, horizon, already_counted=seen), batch_id)
+        fresh = horizon_dedup(batch, horizon, already_counted=seen, span=latest - earliest)
+        counted.append(fresh, batch_id)
 
     return _batches(events, write, checkpoint, "count-events")
 

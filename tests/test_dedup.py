@@ -82,6 +82,25 @@ def test_hot_id_with_a_third_of_all_rows(spark):
     assert run(spark, arrivals, 700, cells_per_horizon=3) == expected(arrivals, 700)
 
 
+@pytest.mark.parametrize("limit", [0, 50_000])
+def test_short_spans_need_one_cell_per_id(spark, monkeypatch, limit):
+    monkeypatch.setattr(dedup, "BROADCAST_IDS", limit)
+    horizon = 20
+    arrivals = [(i, (t * 7 + ord(i)) % 51) for i in "abcdef" for t in range(ord(i) % 7, 45)]
+    rows = lambda part: spark.createDataFrame([(i, 1, 0, at(t)) for i, t in part], ROW)
+    reach = timedelta(seconds=horizon)
+    counted = None
+    for start in range(0, 51, 10):
+        part = rows([a for a in arrivals if start <= a[1] < start + 10])
+        fresh = horizon_dedup(part, reach, already_counted=counted, span=timedelta(seconds=9))
+        counted = fresh if counted is None else counted.union(fresh)
+    kept = {}
+    for r in counted.collect():
+        second_of = int((r["counted_at"].astimezone(timezone.utc) - EPOCH).total_seconds())
+        kept.setdefault(r["event_id"], []).append(second_of)
+    assert {i: sorted(v) for i, v in kept.items()} == expected(arrivals, horizon)
+
+
 @pytest.mark.parametrize("cut", [1, 17, 30, 59])
 def test_continues_from_what_was_counted(spark, cut):
     arrivals = [(i, (t * 7 + ord(i)) % 61) for i in "abcd" for t in range(40)]

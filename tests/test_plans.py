@@ -63,6 +63,8 @@ def test_dedup_combines_before_the_shuffle_and_stays_on_the_hash_path(spark):
     text = plan(cells)
     assert "partial_min" in text and "SortAggregate" not in text
     assert shuffles(cells) == 2
+    events = _arrivals(mapping.view_events(spark, SMALL), list(EVENT_KEYS), "accepted_at", None)
+    assert shuffles(_cells_per_id(events, list(EVENT_KEYS), one_cell=True)) == 1
 
 
 @pytest.fixture
