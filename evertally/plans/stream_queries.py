@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,23 @@ def run(writer: DataStreamWriter) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def prepared(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+@contextmanager
+def state_stores(spark: SparkSession) -> Iterator[None]:
+    """RocksDB state, and no more state partitions than there are cores: their number is fixed when a
+    stateful query first runs, and adaptive execution does not merge them."""
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.shuffle.partitions": str(partitions),
+    }
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def replay(rows: DataFrame, at: str, path: str, build: Callable[[DataFrame], DataStreamWriter]) -> None:
@@ -42,7 +58,6 @@ def replay(rows: DataFrame, at: str, path: str, build: Callable[[DataFrame], Dat
 
 
 def counted_log(spark: SparkSession, sf: str, base: str) -> BatchLog:
-    prepared(spark)
     counted = BatchLog(spark, f"{base}/counted", counting.COUNTED)
 
     def count(rows: DataFrame) -> DataStreamWriter:
@@ -62,13 +77,13 @@ def stream_horizon_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def stream_horizon_dedup_stateful(spark: SparkSession, sf: str) -> DataFrame:
     """The low-latency form: one state value per event id."""
     base = fresh_folder(spark, "stream")
-    prepared(spark)
     log = BatchLog(spark, f"{base}/counted", counting.COUNTED)
 
     def count(rows: DataFrame) -> DataStreamWriter:
         return counting.count_events_stateful(m.view_events_of(rows), log, f"{base}/checkpoints/counted")
 
-    replay(m.events(spark, sf), "ts", f"{base}/events", count)
+    with state_stores(spark):
+        replay(m.events(spark, sf), "ts", f"{base}/events", count)
     return log.read().select("event_id", "video_id", "counter_shard_id", us("counted_at", "counted_us"))
 
 
@@ -80,8 +95,9 @@ def stream_video_totals(spark: SparkSession, sf: str) -> DataFrame:
     snapshots = BatchLog(spark, f"{base}/shards", counting.SHARD_SNAPSHOTS)
     totals = BatchLog(spark, f"{base}/totals", counting.TOTAL_SNAPSHOTS)
     table = Table(spark, f"{base}/counter", contracts.VIDEO_COUNTER)
-    run(counting.emit_shard_snapshots(counted.stream(), snapshots, f"{base}/checkpoints/shards"))
-    run(counting.emit_totals(snapshots.stream(), totals, table, f"{base}/checkpoints/totals"))
+    with state_stores(spark):
+        run(counting.emit_shard_snapshots(counted.stream(), snapshots, f"{base}/checkpoints/shards"))
+        run(counting.emit_totals(snapshots.stream(), totals, table, f"{base}/checkpoints/totals"))
     return table.read().select("video_id", "view_count", "version")
 
 
