@@ -31,6 +31,7 @@ PROJECTION_PREFIX = "video:"
 PROJECTION_SUFFIX = ":views"
 SOURCE_TABLE = "public.video_counter"
 REBUILD_SIGNAL = "execute-snapshot"
+REBUILD_REQUEST = {"type": "incremental", "data-collections": [SOURCE_TABLE]}
 REQUESTED_PREFIX = "requested:"
 ACCEPTED_STATUS = "ACCEPTED"
 CDC_OPERATIONS = ("c", "u", "r")

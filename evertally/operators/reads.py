@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from evertally import fixed_values as fixed
 from evertally.functions.identity import projection_key
+from evertally.settings import positive_count
 
 
 def lookup_counter(table: DataFrame, video_id: int) -> DataFrame:
-    """Point read; the equality reaches the scan."""
+    """Point read; the equality reaches the scan. The id is checked before anything is read."""
+    positive_count("video id", video_id)
     return table.filter(F.col("video_id") == video_id).select("video_id", "view_count", "version")
 
 
@@ -18,6 +20,7 @@ def lookup_projection(
     projection: DataFrame, video_id: int, prefix: str = fixed.PROJECTION_PREFIX
 ) -> DataFrame:
     """A cached counter's version is its count; a count that is no number is an absent counter."""
+    positive_count("video id", video_id)
     wanted = projection.filter(F.col("key") == projection_key(F.lit(video_id), prefix))
     number = F.col("count").try_cast("bigint")
     return wanted.select(number.alias("count"), number.alias("version")).filter("count is not null")

@@ -18,7 +18,7 @@ from evertally.functions import contracts
 from evertally.operators import counts, gate, ingest, split
 from evertally.operators.dedup import EVENT_KEYS, horizon_dedup
 from evertally.session import enable_checkpoints
-from evertally.settings import positive_count
+from evertally.settings import positive_count, positive_duration
 from evertally.sources.folders import BatchLog, Table
 from evertally.streaming.dedup import horizon_dedup_stream
 
@@ -126,6 +126,17 @@ def emit_totals(
     return _batches(stream, write, checkpoint, "video-totals").outputMode("update")
 
 
+def topic_records(snapshots: DataFrame, contract: contracts.Contract, topic: str) -> DataFrame:
+    """Snapshots as (topic, key, value) records, keyed by video, for any sink."""
+    return snapshots.select(F.lit(topic).alias("topic"), *contracts.snapshot_record(contract))
+
+
+def every_tick(writer: DataStreamWriter, interval: timedelta = fixed.SNAPSHOT_INTERVAL) -> DataStreamWriter:
+    """Run a query once per tick; each run emits the keys that changed since the last one."""
+    positive_duration("interval", interval)
+    return writer.trigger(processingTime=f"{interval // timedelta(milliseconds=1)} milliseconds")
+
+
 def persist_totals(records: DataFrame, table: Table, dead: BatchLog, checkpoint: str) -> DataStreamWriter:
     """Total records of a topic to the counter table; bad records are quarantined.
 

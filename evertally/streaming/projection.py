@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from evertally import fixed_values as fixed
+from evertally.functions.contracts import REBUILD_LEDGER
 from evertally.operators import cdc, gate
 from evertally.session import enable_checkpoints
 from evertally.sources.folders import Table
@@ -45,8 +46,8 @@ class Projection:
 
     def request(self, generation: str) -> bool:
         """Enter the rebuild in the ledger; false when it is already there."""
-        data = json.dumps({"type": "incremental", "data-collections": [fixed.SOURCE_TABLE]})
-        row = self.ledger.spark.createDataFrame([(generation, fixed.REBUILD_SIGNAL, data)], "id STRING, type STRING, data STRING")
+        entry = (generation, fixed.REBUILD_SIGNAL, json.dumps(fixed.REBUILD_REQUEST))
+        row = self.ledger.spark.createDataFrame([entry], REBUILD_LEDGER)
         known = self.ledger.read()
         if gate.absent_rows(known, row).isEmpty():
             return False

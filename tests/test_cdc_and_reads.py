@@ -92,6 +92,9 @@ def test_point_lookups(spark):
     assert [tuple(r) for r in reads.lookup_projection(stored, 1).collect()] == [(42, 42)]
     assert reads.lookup_projection(stored, 2).isEmpty()
     assert reads.lookup_projection(stored, 1, prefix="other:").isEmpty()
+    for lookup, source in ((reads.lookup_counter, table), (reads.lookup_projection, stored)):
+        with pytest.raises(ValueError):
+            lookup(source, 0)
 
 
 def test_empty_projection_reads_the_table(spark):

@@ -285,6 +285,34 @@ def test_table_versions_apply_once(spark, folder):
     assert table.versions() == [3, 4]
 
 
+def test_ticks_emit_changed_keys_until_stopped(spark, folder):
+    job = Counting(spark, folder)
+    job.events.append(spark.createDataFrame([("A", 123, 0, NOW), ("B", 123, 1, NOW)], EVENT), 0)
+    counted = counting.count_events(job.events.stream(), job.counted, job.checkpoint("counted"))
+    query = counting.every_tick(counted, timedelta(milliseconds=200)).start()
+    try:
+        query.processAllAvailable()
+        job.events.append(spark.createDataFrame([("A", 123, 0, NOW), ("C", 123, 1, NOW)], EVENT), 1)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(r["event_id"] for r in job.counted.read().collect()) == ["A", "B", "C"]
+    with pytest.raises(ValueError):
+        counting.every_tick(counted, timedelta(0))
+
+
+def test_emitted_totals_are_read_back_from_their_topic(spark, folder):
+    snapshots = counts.as_snapshot(spark.createDataFrame([(1, 5), (2, 7)], "video_id BIGINT, view_count BIGINT"), "view_count")
+    sent = counting.topic_records(snapshots, contracts.TOTAL_SNAPSHOT, "video-total-snapshots")
+    raw = sent.selectExpr("topic", "0 AS partition", "0L AS offset", "key", "value", "current_timestamp() AS arrival")
+    raw.write.parquet(f"{folder}/records")
+    table = Table(spark, f"{folder}/table", contracts.VIDEO_COUNTER)
+    dead = BatchLog(spark, f"{folder}/dead", contracts.RAW_RECORD + ", reason STRING")
+    run(counting.persist_totals(topics.file_records(spark, f"{folder}/records"), table, dead, f"{folder}/checkpoint"))
+    assert {r["video_id"]: r["view_count"] for r in table.read().collect()} == {1: 5, 2: 7}
+    assert dead.read().isEmpty()
+
+
 def test_kafka_options():
     options = topics.kafka_options("broker:9092", "video-total-snapshots", 50)
     assert options["startingOffsets"] == "earliest"
