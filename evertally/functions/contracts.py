@@ -165,8 +165,9 @@ def decode(records: DataFrame, contract: Contract) -> DataFrame:
         .withColumn("_plain", F.from_json("_text", schema))
         .withColumn("_complete", holds(complete))
         .withColumn("_json", F.try_parse_json(F.when(~F.col("_complete"), F.col("_text"))))
-        .withColumns({f"_{field}": F.try_variant_get("_json", f"$.{field}", "string") for field, _, _ in contract.fields})
     )
+    texts = {f"_{field}": F.try_variant_get("_json", f"$.{field}", "string") for field, _, _ in contract.fields}
+    parsed = parsed.withColumns(texts)
 
     columns, readable = [], F.col("_json").isNotNull()
     for field, name, kind in contract.fields:

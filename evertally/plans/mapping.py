@@ -21,9 +21,12 @@ LARGE_VERSION = 9007199254740993  # fixed value: first integer past 2^53 that a
 MIDPOINT = "2024-01-16 00:00:00"
 
 
+EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
 def every(n: int, remainder: int = 0) -> Column:
@@ -31,8 +34,7 @@ def every(n: int, remainder: int = 0) -> Column:
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = events(spark, sf_dir).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +222,8 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change envelopes of the totals, bare or wrapped, some of them unusable."""
     feed = total_feed(spark, sf_dir).withColumn("version", F.col("version") + F.lit(LARGE_VERSION))
     offset = F.col("offset")
-    op = F.when(offset % 83 == 0, "d").otherwise(F.element_at(F.array(*map(F.lit, "cur")), (offset % 3 + 1).cast("int")))
+    usable = F.substring(F.lit("cur"), (offset % 3 + 1).cast("int"), F.lit(1))
+    op = F.when(offset % 83 == 0, "d").otherwise(usable)
     json = cdc.envelope(op, offset % 2 == 0)
     value = (
         F.when(offset % 79 == 0, F.regexp_replace(json, r'"version":\d+', '"version":1.5'))

@@ -35,9 +35,8 @@ def us(name: str, alias: str) -> Column:
 
 @query
 def request_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return m.requests(spark, sf).select(
-        "source_id", "video_id", "email", "idempotency_key", us("occurred_at", "occurred_us"), us("accepted_at", "accepted_us")
-    )
+    times = us("occurred_at", "occurred_us"), us("accepted_at", "accepted_us")
+    return m.requests(spark, sf).select("source_id", "video_id", "email", "idempotency_key", *times)
 
 
 @query

@@ -15,7 +15,6 @@ from evertally.plans.queries import query, us
 from evertally.session import ROCKSDB, fresh_folder
 from evertally.sources.folders import BatchLog, Table
 from evertally.streaming import counting, projection
-from evertally.streaming.dedup import horizon_dedup_stream
 
 # Arrival dates at which the replay is cut; the first and last parts are open-ended
 CUTS = ("2024-01-09", "2024-01-17", "2024-01-25")
