@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evertally import fixed_values as fixed
@@ -91,14 +91,13 @@ def _arrivals(events: DataFrame, keys: list[str], at: str, width: int | None) ->
 
 def _materialize(chains: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     """The chains written to the checkpoint folder, with number and time span of the stuck cells."""
-    seen = Observation()
-    written = chains.observe(
-        seen,
+    written = chains.checkpoint()
+    stuck = written.agg(
         F.count("_stuck").alias("ids"),
         F.min("_stuck").alias("first"),
         F.max(F.get("_cells", F.lit(0))["hi"]).alias("last"),
-    ).checkpoint()
-    return written, seen.get
+    )
+    return written, stuck.first().asDict()
 
 
 def _cells_per_id(arrivals: DataFrame, keys: list[str], one_cell: bool = False) -> DataFrame:
