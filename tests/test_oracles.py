@@ -23,10 +23,10 @@ def normalized(columns, rows):
 
 
 def test_every_query_has_an_oracle():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(registered.QUERIES) == set(registered.ORACLES)
 
 
-@pytest.mark.parametrize("name", list(registered.queries()))
+@pytest.mark.parametrize("name", list(registered.QUERIES))
 def test_query_equals_oracle(spark, oracle, name):
     frame = registered.queries()[name](spark, SMALL)
     found = normalized(frame.columns, [tuple(r) for r in frame.collect()])
