@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evertally.llm import decontamination
+from evertally.llm import decontamination, mixing, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,63 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op2_weighted_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf, "documents"))
+
+
+ORACLES["op2_weighted_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), text, '')) AS place,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+  FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         list_element([5.0, 2.0, 1.0]::DOUBLE[],
+                      CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1) AS weight
+  FROM sized GROUP BY source
+), levels AS (
+  SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget, (2 * source_size)::DOUBLE AS most,
+         sum((2 * source_size)::DOUBLE) OVER (ORDER BY 2 * source_size / weight, source NULLS LAST
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spent,
+         sum(weight) OVER (ORDER BY 2 * source_size / weight, source NULLS LAST
+             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM sources
+), stopped AS (
+  SELECT *, most * rest <= weight * (budget - coalesce(spent, 0)) AS stops FROM levels
+), targets AS (
+  SELECT source, source_size, budget,
+         CASE WHEN stops THEN most ELSE weight
+              * (budget - sum(CASE WHEN stops THEN most ELSE 0 END) OVER ())
+              / sum(CASE WHEN stops THEN 0 ELSE weight END) OVER () END AS target
+  FROM stopped
+), queued AS (
+  SELECT s.*, t.source_size, t.target, t.budget,
+         sum(size) OVER (PARTITION BY s.source ORDER BY place, size
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS words
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), copies AS (
+  SELECT *, CAST(words + n * source_size AS DOUBLE) / target AS finish
+  FROM queued, (VALUES (0), (1)) AS repeats(n) WHERE size > 0
+), running AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, place) AS total FROM copies
+), takes AS (
+  SELECT doc_id, source, place, size, words, sum(CASE WHEN total <= budget THEN size ELSE 0 END) AS taken
+  FROM running GROUP BY ALL
+)
+SELECT q.doc_id, q.source, CAST(q.size AS BIGINT) AS size, q.source_size, q.target,
+       CAST(coalesce(k.taken, 0) AS BIGINT) AS taken
+FROM queued q LEFT JOIN takes k
+  ON q.doc_id IS NOT DISTINCT FROM k.doc_id AND q.source IS NOT DISTINCT FROM k.source
+ AND q.place = k.place AND q.size = k.size AND q.words = k.words
+"""
+
+
+@query
+def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf, "documents")).select("doc_id", "slot", "shard")
+
+
 @query
 def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.benchmark_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
