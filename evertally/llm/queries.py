@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evertally.llm import decontamination, mixing, near_dedup, sharding
+from evertally.llm import decontamination, mixing, near_dedup, sharding, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,6 +79,11 @@ def op5_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf, "documents"), shingle_words=3, percent=85)
 
 
+@query
+def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.repeat_report(table(spark, sf, "documents"))
+
+
 @query
 def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.sharded(table(spark, sf, "documents")).select("doc_id", "slot", "shard")
