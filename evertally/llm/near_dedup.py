@@ -3,12 +3,13 @@
 1. Every document becomes its set of hashed word shingles. Equal sets are one class from here on, and the k
    smallest hashes of a class are its sketch.
 2. Inverted lists of the sketched values generate candidates. Of two sets at the threshold, the sketches share at
-   least a certain number of values (beyond six standard deviations), so it suffices to list a class under its
+   least a certain number of values (beyond five standard deviations), so it suffices to list a class under its
    rarest values, as many as the sketch has beyond that number. Values of one class only are not listed.
-3. In every list the first classes are hubs and are paired with all later ones; classes that are linked by then need
-   no more comparison. Lists that still hold more than one component go into the next round with four times as many
-   hubs, until nothing is left: a group of copies costs one pair per member, and no pair is left out.
-4. Pairs are filtered by the estimate from the sketch of their union, then verified on the full sets.
+3. In every list the first class is a hub and is paired with all later ones; classes that are linked by then need no more
+   comparison. Lists that still hold several components get eight hubs more. So a group of copies costs a few pairs per
+   member. What is left then, lists of classes alike but mostly not linked, is cut into blocks of bounded size; any
+   two blocks of a list meet in one task, which compares the full sets and returns links between components only.
+4. Pairs with hubs are filtered by the estimate from the sketch of their union, then verified on the full sets.
 5. Links become components in Spark joins.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; a text with
@@ -23,7 +24,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,25 +34,30 @@ from evertally.llm.tables import fresh_name, small_side, written
 
 SKETCH = 64
 #: Standard deviations by which shared sketch values may fall short of their mean.
-MARGIN = 6.0
+MARGIN = 5.0
+#: Hubs per list in each round, and what a block of the lists that are left holds at most, about.
+HUBS = (1, 8)
+BLOCK_SHINGLES, BLOCK_MEMBERS = 300_000, 1500
 SHINGLE_WORDS = 5
 PERCENT = 80
 
 
-def shingle_sets(texts: pa.Array, length: int) -> Iterator[np.ndarray]:
-    """For each row, its distinct shingle hashes in ascending order (non-negative 63-bit integers)."""
-    for _, part in w.words_by_slice(texts, w.NOT_SPACE, w.ASCII_LOWER):
+def shingle_sets(texts: pa.Array, length: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, sets) a slice at a time: distinct shingle hashes in ascending order (non-negative 63-bit integers)."""
+    for base, part in w.words_by_slice(texts, w.NOT_SPACE, w.ASCII_LOWER):
         at = part.windows(length)
         hashes = (part.window_hashes(at, length) >> w.U64(1)).astype(np.int64)
         bounds = np.searchsorted(at, part.first)
+        sets = []
         for row, count in enumerate(part.counts().tolist()):
             if count >= length:
-                yield np.unique(hashes[bounds[row] : bounds[row + 1]])
+                sets.append(np.unique(hashes[bounds[row] : bounds[row + 1]]))
             elif count:
                 whole = part.window_hashes(part.first[row : row + 1], count)
-                yield (whole >> w.U64(1)).astype(np.int64)
+                sets.append((whole >> w.U64(1)).astype(np.int64))
             else:
-                yield np.empty(0, dtype=np.int64)
+                sets.append(np.empty(0, dtype=np.int64))
+        yield base, sets
 
 
 def set_key(shingles: np.ndarray) -> bytes:
@@ -78,61 +84,89 @@ def least_shared(size: int, percent: int, k: int) -> int:
 
 def _signatures(batches: Iterator[pa.RecordBatch], text: str, keep: list[str], length: int, percent: int, k: int):
     for batch in batches:
-        sizes, keys, sketches, listed = [], [], [], []
-        for shingles in shingle_sets(batch.column(text), length):
-            sizes.append(len(shingles))
-            keys.append(set_key(shingles) if len(shingles) else None)
-            sketches.append(shingles[:k])
-            listed.append(min(len(shingles), k) - least_shared(len(shingles), percent, k) + 1 if len(shingles) else 0)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in keep]
-            + [
-                pa.array(sizes, type=pa.int64()), pa.array(keys, type=pa.binary()),
-                pa.array(sketches, type=pa.list_(pa.int64())), pa.array(listed, type=pa.int32()),
-            ],
-            names=[*keep, "n_shingles", "cls", "sketch", "listed"],
-        )
+        for base, sets in shingle_sets(batch.column(text), length):
+            listed = [min(len(s), k) - least_shared(len(s), percent, k) + 1 if len(s) else 0 for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).slice(base, len(sets)) for c in keep]
+                + [
+                    pa.array([len(s) for s in sets], type=pa.int64()),
+                    pa.array([set_key(s) if len(s) else None for s in sets], type=pa.binary()),
+                    pa.array([s[:k] for s in sets], type=pa.list_(pa.int64())),
+                    pa.array(listed, type=pa.int32()),
+                ],
+                names=[*keep, "n_shingles", "cls", "sketch", "listed"],
+            )
 
 
-def _likely(batches: Iterator[pa.RecordBatch], percent: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose union sketch doesn't rule the threshold out."""
+def likely(percent: int, k: int) -> Column:
+    """Whether the sketch of the union of a pair leaves the threshold possible; exact if both sets are sketched whole."""
     t = percent / 100
-    for batch in batches:
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("sketch_a", "sketch_b", "n_a", "n_b")]
-        fits = np.zeros(batch.num_rows, dtype=bool)
-        for row, (a, b, n_a, n_b) in enumerate(zip(*columns, strict=True)):
-            merged = np.sort(np.concatenate((a, b)))
-            twice = merged[1:] == merged[:-1]
-            distinct = np.ones(len(merged), dtype=bool)
-            distinct[1:] = ~twice
-            if n_a <= k and n_b <= k:  # the whole sets
-                fits[row] = 100 * twice.sum() >= percent * distinct.sum()
-                continue
-            last = np.searchsorted(np.cumsum(distinct), k, side="right")  # the k smallest of the union end here
-            used = min(k, int(distinct.sum()))
-            fits[row] = twice[: last - 1].sum() >= t * used - MARGIN * (used * t * (1 - t)) ** 0.5
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(fits))
+    union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
+    whole = F.greatest("n_a", "n_b") <= k
+    used = F.when(whole, F.size(F.array_union("sketch_a", "sketch_b"))).otherwise(F.size(union))
+    both = F.array_intersect("sketch_a", "sketch_b")
+    shared = F.when(whole, F.size(both)).otherwise(F.size(F.array_intersect(both, union)))
+    return F.when(whole, 100 * shared >= percent * used).otherwise(
+        shared >= t * used - MARGIN * F.sqrt(used * (t * (1 - t)))
+    )
 
 
-def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("set_a", "set_b"))
-        fits = np.zeros(batch.num_rows, dtype=bool)
-        for row in range(batch.num_rows):
-            shared = w.member(a[row], b[row])[0].sum()
-            fits[row] = 100 * shared >= percent * (len(a[row]) + len(b[row]) - shared)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(fits))
+def linked(percent: int) -> Column:
+    """Whether a pair of sets reaches the threshold."""
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return 100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], text: str, length: int) -> Iterator[pa.RecordBatch]:
     """Sets of the rows that still are what their class says."""
     for batch in batches:
-        sets = list(shingle_sets(batch.column(text), length))
-        keys = [set_key(s) if len(s) else None for s in sets]
-        rows = pa.RecordBatch.from_arrays(
-            [pa.array(keys, type=pa.binary()), pa.array(sets, type=pa.list_(pa.int64()))], names=["cls", "shingles"]
-        )
-        yield rows.filter(pa.array([k == c for k, c in zip(keys, batch.column("wanted").to_pylist(), strict=True)], type=pa.bool_()))
+        wanted = batch.column("wanted")
+        for base, sets in shingle_sets(batch.column(text), length):
+            keys = [set_key(s) if len(s) else None for s in sets]
+            same = [a == b.as_py() for a, b in zip(keys, wanted.slice(base, len(sets)), strict=True)]
+            rows = [pa.array(keys, type=pa.binary()), pa.array(sets, type=pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(rows, names=["cls", "shingles"]).filter(pa.array(same, type=pa.bool_()))
+
+
+def _links_across(block: pa.Table, percent: int) -> pa.Table:
+    """Links between components among the sets of one or two blocks, no more than join what they join."""
+    sets = [np.asarray(s) for s in block.column("shingles").combine_chunks().to_numpy(zero_copy_only=False)]
+    keys, labels = block.column("cls").to_pylist(), block.column("label").to_pylist()
+    home = block.column("block").to_numpy()
+    two = block.column("i")[0] != block.column("j")[0]
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, value, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = count > 1
+    owner, value = owner[several[value]], (np.cumsum(several) - 1)[value[several[value]]]
+    by_value = np.argsort(value, kind="stable")
+    owner, value = owner[by_value], value[by_value]
+    shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for first in range(0, int(several.sum()), 2048):
+        a, b = np.searchsorted(value, (first, first + 2048))
+        holds = np.zeros((len(sets), 2048), dtype=np.float32)
+        holds[owner[a:b], value[a:b] - first] = 1
+        shared += holds @ holds.T
+    links: list[tuple[bytes, bytes]] = []
+    root: dict[bytes, bytes] = {}
+
+    def find(label: bytes) -> bytes:
+        while (above := root.get(label, label)) != label:
+            label = above
+        return label
+
+    for row in range(len(sets)):
+        close = 100 * shared[row] >= percent * (size + size[row] - shared[row])
+        for other in np.flatnonzero(close[:row]).tolist():
+            if two and home[row] == home[other]:
+                continue
+            a, b = find(labels[row]), find(labels[other])
+            if a != b:
+                root[a] = b
+                links.append((keys[row], keys[other]))
+    return pa.table(
+        [pa.array([a for a, _ in links], type=pa.binary()), pa.array([b for _, b in links], type=pa.binary())], names=["a", "b"]
+    )
 
 
 class NearDuplicates:
@@ -158,9 +192,10 @@ class NearDuplicates:
         return rows.mapInArrow(sign, schema)
 
     def _lists(self) -> DataFrame:
-        """(value, cls, n_shingles): each class under its rarest shared values."""
+        """(value, turn, n_shingles): each class under its rarest shared values; turn ends in the class."""
         postings = self.classes.select(
-            "cls", "n_shingles", (F.col("listed") - F.size("sketch")).alias("slack"), F.explode("sketch").alias("value")
+            "cls", "n_shingles", (F.col("listed") - F.size("sketch")).alias("slack"), F.size("sketch").alias("n_sketch"),
+            F.explode("sketch").alias("value"),
         )
         shared = postings.groupBy("value").agg(F.count("*").alias("n_classes")).filter("n_classes > 1")
         shared = postings.join(shared, "value")
@@ -168,49 +203,43 @@ class NearDuplicates:
         # values of one class only are the rarest and need no list
         shared = shared.withColumn("rank", F.row_number().over(of_class.orderBy("n_classes", "value")))
         shared = shared.withColumn("n_shared", F.count("*").over(of_class))
-        return shared.filter("rank <= slack + n_shared").select("value", "cls", "n_shingles")
+        # what many others resemble comes first: it is the better hub
+        turn = F.struct((-F.sum("n_classes").over(of_class) / F.col("n_sketch")).alias("fame"), F.col("cls"))
+        return shared.withColumn("turn", turn).filter("rank <= slack + n_shared").select("value", "turn", "n_shingles")
 
     def _links(self) -> DataFrame:
-        lists = written(self._lists(), "lists")
-        links, linked, hubs = None, None, 1
-        while True:
-            lists, found = self._round(lists, hubs, linked)
-            if found is not None:
-                links = found if links is None else written(links.union(found).distinct(), "links")
-            if lists is None:
-                break
-            linked = components(links) if links is not None else None
-            hubs *= 4
-        return links if links is not None else self._no_links()
+        lists, links = written(self._lists(), "lists"), self._no_links()
+        for hubs in HUBS:
+            lists, found = self._round(self._unsettled(lists, links), hubs)
+            links = written(links.union(found).distinct(), "links")
+        return written(links.union(self._in_blocks(self._unsettled(lists, links))), "links")
 
     def _no_links(self) -> DataFrame:
         return self.docs.sparkSession.createDataFrame([], "a BINARY, b BINARY")
 
-    def _round(self, lists: DataFrame, hubs: int, linked: DataFrame | None):
-        """(what is left of the lists, new links) after pairing each list's first classes with all later ones."""
-        if linked is None:
-            lists = lists.withColumn("label", F.col("cls"))
-        else:
-            lists = lists.join(linked, F.col("cls") == F.col("node"), "left")
-            lists = lists.select("value", "cls", "n_shingles", F.coalesce("label", "cls").alias("label"))
+    def _unsettled(self, lists: DataFrame, links: DataFrame) -> DataFrame:
+        """The lists that hold several components, with the label of each class."""
+        lists = lists.join(components(links), F.col("turn.cls") == F.col("node"), "left")
+        lists = lists.select("value", "turn", "n_shingles", F.coalesce("label", "turn.cls").alias("label"))
         several = lists.groupBy("value").agg(F.min("label").alias("least"), F.max("label").alias("most"))
         several = several.filter("least != most").select("value")
-        lists = written(lists.join(several, "value", "left_semi"), "lists")
-        if lists.isEmpty():
-            return None, None
-        first = Window.partitionBy("value").orderBy("cls")
+        return written(lists.join(several, "value", "left_semi"), "lists")
+
+    def _round(self, lists: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
+        """(what is left of the lists, links) after pairing each list's first classes with all later ones."""
+        first = Window.partitionBy("value").orderBy("turn")
         chosen = lists.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= hubs)
         chosen = written(chosen, "hubs")
-        hub = chosen.select("value", F.col("cls").alias("a"), F.col("n_shingles").alias("n"), F.col("label").alias("of"))
+        hub = chosen.select("value", F.col("turn").alias("hub"), F.col("n_shingles").alias("n"), F.col("label").alias("of"))
         pairs = lists.join(hub, "value").filter(
-            (F.col("cls") > F.col("a"))
+            (F.col("turn") > F.col("hub"))
             & (F.col("label") != F.col("of"))
             & (100 * F.least("n", "n_shingles") >= self.percent * F.greatest("n", "n_shingles"))
         )
-        pairs = pairs.select("a", F.col("cls").alias("b")).distinct()
+        pairs = pairs.select(F.col("hub.cls").alias("a"), F.col("turn.cls").alias("b")).distinct()
         links = self._verified(pairs)
-        last = chosen.groupBy("value").agg(F.max("cls").alias("last"))
-        rest = lists.join(last, "value").filter(F.col("cls") > F.col("last")).select("value", "cls", "n_shingles")
+        last = chosen.groupBy("value").agg(F.max("turn").alias("last"))
+        rest = lists.join(last, "value").filter(F.col("turn") > F.col("last")).select("value", "turn", "n_shingles")
         return rest, links
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
@@ -219,18 +248,38 @@ class NearDuplicates:
                 F.col("cls").alias(side), F.col("sketch").alias(f"sketch_{side}"), F.col("n_shingles").alias(f"n_{side}")
             )
             pairs = pairs.join(figures, side)
-        pairs = written(pairs.mapInArrow(partial(_likely, percent=self.percent, k=self.k), "a binary, b binary"), "pairs")
-        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        wanted = self.classes.join(wanted, "cls", "left_semi").select(F.col("rep"), F.col("cls").alias("wanted"))
-        wanted = written(wanted, "wanted")
-        texts = self.narrow.join(
-            small_side(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("rep"))
-        ).select("text", "wanted")
-        sets = texts.mapInArrow(partial(_sets, text="text", length=self.length), "cls binary, shingles array<bigint>")
-        sets = written(sets.dropDuplicates(["cls"]), "sets")
+        pairs = written(pairs.filter(likely(self.percent, self.k)).select("a", "b"), "pairs")
+        sets = self._sets(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))))
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("cls").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-        return written(pairs.mapInArrow(partial(_linked, percent=self.percent), "a binary, b binary"), "links")
+        return written(pairs.filter(linked(self.percent)).select("a", "b"), "links")
+
+    def _sets(self, wanted: DataFrame) -> DataFrame:
+        """(cls, shingles) of the wanted classes, from the text of one of their documents."""
+        wanted = self.classes.join(wanted.distinct(), "cls", "left_semi").select("rep", F.col("cls").alias("wanted"))
+        wanted = written(wanted, "wanted")
+        texts = self.narrow.join(small_side(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("rep")))
+        sets = texts.select("text", "wanted").mapInArrow(
+            partial(_sets, text="text", length=self.length), "cls binary, shingles array<bigint>"
+        )
+        return written(sets.dropDuplicates(["cls"]), "sets")
+
+    def _in_blocks(self, lists: DataFrame) -> DataFrame:
+        """Links across components within the lists, each cut into blocks of which any two meet in one task."""
+        sizes = lists.groupBy("value").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("members"))
+        n_blocks = F.ceil(F.greatest(F.col("total") / BLOCK_SHINGLES, F.col("members") / BLOCK_MEMBERS)).cast("int")
+        rows = lists.join(sizes.select("value", n_blocks.alias("n_blocks")), "value")
+        rows = rows.withColumn("block", F.pmod(F.hash("turn.cls"), "n_blocks"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        rows = rows.select(
+            "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
+            F.col("turn.cls").alias("cls"), "label",
+        )
+        rows = rows.join(self._sets(lists.select("turn.cls")), "cls")
+        percent = self.percent
+        return rows.groupBy("value", "i", "j").applyInArrow(
+            lambda block: _links_across(block, percent), "a binary, b binary"
+        ).distinct()
 
     def groups(self) -> DataFrame:
         """(cls, component_id, keeper) of every class that is linked or has several rows."""

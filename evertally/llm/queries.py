@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evertally.llm import decontamination, mixing, near_dedup, sharding, substring_dedup
+from evertally.llm import decontamination, mixing, near_dedup, sharding, substring_dedup, toxicity
+from evertally.llm.tables import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,6 +76,15 @@ FROM queued q LEFT JOIN takes k
 """
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    network = toxicity.trained(docs, table(spark, sf, "labels"))
+    rows, score = toxicity.scored(docs, network, ["doc_id"])
+    predicted = (F.col(score) >= toxicity.THRESHOLD).cast("int")
+    return rows.select("doc_id", held_out().alias("held_out"), F.col(score).alias("score"), predicted.alias("predicted"))
+
+
 @query
 def op5_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf, "documents"), shingle_words=3, percent=85)
