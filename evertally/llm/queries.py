@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evertally.llm import decontamination, mixing, near_dedup, sharding, substring_dedup, toxicity
+from evertally.llm import decontamination, language_id, mixing, near_dedup, sharding, substring_dedup, toxicity
 from evertally.llm.tables import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = language_id.identified(docs, language_id.learned(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
 @query
 def op2_weighted_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf, "documents"))
