@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evertally.llm import decontamination, language_id, mixing, near_dedup, sharding, substring_dedup, toxicity
+from evertally.llm import decontamination, language_id, mixing, near_dedup, sharding, substring_dedup, toxicity, warc
 from evertally.llm.tables import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,11 @@ def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.sharded(table(spark, sf, "documents")).select("doc_id", "slot", "shard")
 
 
+@query
+def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archive_report(table(spark, sf, "pages"))
+
+
 @query
 def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.benchmark_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

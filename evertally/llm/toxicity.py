@@ -31,7 +31,7 @@ from evertally.llm.tables import fresh_name, in_training_part
 
 WINDOW, STRIDE = 32, 16
 BUCKET_BITS = 17
-GROUP_BYTES = 5
+GROUP_BYTES = (5, 8)
 VECTOR, STATE, ATTENTION = 4, 8, 8
 THRESHOLD = 0.3
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
@@ -57,19 +57,26 @@ class Vocabulary:
     def of(cls, part: w.Words) -> Vocabulary:
         hashes, at, inverse = np.unique(part.hashes, return_index=True, return_inverse=True)
         starts, ends = part.starts[at], part.ends[at]
-        counts = np.maximum(1, ends - starts + 2 - GROUP_BYTES)  # with a mark in front of the word
-        begin = np.cumsum(counts) - counts
-        offset = np.arange(counts.sum()) - np.repeat(begin, counts) - 1
-        first, last = np.repeat(starts, counts), np.repeat(ends, counts)
-        data = np.concatenate((w.ASCII_LOWER[part.data], np.zeros(GROUP_BYTES, dtype=np.uint8)))
-        code = np.zeros(len(offset), dtype=w.U64)
-        for k in range(GROUP_BYTES):
-            position = first + offset + k
-            byte = np.where(position < last, data[np.maximum(position, 0)], 0)
-            byte = np.where(position < first, 0x5E, byte).astype(w.U64)
-            code = (code << w.U64(8)) | byte
+        data = np.concatenate((w.ASCII_LOWER[part.data], np.zeros(max(GROUP_BYTES), dtype=np.uint8)))
         shift = w.U64(64 - BUCKET_BITS)
-        return cls(inverse, (hashes >> shift).astype(np.int64), (w.mixed(code) >> shift).astype(np.int64), begin)
+        owners, codes = [], []
+        for length in GROUP_BYTES:
+            counts = np.maximum(1, ends - starts + 2 - length)  # with a mark in front of the word
+            owner = np.repeat(np.arange(len(at)), counts)
+            offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) - 1
+            first, last = starts[owner], ends[owner]
+            code = np.full(len(owner), length, dtype=w.U64)
+            for k in range(length):
+                position = first + offset + k
+                byte = np.where(position < last, data[np.maximum(position, 0)], 0)
+                byte = np.where(position < first, 0x5E, byte).astype(w.U64)
+                code = (code << w.U64(8)) + byte
+            owners.append(owner)
+            codes.append(w.mixed(code) >> shift)
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        group = np.concatenate(codes)[order].astype(np.int64)
+        return cls(inverse, (hashes >> shift).astype(np.int64), group, np.searchsorted(owner[order], np.arange(len(at))))
 
 
 def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,9 +175,10 @@ class Network:
         return g, d_vectors
 
     def _back(self, side: str, steps: list, d_states, vectors, index, mask, g: Gradients) -> np.ndarray:
+        """Gradients of one layer; every row of `vectors` is in `index`."""
         u = self.p[f"u{side}"]
         d_u, d_h = np.zeros_like(u), np.zeros_like(d_states[0])
-        d_projected = np.zeros((len(vectors), 3 * STATE), dtype=np.float32)
+        d_inputs = np.empty((*index.shape, 3 * STATE), dtype=u.dtype)
         for t, before, keep, reset, new in reversed(steps):
             d_out = d_h + d_states[t]
             live = mask[t][:, None]
@@ -182,7 +190,10 @@ class Network:
             d_u[:, : 2 * STATE] += before.T @ d_gates
             d_u[:, 2 * STATE :] += (reset * before).T @ d_new
             d_h = np.where(live, d_out * keep, d_out) + through * reset + d_gates @ u[:, : 2 * STATE].T
-            np.add.at(d_projected, index[t], np.concatenate((d_gates, d_new), axis=1))
+            d_inputs[t, :, : 2 * STATE], d_inputs[t, :, 2 * STATE :] = d_gates, d_new
+        order = np.argsort(index, axis=None, kind="stable")
+        begin = np.searchsorted(index.ravel()[order], np.arange(len(vectors)))
+        d_projected = np.add.reduceat(d_inputs.reshape(-1, 3 * STATE)[order], begin, axis=0)
         g[f"u{side}"], g[f"c{side}"] = d_u, d_projected.sum(axis=0)
         g[f"x{side}"] = vectors.T @ d_projected
         return d_projected @ self.p[f"x{side}"].T
