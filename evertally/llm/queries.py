@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evertally.llm import decontamination, language_id, mixing, near_dedup, sharding, substring_dedup, toxicity, warc
+from evertally.llm import ann, chat_preferences, decontamination, language_id, mixing, near_dedup, sharding, substring_dedup, toxicity, warc
 from evertally.llm.tables import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,51 @@ FROM queued q LEFT JOIN takes k
 """
 
 
+@query
+def op3_preference_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    return chat_preferences.preferences(*chat_preferences.with_foreign_replies(table(spark, sf, "conversations")))
+
+
+ORACLES["op3_preference_formatting"] = r"""
+WITH turns AS (
+  SELECT conv_id AS pair_id, turn, role, coalesce(text, '') AS text FROM conversations
+), last AS (
+  SELECT pair_id, turn AS place, text AS reply FROM turns WHERE role = 'assistant'
+  QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC, text DESC) = 1
+), rejected AS (
+  SELECT t.pair_id, t.turn, t.role, CASE WHEN t.turn = l.place AND t.role = 'assistant' THEN n.reply ELSE t.text END AS text
+  FROM turns t LEFT JOIN last l ON t.pair_id = l.pair_id LEFT JOIN last n ON n.pair_id = t.pair_id + 1
+  WHERE NOT coalesce(t.turn = l.place AND t.role = 'assistant', false) OR n.reply IS NOT NULL
+), sides AS (
+  SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.turn, b.turn) AS turn,
+         a.role AS role_a, a.text AS text_a, b.role AS role_b, b.text AS text_b
+  FROM turns a FULL JOIN rejected b ON a.pair_id = b.pair_id AND a.turn = b.turn
+), parting AS (
+  SELECT pair_id, min(turn) FILTER (role_a IS DISTINCT FROM role_b OR text_a IS DISTINCT FROM text_b) AS first
+  FROM sides GROUP BY pair_id
+), rendered AS (
+  SELECT s.pair_id, turn, coalesce(turn < first, true) AS common, role_a, role_b,
+         '<|im_start|>' || role_a || chr(10) || replace(text_a, '<|', '<') || '<|im_end|>' || chr(10) AS a,
+         '<|im_start|>' || role_b || chr(10) || replace(text_b, '<|', '<') || '<|im_end|>' || chr(10) AS b,
+         length('<|im_start|>' || role_a) + 1 AS head_a, length('<|im_start|>' || role_b) + 1 AS head_b
+  FROM sides s JOIN parting p ON s.pair_id = p.pair_id
+), placed AS (
+  SELECT *, sum(CASE WHEN common THEN 0 ELSE length(a) END) OVER w AS end_a,
+            sum(CASE WHEN common THEN 0 ELSE length(b) END) OVER w AS end_b
+  FROM rendered WINDOW w AS (PARTITION BY pair_id ORDER BY turn)
+)
+SELECT pair_id, count(*) FILTER (common) AS n_prompt_turns,
+       coalesce(string_agg(a, '' ORDER BY turn) FILTER (common), '') AS prompt,
+       coalesce(string_agg(a, '' ORDER BY turn) FILTER (NOT common AND a IS NOT NULL), '') AS chosen,
+       coalesce(string_agg((end_a - length(a) + head_a)::VARCHAR || ':' || (end_a - 1)::VARCHAR, ',' ORDER BY turn)
+         FILTER (NOT common AND role_a = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg(b, '' ORDER BY turn) FILTER (NOT common AND b IS NOT NULL), '') AS rejected,
+       coalesce(string_agg((end_b - length(b) + head_b)::VARCHAR || ':' || (end_b - 1)::VARCHAR, ',' ORDER BY turn)
+         FILTER (NOT common AND role_b = 'assistant'), '') AS rejected_mask
+FROM placed GROUP BY pair_id
+"""
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
@@ -102,6 +147,11 @@ def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.repeat_report(table(spark, sf, "documents"))
 
 
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.nearest(table(spark, sf, "embeddings"))
+
+
 @query
 def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.sharded(table(spark, sf, "documents")).select("doc_id", "slot", "shard")
