@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import timedelta
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,21 +121,24 @@ def flag_stale(
 ) -> DataFrame:
     """Add `stale`: the version is not above every version that arrived earlier for the key.
 
+    Every row comes back; one without a key, an arrival or a version is not stale, and makes none stale.
+
     The running maximum is built in two levels so that a hot key is never one window group: the
     maximum per time slice is aggregated first, its running maximum has one row per slice, and only
     the rows inside one slice are then ordered.
     """
     width = micros(positive_duration("slice width", slice_width))
-    sliced = rows.withColumn("_slice", slice_start(F.unix_micros(order[0]), width))
-    slices = sliced.groupBy(*keys, "_slice").agg(F.max("version").alias("_slice_max"))
+    complete = reduce(and_, [F.col(c).isNotNull() for c in (*keys, order[0], "version")])
+    # rows that take no part get no slice, and so no predecessors
+    sliced = rows.withColumn("_slice", F.when(complete, slice_start(F.unix_micros(order[0]), width)))
+    slices = sliced.filter("_slice is not null").groupBy(*keys, "_slice").agg(F.max("version").alias("_slice_max"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = slices.select(*keys, "_slice", F.max("_slice_max").over(earlier).alias("_before"))
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     previous = F.greatest("_before", F.max("version").over(inside))
-    flagged = sliced.join(before, [*keys, "_slice"])
-    return flagged.withColumn("stale", F.coalesce(F.col("version") <= previous, F.lit(False))).select(
-        *rows.columns, "stale"
-    )
+    flagged = sliced.join(before, [*keys, "_slice"], "left")
+    stale = F.col("_slice").isNotNull() & F.coalesce(F.col("version") <= previous, F.lit(False))
+    return flagged.withColumn("stale", stale).select(*rows.columns, "stale")
 
 
 def flag_applied(

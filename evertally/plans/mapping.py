@@ -186,6 +186,32 @@ def counter_table(totals: DataFrame) -> DataFrame:
     )
 
 
+def stored_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A counter table that is ahead of the feed for every third video and lacks every fifth."""
+    table = counter_table(before_midpoint(total_log(spark, sf_dir))).filter("video_id % 5 > 0")
+    ahead = F.when(F.col("video_id") % 3 == 0, 1_000_000).otherwise(0)
+    return table.withColumns({c: F.col(c) + ahead for c in ("view_count", "version")})
+
+
+def stored_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A projection of the stored counters; a tie with the feed, told apart by its count, for every seventh video."""
+    rows = stored_counters(spark, sf_dir)
+    last = counter_table(total_log(spark, sf_dir)).select("video_id", F.col("version").alias("_last"))
+    tie = F.col("video_id") % 7 == 0
+    version = F.when(tie, F.col("_last")).otherwise(F.col("version")) + F.lit(LARGE_VERSION)
+    return rows.join(last, "video_id").select(
+        projection_key(F.col("video_id")).alias("key"),
+        "video_id",
+        F.when(tie, -1).otherwise(F.col("view_count")).alias("count"),
+        version.alias("version"),
+    )
+
+
+def pending_video() -> Column:
+    """The videos that still have changes to come: not every fourth."""
+    return F.col("video_id") % 4 > 0
+
+
 def before_midpoint(log: DataFrame) -> DataFrame:
     return log.filter(F.col("emitted_at") < F.lit(MIDPOINT).cast("timestamp"))
 
@@ -239,7 +265,7 @@ def usable_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change envelopes without damage: what a strict projection can take."""
     json = cdc.envelope(F.lit("u"), F.col("offset") % 2 == 0)
     feed = total_feed(spark, sf_dir)
-    return feed.select("offset", "arrival", "emitted_at", json.cast("binary").alias("value"))
+    return feed.select("offset", "arrival", "emitted_at", "video_id", json.cast("binary").alias("value"))
 
 
 def clean_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

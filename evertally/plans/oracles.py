@@ -155,6 +155,13 @@ projected AS MATERIALIZED (
 
 _MIDPOINT_US = f"epoch_us(TIMESTAMP '{MIDPOINT}')"
 
+STORED = f"""{TOTAL_FEED},
+all_videos AS (SELECT video_id, max(view_count) AS n FROM total_log GROUP BY video_id),
+pending AS (SELECT * FROM all_videos WHERE video_id % 4 > 0),
+stored AS (
+  SELECT video_id, max(view_count) + CASE WHEN video_id % 3 = 0 THEN 1000000 ELSE 0 END AS n FROM total_log
+  WHERE emitted_us < {_MIDPOINT_US} AND video_id % 5 > 0 GROUP BY video_id)"""
+
 _STALE = """coalesce(version <= max(version) OVER (PARTITION BY {keys} ORDER BY arrival_us, "offset"
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)"""
 
@@ -206,12 +213,19 @@ ORACLES: dict[str, str] = {
            WHERE accepted_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 14 DAY""",
     ),
     "version_gated_upsert": _with(
-        FIRST, "SELECT video_id, count(*) AS view_count, count(*) AS version FROM firsts GROUP BY video_id"
+        STORED,
+        """SELECT coalesce(s.video_id, l.video_id) AS video_id, greatest(s.n, l.n) AS view_count,
+                  greatest(s.n, l.n) AS version
+           FROM stored s FULL JOIN pending l ON s.video_id = l.video_id""",
     ),
     "projection_apply": _with(
-        FIRST,
-        f"""SELECT 'video:' || video_id || ':views' AS key, video_id, count(*) AS count,
-                   count(*) + {LARGE_VERSION} AS version FROM firsts GROUP BY video_id""",
+        STORED,
+        f"""SELECT 'video:' || coalesce(s.video_id, l.video_id) || ':views' AS key,
+                   coalesce(s.video_id, l.video_id) AS video_id,
+                   CASE WHEN s.video_id % 7 = 0 THEN -1 ELSE greatest(s.n, l.n) END AS count,
+                   CASE WHEN s.video_id % 7 = 0 THEN a.n ELSE greatest(s.n, l.n) END + {LARGE_VERSION} AS version
+            FROM stored s FULL JOIN pending l ON s.video_id = l.video_id
+                 LEFT JOIN all_videos a ON a.video_id = s.video_id""",
     ),
     "projection_apply_outcome": _with(
         TOTAL_FEED,
@@ -391,9 +405,10 @@ ORACLES: dict[str, str] = {
            WHERE i.video_id > 0""",
     ),
     "projection_rebuild": _with(
-        FIRST,
-        """SELECT 'video:' || video_id || ':views' AS key, video_id, count(*) AS count, count(*) AS version
-           FROM firsts GROUP BY video_id""",
+        STORED,
+        """SELECT 'video:' || coalesce(s.video_id, l.video_id) || ':views' AS key,
+                  coalesce(s.video_id, l.video_id) AS video_id, greatest(s.n, l.n) AS count, greatest(s.n, l.n) AS version
+           FROM stored s FULL JOIN pending l ON s.video_id = l.video_id""",
     ),
     "projection_lag_audit": _with(
         USERS,
@@ -410,4 +425,18 @@ ORACLES["stream_video_totals"] = _with(
     COUNTED, "SELECT video_id, count(*) AS view_count, count(*) AS version FROM chain GROUP BY video_id"
 )
 ORACLES["stream_quarantine"] = ORACLES["valid_invalid_split"]
+ORACLES["stream_shard_quarantine"] = _with(
+    SHARD_FEED,
+    f"""SELECT 'counter-shard-snapshots' || CASE WHEN {_SNAPSHOT_REASON} IS NULL THEN '' ELSE '.DLT' END AS topic,
+               "offset", {_SNAPSHOT_REASON} AS reason, {_unless_null('video_id')}, {_unless_null('counter_shard_id')},
+               {_unless_null('count')},
+               {_unless_null('version', 'version - CASE WHEN "offset" % 97 = 0 THEN 1 ELSE 0 END')} FROM shard_feed""",
+)
+ORACLES["stream_redelivery"] = _with(
+    f"{TOTAL_FEED}, judged AS (SELECT *, {_SNAPSHOT_REASON} AS reason FROM total_feed)",
+    """SELECT video_id, max(view_count) AS view_count, max(view_count) AS version, NULL::BIGINT AS "offset",
+              NULL::VARCHAR AS reason FROM judged WHERE reason IS NULL GROUP BY video_id
+       UNION ALL
+       SELECT DISTINCT NULL, NULL, NULL, "offset", reason FROM judged WHERE reason IS NOT NULL""",
+)
 ORACLES["stream_projection"] = ORACLES["projection_rebuild"]

@@ -72,16 +72,14 @@ def retention_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def version_gated_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    table = m.counter_table(m.before_midpoint(m.total_log(spark, sf)))
-    return gate.merge_counter(table, m.total_feed(spark, sf)).select("video_id", "view_count", "version")
+    feed = m.total_feed(spark, sf).filter(m.pending_video())
+    return gate.merge_counter(m.stored_counters(spark, sf), feed).select("video_id", "view_count", "version")
 
 
 @query
 def projection_apply(spark: SparkSession, sf: str) -> DataFrame:
-    changes = m.clean_changes(spark, sf)
-    nothing = spark.createDataFrame([], contracts.PROJECTION)
-    stored = gate.merge_projection(nothing, m.before_midpoint(changes))
-    return gate.merge_projection(stored, changes)
+    stored = m.stored_projection(spark, sf)
+    return gate.merge_projection(stored, m.clean_changes(spark, sf).filter(m.pending_video()))
 
 
 @query
@@ -413,9 +411,9 @@ def resolve_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def projection_rebuild(spark: SparkSession, sf: str) -> DataFrame:
     """Lost projection: re-read table plus pending changes, through the same gate."""
-    table = m.counter_table(m.before_midpoint(m.total_log(spark, sf)))
-    pending = m.total_feed(spark, sf).select("offset", "video_id", F.col("view_count").alias("count"), "version")
-    reread = cdc.reread(table).withColumn("offset", F.lit(-1).cast("bigint"))
+    pending = m.total_feed(spark, sf).filter(m.pending_video())
+    pending = pending.select("offset", "video_id", F.col("view_count").alias("count"), "version")
+    reread = cdc.reread(m.stored_counters(spark, sf)).withColumn("offset", F.lit(-1).cast("bigint"))
     nothing = spark.createDataFrame([], contracts.PROJECTION)
     return gate.merge_projection(nothing, pending.unionByName(reread.drop("op")))
 

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from evertally import fixed_values as fixed
 from evertally.functions import contracts
+from evertally.operators import counts
 from evertally.plans import mapping as m
 from evertally.plans.queries import query, us
 from evertally.session import ROCKSDB, fresh_folder
+from evertally.sources import topics
 from evertally.sources.folders import BatchLog, Table
 from evertally.streaming import counting, projection
 
@@ -94,9 +97,10 @@ def stream_video_totals(spark: SparkSession, sf: str) -> DataFrame:
     snapshots = BatchLog(spark, f"{base}/shards", counting.SHARD_SNAPSHOTS)
     totals = BatchLog(spark, f"{base}/totals", counting.TOTAL_SNAPSHOTS)
     table = Table(spark, f"{base}/counter", contracts.VIDEO_COUNTER)
+    shards = Table(spark, f"{base}/latest", counting.LATEST_SHARDS, counts.SHARD)
     with state_stores(spark):
         run(counting.emit_shard_snapshots(counted.stream(), snapshots, f"{base}/checkpoints/shards"))
-        run(counting.emit_totals(snapshots.stream(), totals, table, f"{base}/checkpoints/totals"))
+    run(counting.emit_totals(snapshots.stream(), totals, table, shards, f"{base}/checkpoints/totals"))
     return table.read().select("video_id", "view_count", "version")
 
 
@@ -109,14 +113,42 @@ def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return routed.read().select("topic", "partition", "offset", "key", "reason")
 
 
+@query
+def stream_shard_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Shard snapshot records: those that break their contract or key never reach a total."""
+    base = fresh_folder(spark, "stream")
+    records = m.snapshot_records(m.shard_feed(spark, sf), contracts.SHARD_SNAPSHOT, fixed.SHARDS_TOPIC)
+    records.write.parquet(f"{base}/records")
+    routed = BatchLog(spark, f"{base}/routed", counting.ROUTED_SHARDS)
+    run(counting.route_shards(topics.file_records(spark, f"{base}/records"), routed, f"{base}/checkpoints/routed"))
+    return routed.read().select("topic", "offset", "reason", "video_id", "counter_shard_id", "count", "version")
+
+
+@query
+def stream_redelivery(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals written under one checkpoint, and all of them again, with newer ones, under another."""
+    base = fresh_folder(spark, "stream")
+    table = Table(spark, f"{base}/counter", contracts.VIDEO_COUNTER)
+    dead = BatchLog(spark, f"{base}/dead", contracts.RAW_RECORD + ", reason STRING")
+    feed = m.total_feed(spark, sf)
+    for part, rows in enumerate((m.before_midpoint(feed), feed)):
+        records = m.snapshot_records(rows, contracts.TOTAL_SNAPSHOT, fixed.TOTALS_TOPIC)
+        records.write.parquet(f"{base}/records{part}")
+        stream = topics.file_records(spark, f"{base}/records{part}")
+        run(counting.persist_totals(stream, table, dead, f"{base}/checkpoints/{part}"))
+    letters = dead.read().select("offset", "reason").distinct()  # quarantined once by each run
+    stored = table.read().select("video_id", "view_count", "version")
+    return stored.unionByName(letters, allowMissingColumns=True)
+
+
 @query
 def stream_projection(spark: SparkSession, sf: str) -> DataFrame:
     """Change feed to projection, starting with a rebuild from the counter table."""
     base = fresh_folder(spark, "stream")
     source = Table(spark, f"{base}/counter", contracts.VIDEO_COUNTER)
-    source.replace(m.counter_table(m.before_midpoint(m.total_log(spark, sf))), 0)
+    source.replace(m.stored_counters(spark, sf))
     target = projection.Projection(
-        Table(spark, f"{base}/projection", contracts.PROJECTION),
+        Table(spark, f"{base}/projection", contracts.PROJECTION, ["key"]),
         source,
         Table(spark, f"{base}/ledger", contracts.REBUILD_LEDGER),
     )
@@ -124,5 +156,6 @@ def stream_projection(spark: SparkSession, sf: str) -> DataFrame:
     def project(changes: DataFrame) -> DataStreamWriter:
         return projection.project_changes(changes, target, f"{base}/checkpoints/projection")
 
-    replay(m.usable_change_feed(spark, sf), "emitted_at", f"{base}/feed", project)
+    feed = m.usable_change_feed(spark, sf).filter(m.pending_video()).drop("video_id")
+    replay(feed, "emitted_at", f"{base}/feed", project)
     return target.table.read()

@@ -2,19 +2,29 @@
 
 Readers only ever see complete folders: a batch is written aside under a hidden name and renamed into
 place once, and a batch that is already there is not written again. This keeps a replayed micro-batch
-from showing up twice. On stores without an atomic rename use a table format with transactions.
+from showing up twice. Micro-batch numbers start over with a new checkpoint, so a batch is named by the
+run, the identity of its checkpoint, as well. On stores without an atomic rename use a table format with
+transactions.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
+import json
+from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evertally.operators.gate import latest_by
 from evertally.settings import positive_count
 
 
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The identity that Spark gave the checkpoint of a running query; a new checkpoint is a new run."""
+    return json.loads(Folder(spark, checkpoint).read_text("metadata"))["id"]
+
+
 def file_stream(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
     """Parquet files as a stream, oldest first; files stay readable for longer than any retention."""
     reader = spark.readStream.schema(schema).option("maxFileAge", "36500d")
@@ -48,12 +58,18 @@ class Folder:
         """Write `rows` as sub-folder `name`; false when it is already there."""
         if self.has(name):
             return False
-        aside = f"{self.path}/.writing-{name}"  # hidden from listings
+        aside = f"{self.path}/.writing-{name.replace('/', '-')}"  # hidden from listings
         rows.write.mode("overwrite").partitionBy(*partition_by).parquet(aside)
+        self._fs.mkdirs(self._at(f"{self.path}/{name}").getParent())
         if not self._fs.rename(self._at(aside), self._at(f"{self.path}/{name}")):
             raise OSError(f"cannot publish {self.path}/{name}")
         return True
 
+    def age(self, name: str) -> timedelta:
+        """Time since the folder was put in place."""
+        at = self._fs.getFileStatus(self._at(f"{self.path}/{name}")).getModificationTime()
+        return datetime.now() - datetime.fromtimestamp(at / 1000)
+
     def create(self) -> None:
         self._fs.mkdirs(self._at(self.path))
 
@@ -78,61 +94,104 @@ class Folder:
 
 
 class BatchLog:
-    """Append-only log, one folder per micro-batch."""
+    """Append-only log, one folder per micro-batch of a run."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark = spark
         self.folder = Folder(spark, path)
-        self.schema = f"{schema}, batch_id BIGINT"
+        self.schema = f"{schema}, run STRING, batch_id BIGINT"
 
-    def append(self, rows: DataFrame, batch_id: int, partition_by: tuple[str, ...] = ()) -> bool:
-        return self.folder.publish(rows, f"batch_id={batch_id}", partition_by)
+    def append(self, rows: DataFrame, batch_id: int, partition_by: tuple[str, ...] = (), run: str = "direct") -> bool:
+        """False when this batch of this run is there already."""
+        return self.folder.publish(rows, f"run={run}/batch_id={batch_id}", partition_by)
 
-    def read(self, before: int | None = None) -> DataFrame:
-        if not any(name.startswith("batch_id=") for name in self.folder.names()):
+    def read(self) -> DataFrame:
+        if not any(name.startswith("run=") for name in self.folder.names()):
             return self.spark.createDataFrame([], self.schema)
-        rows = self.spark.read.schema(self.schema).parquet(self.folder.path)
-        return rows if before is None else rows.filter(f"batch_id < {before}")
+        return self.spark.read.schema(self.schema).parquet(self.folder.path)
+
+    def apart_from(self, run: str, batch_id: int) -> DataFrame:
+        """What other runs and the earlier batches of this one have appended."""
+        return self.read().filter((F.col("run") != run) | (F.col("batch_id") < batch_id))
 
     def stream(self, max_files: int | None = None) -> DataFrame:
         self.folder.create()  # a file source can only watch what is there
         return file_stream(self.spark, self.folder.path, self.schema, max_files)
 
-
-    def expire(self, at: str, oldest: datetime) -> list[int]:
-        """Drop the batches whose rows are all older; returns their numbers."""
-        ages = self.read().groupBy("batch_id").agg(F.max(at).alias("newest"))
-        expired = sorted(row["batch_id"] for row in ages.filter(F.col("newest") < F.lit(oldest)).collect())
-        for batch_id in expired:
-            self.folder.remove(f"batch_id={batch_id}")
+    def expire(self, at: str, oldest: datetime) -> list[tuple[str, int]]:
+        """Drop the batches whose rows are all older; returns their runs and numbers."""
+        ages = self.read().groupBy("run", "batch_id").agg(F.max(at).alias("newest"))
+        old = ages.filter(F.col("newest") < F.lit(oldest)).select("run", "batch_id")
+        expired = sorted((row["run"], row["batch_id"]) for row in old.toLocalIterator())
+        for run, batch_id in expired:
+            self.folder.remove(f"run={run}/batch_id={batch_id}")
         return expired
 
 
 class Table:
-    """A whole-table snapshot per version; the newest complete folder is the table."""
-
-    KEPT = 2  # the current version and the one a running reader may still use
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
+    """A table as versions: whole ones, and between them the rows that replaced others.
+
+    A micro-batch adds only its own rows. Of several rows of a key the one of greatest `newest` counts, so
+    rows must be gated before; after `compact_every` such versions the next one is whole. A version that a
+    newer whole one has made needless stays for `keep`, longer than any reader runs.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        schema: str,
+        keys: Sequence[str] = ("video_id",),
+        newest: str = "version",
+        compact_every: int = 32,
+        keep: timedelta = timedelta(hours=1),
+    ):
         self.spark = spark
         self.folder = Folder(spark, path)
         self.schema = schema
-
-    def versions(self) -> list[int]:
-        return sorted(int(name[2:]) for name in self.folder.names() if name.startswith("v="))
+        self.keys = list(keys)
+        self.newest = newest
+        self.compact_every = positive_count("versions between whole ones", compact_every)
+        self.keep = keep
+
+    def versions(self) -> list[tuple[int, str]]:
+        """(number, "whole" or "rows") in order."""
+        named = (name[2:].split("-") for name in self.folder.names() if name.startswith("v="))
+        return sorted((int(number), kind) for number, kind in named)
+
+    def _current(self) -> list[tuple[int, str]]:
+        """The last whole version and all later ones."""
+        versions = self.versions()
+        whole = [at for at, (_, kind) in enumerate(versions) if kind == "whole"]
+        return versions[whole[-1] :] if whole else versions
 
     def read(self) -> DataFrame:
-        versions = self.versions()
-        if not versions:
+        current = self._current()
+        if not current:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder.path}/v={versions[-1]}")
-
-    def replace(self, rows: DataFrame, version: int) -> bool:
-        """Make `rows` the table; a version that is not newer was already applied and is skipped."""
-        versions = self.versions()
-        if versions and version <= versions[-1]:
-            return False
-        self.folder.publish(rows, f"v={version}")
-        for old in versions[: 1 - self.KEPT]:
-            self.folder.remove(f"v={old}")
-        return True
+        paths = [f"{self.folder.path}/v={number}-{kind}" for number, kind in current]
+        rows = self.spark.read.schema(self.schema).parquet(*paths)
+        if current[-1][1] == "whole":
+            return rows
+        names = rows.columns
+        return latest_by(rows, self.keys, F.col(self.newest)).select(*names)
+
+    def replace(self, rows: DataFrame) -> None:
+        """Make `rows` the table, as the next version."""
+        self._publish(rows, "whole")
+        kept = {number for number, _ in self._current()}
+        for number, kind in self.versions():
+            name = f"v={number}-{kind}"
+            if number not in kept and self.folder.age(name) > self.keep:
+                self.folder.remove(name)
+
+    def upsert(self, rows: DataFrame) -> None:
+        """Put these rows, newer than those of the table, in place of the ones with the same key."""
+        self._publish(rows, "rows")
+        if len(self._current()) > self.compact_every:
+            self.replace(self.read())
+
+    def _publish(self, rows: DataFrame, kind: str) -> None:
+        number = max((number for number, _ in self.versions()), default=-1) + 1
+        if not self.folder.publish(rows, f"v={number}-{kind}"):
+            raise OSError(f"version {number} of {self.folder.path} was written by someone else")

@@ -1,13 +1,14 @@
 """Counting queries: requests → events → counted log → shard snapshots → totals → counter table.
 
 Every stage writes a log that the next one reads, so each restarts from its own checkpoint. A stage
-that repeats a micro-batch after a failure changes nothing: its batch folder is already there.
+that repeats a micro-batch after a failure changes nothing: its batch folder is already there. Under a new
+checkpoint, logs get the batches again as those of a new run, and gates and the counted log drop what they
+know: nothing is lost, and nothing is counted twice.
 """
 
 from __future__ import annotations
 
 from datetime import timedelta
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,19 +18,24 @@ from evertally import fixed_values as fixed
 from evertally.functions import contracts
 from evertally.operators import counts, gate, ingest, split
 from evertally.operators.dedup import EVENT_KEYS, horizon_dedup
-from evertally.session import enable_checkpoints
-from evertally.settings import positive_count, positive_duration
-from evertally.sources.folders import BatchLog, Table
+from evertally.settings import positive_duration
+from evertally.sources.folders import BatchLog, Table, run_of
 from evertally.streaming.dedup import horizon_dedup_stream
 
 COUNTED = "event_id STRING, video_id BIGINT, counter_shard_id INT, counted_at TIMESTAMP"
 SHARD_SNAPSHOTS = "video_id BIGINT, counter_shard_id INT, count BIGINT, version BIGINT, emitted_at TIMESTAMP"
+LATEST_SHARDS = "video_id BIGINT, counter_shard_id INT, count BIGINT, version BIGINT"
 TOTAL_SNAPSHOTS = "video_id BIGINT, view_count BIGINT, version BIGINT, emitted_at TIMESTAMP"
 ROUTED = (
     "partition INT, offset BIGINT, key STRING, value BINARY, arrival TIMESTAMP, event_id STRING, video_id BIGINT, "
     "user_hash STRING, counter_shard_id INT, occurred_at TIMESTAMP, accepted_at TIMESTAMP, reason STRING, topic STRING"
 )
 
+ROUTED_SHARDS = (
+    "partition INT, offset BIGINT, key STRING, value BINARY, arrival TIMESTAMP, video_id BIGINT, counter_shard_id INT, "
+    "count BIGINT, version BIGINT, emitted_at TIMESTAMP, reason STRING, topic STRING"
+)
+
 
 def accept_requests(requests: DataFrame, secret: str) -> DataFrame:
     """Request stream to (topic, key, value) event records; a narrow plan, so any sink will do."""
@@ -40,13 +46,28 @@ def accept_requests(requests: DataFrame, secret: str) -> DataFrame:
 
 def route_events(records: DataFrame, routed: BatchLog, checkpoint: str) -> DataStreamWriter:
     """Split a record stream: valid events and dead letters, each under its own topic folder."""
-    columns = [c.split()[0] for c in ROUTED.split(", ")]
+    return _route(records, split.checked_events, ROUTED, routed, checkpoint, "route-events")
+
+
+def route_shards(
+    records: DataFrame, routed: BatchLog, checkpoint: str, shard_count: int = fixed.SHARD_COUNT
+) -> DataStreamWriter:
+    """The same for shard snapshots: one of a shard that cannot be goes to the dead letters, not to a total."""
+
+    def check(batch: DataFrame) -> DataFrame:
+        return split.checked_shards(batch, shard_count)
+
+    return _route(records, check, ROUTED_SHARDS, routed, checkpoint, "route-shards")
+
+
+def _route(records: DataFrame, check, schema: str, routed: BatchLog, checkpoint: str, name: str) -> DataStreamWriter:
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = split.routed(split.checked_events(batch)).select(*columns)
-        routed.append(rows, batch_id, partition_by=("topic",))
+        rows = split.routed(check(batch)).select(*columns)
+        routed.append(rows, batch_id, partition_by=("topic",), run=run_of(batch.sparkSession, checkpoint))
 
-    return _batches(records, write, checkpoint, "route-events")
+    return _batches(records, write, checkpoint, name)
 
 
 def valid_events(routed: DataFrame) -> DataFrame:
@@ -63,11 +84,14 @@ def count_events(
         earliest, latest = batch.agg(F.min("accepted_at"), F.max("accepted_at")).first()
         if earliest is None:
             return
-        # older entries cannot suppress anything; the bound prunes them in the scan
+        run = run_of(batch.sparkSession, checkpoint)
+        # older entries cannot suppress anything; the bound prunes them in the scan, and of the others only
+        # those of the batch's ids are aggregated
         reachable = F.col("counted_at") >= F.lit(earliest) - F.lit(horizon)
-        seen = counted.read(before=batch_id).filter(reachable).select(*EVENT_KEYS, "counted_at")
+        seen = counted.apart_from(run, batch_id).filter(reachable).select(*EVENT_KEYS, "counted_at")
+        seen = seen.join(batch.select(*EVENT_KEYS), list(EVENT_KEYS), "left_semi")
         fresh = horizon_dedup(batch, horizon, already_counted=seen, span=latest - earliest)
-        counted.append(fresh, batch_id)
+        counted.append(fresh, batch_id, run=run)
 
     return _batches(events, write, checkpoint, "count-events")
 
@@ -78,7 +102,7 @@ def count_events_stateful(
     """The same with keyed state instead of the log: lower latency, lower throughput."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _append_whole(counted, batch, batch, batch_id)
+        _append_whole(counted, batch, batch, batch_id, checkpoint)
 
     return _batches(horizon_dedup_stream(events, horizon), write, checkpoint, "count-events").outputMode("update")
 
@@ -87,43 +111,42 @@ def emit_shard_snapshots(counted: DataFrame, snapshots: BatchLog, checkpoint: st
     """Absolute count of every (video, shard) that changed in the micro-batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _append_whole(snapshots, counts.as_snapshot(batch, "count"), batch, batch_id)
+        _append_whole(snapshots, counts.as_snapshot(batch, "count"), batch, batch_id, checkpoint)
 
     return _batches(counts.shard_counts(counted), write, checkpoint, "shard-snapshots").outputMode("update")
 
 
-def running_totals(snapshots: DataFrame, shard_count: int = fixed.SHARD_COUNT) -> DataFrame:
-    """Video totals of a snapshot stream in one aggregation.
+def newer_shards(batch: DataFrame, shards: Table) -> DataFrame:
+    """Latest value per (video, shard) of a batch, where it is above the table's."""
+    latest = counts.latest_shards(batch).withColumn("version", F.col("count"))
+    return gate.newer_rows(latest, shards.read(), counts.SHARD)
 
-    The state of a video is the latest value of each of its shards, a fixed number of longs, so
-    partial aggregation works and no second aggregation is needed.
-    """
-    shards = range(positive_count("shard count", shard_count))
-    latest = [F.max(F.when(F.col("counter_shard_id") == i, F.col("count"))).alias(f"_{i}") for i in shards]
-    per_video = snapshots.groupBy("video_id").agg(*latest)
-    total = reduce(lambda a, b: a + b, [F.coalesce(f"_{i}", F.lit(0).cast("bigint")) for i in shards])
-    return per_video.select("video_id", total.alias("view_count"))
+
+def totals_of(videos: DataFrame, shards: Table) -> DataFrame:
+    """(video_id, view_count) of these videos, over all their shards."""
+    return counts.video_totals(shards.read().join(videos.select("video_id"), "video_id", "left_semi"))
 
 
 def emit_totals(
-    snapshots: DataFrame,
-    totals: BatchLog,
-    table: Table,
-    checkpoint: str,
-    shard_count: int = fixed.SHARD_COUNT,
+    snapshots: DataFrame, totals: BatchLog, table: Table, shards: Table, checkpoint: str
 ) -> DataStreamWriter:
-    """Changed totals to the totals log and, behind the version gate, to the counter table."""
+    """Changed totals to the totals log and, behind the version gate, to the counter table.
+
+    `shards` holds the latest value of each (video, shard), whatever the shard numbers; a batch reads and
+    writes only the rows of its videos. Repeating a batch changes nothing: both gates have seen it.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = table.read()
-        fresh = gate.newer_totals(batch, stored).withColumn("emitted_at", F.current_timestamp())
-        _append_whole(totals, fresh, batch, batch_id)
-        written = totals.read().filter(F.col("batch_id") == batch_id)
-        rows = written.withColumn("updated_at", F.current_timestamp())
-        table.replace(gate.replace_rows(stored, rows, ["video_id"]), batch_id)
+        shards.upsert(newer_shards(batch, shards).select("video_id", "counter_shard_id", "count", "version"))
+        fresh = gate.newer_totals(totals_of(batch, shards), table.read())
+        run = run_of(batch.sparkSession, checkpoint)
+        totals.append(fresh.withColumn("emitted_at", F.current_timestamp()), batch_id, run=run)
+        # what the log says was emitted is what the table gets, also when the batch is repeated
+        emitted = totals.read().filter((F.col("run") == run) & (F.col("batch_id") == batch_id))
+        newer = gate.newer_totals(emitted, table.read())
+        table.upsert(newer.withColumn("updated_at", F.current_timestamp()))
 
-    stream = running_totals(snapshots, shard_count)
-    return _batches(stream, write, checkpoint, "video-totals").outputMode("update")
+    return _batches(snapshots, write, checkpoint, "video-totals")
 
 
 def topic_records(snapshots: DataFrame, contract: contracts.Contract, topic: str) -> DataFrame:
@@ -143,21 +166,21 @@ def persist_totals(records: DataFrame, table: Table, dead: BatchLog, checkpoint:
     A failing table stops the query with its offset kept, and a restart retries the batch.
     """
 
-    enable_checkpoints(records.sparkSession)
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        checked = split.checked_totals(batch)
-        dead.append(split.dead_letters(checked), batch_id)
-        stored = table.read()
-        accepted = gate.newer_totals(split.valid(checked), stored).withColumn("updated_at", F.current_timestamp())
-        table.replace(gate.replace_rows(stored, accepted.checkpoint(), ["video_id"]), batch_id)
+        checked = split.checked_totals(batch).persist()
+        try:
+            dead.append(split.dead_letters(checked), batch_id, run=run_of(batch.sparkSession, checkpoint))
+            accepted = gate.newer_totals(split.valid(checked), table.read())
+            table.upsert(accepted.withColumn("updated_at", F.current_timestamp()))
+        finally:
+            checked.unpersist()
 
     return _batches(records, write, checkpoint, "persist-totals")
 
 
-def _append_whole(log: BatchLog, rows: DataFrame, batch: DataFrame, batch_id: int) -> None:
+def _append_whole(log: BatchLog, rows: DataFrame, batch: DataFrame, batch_id: int, checkpoint: str) -> None:
     """Append the rows of a stateful batch. One that is there already still has to renew its state."""
-    if not log.append(rows, batch_id):
+    if not log.append(rows, batch_id, run=run_of(batch.sparkSession, checkpoint)):
         batch.write.format("noop").mode("overwrite").save()
 
 

@@ -12,7 +12,6 @@ from pyspark.sql.streaming import DataStreamWriter
 from evertally import fixed_values as fixed
 from evertally.functions.contracts import REBUILD_LEDGER
 from evertally.operators import cdc, gate
-from evertally.session import enable_checkpoints
 from evertally.sources.folders import Table
 
 MARKER = "_generation"
@@ -51,7 +50,8 @@ class Projection:
         known = self.ledger.read()
         if gate.absent_rows(known, row).isEmpty():
             return False
-        return self.ledger.replace(gate.insert_if_absent(known, row), _next(self.ledger))
+        self.ledger.replace(gate.insert_if_absent(known, row))
+        return True
 
     def apply(self, changes: DataFrame) -> None:
         """Apply changes (video_id, count, version, offset), rebuilding first when the projection is new.
@@ -65,9 +65,7 @@ class Projection:
             reread = cdc.reread(self.source.read()).withColumn("offset", F.lit(-1).cast("bigint"))
             changes = changes.unionByName(reread.select(*changes.columns))
         stored = self.table.read()
-        enable_checkpoints(stored.sparkSession)
-        accepted = gate.newer_changes(changes, stored, prefix=self.prefix).checkpoint()
-        self.table.replace(gate.replace_rows(stored, accepted, ["key"]), _next(self.table))
+        self.table.upsert(gate.newer_changes(changes, stored, prefix=self.prefix))
         if generation is not None:
             self.mark_requested(generation)
 
@@ -78,10 +76,6 @@ class Projection:
             self.apply(self.table.spark.createDataFrame([], nothing))
 
 
-def _next(table: Table) -> int:
-    return max(table.versions(), default=-1) + 1
-
-
 def project_changes(feed: DataFrame, projection: Projection, checkpoint: str) -> DataStreamWriter:
     """Apply a change feed. An unusable change stops the query with its offset kept: nothing is skipped."""
 

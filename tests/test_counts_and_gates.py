@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from evertally.functions import contracts
 from evertally.operators import audit, counts, gate, metrics, retention
 
@@ -178,3 +179,29 @@ def test_retention_is_fourteen_days(spark):
     rows = spark.createDataFrame([(n, NOW - timedelta(days=n)) for n in range(20)], "n INT, arrival TIMESTAMP")
     kept = retention.retained(retention.with_arrival_date(rows), F.lit(NOW))
     assert sorted(r["n"] for r in kept.collect()) == list(range(15))
+
+
+def test_rows_without_key_or_arrival_come_back_as_not_stale(spark):
+    at = datetime(2026, 1, 1)
+    rows = [(1, 0, 5, at, 0), (1, 0, 4, at, 1), (None, 0, 9, at, 2), (None, 0, 1, at, 3), (1, 0, 1, None, 4), (1, 0, None, at, 5), (1, None, 0, at, 6)]
+    schema = "video_id BIGINT, counter_shard_id INT, version BIGINT, arrival TIMESTAMP, offset BIGINT"
+    flagged = gate.flag_stale(spark.createDataFrame(rows, schema))
+    assert {r["offset"]: r["stale"] for r in flagged.collect()} == {n: n == 1 for n in range(7)}
+
+
+@pytest.mark.parametrize("name", ["version_gated_upsert", "projection_apply", "projection_rebuild"])
+def test_registered_gates_need_both_sides(spark, monkeypatch, name):
+    """Without the stored side, or without the changes, the registered result is another one."""
+    from evertally.plans import mapping, queries
+
+    def result():
+        return sorted(map(tuple, queries.QUERIES[name](spark, SMALL).collect()))
+
+    whole = result()
+    for part in ("stored_counters", "stored_projection", "total_feed", "clean_changes"):
+        with monkeypatch.context() as patched:
+            full = getattr(mapping, part)
+            patched.setattr(mapping, part, lambda spark, sf, full=full: full(spark, sf).limit(0))
+            used = {"version_gated_upsert": ("stored_counters", "total_feed"), "projection_rebuild": ("stored_counters", "total_feed")}
+            if part in used.get(name, ("stored_projection", "clean_changes")):
+                assert result() != whole, part

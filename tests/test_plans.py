@@ -32,7 +32,7 @@ def test_ingest_is_narrow(spark, name):
     assert "Exchange" not in text and "Python" not in text
 
 
-@pytest.mark.parametrize("name", [n for n in registered.queries() if not n.startswith("stream_")])
+@pytest.mark.parametrize("name", [n for n in registered.QUERIES if not n.startswith("stream_")])
 def test_no_cross_join_and_no_python(spark, name):
     text = plan(registered.queries()[name](spark, SMALL))
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython|ArrowEvalPython|MapIn", text)

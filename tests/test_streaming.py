@@ -33,6 +33,7 @@ class Counting:
         self.shards = BatchLog(spark, f"{folder}/shards", counting.SHARD_SNAPSHOTS)
         self.totals = BatchLog(spark, f"{folder}/totals", counting.TOTAL_SNAPSHOTS)
         self.table = Table(spark, f"{folder}/table", contracts.VIDEO_COUNTER)
+        self.latest = Table(spark, f"{folder}/latest", counting.LATEST_SHARDS, counts.SHARD)
         self.count = counting.count_events_stateful if stateful else counting.count_events
         self.batch = 0
 
@@ -50,7 +51,7 @@ class Counting:
         return row["view_count"] if row else None
 
     def total(self):
-        run(counting.emit_totals(self.shards.stream(), self.totals, self.table, self.checkpoint("totals")))
+        run(counting.emit_totals(self.shards.stream(), self.totals, self.table, self.latest, self.checkpoint("totals")))
 
 
 @pytest.mark.parametrize("stateful", [False, True])
@@ -137,8 +138,8 @@ def test_totals_of_a_topic_are_persisted_and_bad_ones_quarantined(spark, folder)
 def projection_over(spark, folder, counters):
     source = Table(spark, f"{folder}/table", contracts.VIDEO_COUNTER)
     rows = [(v, n, n, NOW) for v, n in counters]
-    source.replace(spark.createDataFrame(rows, contracts.VIDEO_COUNTER), 0)
-    target = Table(spark, f"{folder}/projection", contracts.PROJECTION)
+    source.replace(spark.createDataFrame(rows, contracts.VIDEO_COUNTER))
+    target = Table(spark, f"{folder}/projection", contracts.PROJECTION, ["key"])
     return Projection(target, source, Table(spark, f"{folder}/ledger", contracts.REBUILD_LEDGER))
 
 
@@ -249,11 +250,50 @@ def test_observed_rows_are_added_up(spark, folder):
 # --- pieces -----------------------------------------------------------------------------------
 
 
-def test_running_totals_keep_one_row_of_state_per_video(spark):
-    rows = [(v, s, n) for v in (1, 2) for s in range(128) for n in (1, s + 1)]
-    snapshots = spark.createDataFrame(rows, "video_id BIGINT, counter_shard_id INT, count BIGINT")
-    expected = counts.video_totals(counts.latest_shards(snapshots))
-    assert sorted(counting.running_totals(snapshots).collect()) == sorted(expected.collect())
+def test_totals_take_in_any_shard(spark, folder):
+    job = Counting(spark, folder)
+    batches = [[(1, 0, 10), (1, 128, 5), (2, 200, 7)], [(1, 200, 7), (1, 0, 9), (3, -1, 1)], [(1, 128, 6), (2, 0, 1)]]
+    schema = "video_id BIGINT, counter_shard_id INT, count BIGINT"
+    for number, rows in enumerate(batches):
+        frame = counts.as_snapshot(spark.createDataFrame(rows, schema), "count")
+        job.shards.append(frame, number)
+        job.total()
+    everything = spark.createDataFrame([r for rows in batches for r in rows], schema)
+    expected = {r["video_id"]: r["view_count"] for r in counts.video_totals(counts.latest_shards(everything)).collect()}
+    assert {r["video_id"]: r["view_count"] for r in job.table.read().collect()} == expected == {1: 23, 2: 8, 3: 1}
+
+
+def test_shards_out_of_range_are_quarantined(spark, folder):
+    rows = []
+    for offset, shard in enumerate((0, 127, 128, -1)):
+        value = {"videoId": 1, "counterShardId": shard, "count": 3, "version": 3, "emittedAt": 1}
+        rows.append(("counter-shard-snapshots", 0, offset, "1", json.dumps(value).encode(), NOW))
+    spark.createDataFrame(rows, contracts.RAW_RECORD).write.parquet(f"{folder}/records")
+    routed = BatchLog(spark, f"{folder}/routed", counting.ROUTED_SHARDS)
+    run(counting.route_shards(topics.file_records(spark, f"{folder}/records"), routed, f"{folder}/c"))
+    found = {r["offset"]: r["reason"] for r in routed.read().collect()}
+    assert found == {0: None, 1: None, 2: "key", 3: "contract"}
+    assert routed.read().filter("topic = 'counter-shard-snapshots.DLT'").count() == 2
+
+
+def test_a_new_checkpoint_loses_nothing(spark, folder):
+    """Batch numbers start over; what is there already stays, and what is new arrives."""
+    table = Table(spark, f"{folder}/table", contracts.VIDEO_COUNTER)
+    dead = BatchLog(spark, f"{folder}/dead", contracts.RAW_RECORD + ", reason STRING")
+    for part, (count, broken) in enumerate(((1000, b"x"), (5000, b"y"), (5000, b"y"))):
+        good = json.dumps({"videoId": 1, "viewCount": count, "version": count, "emittedAt": 1}).encode()
+        rows = [("video-total-snapshots", 0, n, "1", v, NOW) for n, v in enumerate((good, broken))]
+        spark.createDataFrame(rows, contracts.RAW_RECORD).write.parquet(f"{folder}/records{part}")
+        stream = topics.file_records(spark, f"{folder}/records{part}")
+        run(counting.persist_totals(stream, table, dead, f"{folder}/checkpoints/{part}"))
+        assert table.read().first()["view_count"] == count
+    assert sorted(bytes(r["value"]) for r in dead.read().collect()) == [b"x", b"y", b"y"]
+
+    job = Counting(spark, f"{folder}/job")
+    assert job.deliver(("A", 0), ("B", 0)) == 2
+    job.checkpoint = lambda name: f"{folder}/job/other/{name}"
+    assert job.deliver(("A", 1), ("C", 1)) == 3
+    assert sorted(r["event_id"] for r in job.counted.read().collect()) == ["A", "B", "C"]
 
 
 def test_batch_folders_appear_whole_and_once(spark, folder):
@@ -263,7 +303,9 @@ def test_batch_folders_appear_whole_and_once(spark, folder):
     assert not log.append(spark.createDataFrame([(2,)], "n INT"), 0)
     Folder(spark, f"{folder}/log").publish(spark.createDataFrame([(9,)], "n INT"), ".writing-batch_id=7")
     assert [r["n"] for r in log.read().collect()] == [1]
-    assert log.read(before=0).isEmpty()
+    assert log.append(spark.createDataFrame([(3,)], "n INT"), 0, run="other")
+    assert [r["n"] for r in log.apart_from("direct", 0).collect()] == [3]
+    assert sorted(r["n"] for r in log.apart_from("direct", 1).collect()) == [1, 3]
 
 
 def test_expired_batches_are_dropped_whole(spark, folder):
@@ -271,18 +313,24 @@ def test_expired_batches_are_dropped_whole(spark, folder):
     for batch in range(4):
         rows = [(n, NOW + timedelta(days=batch + n)) for n in range(2)]
         log.append(spark.createDataFrame(rows, "n INT, arrival TIMESTAMP"), batch)
-    assert log.expire("arrival", NOW + timedelta(days=2)) == [0]
+    assert log.expire("arrival", NOW + timedelta(days=2)) == [("direct", 0)]
     assert log.read().count() == 6
 
 
-def test_table_versions_apply_once(spark, folder):
-    table = Table(spark, f"{folder}/table", "n INT")
-    one, two = (spark.createDataFrame([(n,)], "n INT") for n in (1, 2))
-    assert table.replace(one, 0) and not table.replace(two, 0)
-    for version in range(1, 5):
-        assert table.replace(table.read().selectExpr("n + 1 AS n"), version)
-    assert table.read().first()["n"] == 5
-    assert table.versions() == [3, 4]
+def test_table_versions(spark, folder):
+    schema = "video_id BIGINT, version BIGINT"
+    table = Table(spark, f"{folder}/table", schema, compact_every=3, keep=timedelta(0))
+
+    def rows(*values):
+        return spark.createDataFrame(list(values), schema)
+
+    table.replace(rows((1, 5), (2, 5)))
+    for version in range(6, 10):
+        table.upsert(rows((1, version), (version, 1)))
+        assert {r["video_id"]: r["version"] for r in table.read().collect()} == {1: version, 2: 5, **{v: 1 for v in range(6, version + 1)}}
+    # the fourth version after the first made a whole one, and the older ones went
+    assert [kind for _, kind in table.versions()] == ["whole", "rows"]
+    assert [number for number, _ in table.versions()] == [4, 5]
 
 
 def test_ticks_emit_changed_keys_until_stopped(spark, folder):
