@@ -39,8 +39,6 @@ ANCHOR_WORDS = 4
 SYMBOL_BYTES = 5
 #: Pieces per shard, about.
 SHARD_PIECES = 20_000
-#: Word positions that are sent to every executor with their documents; beyond it, documents are shuffled to them.
-BROADCAST_POSITIONS = 8_000_000
 
 
 def identity(doc_id: str, text: str) -> Column:
@@ -289,11 +287,6 @@ class Repeats:
         self.flags = self._flags()
         self.n_flags = self.flags.agg(F.sum(F.size("at"))).first()[0] or 0
         self.starts = self._starts()
-        self.n_starts = self.starts.agg(F.sum(F.size("starts"))).first()[0] or 0
-
-    @staticmethod
-    def _beside(positions: DataFrame, counted: int) -> DataFrame:
-        return F.broadcast(positions) if counted <= BROADCAST_POSITIONS else positions
 
     def _flags(self) -> DataFrame:
         """(row, at): positions of anchors that other documents have too."""
@@ -304,7 +297,7 @@ class Repeats:
 
     def _starts(self) -> DataFrame:
         """(row, starts): starts of the windows that a document with a smaller id has too."""
-        candidates = self.own.join(self._beside(self.flags, self.n_flags), "row")
+        candidates = self.own.join(self.flags, "row")
         shards = max(1, self.n_flags // SHARD_PIECES)
         pieces = candidates.mapInArrow(
             partial(_distinct_pieces, window=self.window, shards=shards), "shard int, symbols binary, least bigint, most bigint"
@@ -328,7 +321,7 @@ class Repeats:
         rows = rows.join(copies, F.col(digest) == F.col(owner), "left").drop(digest, owner)
         rows = rows.withColumn(names["copy"], F.coalesce(F.col(first) < F.col(ident), F.lit(False)))
         starts = self.starts.select(F.col("row").alias(owner), F.col("starts").alias(names["starts"]))
-        rows = rows.join(self._beside(starts, self.n_starts), F.col(row) == F.col(owner), "left")
+        rows = rows.join(starts, F.col(row) == F.col(owner), "left")
         known = F.coalesce(F.col(names["starts"]), F.array().cast("array<int>"))
         return rows.withColumn(names["starts"], known).drop(ident, first, owner, row)
 

@@ -64,7 +64,7 @@ def variants(seed):
 @pytest.mark.parametrize("window", [1, 3, 6, 13])
 def test_removals_equal_brute_force(spark, monkeypatch, window):
     monkeypatch.setattr(sd, "SHARD_PIECES", 50)
-    monkeypatch.setattr(sd, "BROADCAST_POSITIONS", 0 if window == 6 else 10**6)
+    monkeypatch.setattr("evertally.llm.tables.BROADCAST_ROWS", 0 if window == 6 else 10**6)
     rows = variants(window)
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
     assert found(sd.repeat_report(docs, window=window)) == [row[:4] for row in brute_force(rows, window)]
