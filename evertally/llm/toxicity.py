@@ -5,7 +5,7 @@ the vectors of its character groups. Two gated recurrent layers read a window of
 backwards; attention pools their states, and a logistic unit scores the window. Every text is covered by windows of
 WINDOW words, each half over the next one, and its score is that of its worst window.
 
-Training takes a bounded sample of labelled rows (`max_toxic`, `max_clean`, by a hash of the id), on the driver. The
+Training takes a bounded sample of labelled rows (`max_toxic`, `max_clean`, by a hash of the id), in one task. The
 vectors start from the log-odds of their words and character groups; toxic texts are trained on the window that scores
 worst so far, clean ones on their worst and on any. The threshold that separates a part held out of the sample best is
 moved to `THRESHOLD`.
@@ -18,7 +18,7 @@ are kept by `clean_documents`. Labels, ids, languages and sources are no inputs
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +75,9 @@ class Vocabulary:
             codes.append(w.mixed(code) >> shift)
         owner = np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
-        group = np.concatenate(codes)[order].astype(np.int64)
-        return cls(inverse, (hashes >> shift).astype(np.int64), group, np.searchsorted(owner[order], np.arange(len(at))))
+        group = np.concatenate(codes)[order]
+        begin = np.searchsorted(owner[order], np.arange(len(at)))
+        return cls(*(x.astype(np.int32) for x in (inverse, hashes >> shift, group, begin)))
 
 
 def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,20 +253,23 @@ def worst_windows(network: Network, part: Slice) -> np.ndarray:
     return worst
 
 
-def log_odds(rows: np.ndarray, buckets: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Per bucket, the log-odds that a text with it is toxic, over those of any text; 0 for unseen ones."""
+def texts_with(rows: np.ndarray, buckets: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """For each bucket, how many clean and how many toxic rows hold it."""
     pairs = np.unique(rows * (1 << BUCKET_BITS) + buckets)
-    own, bucket = pairs >> BUCKET_BITS, pairs & ((1 << BUCKET_BITS) - 1)
-    n_toxic, n_clean = toxic.sum(), (~toxic).sum()
-    bad = np.bincount(bucket[toxic[own]], minlength=1 << BUCKET_BITS)
-    good = np.bincount(bucket[~toxic[own]], minlength=1 << BUCKET_BITS)
+    kind = toxic[pairs >> BUCKET_BITS] * (1 << BUCKET_BITS)
+    found = np.bincount(kind + (pairs & ((1 << BUCKET_BITS) - 1)), minlength=2 << BUCKET_BITS)
+    return found.reshape(2, -1)
+
+
+def log_odds(held: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """Per bucket, the log-odds that a text with it is toxic, over those of any text; 0 for unseen ones."""
     prior = PRIOR_TEXTS * n_toxic / (n_toxic + n_clean)
-    return np.log((bad + prior) / n_toxic) - np.log((good + PRIOR_TEXTS - prior) / n_clean)
+    return np.log((held[1] + prior) / n_toxic) - np.log((held[0] + PRIOR_TEXTS - prior) / n_clean)
 
 
 @dataclass
 class Trainer:
-    texts: list[str]
+    texts: pa.Array
     toxic: np.ndarray
     seed: int = 7
     rounds: int = 3
@@ -277,7 +281,10 @@ class Trainer:
         rng = np.random.default_rng(self.seed)
         network = Network.fresh(self.seed)
         validation = rng.random(len(self.texts)) < 0.2
-        train = [(base, part) for base, part in slices(pa.array(self.texts, type=pa.large_string()))]
+        train = []
+        for base, part in slices(self.texts):
+            none = np.empty(0, dtype=w.U64)  # the texts are not needed any more
+            train.append((base, replace(part, part=w.Words(none, part.part.first, none, none, none))))
         self._start(network, train, validation)
         moments: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         clock = 0
@@ -290,23 +297,22 @@ class Trainer:
         return network
 
     def _start(self, network: Network, train: list, validation: np.ndarray) -> None:
-        for name in ("words", "groups"):
-            rows, buckets = [], []
-            for base, part in train:
-                row_of = np.repeat(np.arange(part.part.rows), part.part.counts()) + base
-                own = ~validation[row_of]
-                if name == "words":
-                    rows.append(row_of[own])
-                    buckets.append(part.words.word[part.words.inverse[own]])
-                    continue
-                sizes = np.diff(np.append(part.words.begin, len(part.words.group)))
-                word = np.unique(row_of[own] * len(sizes) + part.words.inverse[own])
-                row, word = word // max(len(sizes), 1), word % max(len(sizes), 1)
-                at = np.repeat(part.words.begin[word], sizes[word])
-                at += np.arange(len(at)) - np.repeat(np.cumsum(sizes[word]) - sizes[word], sizes[word])
-                rows.append(np.repeat(row, sizes[word]))
-                buckets.append(part.words.group[at])
-            odds = log_odds(np.concatenate(rows), np.concatenate(buckets), self.toxic)
+        """First components: the log-odds of words and character groups."""
+        held = {name: np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64) for name in ("words", "groups")}
+        for base, part in train:
+            words = part.words
+            row_of = np.repeat(np.arange(part.part.rows), part.part.counts())
+            own = np.flatnonzero(~validation[base + row_of])
+            toxic = self.toxic[base : base + part.part.rows].astype(np.int64)
+            held["words"] += texts_with(row_of[own], words.word[words.inverse[own]], toxic)
+            # the groups of each distinct word of a row
+            sizes = np.diff(np.append(words.begin, len(words.group)))
+            row, word = np.divmod(np.unique(row_of[own] * max(len(sizes), 1) + words.inverse[own]), max(len(sizes), 1))
+            count = sizes[word]
+            at = np.repeat(words.begin[word] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            held["groups"] += texts_with(np.repeat(row, count), words.group[at], toxic)
+        for name, found in held.items():
+            odds = log_odds(found, int((~self.toxic).sum()), int(self.toxic.sum()))
             network.p[name][:, 0] = np.clip(odds / 3, -1, 2)
 
     def _choose(self, scores, network: Network, train: list, validation: np.ndarray, rng) -> list:
@@ -380,12 +386,28 @@ def trained(
     ids = F.broadcast(picked[0].union(picked[1]))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text is not null").join(ids, "doc_id")
     rows = rows.select("doc_id", "toxic", "text").distinct()
-    # repeated ids may bring more texts than ids
-    rows = rows.orderBy(F.xxhash64("text"), "doc_id", "toxic").limit(max_toxic + max_clean).collect()
-    toxic = np.array([row["toxic"] == 1 for row in rows], dtype=bool)
-    if not toxic.any() or toxic.all():
+    # repeated ids may bring more texts than ids; the bounded sample is one task's input
+    rows = rows.orderBy(F.xxhash64("text"), "doc_id", "toxic").limit(max_toxic + max_clean)
+    found = rows.select("text", "toxic").mapInArrow(_train, "name string, shape array<int>, data binary").collect()
+    if not found:
         return None
-    return Trainer([row["text"] for row in rows], toxic).train()
+    return Network({r["name"]: np.frombuffer(r["data"], dtype=np.float32).reshape(r["shape"]) for r in found})
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parameters of a network, a row each; none if a class is missing."""
+    sample = pa.Table.from_batches(batches, schema=pa.schema([("text", pa.string()), ("toxic", pa.int32())]))
+    toxic = sample.column("toxic").to_numpy() == 1
+    if not toxic.any() or toxic.all():
+        return
+    found = Trainer(sample.column("text").combine_chunks(), toxic).train().p
+    yield pa.RecordBatch.from_pydict(
+        {
+            "name": list(found),
+            "shape": pa.array([v.shape for v in found.values()], type=pa.list_(pa.int32())),
+            "data": pa.array([v.astype(np.float32).tobytes() for v in found.values()], type=pa.binary()),
+        }
+    )
 
 
 def _scorer(network, keep: list[str], text: str, score: str):
