@@ -11,6 +11,8 @@ from evertally import fixed_values as fixed
 from evertally.settings import micros, positive_duration, slice_start
 
 SHARD = ("video_id", "counter_shard_id")
+#: Ticks that are ordered together in a running sum.
+TICKS_PER_SLICE = 3600
 
 
 def shard_counts(counted: DataFrame) -> DataFrame:
@@ -48,12 +50,19 @@ def snapshots_per_tick(
 ) -> DataFrame:
     """One absolute snapshot per changed key and tick.
 
-    Events are counted per (key, tick) before anything is ordered, so the running sum sees at most
-    one row per tick of a key, however many events the key has.
+    Events are counted per (key, tick) before anything is ordered. The running sum is built in two levels:
+    changes are summed per time slice, slices are summed per key, and ticks are ordered only inside a slice, so
+    a key with changes in every tick of a year is no single window group.
     """
     changes = counted.groupBy(*keys, tick_end(F.col("counted_at"), interval).alias("emitted_at")).agg(
         F.count("*").alias("_change")
     )
-    so_far = Window.partitionBy(*keys).orderBy("emitted_at").rowsBetween(Window.unboundedPreceding, 0)
-    running = changes.select(*keys, F.sum("_change").over(so_far).alias(value), "emitted_at")
+    width = micros(interval) * TICKS_PER_SLICE
+    changes = changes.withColumn("_slice", slice_start(F.unix_micros("emitted_at"), width))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = changes.groupBy(*keys, "_slice").agg(F.sum("_change").alias("_sum"))
+    before = slices.select(*keys, "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy("emitted_at").rowsBetween(Window.unboundedPreceding, 0)
+    running = changes.withColumn("_inside", F.sum("_change").over(inside)).join(before, [*keys, "_slice"])
+    running = running.select(*keys, (F.col("_before") + F.col("_inside")).alias(value), "emitted_at")
     return as_snapshot(running, value, F.col("emitted_at"))

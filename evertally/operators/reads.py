@@ -31,11 +31,9 @@ def resolve_counts(
 ) -> DataFrame:
     """(video_id, views) of the distinct positive ids; a lost projection is an empty one."""
     wanted = ids.filter("video_id > 0").select("video_id").distinct()
-    cached = projection.select("key", F.col("count").try_cast("bigint").alias("_cached"))
-    stored = table.select("video_id", F.col("view_count").alias("_stored"))
-    return (
-        wanted.withColumn("key", projection_key(F.col("video_id"), prefix))
-        .join(cached, "key", "left")
-        .join(stored, "video_id", "left")
-        .select("video_id", F.coalesce("_cached", "_stored", F.lit(0).cast("bigint")).alias("views"))
-    )
+    wanted = wanted.withColumn("key", projection_key(F.col("video_id"), prefix))
+    # of both sides only what is asked for takes part in the outer joins
+    cached = projection.join(wanted, "key", "left_semi").select("key", F.col("count").try_cast("bigint").alias("_cached"))
+    stored = table.join(wanted, "video_id", "left_semi").select("video_id", F.col("view_count").alias("_stored"))
+    views = F.coalesce("_cached", "_stored", F.lit(0).cast("bigint")).alias("views")
+    return wanted.join(cached, "key", "left").join(stored, "video_id", "left").select("video_id", views)
