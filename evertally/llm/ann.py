@@ -31,9 +31,9 @@ from evertally.llm.tables import written
 
 WANTED = 20
 #: Neighbours per node; of these, how many (and of reverse ones) meet in a round.
-DEGREE, MEETING, ROUNDS = 32, 14, 3
-TABLES, BLOCK = 6, 512
-BEAM = 192
+DEGREE, MEETING, ROUNDS = 32, 14, 2
+TABLES, BLOCK = 9, 512
+BEAM = 224
 #: Query vectors that are sent to every executor; beyond it, they are shuffled to their pairs.
 BROADCAST_QUERIES = 20_000
 
@@ -50,9 +50,9 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def best(entries: Column, count: int) -> Column:
-    """The best distinct (distance, node) of an array."""
-    return F.slice(F.array_sort(F.array_distinct(entries)), 1, count)
+def best(entry: Column, count: int) -> Column:
+    """The best distinct (distance, node) of a group, in order."""
+    return F.slice(F.array_sort(F.collect_set(entry)), 1, count)
 
 
 def _codes(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -116,13 +116,15 @@ def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact distances of pairs, of those below the query's limit."""
     for batch in batches:
         if batch.num_rows:
             a, b = (matrix(batch.column(c)).astype(np.float64) for c in ("query_vector", "vector"))
             distance = -np.einsum("nd,nd->n", a, b)
-            yield pa.RecordBatch.from_arrays(
+            rows = pa.RecordBatch.from_arrays(
                 [batch.column("query"), pa.array(distance), batch.column("other")], names=["query", "distance", "other"]
             )
+            yield rows.filter(pa.array(distance < batch.column("limit").to_numpy()))
 
 
 def _against_block(block: pa.Table, wanted: int) -> pa.Table:
@@ -180,7 +182,7 @@ class Graph:
     def _merged(entries: DataFrame) -> DataFrame:
         """(node, list): the best DEGREE entries (distance, other) of each node."""
         entry = F.struct("distance", "other")
-        lists = entries.groupBy("node").agg(best(F.collect_list(entry), DEGREE).alias("list"))
+        lists = entries.groupBy("node").agg(best(entry, DEGREE).alias("list"))
         return written(lists, "lists")
 
     def _descend(self) -> DataFrame:
@@ -200,29 +202,13 @@ class Graph:
 
     def search(self, queries: DataFrame, wanted: int = WANTED) -> DataFrame:
         """(query, other, distance): the best nodes found for each query node, itself excluded."""
-        asked = written(queries.join(self.nodes, queries["query"] == self.nodes["node"]).select("query", F.col("vector").alias("query_vector")), "queries")
+        asked = written(queries.join(self.nodes, queries["query"] == self.nodes["node"]).select("query", F.col("vector").alias("query_vector"), F.lit(float("inf")).alias("limit")), "queries")
         count = asked.count()
-        start = self.lists.join(asked.select("query"), F.col("node") == F.col("query"))
-        frontier = start.select("query", F.explode("list.other").alias("other"))
-        beam = asked.select("query").withColumn("beam", F.array().cast("array<struct<distance:double,other:bigint,done:boolean>>"))
-        while True:
-            scored = self._scored(frontier.filter("query != other").distinct(), asked, count)
-            entry = F.struct("distance", "other", F.lit(False).alias("done"))
-            scored = scored.groupBy("query").agg(F.collect_list(entry).alias("new"))
-            beam = beam.join(scored, "query", "left")
-            known = F.transform("beam", lambda x: x["other"])
-            new = F.filter("new", lambda x: ~F.array_contains(known, x["other"]))
-            merged = F.array_sort(F.concat("beam", F.coalesce(new, F.array().cast(beam.schema["beam"].dataType))))
-            beam = beam.select("query", F.slice(merged, 1, BEAM).alias("beam"))
-            beam = written(beam, "beam")
-            ahead = beam.select("query", F.explode(F.filter("beam", lambda x: ~x["done"])).alias("entry"))
-            ahead = ahead.select("query", F.col("entry.other").alias("at"))
-            frontier = ahead.join(self.lists, F.col("at") == F.col("node")).select("query", F.explode("list.other").alias("other"))
-            beam = beam.withColumn(
-                "beam", F.transform("beam", lambda x: F.struct(x["distance"].alias("distance"), x["other"].alias("other"), F.lit(True).alias("done")))
-            )
-            if ahead.isEmpty():
-                break
+        none = F.array().cast("array<struct<distance:double,other:bigint>>")
+        # a query starts from itself: its own list is expanded first
+        beam = written(asked.select("query", none.alias("beam"), F.array("query").alias("ahead")), "beam")
+        while not beam.filter(F.size("ahead") > 0).isEmpty():
+            beam = self._hop(beam, asked, count)
         found = beam.select("query", F.explode(F.slice("beam", 1, wanted)).alias("entry"))
         found = written(found.select("query", "entry.distance", "entry.other"), "found")
         short = found.groupBy("query").count().filter(F.col("count") < min(wanted, self.size - 1)).select("query")
@@ -231,6 +217,22 @@ class Graph:
             return found
         return found.join(short, "query", "left_anti").unionByName(self.exact(short, wanted))
 
+    def _hop(self, beam: DataFrame, asked: DataFrame, count: int) -> DataFrame:
+        """Expands what lies ahead in each beam; what enters the beam thereby lies ahead next."""
+        frontier = beam.select("query", F.explode("ahead").alias("at")).join(self.lists, F.col("at") == F.col("node"))
+        frontier = frontier.select("query", F.explode("list.other").alias("other")).filter("query != other").distinct()
+        last = F.when(F.size("beam") < BEAM, float("inf")).otherwise(F.element_at("beam", -1)["distance"])
+        limited = asked.drop("limit").join(beam.select("query", last.alias("limit")), "query")
+        scored = self._scored(frontier, limited, count).groupBy("query")
+        beam = beam.join(scored.agg(best(F.struct("distance", "other"), BEAM).alias("new")), "query", "left")
+        beam = beam.withColumn("known", F.transform("beam", lambda entry: entry["other"]))
+        fresh = F.filter("new", lambda entry: ~F.array_contains("known", entry["other"]))
+        beam = beam.withColumn("fresh", F.coalesce(fresh, F.array().cast(beam.schema["beam"].dataType)))
+        beam = beam.withColumn("merged", F.slice(F.array_sort(F.concat("beam", "fresh")), 1, BEAM))
+        others = F.transform("merged", lambda entry: entry["other"])
+        beam = beam.select("query", F.col("merged").alias("beam"), F.array_except(others, "known").alias("ahead"))
+        return written(beam, "beam")
+
     def _scored(self, pairs: DataFrame, asked: DataFrame, count: int) -> DataFrame:
         pairs = pairs.join(self.nodes, F.col("other") == F.col("node")).select("query", "other", "vector")
         pairs = pairs.join(F.broadcast(asked) if count <= BROADCAST_QUERIES else asked, "query")
@@ -246,7 +248,7 @@ class Graph:
         found = others.union(asking).groupBy("block").applyInArrow(
             lambda block: _against_block(block, wanted), "query bigint, distance double, other bigint"
         )
-        merged = found.groupBy("query").agg(best(F.collect_list(F.struct("distance", "other")), wanted).alias("list"))
+        merged = found.groupBy("query").agg(best(F.struct("distance", "other"), wanted).alias("list"))
         return merged.select("query", F.explode("list").alias("entry")).select("query", "entry.distance", "entry.other")
 
     def neighbours(self, queries: DataFrame, wanted: int = WANTED) -> DataFrame:
@@ -262,7 +264,7 @@ class Graph:
         members = self.members.select(F.col("node").alias("of"), "id")
         found = found.join(members, F.col("other") == F.col("of")).select("query", "distance", "id")
         # of a query's node, as many ids as any of its queries can need
-        listed = found.groupBy("query").agg(best(F.collect_list(F.struct("distance", "id")), wanted + 1).alias("list"))
+        listed = found.groupBy("query").agg(best(F.struct("distance", "id"), wanted + 1).alias("list"))
         rows = own.join(listed, F.col("node") == F.col("query"))
         kept = F.slice(F.filter("list", lambda x: x["id"] != F.col("query_id")), 1, wanted)
         rows = rows.select("query_id", F.posexplode(kept).alias("place", "entry"))
@@ -271,7 +273,7 @@ class Graph:
         )
 
     def _vectors(self, asked: DataFrame) -> DataFrame:
-        return asked.join(self.nodes, F.col("query") == F.col("node")).select("query", F.col("vector").alias("query_vector"))
+        return asked.join(self.nodes, F.col("query") == F.col("node")).select("query", F.col("vector").alias("query_vector"), F.lit(float("inf")).alias("limit"))
 
 
 def nearest(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", every: int = 20) -> DataFrame:
