@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evertally import fixed_values as fixed
-from evertally.functions.identity import projection_key, shard_key
+from evertally.functions.identity import shard_key
 from evertally.functions.validation import holds
 
 # Schemas (fixed values)
@@ -217,7 +217,3 @@ def snapshot_record(contract: Contract) -> list[Column]:
         F.col("video_id").cast("string").alias("key"),
         encode(contract).cast("binary").alias("value"),
     ]
-
-
-def projection_columns(prefix: str = fixed.PROJECTION_PREFIX) -> list[Column]:
-    return [projection_key(F.col("video_id"), prefix).alias("key"), *map(F.col, ("video_id", "count", "version"))]

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from evertally import fixed_values as fixed
 from evertally.functions.contracts import RAW_RECORD, VIEW_REQUEST
 from evertally.settings import not_blank, positive_count
 from evertally.sources.folders import file_stream
@@ -66,7 +65,3 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str, topic: str | None = None) -> DataFrame:
     rows = spark.read.schema(RAW_RECORD).parquet(path)
     return rows if topic is None else rows.filter(F.col("topic") == topic)
-
-
-def dead_letter_topic(topic: str) -> str:
-    return topic + fixed.DEAD_LETTER_SUFFIX

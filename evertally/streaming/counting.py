@@ -44,6 +44,15 @@ def accept_requests(requests: DataFrame, secret: str) -> DataFrame:
     return events.select(F.lit(fixed.VIEWS_TOPIC).alias("topic"), *contracts.event_record())
 
 
+def publish_events(requests: DataFrame, secret: str, sent: BatchLog, checkpoint: str) -> DataStreamWriter:
+    """Accepted requests to a log of event records, under the name that failed publishing is counted by."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sent.append(batch, batch_id, run=run_of(batch.sparkSession, checkpoint))
+
+    return _batches(accept_requests(requests, secret), write, checkpoint, "accept-requests")
+
+
 def route_events(records: DataFrame, routed: BatchLog, checkpoint: str) -> DataStreamWriter:
     """Split a record stream: valid events and dead letters, each under its own topic folder."""
     return _route(records, split.checked_events, ROUTED, routed, checkpoint, "route-events")

@@ -99,10 +99,8 @@ def test_requests_to_routed_events(spark, folder):
         ("GET", "/api/videos/5/views", 5, None, None, None, None, None, NOW),
     ]
     spark.createDataFrame(rows, contracts.VIEW_REQUEST).write.parquet(f"{folder}/requests")
-    accepted = counting.accept_requests(topics.file_requests(spark, f"{folder}/requests"), SECRET)
     sent = BatchLog(spark, f"{folder}/sent", "topic STRING, key STRING, value BINARY")
-    writer = accepted.writeStream.option("checkpointLocation", f"{folder}/c1")
-    run(writer.foreachBatch(lambda batch, batch_id: [sent.append(batch, batch_id)] and None))
+    run(counting.publish_events(topics.file_requests(spark, f"{folder}/requests"), SECRET, sent, f"{folder}/c1"))
     [record] = sent.read().collect()
     assert record["topic"] == "video-view-events" and record["key"].startswith("5:")
 
@@ -116,6 +114,29 @@ def test_requests_to_routed_events(spark, folder):
     assert bytes(letter["value"]) == b"broken" and letter["reason"] == "undecodable"
 
 
+def test_failed_publishing_is_counted(spark, folder):
+    rows = [("POST", "/api/videos/5/views", 5, "a@b.c", "a@b.c", "k1", "r", None, NOW)]
+    spark.createDataFrame(rows, contracts.VIEW_REQUEST).write.parquet(f"{folder}/requests")
+
+    class Broken(BatchLog):
+        def append(self, *args, **options):
+            raise OSError("no space left")
+
+    watch = listener.CounterListener()
+    spark.streams.addListener(watch)
+    try:
+        sent = Broken(spark, f"{folder}/sent", "topic STRING, key STRING, value BINARY")
+        with pytest.raises(StreamingQueryException):
+            run(counting.publish_events(topics.file_requests(spark, f"{folder}/requests"), SECRET, sent, f"{folder}/c"))
+        for _ in range(50):
+            if watch.counters["view_event_publish_failures_total"]:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(watch)
+    assert watch.counters["view_event_publish_failures_total"] == 1
+
+
 def test_totals_of_a_topic_are_persisted_and_bad_ones_quarantined(spark, folder):
     def total(video, count, version):
         return json.dumps({"videoId": video, "viewCount": count, "version": version, "emittedAt": 1}).encode()
