@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evertally.llm.tables import written
+from evertally.llm.tables import small_side, written
 from evertally.session import fresh_folder
 
 #: Captures per index block.
@@ -219,8 +219,8 @@ def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = rows.withColumn("digest", F.sha1(F.coalesce("html", F.lit(""))))
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"))).alias("first")
     groups = rows.filter(F.col("size") >= min_bytes).groupBy("digest").agg(first, F.count("*").alias("n")).filter("n > 1")
-    groups = groups.select(F.col("digest").alias("same"), F.col("first.page_id").alias("first"))
-    rows = rows.join(groups, (F.col("digest") == F.col("same")) & (F.col("size") >= min_bytes), "left")
+    groups = written(groups.select(F.col("digest").alias("same"), F.col("first.page_id").alias("first")), "originals")
+    rows = rows.join(small_side(groups, groups.count()), (F.col("digest") == F.col("same")) & (F.col("size") >= min_bytes), "left")
     revisit = F.col("same").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     # a revisit needs its payload's figures only, but both come from the payload itself
     return rows.select("page_id", "url", "html", revisit.alias("revisit"), "first")
