@@ -98,6 +98,15 @@ def _signatures(batches: Iterator[pa.RecordBatch], text: str, keep: list[str], l
             )
 
 
+def _keyed(batches: Iterator[pa.RecordBatch], text: str, key: str, length: int) -> Iterator[pa.RecordBatch]:
+    """The rows with the key of their set, null for an empty one."""
+    for batch in batches:
+        for base, sets in shingle_sets(batch.column(text), length):
+            keys = pa.array([set_key(s) if len(s) else None for s in sets], type=pa.binary())
+            columns = batch.slice(base, len(sets)).columns
+            yield pa.RecordBatch.from_arrays([*columns, keys], names=[*batch.schema.names, key])
+
+
 def likely(percent: int, k: int) -> Column:
     """Whether the sketch of the union of a pair leaves the threshold possible; exact if both sets are sketched whole."""
     t = percent / 100
@@ -307,13 +316,13 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     """The documents without those that have a near duplicate of smaller id in their component: one of each stays."""
     found = NearDuplicates(docs, doc_id, text, **options)
     groups = found.groups()
-    names = {c: fresh_name(docs.columns, c) for c in ("n_shingles", "cls", "sketch", "listed", "group_cls", "keeper", "component_id")}
+    names = {c: fresh_name(docs.columns, c) for c in ("cls", "group_cls", "keeper", "component_id")}
     group = groups.select(
         F.col("cls").alias(names["group_cls"]), F.col("component_id").alias(names["component_id"]),
         F.col("keeper").alias(names["keeper"]),
     )
-    rows = found.signed(docs.select(F.struct("*").alias("document"), F.col(text).alias("text")), ["document"], "text")
-    rows = rows.select("document.*", F.col("cls").alias(names["cls"]))
+    keyed = partial(_keyed, text=text, key=names["cls"], length=found.length)
+    rows = docs.mapInArrow(keyed, T.StructType([*docs.schema.fields, T.StructField(names["cls"], T.BinaryType())]))
     rows = rows.join(small_side(group, group.count()), F.col(names["cls"]) == F.col(names["group_cls"]), "left")
     alone = rows.filter(F.col(names["group_cls"]).isNull()).select(docs.columns)
     keepers = rows.filter(
