@@ -40,7 +40,7 @@ BLOCK_LINES = 1000
 #: Records closer than this in an archive are read in one range.
 GAP_BYTES = 1 << 16
 READ_BYTES = 1 << 22
-#: Of compression: higher ones cost twice the time for a few hundredths of the size.
+#: Of compression: 6 takes half as long again and saves a fortieth of the size.
 LEVEL = 3
 ASCII_SIGNS = string.punctuation
 RANGES = "file string, offset bigint, length bigint"
