@@ -36,6 +36,8 @@ VECTOR, STATE, ATTENTION = 4, 8, 8
 THRESHOLD = 0.3
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
 LANES = 8192
+#: Toxic texts that the part held out for the threshold must have.
+ENOUGH_TOXIC = 20
 #: Texts that every word and character group is thought to have been seen in already, in the usual proportion.
 PRIOR_TEXTS = 4.0
 #: Learning rate of the word and character vectors.
@@ -355,7 +357,8 @@ class Trainer:
 
     def _calibrate(self, network: Network, train: list, validation: np.ndarray) -> None:
         scores = np.concatenate([worst_windows(network, part) for _, part in train])
-        part = validation if self.toxic[validation].any() and not self.toxic[validation].all() else np.ones_like(validation)
+        # too few toxic texts apart from the training ones tell little: then all of them count
+        part = validation if self.toxic[validation].sum() >= ENOUGH_TOXIC else np.ones_like(validation)
         order = np.argsort(-scores[part], kind="stable")
         ranked, hit = scores[part][order], np.cumsum(self.toxic[part][order])
         taken = np.arange(1, len(order) + 1)
