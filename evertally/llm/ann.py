@@ -2,11 +2,14 @@
 
 1. Equal vectors are one node. The first neighbours of a node come from blocks: codes of random hyperplanes, at several
    lengths, with large codes cut into blocks of bounded size, so that similar or hot vectors never meet all at once.
-2. NN-descent: every node brings together a sample of its neighbours and of the nodes that have it as neighbour, with
-   their vectors; each pair that improves one's list is proposed, and lists keep the best. Repeated `ROUNDS` times.
-3. A query starts from its own list, expands the best nodes not yet expanded, and keeps the best BEAM nodes, until all
-   of these are expanded. Queries that find fewer than wanted, which a graph of scattered parts can cause, are compared
-   with all vectors, in blocks.
+2. NN-descent: every node brings together a sample of its neighbours and of the nodes that have it as neighbour, those
+   that have not met yet first, with their vectors; each pair that improves one's list is proposed, and lists keep the
+   best. Repeated until at most CHANGED of all list entries are new.
+3. A query starts from its own list, expands the best nodes not yet expanded, and keeps the best nodes, until all of
+   these are expanded. How many it keeps follows the table: from BEAM on, doubled until TRIED queries find TARGET of what
+   a comparison with all vectors finds; a table so small or hard that half of it would be kept is compared in full.
+   Queries that find fewer than wanted, which a graph of scattered parts can cause, are compared with all vectors, in
+   blocks.
 4. Nodes become the ids of their equal vectors, nearest first, ties to the smaller id.
 
 All steps are joins and aggregates; numpy multiplies the vectors inside them. Samples and beams bound the work only:
@@ -31,11 +34,16 @@ from evertally.llm.tables import written
 
 WANTED = 20
 #: Neighbours per node; of these, how many (and of reverse ones) meet in a round.
-DEGREE, MEETING, ROUNDS = 32, 14, 2
+DEGREE, MEETING = 32, 14
+#: Rounds end when at most this share of the list entries is new.
+CHANGED = 0.05
 TABLES, BLOCK = 9, 512
-BEAM = 224
+#: The smallest beam, and the recall at which TRIED queries find it large enough.
+BEAM, TARGET, TRIED = 224, 0.95, 200
 #: Query vectors that are sent to every executor; beyond it, they are shuffled to their pairs.
 BROADCAST_QUERIES = 20_000
+#: Queries that ask for one node in one row, about.
+ASKING = 500
 
 
 def usable(vector: str) -> Column:
@@ -55,6 +63,11 @@ def best(entry: Column, count: int) -> Column:
     return F.slice(F.array_sort(F.collect_set(entry)), 1, count)
 
 
+def coarse(distance: np.ndarray) -> np.ndarray:
+    """Without the last bits, in which the same pair can differ between products; lists would hold it twice."""
+    return (distance.astype(np.float32).view(np.int32) & np.int32(-128)).view(np.float32)
+
+
 def _codes(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vectors = matrix(batch.column("vector"))
@@ -83,18 +96,19 @@ def _block_neighbours(block: pa.Table) -> pa.Table:
         {
             "node": np.repeat(nodes, count),
             "other": nodes[near].ravel(),
-            "distance": -np.take_along_axis(similar, near, axis=1).ravel().astype(np.float32),
+            "distance": coarse(-np.take_along_axis(similar, near, axis=1).ravel()),
         }
     )
 
 
 def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs among the nodes that meet, where the distance is below the worst in the first one's list."""
+    """Pairs among the nodes that meet, one of them for the first time, where the distance is below the worst in the first one's list."""
     for batch in batches:
         met = batch.column("met")
         sizes = np.diff(met.offsets.to_numpy())
         flat = met.flatten()
         nodes, worst = flat.field("node").to_numpy(), flat.field("worst").to_numpy()
+        fresh = flat.field("fresh").to_numpy(zero_copy_only=False)
         vectors = matrix(flat.field("vector")) if len(flat) else np.empty((0, 1), dtype=np.float32)
         begin = np.cumsum(sizes) - sizes
         found = []
@@ -103,8 +117,8 @@ def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in np.array_split(groups, max(1, len(groups) // 1000)):
                 at = begin[part][:, None] + np.arange(size)
                 own = vectors[at]
-                distance = -(own @ own.transpose(0, 2, 1))
-                better = distance < worst[at][:, :, None]
+                distance = coarse(-(own @ own.transpose(0, 2, 1)))
+                better = (distance < worst[at][:, :, None]) & (fresh[at][:, :, None] | fresh[at][:, None, :])
                 better[:, np.arange(size), np.arange(size)] = False
                 group, a, b = np.nonzero(better)
                 found.append((nodes[at[group, a]], nodes[at[group, b]], distance[group, a, b]))
@@ -127,6 +141,23 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows.filter(pa.array(distance < batch.column("limit").to_numpy()))
 
 
+def _grouped_scores(batches: Iterator[pa.RecordBatch], asked, limits) -> Iterator[pa.RecordBatch]:
+    """The same for nodes with the queries that ask for them; the queries' vectors and limits are at hand."""
+    (ids, vectors), limit = asked.value, limits.value
+    for batch in batches:
+        queries = batch.column("queries")
+        row = np.repeat(np.arange(batch.num_rows), np.diff(queries.offsets.to_numpy()))
+        at = np.searchsorted(ids, queries.flatten().to_numpy())
+        own, others = matrix(batch.column("vector")) if batch.num_rows else None, batch.column("other").to_numpy()
+        for first in range(0, len(row), 100_000):
+            r, q = row[first : first + 100_000], at[first : first + 100_000]
+            distance = -np.einsum("nd,nd->n", vectors[q].astype(np.float64), own[r].astype(np.float64))
+            near = distance < limit[q]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[q[near]]), pa.array(distance[near]), pa.array(others[r[near]])], names=["query", "distance", "other"]
+            )
+
+
 def _against_block(block: pa.Table, wanted: int) -> pa.Table:
     """The best of one block for each query in it."""
     asks = np.array(block.column("asks").to_pylist(), dtype=bool)
@@ -163,8 +194,10 @@ class Graph:
         self.nodes = written(self.rows.join(first, F.col("id") == F.col("node"), "inner").select("node", "vector"), "nodes")
         self.size = self.nodes.count()
         self.lists = self._first_lists()
-        for _ in range(ROUNDS):
-            self.lists = self._descend()
+        self.rounds, changed = 0, self.size * DEGREE
+        while changed > CHANGED * self.size * min(DEGREE, self.size - 1):
+            self.lists, changed = self._descend()
+            self.rounds += 1
 
     def _first_lists(self) -> DataFrame:
         bits = max(0, int(np.ceil(np.log2(max(self.size, 1) / (BLOCK / 2)))))
@@ -176,39 +209,63 @@ class Graph:
         found = coded.groupBy("number", "code", "block").applyInArrow(
             lambda block: _block_neighbours(block), "node bigint, other bigint, distance float"
         )
-        return self._merged(found)
+        return written(self._merged(found).withColumn("met", F.array().cast("array<bigint>")), "lists")
 
     @staticmethod
     def _merged(entries: DataFrame) -> DataFrame:
         """(node, list): the best DEGREE entries (distance, other) of each node."""
-        entry = F.struct("distance", "other")
-        lists = entries.groupBy("node").agg(best(entry, DEGREE).alias("list"))
-        return written(lists, "lists")
-
-    def _descend(self) -> DataFrame:
-        edges = self.lists.select("node", F.posexplode("list").alias("place", "entry"))
-        edges = edges.select("node", "place", F.col("entry.distance").alias("distance"), F.col("entry.other").alias("other"))
-        near = edges.filter(F.col("place") < MEETING).select("node", "other")
-        drawn = Window.partitionBy("other").orderBy(F.xxhash64("node", "other"))
+        return entries.groupBy("node").agg(best(F.struct("distance", "other"), DEGREE).alias("list"))
+
+    def _descend(self) -> tuple[DataFrame, int]:
+        """The lists after one more round, and how many of their entries are new; `met` has the entries that have met."""
+        drawn = lambda entry: F.struct(F.array_contains("met", entry["other"]).alias("old"), F.xxhash64("node", entry["other"]).alias("draw"), entry["other"].alias("other"))
+        lists = self.lists.withColumn("meet", F.slice(F.array_sort(F.transform("list", drawn)), 1, MEETING))
+        near = lists.select("node", F.explode("meet").alias("entry")).select("node", "entry.other", (~F.col("entry.old")).alias("fresh"))
+        drawn = Window.partitionBy("other").orderBy(F.desc("fresh"), F.xxhash64("node", "other"))
         back = near.withColumn("draw", F.row_number().over(drawn)).filter(F.col("draw") <= MEETING)
-        meetings = near.union(back.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
+        meetings = near.union(back.select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh")).repartition("node")
+        meetings = meetings.groupBy("node", "other").agg(F.max("fresh").alias("fresh"))
+        meetings = meetings.withColumn("any", F.max("fresh").over(Window.partitionBy("node"))).filter("any").drop("any")
         worst = F.when(F.size("list") < DEGREE, float("inf")).otherwise(F.element_at("list", -1)["distance"]).cast("float")
         guests = self.nodes.join(self.lists.select("node", worst.alias("worst")), "node").withColumnRenamed("node", "guest")
         meetings = meetings.join(guests, F.col("other") == F.col("guest"))
-        guest = F.struct(F.col("guest").alias("node"), "vector", "worst")
+        guest = F.struct(F.col("guest").alias("node"), "vector", "worst", "fresh")
         met = meetings.groupBy("node").agg(F.collect_list(guest).alias("met")).select("met")
         found = met.mapInArrow(_proposals, "node bigint, other bigint, distance float")
-        return self._merged(found.union(edges.select("node", "other", "distance")))
-
-    def search(self, queries: DataFrame, wanted: int = WANTED) -> DataFrame:
-        """(query, other, distance): the best nodes found for each query node, itself excluded."""
+        edges = lists.select("node", F.explode("list").alias("entry")).select("node", "entry.other", "entry.distance")
+        merged = self._merged(found.union(edges))
+        met = F.array_union("met", F.transform("meet", lambda entry: entry["other"])).alias("met")
+        before = lists.select("node", met, F.transform("list", lambda entry: entry["other"]).alias("before"))
+        merged = merged.join(before, "node").withColumn("others", F.transform("list", lambda entry: entry["other"]))
+        changed = F.size(F.array_except("others", "before")).alias("changed")
+        merged = written(merged.select("node", "list", F.array_intersect("met", "others").alias("met"), changed), "lists")
+        return merged.drop("changed"), merged.agg(F.sum("changed")).first()[0] or 0
+
+    def fitting_beam(self, queries: DataFrame, wanted: int = WANTED) -> int | None:
+        """The beam with which TRIED of the query nodes reach the target; None if all nodes had better be compared."""
+        tried = written(queries.orderBy(F.xxhash64("query"), "query").limit(TRIED), "tried")
+        true = written(self.exact(tried, wanted).select("query", "other"), "true")
+        expected, beam = true.count(), BEAM
+        while self.search(tried, wanted, beam).join(true, ["query", "other"]).count() < TARGET * expected:
+            beam *= 2
+            if 2 * beam >= self.size:
+                return None
+        return beam
+
+    def search(self, queries: DataFrame, wanted: int = WANTED, size: int = BEAM) -> DataFrame:
+        """(query, other, distance): the best nodes found for each query node, itself excluded, with beams of a size."""
         asked = written(queries.join(self.nodes, queries["query"] == self.nodes["node"]).select("query", F.col("vector").alias("query_vector"), F.lit(float("inf")).alias("limit")), "queries")
         count = asked.count()
+        shipped = None
+        if count <= BROADCAST_QUERIES:
+            rows = asked.select("query", "query_vector").orderBy("query").toArrow().combine_chunks()  # so many rows
+            vectors = matrix(rows.column("query_vector").combine_chunks()) if count else np.empty((0, 1), dtype=np.float32)
+            shipped = asked.sparkSession.sparkContext.broadcast((rows.column("query").to_numpy(), vectors))
         none = F.array().cast("array<struct<distance:double,other:bigint>>")
         # a query starts from itself: its own list is expanded first
         beam = written(asked.select("query", none.alias("beam"), F.array("query").alias("ahead")), "beam")
         while not beam.filter(F.size("ahead") > 0).isEmpty():
-            beam = self._hop(beam, asked, count)
+            beam = self._hop(beam, asked, count, size, shipped)
         found = beam.select("query", F.explode(F.slice("beam", 1, wanted)).alias("entry"))
         found = written(found.select("query", "entry.distance", "entry.other"), "found")
         short = found.groupBy("query").count().filter(F.col("count") < min(wanted, self.size - 1)).select("query")
@@ -217,18 +274,28 @@ class Graph:
             return found
         return found.join(short, "query", "left_anti").unionByName(self.exact(short, wanted))
 
-    def _hop(self, beam: DataFrame, asked: DataFrame, count: int) -> DataFrame:
+    def _hop(self, beam: DataFrame, asked: DataFrame, count: int, size: int, shipped) -> DataFrame:
         """Expands what lies ahead in each beam; what enters the beam thereby lies ahead next."""
         frontier = beam.select("query", F.explode("ahead").alias("at")).join(self.lists, F.col("at") == F.col("node"))
         frontier = frontier.select("query", F.explode("list.other").alias("other")).filter("query != other").distinct()
-        last = F.when(F.size("beam") < BEAM, float("inf")).otherwise(F.element_at("beam", -1)["distance"])
-        limited = asked.drop("limit").join(beam.select("query", last.alias("limit")), "query")
-        scored = self._scored(frontier, limited, count).groupBy("query")
-        beam = beam.join(scored.agg(best(F.struct("distance", "other"), BEAM).alias("new")), "query", "left")
+        last = F.when(F.size("beam") < size, float("inf")).otherwise(F.element_at("beam", -1)["distance"])
+        limits = beam.select("query", last.alias("limit"))
+        if shipped:
+            rows = limits.toArrow()
+            near = rows.column("limit").to_numpy()[np.argsort(rows.column("query").to_numpy())]  # in the order of the shipped queries
+            near = asked.sparkSession.sparkContext.broadcast(near)
+            part = F.pmod(F.xxhash64("query"), F.lit(-(-count // ASKING)))
+            asking = frontier.groupBy("other", part.alias("part")).agg(F.collect_list("query").alias("queries"))
+            asking = asking.join(self.nodes, F.col("other") == F.col("node")).select("other", "vector", "queries")
+            scored = asking.mapInArrow(partial(_grouped_scores, asked=shipped, limits=near), "query bigint, distance double, other bigint")
+        else:
+            scored = self._scored(frontier, asked.drop("limit").join(limits, "query"), count)
+        scored = scored.groupBy("query")
+        beam = beam.join(scored.agg(best(F.struct("distance", "other"), size).alias("new")), "query", "left")
         beam = beam.withColumn("known", F.transform("beam", lambda entry: entry["other"]))
         fresh = F.filter("new", lambda entry: ~F.array_contains("known", entry["other"]))
         beam = beam.withColumn("fresh", F.coalesce(fresh, F.array().cast(beam.schema["beam"].dataType)))
-        beam = beam.withColumn("merged", F.slice(F.array_sort(F.concat("beam", "fresh")), 1, BEAM))
+        beam = beam.withColumn("merged", F.slice(F.array_sort(F.concat("beam", "fresh")), 1, size))
         others = F.transform("merged", lambda entry: entry["other"])
         beam = beam.select("query", F.col("merged").alias("beam"), F.array_except(others, "known").alias("ahead"))
         return written(beam, "beam")
@@ -258,7 +325,8 @@ class Graph:
         own = own.join(self.rows.select("id", "key"), F.col("query_id") == F.col("id")).join(nodes, "key").select("query_id", "node")
         own = written(own, "own")
         asked = own.select(F.col("node").alias("query")).distinct()
-        found = self.search(asked, wanted)
+        self.beam = self.fitting_beam(asked, wanted)
+        found = self.search(asked, wanted, self.beam) if self.beam else self.exact(asked, wanted)
         itself = self._scored(asked.withColumn("other", F.col("query")), self._vectors(asked), asked.count())
         found = found.unionByName(itself)
         members = self.members.select(F.col("node").alias("of"), "id")

@@ -71,3 +71,10 @@ def test_exact_search_equals_brute_force(spark):
     for r in graph.exact(graph.nodes.filter("node % 20 = 0").selectExpr("node AS query")).collect():
         found.setdefault(r["query"], []).append((r["distance"], r["other"]))
     assert {q: [i for _, i in sorted(e)] for q, e in found.items()} == {q: [i for i, _ in e] for q, e in brute_force(rows).items()}
+
+
+def test_beam_grows_until_the_recall_is_reached(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BEAM", 20)  # as small for these vectors as the usual one for a large table
+    rng = np.random.default_rng(6)
+    rows = [(i, (v / np.linalg.norm(v)).astype(np.float32).tolist()) for i, v in enumerate(rng.standard_normal((3000, 64)))]
+    check(ann.nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)), rows, 0.93)
