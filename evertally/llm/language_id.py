@@ -134,7 +134,9 @@ def learned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.filter("text is not null and lang is not null").filter(in_training_part()).select("text", "lang")
     rows = rows.filter(F.col("text").rlike(r"\p{L}"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    # copies of a text are drawn together, so shares are of distinct texts
+    texts = F.approx_count_distinct(F.xxhash64("text")).alias("texts")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("count"), texts).orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return None
     found = rows.select("text").mapInArrow(_frequencies, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -142,14 +144,14 @@ def learned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     total = frequency.pop(-1)
     weights = np.array([np.log((1 + total) / (1 + frequency.get(b, 0))) + 1 for b in range(BUCKETS)], dtype=np.float32)
     # distinct texts whose hash is below the language's share
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, SAMPLE_PER_LANGUAGE / r["count"]))])
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, SAMPLE_PER_LANGUAGE / r["texts"]))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
     sample = rows.filter(draw < F.try_element_at(share, F.col("lang"))).distinct()
     sample = sample.mapInArrow(partial(_vectors, weights=weights), "lang string, vector array<float>")
     clusters = sample.groupBy("lang").applyInPandas(_centroids, "lang string, centroid array<float>, radius double")
     best = written(clusters, "centroids").orderBy("lang", "centroid").collect()  # CENTROIDS rows a language
-    if not best:
-        return None
+    if missing := {r["lang"] for r in sizes} - {r["lang"] for r in best}:
+        raise RuntimeError(f"languages without centroids: {sorted(missing)[:10]}")
     centroids = np.array([r["centroid"] for r in best], dtype=np.float32)
     return LanguageModel(weights, [r["lang"] for r in best], centroids, np.array([r["radius"] for r in best]))
 

@@ -66,3 +66,13 @@ def test_odd_rows(spark):
     nothing = spark.createDataFrame([], DOCS)
     assert li.learned(nothing) is None and li.identified(nothing, model).count() == 0
     assert {r["lang_pred"] for r in li.identified(docs, None).collect()} == {"und"}
+
+
+def test_a_language_of_copies_is_learned(spark):
+    copies = spark.range(20_000).selectExpr("id AS doc_id", "concat('der Hund und die Katze gingen nach Hause', if(id % 2 = 0, '', ' zusammen')) AS text", "'de' AS lang")
+    others = spark.range(50_000, 50_040).selectExpr("id AS doc_id", "concat('the cat and the dog number ', id, ' went home') AS text", "'en' AS lang")
+    docs = copies.union(others)
+    model = li.learned(docs)
+    assert set(model.languages) == {"de", "en"}
+    found = li.identified(docs, model).groupBy("lang_pred").count().collect()
+    assert {r["lang_pred"]: r["count"] for r in found} == {"de": 20_000, "en": 40}
