@@ -6,7 +6,7 @@ has a few centroids from spherical k-means, and a text takes the language of the
 text farther from it than the centroid's own documents is rejected in `accepted`.
 
 Document frequencies come from all training rows. The centroids come from a bounded sample: of each language about
-SAMPLE_PER_LANGUAGE distinct texts by a hash of the text, for at most MAX_LANGUAGES languages, the most frequent ones.
+SAMPLE_PER_LANGUAGE distinct texts by a hash of the text. Every language has centroids, of 64 KB in the broadcast model.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and not accepted; so is everything if there
 are no training rows; ties go to the first language in order; rows are judged one by one; empty tables give empty
@@ -27,14 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evertally.llm import words as w
-from evertally.llm.tables import in_training_part, written
+from evertally.llm.tables import in_training_part, small_side, written
 
 UNDETERMINED = "und"
 BUCKETS = 4096
 MAX_NGRAM = 3
 CENTROIDS = 4
 SAMPLE_PER_LANGUAGE = 400
-MAX_LANGUAGES = 300
 #: A text is rejected if its distance to the centroid is above this many times that of the farthest training texts.
 REJECT_FACTOR = 1.25
 ROWS = 512
@@ -136,22 +135,23 @@ def learned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     rows = rows.filter(F.col("text").rlike(r"\p{L}"))
     # copies of a text are drawn together, so shares are of distinct texts
     texts = F.approx_count_distinct(F.xxhash64("text")).alias("texts")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("count"), texts).orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
+    sizes = written(rows.groupBy("lang").agg(texts), "languages")
+    languages = sizes.count()
+    if not languages:
         return None
     found = rows.select("text").mapInArrow(_frequencies, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     frequency = {r["bucket"]: r["n"] for r in found.collect()}  # BUCKETS + 1 rows
     total = frequency.pop(-1)
     weights = np.array([np.log((1 + total) / (1 + frequency.get(b, 0))) + 1 for b in range(BUCKETS)], dtype=np.float32)
     # distinct texts whose hash is below the language's share
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, SAMPLE_PER_LANGUAGE / r["texts"]))])
+    share = F.least(F.lit(1.0), SAMPLE_PER_LANGUAGE / F.col("texts"))
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
-    sample = rows.filter(draw < F.try_element_at(share, F.col("lang"))).distinct()
+    sample = rows.join(small_side(sizes, languages), "lang").filter(draw < share).select("lang", "text").distinct()
     sample = sample.mapInArrow(partial(_vectors, weights=weights), "lang string, vector array<float>")
     clusters = sample.groupBy("lang").applyInPandas(_centroids, "lang string, centroid array<float>, radius double")
     best = written(clusters, "centroids").orderBy("lang", "centroid").collect()  # CENTROIDS rows a language
-    if missing := {r["lang"] for r in sizes} - {r["lang"] for r in best}:
-        raise RuntimeError(f"languages without centroids: {sorted(missing)[:10]}")
+    if (found := len({r["lang"] for r in best})) < languages:
+        raise RuntimeError(f"{languages - found} of {languages} languages have no centroid")
     centroids = np.array([r["centroid"] for r in best], dtype=np.float32)
     return LanguageModel(weights, [r["lang"] for r in best], centroids, np.array([r["radius"] for r in best]))
 

@@ -76,3 +76,15 @@ def test_a_language_of_copies_is_learned(spark):
     assert set(model.languages) == {"de", "en"}
     found = li.identified(docs, model).groupBy("lang_pred").count().collect()
     assert {r["lang_pred"]: r["count"] for r in found} == {"de": 20_000, "en": 40}
+
+
+def test_every_language_of_many_is_learned(spark):
+    rng = np.random.default_rng(7)
+    names = [f"l{i:03}" for i in range(310)]
+    words = {name: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(4)] for name in names}
+    rows = [(8 * i + j, " ".join(rng.permutation(words[name] * 3)), name, None, 1) for i, name in enumerate(names) for j in range(8)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = li.learned(docs)
+    assert set(model.languages) == set(names)
+    found = li.identified(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in found]) > 0.99
