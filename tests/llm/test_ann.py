@@ -74,7 +74,8 @@ def test_exact_search_equals_brute_force(spark):
 
 
 def test_beam_grows_until_the_recall_is_reached(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BEAM", 20)  # as small for these vectors as the usual one for a large table
+    for name, value in {"BEAM": 20, "DEGREE": 8, "MEETING": 4, "BLOCK": 32}.items():  # as small for these vectors as the usual ones for a large table
+        monkeypatch.setattr(ann, name, value)
     rng = np.random.default_rng(6)
-    rows = [(i, (v / np.linalg.norm(v)).astype(np.float32).tolist()) for i, v in enumerate(rng.standard_normal((3000, 64)))]
+    rows = [(i, (v / np.linalg.norm(v)).astype(np.float32).tolist()) for i, v in enumerate(rng.standard_normal((1500, 64)))]
     check(ann.nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)), rows, 0.93)
