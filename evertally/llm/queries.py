@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evertally.llm import ann, chat_preferences, decontamination, language_id, mixing, near_dedup, sharding, substring_dedup, toxicity, warc
+from evertally.llm import ann, chat_preferences, decontamination, language_id, merkle, mixing, near_dedup, sharding, substring_dedup, toxicity, warc
 from evertally.llm.tables import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,3 +165,79 @@ def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.benchmark_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of ASCII text as DuckDB SQL."""
+    shifted = "list_reduce(list_prepend(xor(c, b), [0,0,0,0,0,0,0,0]::BIGINT[]), lambda d, z: xor(d >> 1, 3988292384 * (d & 1)))"
+    letters = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {letters}), lambda c, b: {shifted}), 4294967295)"
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.verified_manifest(table(spark, sf, "documents"))
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value})::VARCHAR || ':' || {value}, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return f"sha256({' || '.join(map(_field_sql, values))})"
+
+
+ORACLES["op11_merkle_manifest"] = rf"""
+WITH RECURSIVE leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         row_number() OVER () AS id
+  FROM (
+    SELECT doc_id, lang, {_leaf_sql("text")} AS leaf,
+           CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 3 = 0
+                THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other
+    FROM documents)
+), nodes AS (
+  SELECT lang, 0 AS level, place, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place))
+  FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM nodes) WHERE n > 1
+  GROUP BY lang, level, place // 8
+), heights AS (
+  SELECT lang, max(level) AS height FROM nodes GROUP BY lang
+), subroots AS (
+  SELECT n.lang, height, digest AS subroot, row_number() OVER (ORDER BY n.lang NULLS FIRST) - 1 AS place
+  FROM nodes n JOIN heights h ON n.lang IS NOT DISTINCT FROM h.lang AND n.level = h.height
+), tops AS (
+  SELECT 0 AS level, place, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place))
+  FROM (SELECT *, count(*) OVER () AS n FROM tops) WHERE n > 1 GROUP BY level, place // 8
+), root AS (
+  SELECT digest AS root FROM tops QUALIFY level = max(level) OVER ()
+), steps AS (  -- every document's nodes on the way up, and the members of their runs
+  SELECT l.id, n.level, n.digest, CASE WHEN n.place <> l.place // (8 ** n.level)::BIGINT THEN n.digest END AS sibling, n.place
+  FROM leaves l JOIN heights h ON l.lang IS NOT DISTINCT FROM h.lang
+  JOIN nodes n ON n.lang IS NOT DISTINCT FROM l.lang AND n.level < h.height
+   AND n.place // 8 = l.place // (8 ** (n.level + 1))::BIGINT
+  UNION ALL
+  SELECT l.id, 100 + t.level, t.digest, CASE WHEN t.place <> s.place // (8 ** t.level)::BIGINT THEN t.digest END, t.place
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+  JOIN tops t ON t.place // 8 = s.place // (8 ** (t.level + 1))::BIGINT AND t.level < (SELECT max(level) FROM tops)
+), runs AS (
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY level) AS step,
+         string_agg(coalesce(sibling, '*'), '' ORDER BY place) AS run, coalesce(string_agg(sibling, '' ORDER BY place), '') AS siblings
+  FROM steps GROUP BY id, level
+), folds AS (
+  SELECT id, 0 AS step, coalesce(other, leaf) AS digest FROM leaves
+  UNION ALL
+  SELECT f.id, r.step, sha256(replace(r.run, '*', f.digest)) FROM folds f JOIN runs r ON r.id = f.id AND r.step = f.step + 1
+), folded AS (
+  SELECT id, digest AS folded_root FROM folds QUALIFY step = max(step) OVER (PARTITION BY id)
+), proved AS (
+  SELECT id, string_agg(siblings, '' ORDER BY step) AS proof FROM runs GROUP BY id
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang CROSS JOIN root
+JOIN folded f ON f.id = l.id LEFT JOIN proved p ON p.id = l.id
+"""
