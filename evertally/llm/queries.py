@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evertally.llm import ann, chat_preferences, decontamination, language_id, merkle, mixing, near_dedup, sharding, substring_dedup, toxicity, warc
+from evertally.llm import ann, chat_preferences, context_tree, decontamination, language_id, merkle, mixing, near_dedup, sharding, substring_dedup, toxicity, warc
 from evertally.llm.tables import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,3 +241,10 @@ SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256,
 FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang CROSS JOIN root
 JOIN folded f ON f.id = l.id LEFT JOIN proved p ON p.id = l.id
 """
+
+
+@query
+def op12_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    scores = context_tree.lm_scores(docs, ~held_out(parts=7))
+    return scores.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

@@ -29,9 +29,9 @@ def in_training_part(doc_id: str = "doc_id"):
     return ~held_out(doc_id)
 
 
-def held_out(doc_id: str = "doc_id"):
-    """crc32 of the id as text, modulo 4, is 2; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
+def held_out(doc_id: str = "doc_id", parts: int = 4):
+    """crc32 of the id as text, modulo `parts`, is 2; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts == 2
 
 
 def fresh_name(taken: list[str], name: str) -> str:
