@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -267,8 +268,8 @@ VALUES = "key bigint, total bigint, value double"
 def _string_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """log10 probability of each string, from rows of the strings and of the upper mixtures of their heads."""
     for table in _whole_heads(batches):
-        upper = table.filter(pa.compute.is_valid(table.column("node")))
-        table = table.filter(pa.compute.is_valid(table.column("string")))
+        upper = table.filter(pc.is_valid(table.column("node")))
+        table = table.filter(pc.is_valid(table.column("string")))
         strings, train = table.column("string").to_numpy(), table.column("train").to_numpy().astype(float)
         known = (upper.column("head").to_numpy() << 8) | upper.column("node").to_numpy()
         order = np.argsort(known, kind="stable")
