@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evertally.llm import ann, chat_preferences, context_tree, decontamination, language_id, merkle, mixing, near_dedup, sharding, substring_dedup, toxicity, warc
+from evertally.llm import ann, chat_preferences, context_tree, conversation_repair, decontamination, language_id, merkle, mixing, near_dedup, sharding, substring_dedup, toxicity, warc
 from evertally.llm.tables import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -248,3 +248,72 @@ def op12_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     scores = context_tree.lm_scores(docs, ~held_out(parts=7))
     return scores.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation_repair.repair_report(conversation_repair.damaged(table(spark, sf, "conversations")))
+
+
+_SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLES["op13_conversation_repair"] = rf"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS way
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN way = 1 THEN '' WHEN way = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM given, range(CASE WHEN way = 0 THEN 0 WHEN way = 3 THEN 2 ELSE 1 END)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, content) AS place
+  FROM (SELECT *, md5(length(role) || ':' || role || ':' || text) AS content, rtrim(text, {_SPACES}) AS trimmed FROM damaged)
+), rows_ AS (
+  SELECT *, CASE WHEN trimmed = '' THEN 'blank'
+            WHEN row_number() OVER (PARTITION BY conv_id, content ORDER BY place) > 1 THEN 'duplicate'
+            WHEN trimmed NOT SIMILAR TO '(.|\n)*[.!?]' THEN 'truncated' ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) || left(role, 1) AS pair
+  FROM placed
+), chains(state, inserts, text, reached) AS (VALUES
+  (0, '', '', 0), (0, 'I', 'user:', 2), (0, 'II', 'user:' || chr(10) || 'assistant:', 3),
+  (1, '', '', 1), (1, 'I', 'user:', 2), (1, 'II', 'user:' || chr(10) || 'assistant:', 3),
+  (2, '', '', 2), (2, 'I', 'assistant:', 3), (2, 'II', 'assistant:' || chr(10) || 'user:', 2),
+  (3, '', '', 3), (3, 'I', 'user:', 2), (3, 'II', 'user:' || chr(10) || 'assistant:', 3)
+), edits(state, edit, initial, role, reached, cost) AS (VALUES
+  (0, 'K', 's', NULL, 1, 0), (0, 'K', 'u', NULL, 2, 0), (1, 'K', 'u', NULL, 2, 0), (2, 'K', 'a', NULL, 3, 0), (3, 'K', 'u', NULL, 2, 0),
+  (0, 'R', NULL, 'user', 2, 2), (1, 'R', NULL, 'user', 2, 2), (2, 'R', NULL, 'assistant', 3, 2), (3, 'R', NULL, 'user', 2, 2),
+  (0, 'D', NULL, NULL, 0, 3), (1, 'D', NULL, NULL, 1, 3), (2, 'D', NULL, NULL, 2, 3), (3, 'D', NULL, NULL, 3, 3)
+), best(conv_id, place, state, way) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, {{'cost': 0::BIGINT, 'audit': '', 'out': ''}} FROM conversations
+  UNION ALL
+  SELECT b.conv_id, r.place, e.reached, min({{
+           'cost': b.way.cost + 2 * length(c.inserts) + e.cost + CASE WHEN e.edit <> 'D' AND r.fault = 'truncated' THEN 1 ELSE 0 END,
+           'audit': b.way.audit || c.inserts || e.edit,
+           'out': b.way.out || CASE WHEN c.inserts = '' THEN '' ELSE c.text || chr(10) END
+                  || CASE e.edit WHEN 'D' THEN '' ELSE coalesce(e.role, r.role) || ':' || r.text || chr(10) END}})
+  FROM best b JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.place = b.place + 1
+  JOIN chains c ON c.state = b.state
+  JOIN edits e ON e.state = c.reached AND coalesce(e.initial = left(r.role, 1), true)
+              AND (e.edit = 'D' OR r.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY b.conv_id, r.place, e.reached
+), ended AS (
+  SELECT b.conv_id, min({{
+           'cost': way.cost + CASE state WHEN 2 THEN 2 WHEN 1 THEN 4 ELSE 0 END,
+           'audit': way.audit || CASE state WHEN 2 THEN 'I' WHEN 1 THEN 'II' ELSE '' END,
+           'out': way.out || CASE state WHEN 2 THEN 'assistant:' || chr(10)
+                  WHEN 1 THEN 'user:' || chr(10) || 'assistant:' || chr(10) ELSE '' END}}) AS way
+  FROM best b
+  WHERE b.place = (SELECT coalesce(max(r.place), 0) FROM rows_ r WHERE r.conv_id IS NOT DISTINCT FROM b.conv_id)
+  GROUP BY b.conv_id
+), faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows_ GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, way.cost::BIGINT AS cost,
+       way.audit AS audit, sha256(rtrim(way.out, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
