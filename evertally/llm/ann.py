@@ -6,10 +6,11 @@
    that have not met yet first, with their vectors; each pair that improves one's list is proposed, and lists keep the
    best. Repeated until at most CHANGED of all list entries are new.
 3. A query starts from its own list, expands the best nodes not yet expanded, and keeps the best nodes, until all of
-   these are expanded. How many it keeps follows the table: from BEAM on, doubled until TRIED queries find TARGET of what
-   a comparison with all vectors finds; a table so small or hard that half of it would be kept is compared in full.
-   Queries that find fewer than wanted, which a graph of scattered parts can cause, are compared with all vectors, in
-   blocks.
+   these are expanded. It remembers every node that it has met, so none is scored twice. How many nodes it keeps follows
+   the table: from BEAM on, doubled until TRIED queries find TARGET of what a comparison with all vectors finds; the
+   answers of these queries are used as they are. Queries go in batches whose vectors take QUERY_BYTES, which are
+   broadcast; a node comes with all queries of the batch that ask for it, as one row. Queries that find fewer than
+   wanted, which a graph of scattered parts can cause, are compared with all vectors, in blocks.
 4. Nodes become the ids of their equal vectors, nearest first, ties to the smaller id.
 
 All steps are joins and aggregates; numpy multiplies the vectors inside them. Samples and beams bound the work only:
@@ -40,10 +41,8 @@ CHANGED = 0.05
 TABLES, BLOCK = 9, 512
 #: The smallest beam, and the recall at which TRIED queries find it large enough.
 BEAM, TARGET, TRIED = 224, 0.95, 200
-#: Query vectors that are sent to every executor; beyond it, they are shuffled to their pairs.
-BROADCAST_QUERIES = 20_000
-#: Queries that ask for one node in one row, about.
-ASKING = 500
+#: Bytes of the query vectors that are sent to every executor at a time.
+QUERY_BYTES = 16 << 20
 
 
 def usable(vector: str) -> Column:
@@ -129,20 +128,18 @@ def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact distances of pairs, of those below the query's limit."""
+def _norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact distance of each node to itself."""
     for batch in batches:
         if batch.num_rows:
-            a, b = (matrix(batch.column(c)).astype(np.float64) for c in ("query_vector", "vector"))
-            distance = -np.einsum("nd,nd->n", a, b)
-            rows = pa.RecordBatch.from_arrays(
-                [batch.column("query"), pa.array(distance), batch.column("other")], names=["query", "distance", "other"]
-            )
-            yield rows.filter(pa.array(distance < batch.column("limit").to_numpy()))
+            own = matrix(batch.column("vector")).astype(np.float64)
+            distance = pa.array(-np.einsum("nd,nd->n", own, own))
+            yield pa.RecordBatch.from_arrays([batch.column("query"), distance, batch.column("query")], names=["query", "distance", "other"])
 
 
 def _grouped_scores(batches: Iterator[pa.RecordBatch], asked, limits) -> Iterator[pa.RecordBatch]:
-    """The same for nodes with the queries that ask for them; the queries' vectors and limits are at hand."""
+    """Exact distances of nodes and the queries that ask for them, of those below the query's limit; the queries' vectors
+    and limits are at hand."""
     (ids, vectors), limit = asked.value, limits.value
     for batch in batches:
         queries = batch.column("queries")
@@ -178,7 +175,9 @@ class Graph:
     """Nodes (one per distinct vector, named by its smallest id) and their neighbour lists; making one runs the jobs."""
 
     def __init__(self, embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"):
-        rows = embeddings.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+        element = embeddings.select(F.col(vector).alias("vector")).schema["vector"].dataType.elementType
+        kind = "array<float>" if element.simpleString() == "float" else "array<double>"
+        rows = embeddings.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).cast(kind).alias("vector"))
         rows = rows.filter(F.col("id").isNotNull() & usable("vector"))
         sizes = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
         rows = rows.filter(F.size("vector") == (sizes["n"] if sizes else 0))
@@ -201,7 +200,8 @@ class Graph:
 
     def _first_lists(self) -> DataFrame:
         bits = max(0, int(np.ceil(np.log2(max(self.size, 1) / (BLOCK / 2)))))
-        coded = self.nodes.mapInArrow(partial(_codes, bits=bits), "node bigint, vector array<float>, codes array<bigint>")
+        kind = self.nodes.schema["vector"].dataType.simpleString()
+        coded = self.nodes.mapInArrow(partial(_codes, bits=bits), f"node bigint, vector {kind}, codes array<bigint>")
         coded = written(coded.select("node", "vector", F.posexplode("codes").alias("number", "code")), "codes")
         sizes = coded.groupBy("number", "code").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         coded = coded.join(sizes, ["number", "code"])
@@ -241,69 +241,75 @@ class Graph:
         merged = written(merged.select("node", "list", F.array_intersect("met", "others").alias("met"), changed), "lists")
         return merged.drop("changed"), merged.agg(F.sum("changed")).first()[0] or 0
 
-    def fitting_beam(self, queries: DataFrame, wanted: int = WANTED) -> int | None:
-        """The beam with which TRIED of the query nodes reach the target; None if all nodes had better be compared."""
+    def fitted(self, queries: DataFrame, wanted: int = WANTED) -> tuple[int, DataFrame, DataFrame]:
+        """(beam, queries, found): the beam with which TRIED of the query nodes reach the target, these, and what they find."""
         tried = written(queries.orderBy(F.xxhash64("query"), "query").limit(TRIED), "tried")
         true = written(self.exact(tried, wanted).select("query", "other"), "true")
         expected, beam = true.count(), BEAM
-        while self.search(tried, wanted, beam).join(true, ["query", "other"]).count() < TARGET * expected:
+        found = self.search(tried, wanted, beam)
+        while beam < self.size and found.join(true, ["query", "other"]).count() < TARGET * expected:
             beam *= 2
-            if 2 * beam >= self.size:
-                return None
-        return beam
+            found = self.search(tried, wanted, beam)
+        return beam, tried, found
 
     def search(self, queries: DataFrame, wanted: int = WANTED, size: int = BEAM) -> DataFrame:
-        """(query, other, distance): the best nodes found for each query node, itself excluded, with beams of a size."""
-        asked = written(queries.join(self.nodes, queries["query"] == self.nodes["node"]).select("query", F.col("vector").alias("query_vector"), F.lit(float("inf")).alias("limit")), "queries")
-        count = asked.count()
-        shipped = None
-        if count <= BROADCAST_QUERIES:
-            rows = asked.select("query", "query_vector").orderBy("query").toArrow().combine_chunks()  # so many rows
-            vectors = matrix(rows.column("query_vector").combine_chunks()) if count else np.empty((0, 1), dtype=np.float32)
-            shipped = asked.sparkSession.sparkContext.broadcast((rows.column("query").to_numpy(), vectors))
-        none = F.array().cast("array<struct<distance:double,other:bigint>>")
-        # a query starts from itself: its own list is expanded first
-        beam = written(asked.select("query", none.alias("beam"), F.array("query").alias("ahead")), "beam")
-        while not beam.filter(F.size("ahead") > 0).isEmpty():
-            beam = self._hop(beam, asked, count, size, shipped)
-        found = beam.select("query", F.explode(F.slice("beam", 1, wanted)).alias("entry"))
-        found = written(found.select("query", "entry.distance", "entry.other"), "found")
+        """(query, distance, other): the best nodes found for each query node, itself excluded, with beams of a size."""
+        asked = self.nodes.join(queries.select("query"), F.col("node") == F.col("query")).select("query", "vector")
+        asked = written(asked, "queries")
+        count, length = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+        batches = max(1, -(-count * length * 4 // QUERY_BYTES))
+        found = None
+        for batch in range(batches):
+            some = asked.filter(F.pmod(F.xxhash64("query"), F.lit(batches)) == batch)
+            some = self._searched(some, wanted, size)
+            found = some if found is None else found.unionByName(some)
         short = found.groupBy("query").count().filter(F.col("count") < min(wanted, self.size - 1)).select("query")
         short = written(short.union(asked.select("query").join(found, "query", "left_anti")), "short")
         if short.isEmpty():
             return found
         return found.join(short, "query", "left_anti").unionByName(self.exact(short, wanted))
 
-    def _hop(self, beam: DataFrame, asked: DataFrame, count: int, size: int, shipped) -> DataFrame:
+    def _searched(self, asked: DataFrame, wanted: int, size: int) -> DataFrame:
+        """The same for a batch of queries."""
+        rows = asked.orderBy("query").toArrow().combine_chunks()  # of QUERY_BYTES
+        vectors = matrix(rows.column("vector").combine_chunks()) if rows.num_rows else np.empty((0, 1), dtype=np.float32)
+        shipped = asked.sparkSession.sparkContext.broadcast((rows.column("query").to_numpy(), vectors))
+        none = F.array().cast("array<struct<distance:double,other:bigint>>")
+        # a query starts from itself: its own list is expanded first
+        itself = F.array("query")
+        beam = written(asked.select("query", none.alias("beam"), itself.alias("ahead"), itself.alias("met")), "beam")
+        while not beam.filter(F.size("ahead") > 0).isEmpty():
+            beam = self._hop(beam, size, shipped)
+        found = beam.select("query", F.explode(F.slice("beam", 1, wanted)).alias("entry"))
+        found = written(found.select("query", "entry.distance", "entry.other"), "found")
+        shipped.unpersist()
+        return found
+
+    def _hop(self, beam: DataFrame, size: int, shipped) -> DataFrame:
         """Expands what lies ahead in each beam; what enters the beam thereby lies ahead next."""
-        frontier = beam.select("query", F.explode("ahead").alias("at")).join(self.lists, F.col("at") == F.col("node"))
-        frontier = frontier.select("query", F.explode("list.other").alias("other")).filter("query != other").distinct()
+        reached = beam.select("query", F.explode("ahead").alias("at")).join(self.lists, F.col("at") == F.col("node"))
+        others = F.array_distinct(F.flatten(F.collect_list("list.other")))
+        reached = reached.groupBy("query").agg(others.alias("reached"))
+        new = F.array_except(F.coalesce("reached", F.array().cast("array<bigint>")), F.col("met"))
+        beam = written(beam.join(reached, "query", "left").withColumn("asks", new).drop("reached", "ahead"), "asks")
+
         last = F.when(F.size("beam") < size, float("inf")).otherwise(F.element_at("beam", -1)["distance"])
-        limits = beam.select("query", last.alias("limit"))
-        if shipped:
-            rows = limits.toArrow()
-            near = rows.column("limit").to_numpy()[np.argsort(rows.column("query").to_numpy())]  # in the order of the shipped queries
-            near = asked.sparkSession.sparkContext.broadcast(near)
-            part = F.pmod(F.xxhash64("query"), F.lit(-(-count // ASKING)))
-            asking = frontier.groupBy("other", part.alias("part")).agg(F.collect_list("query").alias("queries"))
-            asking = asking.join(self.nodes, F.col("other") == F.col("node")).select("other", "vector", "queries")
-            scored = asking.mapInArrow(partial(_grouped_scores, asked=shipped, limits=near), "query bigint, distance double, other bigint")
-        else:
-            scored = self._scored(frontier, asked.drop("limit").join(limits, "query"), count)
-        scored = scored.groupBy("query")
-        beam = beam.join(scored.agg(best(F.struct("distance", "other"), size).alias("new")), "query", "left")
-        beam = beam.withColumn("known", F.transform("beam", lambda entry: entry["other"]))
-        fresh = F.filter("new", lambda entry: ~F.array_contains("known", entry["other"]))
-        beam = beam.withColumn("fresh", F.coalesce(fresh, F.array().cast(beam.schema["beam"].dataType)))
-        beam = beam.withColumn("merged", F.slice(F.array_sort(F.concat("beam", "fresh")), 1, size))
-        others = F.transform("merged", lambda entry: entry["other"])
-        beam = beam.select("query", F.col("merged").alias("beam"), F.array_except(others, "known").alias("ahead"))
-        return written(beam, "beam")
-
-    def _scored(self, pairs: DataFrame, asked: DataFrame, count: int) -> DataFrame:
-        pairs = pairs.join(self.nodes, F.col("other") == F.col("node")).select("query", "other", "vector")
-        pairs = pairs.join(F.broadcast(asked) if count <= BROADCAST_QUERIES else asked, "query")
-        return pairs.mapInArrow(_scores, "query bigint, distance double, other bigint")
+        limits = beam.select("query", last.alias("limit")).toArrow()
+        limits = limits.column("limit").to_numpy()[np.argsort(limits.column("query").to_numpy())]  # in the order of the shipped queries
+        limits = beam.sparkSession.sparkContext.broadcast(limits)
+        asking = beam.select("query", F.explode("asks").alias("other")).groupBy("other").agg(F.collect_list("query").alias("queries"))
+        asking = asking.join(self.nodes, F.col("other") == F.col("node")).select("other", "vector", "queries")
+        scored = asking.mapInArrow(partial(_grouped_scores, asked=shipped, limits=limits), "query bigint, distance double, other bigint")
+        scored = scored.groupBy("query").agg(best(F.struct("distance", "other"), size).alias("new"))
+
+        known = F.transform("beam", lambda entry: entry["other"])
+        merged = F.concat("beam", F.coalesce("new", F.array().cast(beam.schema["beam"].dataType)))
+        beam = beam.join(scored, "query", "left").withColumn("known", known)
+        beam = beam.withColumn("beam", F.slice(F.array_sort(merged), 1, size))
+        ahead = F.array_except(F.transform("beam", lambda entry: entry["other"]), "known")
+        beam = written(beam.select("query", "beam", ahead.alias("ahead"), F.concat("met", "asks").alias("met")), "beam")
+        limits.unpersist()
+        return beam
 
     def exact(self, queries: DataFrame, wanted: int = WANTED) -> DataFrame:
         """The true best nodes for each query node: the queries against all nodes, in blocks."""
@@ -325,10 +331,10 @@ class Graph:
         own = own.join(self.rows.select("id", "key"), F.col("query_id") == F.col("id")).join(nodes, "key").select("query_id", "node")
         own = written(own, "own")
         asked = own.select(F.col("node").alias("query")).distinct()
-        self.beam = self.fitting_beam(asked, wanted)
-        found = self.search(asked, wanted, self.beam) if self.beam else self.exact(asked, wanted)
-        itself = self._scored(asked.withColumn("other", F.col("query")), self._vectors(asked), asked.count())
-        found = found.unionByName(itself)
+        self.beam, tried, found = self.fitted(asked, wanted)
+        found = found.unionByName(self.search(asked.join(tried, "query", "left_anti"), wanted, self.beam))
+        itself = self.nodes.join(asked, F.col("node") == F.col("query")).select("query", "vector")
+        found = found.unionByName(itself.mapInArrow(_norms, "query bigint, distance double, other bigint"))
         members = self.members.select(F.col("node").alias("of"), "id")
         found = found.join(members, F.col("other") == F.col("of")).select("query", "distance", "id")
         # of a query's node, as many ids as any of its queries can need
@@ -340,9 +346,6 @@ class Graph:
             "query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("entry.id").alias("vec_id"), (-F.col("entry.distance")).alias("score")
         )
 
-    def _vectors(self, asked: DataFrame) -> DataFrame:
-        return asked.join(self.nodes, F.col("query") == F.col("node")).select("query", F.col("vector").alias("query_vector"), F.lit(float("inf")).alias("limit"))
-
 
 def nearest(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", every: int = 20) -> DataFrame:
     """The nearest neighbours of every vector whose id is divisible by `every`, among all others."""

@@ -46,7 +46,7 @@ def test_registered_query_recall(spark):
 
 
 def test_copies_scales_and_odd_vectors(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BROADCAST_QUERIES", 0)
+    monkeypatch.setattr(ann, "QUERY_BYTES", 200)  # several batches of queries
     rng = np.random.default_rng(4)
     rows = [(i, (rng.standard_normal(8) * rng.random() * 3).astype(np.float32).tolist()) for i in range(300)]
     rows += [(1000 + i, rows[40][1]) for i in range(60)]  # copies of one vector
@@ -79,3 +79,25 @@ def test_beam_grows_until_the_recall_is_reached(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(i, (v / np.linalg.norm(v)).astype(np.float32).tolist()) for i, v in enumerate(rng.standard_normal((1500, 64)))]
     check(ann.nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)), rows, 0.93)
+
+
+def test_no_pair_is_scored_twice(spark, monkeypatch):
+    """A hop asks only for nodes that its query has not met; a node is one row, whatever the number of queries."""
+    rng = np.random.default_rng(7)
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(rng.standard_normal((600, 16)))]
+    graph = ann.Graph(spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS))
+    kept = []
+    monkeypatch.setattr(ann, "written", lambda rows, name, f=ann.written: kept.append((name, f(rows, name))) or kept[-1][1])
+    graph.search(graph.nodes.filter("node % 20 = 0").selectExpr("node AS query"), size=64).collect()
+    asked = [(r["query"], other) for name, table in kept if name == "asks" for r in table.collect() for other in r["asks"]]
+    assert len(asked) == len(set(asked)) and not any(q == o for q, o in asked)
+    last = [table for name, table in kept if name == "beam"][-1].collect()
+    assert sum(len(r["met"]) - 1 for r in last) == len(asked) and all(len(r["met"]) == len(set(r["met"])) for r in last)
+
+
+def test_vectors_of_doubles_are_scored_as_they_are(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((60, 4))
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    for r in ann.nearest(docs).collect():
+        assert r["score"] == pytest.approx(vectors[r["query_id"]] @ vectors[r["vec_id"]], rel=1e-14)
