@@ -187,10 +187,14 @@ class NearDuplicates:
     ):
         self.docs, self.doc_id, self.text = docs, doc_id, text
         self.length, self.percent, self.k = shingle_words, percent, k
-        self.narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        self.rows = written(self.signed(self.narrow, ["doc_id"], "text"), "signatures")
+        # tells apart texts of equal or missing ids
+        text_key = F.struct(F.xxhash64(text), F.hash(text)).alias("text_key")
+        self.narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_key)
+        self.rows = written(self.signed(self.narrow, ["doc_id", "text_key"], "text"), "signatures")
         classes = self.rows.filter("n_shingles > 0").groupBy("cls", "n_shingles", "sketch", "listed")
-        self.classes = written(classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")), "classes")
+        first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("rep"), F.col("text_key").alias("rep_key")))
+        classes = classes.agg(first.alias("first"), F.count("*").alias("n_rows"))
+        self.classes = written(classes.select("cls", "n_shingles", "sketch", "listed", "first.rep", "first.rep_key", "n_rows"), "classes")
         self.links = self._links()
 
     def signed(self, rows: DataFrame, keep: list[str], text: str) -> DataFrame:
@@ -265,13 +269,18 @@ class NearDuplicates:
 
     def _sets(self, wanted: DataFrame) -> DataFrame:
         """(cls, shingles) of the wanted classes, from the text of one of their documents."""
-        wanted = self.classes.join(wanted.distinct(), "cls", "left_semi").select("rep", F.col("cls").alias("wanted"))
-        wanted = written(wanted, "wanted")
-        texts = self.narrow.join(small_side(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("rep")))
-        sets = texts.select("text", "wanted").mapInArrow(
+        sets = self._texts(wanted).mapInArrow(
             partial(_sets, text="text", length=self.length), "cls binary, shingles array<bigint>"
         )
-        return written(sets.dropDuplicates(["cls"]), "sets")
+        return written(sets, "sets")
+
+    def _texts(self, wanted: DataFrame) -> DataFrame:
+        """(wanted, text): one text for each of the wanted classes, whatever the ids of its documents."""
+        wanted = self.classes.join(wanted.distinct(), "cls", "left_semi").select("rep", "rep_key", F.col("cls").alias("wanted"))
+        wanted = written(wanted, "wanted")
+        same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("rep_key"))
+        texts = self.narrow.join(small_side(wanted, wanted.count()), same)
+        return texts.groupBy("wanted").agg(F.any_value("text").alias("text"))
 
     def _in_blocks(self, lists: DataFrame) -> DataFrame:
         """Links across components within the lists, each cut into blocks of which any two meet in one task."""

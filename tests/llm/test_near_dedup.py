@@ -115,3 +115,17 @@ def test_components_of_a_long_chain(spark):
     for part in (ids[:121], ids[121:]):
         assert {labels[i] for i in part} == {min(part)}
     assert labels[500] == 500
+
+
+@pytest.mark.parametrize("doc_id", [None, 5, "own"])
+def test_one_text_is_fetched_for_each_class(spark, doc_id):
+    """However many documents lack an id or share one; a very long text and repeated rows are among them."""
+    base = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)] + ["long " * 3 + " ".join(map(str, range(30_000)))]
+    texts = [t for text in base for t in (text, text + " end")] + base[:10]
+    rows = [(i if doc_id == "own" else doc_id, text, "x", "s", 1) for i, text in enumerate(texts)]
+    duplicates = nd.NearDuplicates(spark.createDataFrame(rows, DOCS))
+    wanted = duplicates.classes.select("cls")
+    assert duplicates._texts(wanted).count() == wanted.count() == 82
+    assert duplicates._sets(wanted).select("cls").distinct().count() == 82
+    if doc_id is None:
+        assert duplicates.links.count() == 41
