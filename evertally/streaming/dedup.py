@@ -1,4 +1,11 @@
-"""Horizon deduplication as a stateful stream operator: one `last counted` value per event id."""
+"""Horizon deduplication as a stateful stream operator: one `last counted` value per event id, until it expires.
+
+An id's value is of no more use once nothing within its horizon can be delivered any more. Arrival time tells when
+that is: the watermark is the newest arrival less `lateness`, and when it passes the end of the horizon a timer drops the
+value. So the state holds the ids of the last horizon and lateness, however long the query runs. No row is dropped for
+being late: the watermark is kept on a column that ends before the operator. An arrival that is delivered
+with more than `lateness` delay behind the newest one is judged without what has expired by then.
+"""
 
 from __future__ import annotations
 
@@ -17,22 +24,32 @@ from evertally import fixed_values as fixed
 from evertally.operators.dedup import EVENT_KEYS
 from evertally.settings import micros, positive_duration
 
+#: How far behind the newest arrival a delivery may be and still be judged with all that was counted.
+LATENESS = timedelta(days=1)
 ARRIVAL = "arrived_us"  # stateful operators rename columns that start with an underscore
 
 
 class HorizonDedup(StatefulProcessor):
-    """Keeps an arrival more than one horizon after the last kept one; duplicates leave no trace."""
+    """Keeps an arrival more than one horizon after the last kept one; duplicates leave no trace.
+
+    One timer per id ends its state; it moves with the last kept arrival.
+    """
 
     def __init__(self, reach: int, keys: Sequence[str]):
         self.reach = reach
         self.keys = list(keys)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last_counted", "t BIGINT")
 
+    def end_of(self, last: int) -> int:
+        """The first millisecond at which an arrival would be counted anyway."""
+        return (last + self.reach) // 1000 + 1
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
         arrivals = np.unique(np.concatenate([batch[ARRIVAL].to_numpy() for batch in rows]))
-        last = self.last.get()[0] if self.last.exists() else None
+        before = last = self.last.get()[0] if self.last.exists() else None
         kept = []
         position = 0 if last is None else np.searchsorted(arrivals, last + self.reach, side="right")
         while position < len(arrivals):
@@ -41,8 +58,16 @@ class HorizonDedup(StatefulProcessor):
             position = np.searchsorted(arrivals, last + self.reach, side="right")
         if kept:
             self.last.update((last,))
+            if before is not None:
+                self.handle.deleteTimer(self.end_of(before))
+            self.handle.registerTimer(self.end_of(last))
             yield pd.DataFrame([(*key, t) for t in kept], columns=[*self.keys, ARRIVAL])
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self.end_of(self.last.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
@@ -63,18 +88,21 @@ def horizon_dedup_stream(
     horizon: timedelta = fixed.DEDUP_HORIZON,
     keys: Sequence[str] = EVENT_KEYS,
     at: str = "accepted_at",
+    lateness: timedelta = LATENESS,
 ) -> DataFrame:
     """Counted events of a stream: the key columns and `counted_at`.
 
-    Time is the arrival column, never the processing clock and never a watermark, so late events
+    Time is the arrival column, never the processing clock, and no row is dropped by a watermark, so late events
     count and a replay gives the same result. The ids of one micro-batch are bounded by the source's
     admission (`maxFilesPerTrigger`, `maxOffsetsPerTrigger`).
     """
     reach = micros(positive_duration("horizon", horizon))
+    delay = f"{micros(positive_duration('lateness', lateness))} microseconds"
     keys = list(keys)
-    arrivals = events.select(*keys, F.unix_micros(at).alias(ARRIVAL))
+    timed = events.select(*keys, F.col(at).alias("clock"), F.unix_micros(at).alias(ARRIVAL)).withWatermark("clock", delay)
+    arrivals = timed.select(*keys, ARRIVAL)
     arrivals = arrivals.mapInArrow(collapse(keys), arrivals.schema)
     counted = arrivals.groupBy(*keys).transformWithStateInPandas(
-        HorizonDedup(reach, keys), outputStructType=arrivals.schema, outputMode="update", timeMode="None"
+        HorizonDedup(reach, keys), outputStructType=arrivals.schema, outputMode="update", timeMode="eventTime"
     )
     return counted.select(*keys, F.timestamp_micros(ARRIVAL).alias("counted_at"))

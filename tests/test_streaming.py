@@ -7,6 +7,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from evertally.functions import contracts
+from evertally.operators.dedup import horizon_dedup
 from evertally.operators import counts
 from evertally.sources import topics
 from evertally.sources.folders import BatchLog, Folder, Table
@@ -65,6 +66,27 @@ def test_counts_survive_restarts(spark, folder, stateful):
     assert emitted == [2, 3, 4]  # nothing is emitted for a batch of duplicates
 
 
+def test_expired_ids_leave_the_state(spark, folder):
+    """Forty days of ids, restarted every four days: the state holds the last nine, the result is that of a batch."""
+    events, counted = BatchLog(spark, f"{folder}/events", EVENT), BatchLog(spark, f"{folder}/counted", counting.COUNTED)
+    rows = [(f"{day}-{i}", 123, 0, NOW + timedelta(days=day, seconds=i)) for day in range(40) for i in range(20)]
+    rows += [(i, v, s, t + timedelta(days=d)) for i, v, s, t in rows[::3] for d in (1, 7, 8)]  # repeats: two inside
+    rows += [(i, v, s, t - timedelta(hours=20)) for i, v, s, t in rows[1:800:7]]  # earlier arrivals, some delivered late
+    state = []
+    for part in range(12):
+        during = [r for r in rows if part * 4 <= (r[3] - NOW).days < part * 4 + 4 or (part == 0 and r[3] < NOW)]
+        events.append(spark.createDataFrame(during, EVENT), part)
+        query = counting.count_events_stateful(events.stream(), counted, f"{folder}/checkpoint")
+        query = query.trigger(availableNow=True).start()
+        query.awaitTermination()
+        state.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    names = ["event_id", "counted_at"]
+    batch = horizon_dedup(spark.createDataFrame(rows, EVENT))
+    assert sorted(counted.read().select(names).collect()) == sorted(batch.select(names).collect())
+    # a value and a timer (kept twice: by id and by time) per id of some twelve days, not of forty
+    assert max(state) < 3 * 20 * 14 and state[-1] < state[5]
+
+
 def test_snapshots_are_gated_by_version(spark, folder):
     job = Counting(spark, folder)
 
