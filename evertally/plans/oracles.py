@@ -212,6 +212,11 @@ ORACLES: dict[str, str] = {
         """SELECT source_id AS "offset", key, t AS arrival_us FROM records
            WHERE accepted_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 14 DAY""",
     ),
+    "topic_retention": _with(
+        RECORDS,
+        """SELECT source_id AS "offset", key, t AS arrival_us, accepted_at::DATE::VARCHAR AS day FROM records
+           WHERE accepted_at::DATE >= DATE '2024-01-31' - INTERVAL 14 DAY""",
+    ),
     "version_gated_upsert": _with(
         STORED,
         """SELECT coalesce(s.video_id, l.video_id) AS video_id, greatest(s.n, l.n) AS view_count,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,11 @@ from evertally.plans import mapping as m
 from evertally.plans.queries import query, us
 from evertally.session import ROCKSDB, fresh_folder
 from evertally.sources import topics
+from evertally.sources.dated_log import DatedLog
 from evertally.sources.folders import BatchLog, Table
 from evertally.streaming import counting, projection
 
+AS_OF = datetime(2024, 1, 31)
 # Arrival dates at which the replay is cut; the first and last parts are open-ended
 CUTS = ("2024-01-09", "2024-01-17", "2024-01-25")
 
@@ -59,8 +62,8 @@ def replay(rows: DataFrame, at: str, path: str, build: Callable[[DataFrame], Dat
         run(build(log.stream()))
 
 
-def counted_log(spark: SparkSession, sf: str, base: str) -> BatchLog:
-    counted = BatchLog(spark, f"{base}/counted", counting.COUNTED)
+def counted_log(spark: SparkSession, sf: str, base: str) -> DatedLog:
+    counted = counting.counted_log(spark, f"{base}/counted")
 
     def count(rows: DataFrame) -> DataStreamWriter:
         return counting.count_events(m.view_events_of(rows), counted, f"{base}/checkpoints/counted")
@@ -79,7 +82,7 @@ def stream_horizon_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def stream_horizon_dedup_stateful(spark: SparkSession, sf: str) -> DataFrame:
     """The low-latency form: one state value per event id."""
     base = fresh_folder(spark, "stream")
-    log = BatchLog(spark, f"{base}/counted", counting.COUNTED)
+    log = counting.counted_log(spark, f"{base}/counted")
 
     def count(rows: DataFrame) -> DataStreamWriter:
         return counting.count_events_stateful(m.view_events_of(rows), log, f"{base}/checkpoints/counted")
@@ -159,3 +162,15 @@ def stream_projection(spark: SparkSession, sf: str) -> DataFrame:
     feed = m.usable_change_feed(spark, sf).filter(m.pending_video()).drop("video_id")
     replay(feed, "emitted_at", f"{base}/feed", project)
     return target.table.read()
+
+
+@query
+def topic_retention(spark: SparkSession, sf: str) -> DataFrame:
+    """Event records written to a dated topic in three batches, expired as of the last one, and read again."""
+    columns = "topic", "partition", "offset", "key", "value", "arrival"
+    topic = DatedLog(spark, f"{fresh_folder(spark, 'topic')}/views", contracts.RAW_RECORD, "arrival", keep=timedelta(0))
+    records = m.event_records(spark, sf).select(*columns)
+    for part in range(3):
+        topic.append(records.filter(F.col("offset") % 3 == part), part)
+    topic.expire_days(AS_OF)
+    return topic.read().select("offset", "key", us("arrival", "arrival_us"), F.col("day").cast("string").alias("day"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,21 +49,34 @@ class Folder:
     def has(self, name: str) -> bool:
         return self._fs.exists(self._at(f"{self.path}/{name}"))
 
-    def names(self) -> list[str]:
-        if not self._fs.exists(self._at(self.path)):
+    def names(self, below: str = "") -> list[str]:
+        at = self._at(f"{self.path}/{below}".rstrip("/"))
+        if not self._fs.exists(at):
             return []
-        return sorted(entry.getPath().getName() for entry in self._fs.listStatus(self._at(self.path)))
+        return sorted(entry.getPath().getName() for entry in self._fs.listStatus(at))
 
     def publish(self, rows: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> bool:
         """Write `rows` as sub-folder `name`; false when it is already there."""
         if self.has(name):
             return False
-        aside = f"{self.path}/.writing-{name.replace('/', '-')}"  # hidden from listings
-        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(aside)
+        aside = f".writing-{name.replace('/', '-')}"  # hidden from listings
+        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.path}/{aside}")
+        self._move(aside, name)
+        return True
+
+    def publish_parts(self, rows: DataFrame, part: str, name: str, partition_by: tuple[str, ...] = ()) -> None:
+        """Write `rows` as sub-folders `part=value/name`, one per value; those that are there already stay."""
+        aside = f".writing-{name.replace('/', '-')}"
+        rows.write.mode("overwrite").partitionBy(part, *partition_by).parquet(f"{self.path}/{aside}")
+        for value in self.names(aside):
+            if value.startswith(f"{part}=") and not self.has(f"{value}/{name}"):
+                self._move(f"{aside}/{value}", f"{value}/{name}")
+        self.remove(aside)
+
+    def _move(self, source: str, name: str) -> None:
         self._fs.mkdirs(self._at(f"{self.path}/{name}").getParent())
-        if not self._fs.rename(self._at(aside), self._at(f"{self.path}/{name}")):
+        if not self._fs.rename(self._at(f"{self.path}/{source}"), self._at(f"{self.path}/{name}")):
             raise OSError(f"cannot publish {self.path}/{name}")
-        return True
 
     def age(self, name: str) -> timedelta:
         """Time since the folder was put in place."""
@@ -110,8 +123,8 @@ class BatchLog:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self.folder.path)
 
-    def apart_from(self, run: str, batch_id: int) -> DataFrame:
-        """What other runs and the earlier batches of this one have appended."""
+    def apart_from(self, run: str, batch_id: int, since: date | None = None) -> DataFrame:
+        """What other runs and the earlier batches of this one have appended; a dated log needs no days before `since`."""
         return self.read().filter((F.col("run") != run) | (F.col("batch_id") < batch_id))
 
     def stream(self, max_files: int | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -19,6 +19,7 @@ from evertally.functions import contracts
 from evertally.operators import counts, gate, ingest, split
 from evertally.operators.dedup import EVENT_KEYS, horizon_dedup
 from evertally.settings import positive_duration
+from evertally.sources.dated_log import DatedLog, day_of
 from evertally.sources.folders import BatchLog, Table, run_of
 from evertally.streaming.dedup import LATENESS, horizon_dedup_stream
 
@@ -83,10 +84,18 @@ def valid_events(routed: DataFrame) -> DataFrame:
     return routed.filter(F.col("topic") == fixed.VIEWS_TOPIC)
 
 
+def counted_log(spark: SparkSession, path: str) -> DatedLog:
+    """The log of counted events, by the day on which they were counted."""
+    return DatedLog(spark, path, COUNTED, "counted_at")
+
+
 def count_events(
     events: DataFrame, counted: BatchLog, checkpoint: str, horizon: timedelta = fixed.DEDUP_HORIZON
 ) -> DataStreamWriter:
-    """Deduplicate each micro-batch against what was counted within the last horizon."""
+    """Deduplicate each micro-batch against what was counted within the last horizon.
+
+    `counted` had better be a `counted_log`: a plain log is listed whole in every micro-batch.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.select(*EVENT_KEYS, "accepted_at")
@@ -94,10 +103,11 @@ def count_events(
         if earliest is None:
             return
         run = run_of(batch.sparkSession, checkpoint)
-        # older entries cannot suppress anything; the bound prunes them in the scan, and of the others only
-        # those of the batch's ids are aggregated
+        # older entries cannot suppress anything: their days are not listed, and of the others only those of the
+        # batch's ids are aggregated
         reachable = F.col("counted_at") >= F.lit(earliest) - F.lit(horizon)
-        seen = counted.apart_from(run, batch_id).filter(reachable).select(*EVENT_KEYS, "counted_at")
+        seen = counted.apart_from(run, batch_id, since=day_of(earliest - horizon))
+        seen = seen.filter(reachable).select(*EVENT_KEYS, "counted_at")
         seen = seen.join(batch.select(*EVENT_KEYS), list(EVENT_KEYS), "left_semi")
         fresh = horizon_dedup(batch, horizon, already_counted=seen, span=latest - earliest)
         counted.append(fresh, batch_id, run=run)

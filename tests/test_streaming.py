@@ -1,4 +1,5 @@
 import json
+import re
 import time
 from datetime import datetime, timedelta
 
@@ -7,9 +8,10 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from evertally.functions import contracts
-from evertally.operators.dedup import horizon_dedup
 from evertally.operators import counts
+from evertally.operators.dedup import horizon_dedup
 from evertally.sources import topics
+from evertally.sources.dated_log import DatedLog
 from evertally.sources.folders import BatchLog, Folder, Table
 from evertally.streaming import counting, listener
 from evertally.streaming.projection import Projection, project_changes
@@ -30,7 +32,7 @@ class Counting:
     def __init__(self, spark, folder, stateful=False):
         self.spark, self.folder = spark, folder
         self.events = BatchLog(spark, f"{folder}/events", EVENT)
-        self.counted = BatchLog(spark, f"{folder}/counted", counting.COUNTED)
+        self.counted = counting.counted_log(spark, f"{folder}/counted")
         self.shards = BatchLog(spark, f"{folder}/shards", counting.SHARD_SNAPSHOTS)
         self.totals = BatchLog(spark, f"{folder}/totals", counting.TOTAL_SNAPSHOTS)
         self.table = Table(spark, f"{folder}/table", contracts.VIDEO_COUNTER)
@@ -351,6 +353,76 @@ def test_batch_folders_appear_whole_and_once(spark, folder):
     assert sorted(r["n"] for r in log.apart_from("direct", 1).collect()) == [1, 3]
 
 
+def dated(spark, folder, keep=timedelta(0)):
+    log = DatedLog(spark, f"{folder}/log", "n INT, arrival TIMESTAMP", "arrival", keep)
+    for batch in range(3):
+        rows = [(10 * batch + n, NOW + timedelta(days=batch + n, hours=23)) for n in range(3)]
+        assert log.append(spark.createDataFrame(rows, "n INT, arrival TIMESTAMP"), batch)
+    return log
+
+
+def test_a_dated_log_opens_only_the_days_it_needs(spark, folder):
+    log = dated(spark, folder)
+    assert [(day - NOW.date()).days for day in log.days()] == [0, 1, 2, 3, 4]
+    since = (NOW + timedelta(days=3)).date()
+    late = log.apart_from("direct", 2, since=since)
+    assert sorted(r["n"] for r in late.collect()) == [12]
+    assert all(f"day={since}" in file or f"day={since + timedelta(days=1)}" in file for file in late.inputFiles())
+    assert re.search(r"PartitionFilters: \[[^\]]*day", late._jdf.queryExecution().executedPlan().toString())
+    assert not log.append(spark.createDataFrame([(99, NOW)], "n INT, arrival TIMESTAMP"), 1)
+    assert sorted(r["n"] for r in log.read().collect()) == [0, 1, 2, 10, 11, 12, 20, 21, 22]
+
+
+def test_a_dated_batch_that_broke_off_is_completed(spark, folder, monkeypatch):
+    log = DatedLog(spark, f"{folder}/log", "n INT, arrival TIMESTAMP", "arrival")
+    rows = spark.createDataFrame([(n, NOW + timedelta(days=n)) for n in range(3)], "n INT, arrival TIMESTAMP")
+    move, moved = Folder._move, []
+
+    def breaks_off(self, source, name):
+        if len(moved) == 2:
+            raise OSError("lost")
+        moved.append(name)
+        move(self, source, name)
+
+    monkeypatch.setattr(Folder, "_move", breaks_off)
+    with pytest.raises(OSError):
+        log.append(rows, 0)
+    monkeypatch.undo()
+    assert log.read().count() == 2
+    assert log.append(rows, 0) and not log.append(rows, 0)
+    assert sorted(r["n"] for r in log.read().collect()) == [0, 1, 2]
+
+
+def test_retention_hides_days_first_and_removes_them_later(spark, folder):
+    log = dated(spark, folder, keep=timedelta(hours=1))
+    before = log.read()
+    assert log.expire_days(NOW + timedelta(days=16)) == []  # hidden for less than an hour: nothing goes
+    assert sorted(r["n"] for r in log.read().collect()) == [2, 11, 12, 20, 21, 22]
+    assert before.count() == 9  # a reader from before goes on
+    assert log.expire_days(NOW + timedelta(days=15)) == []  # a bound never goes back
+    assert log.read().count() == 6
+    log.keep = timedelta(0)
+    assert [(day - NOW.date()).days for day in log.expire_days(NOW + timedelta(days=16))] == [0, 1]
+    assert sorted(r["n"] for r in log.read().collect()) == [2, 11, 12, 20, 21, 22]
+    assert log.append(spark.createDataFrame([(30, NOW + timedelta(days=9))], "n INT, arrival TIMESTAMP"), 3)
+    assert log.read().count() == 7
+
+
+def test_counting_reads_the_days_of_the_horizon(spark, folder, monkeypatch):
+    """The days before the horizon are not listed, and dropping them changes nothing."""
+    job = Counting(spark, folder)
+    for day in range(0, 40, 4):
+        job.deliver((f"{day}", day * DAY), ("A", day * DAY + 5))
+    asked = []
+    read = DatedLog.read
+    monkeypatch.setattr(DatedLog, "read", lambda self, since=None: asked.append(since) or read(self, since))
+    assert job.deliver(("A", 40 * DAY), ("36", 41 * DAY)) == 16
+    assert asked[0] == (NOW + timedelta(days=33)).date()
+    job.counted.keep = timedelta(0)
+    assert len(job.counted.expire_days(NOW + timedelta(days=41), timedelta(days=8))) == 9
+    assert job.deliver(("A", 42 * DAY), ("B", 42 * DAY)) == 17
+
+
 def test_expired_batches_are_dropped_whole(spark, folder):
     log = BatchLog(spark, f"{folder}/log", "n INT, arrival TIMESTAMP")
     for batch in range(4):
