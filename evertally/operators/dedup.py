@@ -3,12 +3,12 @@
 Kept arrivals of one id form a greedy chain: the first arrival, then the first arrival more than
 one horizon after the last kept one, and so on. A dropped duplicate never moves the chain.
 
-The id's rows are never gathered. They are first summarized per (id, time cell) with partial
-aggregation, so a hot id shrinks to a few numbers per cell before the shuffle, and the chain is
-walked over the cells. One cell is no wider than the horizon, so it holds at most one kept arrival,
-and its minimum and maximum nearly always tell which. Where they do not (four or more arrivals
-around the exact expiry), the one missing value is looked up in the rows of that time, again as a
-partial aggregate, and the walk goes on. A chain needs at most one lookup per horizon it spans.
+The source is read once: its distinct (id, arrival) pairs, cut into time cells, are shuffled and written aside, and all
+that follows works on them. An id's rows are never gathered: they are summarized per (id, cell) with partial
+aggregation, so a hot id shrinks to a few numbers per cell, and the chain is walked over the cells. A cell is no wider
+than the horizon, so it holds at most one kept arrival, and its minimum and maximum nearly always tell which. Where they
+do not (four or more arrivals around the exact expiry), the one missing value is looked up among the pairs of
+that cell, again as a partial aggregate, and the walk goes on. A chain needs at most one lookup per horizon it spans.
 """
 
 from __future__ import annotations
@@ -25,9 +25,6 @@ from evertally.settings import micros, positive_count, positive_duration, slice_
 
 EVENT_KEYS = ("event_id", "video_id", "counter_shard_id")
 
-# Lookups for at most this many ids are broadcast (about 200 bytes each); more are shuffled.
-BROADCAST_IDS = 50_000
-
 
 def horizon_dedup(
     events: DataFrame,
@@ -36,84 +33,56 @@ def horizon_dedup(
     at: str = "accepted_at",
     cells_per_horizon: int = 4096,
     already_counted: DataFrame | None = None,
-    span: timedelta | None = None,
 ) -> DataFrame:
     """One row per counted event: the key columns and `counted_at` (arrival, a timestamp).
 
     `at` is a column of the rows, so the result does not depend on row order or on when the job runs.
     Keys and arrival must not be null, which the event contract guarantees. `already_counted` (an
-    earlier result) continues its chains: `events` then holds only later arrivals. `span` is the time
-    the arrivals cover, where known: within one horizon an id has one cell, which saves a shuffle.
+    earlier result) continues its chains: `events` then holds only later arrivals.
     """
     reach = micros(positive_duration("horizon", horizon))
-    width: int | None = max(1, reach // positive_count("cells per horizon", cells_per_horizon))
-    if span is not None and span <= horizon:
-        width = None
+    width = max(1, reach // positive_count("cells per horizon", cells_per_horizon))
     keys = list(keys)
-    ids = _cells_per_id(_arrivals(events, keys, at, width), keys, one_cell=width is None)
+    enable_checkpoints(events.sparkSession)
+    arrivals = _arrivals(events, keys, at, width).checkpoint()
+    ids = _cells_per_id(arrivals, keys)
     if already_counted is not None:
         last = already_counted.groupBy(*keys).agg(F.max(F.unix_micros("counted_at")).alias("_last"))
         ids = ids.join(last, keys, "left")
     else:
         ids = ids.withColumn("_last", F.lit(None).cast("bigint"))
     # the last counted arrival is the head of the chain; it is not counted again
-    chains = _walk(ids.withColumn("_kept", F.array_compact(F.array("_last"))), reach)
-    enable_checkpoints(events.sparkSession)
-    chains, stuck = _materialize(chains)
-    if width is None and stuck["ids"] > BROADCAST_IDS:
-        # too many lookups to broadcast, and one cell per id would not spread a hot id
-        return horizon_dedup(events, horizon, keys, at, cells_per_horizon, already_counted)
-
-    finished = chains.filter("_stuck is null").select(*keys, "_last", "_kept")
-    while stuck["ids"]:
-        open_chains = chains.filter("_stuck is not null")
-        # only the time that holds stuck cells is read again; the bounds reach the scan
-        during = F.col(at).between(*[F.timestamp_micros(F.lit(stuck[end])) for end in ("first", "last")])
-        arrivals = _arrivals(events.filter(during), keys, at, width)
-        chains, stuck = _materialize(
-            _resolve(arrivals, open_chains, keys, reach, width, broadcast=stuck["ids"] <= BROADCAST_IDS)
-        )
-        finished = finished.unionByName(chains.filter("_stuck is null").select(*keys, "_last", "_kept"))
+    chains = _walk(ids.withColumn("_kept", F.array_compact(F.array("_last"))), reach).checkpoint()
+    finished = _finished(chains, keys)
+    while not (stuck := chains.filter("_stuck is not null")).isEmpty():
+        chains = _resolve(arrivals, stuck, keys, reach, width).checkpoint()
+        finished = finished.unionByName(_finished(chains, keys))
     fresh = F.filter("_kept", lambda t: F.col("_last").isNull() | (t > F.col("_last")))
     return finished.select(*keys, F.explode(fresh).alias("_t")).select(
         *keys, F.timestamp_micros("_t").alias("counted_at")
     )
 
 
-def _cell_of(at: Column, width: int | None) -> Column:
-    return F.lit(0).cast("bigint") if width is None else slice_start(at, width)
+def _finished(chains: DataFrame, keys: list[str]) -> DataFrame:
+    return chains.filter("_stuck is null").select(*keys, "_last", "_kept")
 
 
-def _arrivals(events: DataFrame, keys: list[str], at: str, width: int | None) -> DataFrame:
-    arrivals = events.select(*keys, F.unix_micros(at).alias("_t"))
-    return arrivals.withColumn("_cell", _cell_of(F.col("_t"), width))
+def _arrivals(events: DataFrame, keys: list[str], at: str, width: int) -> DataFrame:
+    """The distinct arrivals `_t` of each id, with their cells. A hot id is spread over its arrivals."""
+    arrivals = events.select(*keys, F.unix_micros(at).alias("_t")).distinct()
+    return arrivals.withColumn("_cell", slice_start(F.col("_t"), width))
 
 
-def _materialize(chains: DataFrame) -> tuple[DataFrame, dict[str, int]]:
-    """The chains written to the checkpoint folder, with number and time span of the stuck cells."""
-    written = chains.checkpoint()
-    stuck = written.agg(
-        F.count("_stuck").alias("ids"),
-        F.min("_stuck").alias("first"),
-        F.max(F.get("_cells", F.lit(0))["hi"]).alias("last"),
-    )
-    return written, stuck.first().asDict()
-
-
-def _cells_per_id(arrivals: DataFrame, keys: list[str], one_cell: bool = False) -> DataFrame:
-    groups = keys if one_cell else [*keys, "_cell"]
-    base = F.lit(0) if one_cell else F.col("_cell")
-    cells = arrivals.groupBy(*groups).agg(
+def _cells_per_id(arrivals: DataFrame, keys: list[str]) -> DataFrame:
+    cells = arrivals.groupBy(*keys, "_cell").agg(
         F.min("_t").alias("lo"),
         F.max("_t").alias("hi"),
         F.count("*").alias("n"),
-        F.try_sum(F.col("_t") - base).alias("_offsets"),
+        F.try_sum(F.col("_t") - F.col("_cell")).alias("_offsets"),
     )
     # of three arrivals the middle one is what the sum leaves
-    middle = F.when(F.col("n") == 3, F.col("_offsets") + 3 * base - F.col("lo") - F.col("hi"))
+    middle = F.when(F.col("n") == 3, F.col("_offsets") + 3 * F.col("_cell") - F.col("lo") - F.col("hi"))
     cell = F.struct("lo", "hi", "n", middle.alias("mid"))
-    if one_cell:
-        return cells.select(*keys, F.array(cell).alias("_cells"))
     return cells.groupBy(*keys).agg(F.sort_array(F.collect_list(cell)).alias("_cells"))
 
 
@@ -158,21 +127,15 @@ def _walk(ids: DataFrame, reach: int) -> DataFrame:
     )
 
 
-def _resolve(
-    arrivals: DataFrame, open_chains: DataFrame, keys: list[str], reach: int, width: int | None, broadcast: bool
-) -> DataFrame:
+def _resolve(arrivals: DataFrame, stuck: DataFrame, keys: list[str], reach: int, width: int) -> DataFrame:
     """Look up the first arrival past the expiry inside the stuck cell, then walk on.
 
     Joining on the cell as well spreads a hot id over its cells when the join has to shuffle.
     """
-    wanted = open_chains.withColumns(
-        {
-            "_expiry": F.element_at("_kept", -1) + F.lit(reach),
-            "_cell": _cell_of(F.col("_stuck"), width),
-        }
+    wanted = stuck.withColumns(
+        {"_expiry": F.element_at("_kept", -1) + F.lit(reach), "_cell": slice_start(F.col("_stuck"), width)}
     )
-    lookups = wanted.select(*keys, "_cell", "_expiry")
-    candidates = arrivals.join(F.broadcast(lookups) if broadcast else lookups, [*keys, "_cell"])
+    candidates = arrivals.join(wanted.select(*keys, "_cell", "_expiry"), [*keys, "_cell"])
     found = candidates.filter("_t > _expiry").groupBy(*keys).agg(F.min("_t").alias("_next"))
     ahead = wanted.join(found, keys).select(
         *keys,

@@ -99,7 +99,7 @@ def count_events(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.select(*EVENT_KEYS, "accepted_at")
-        earliest, latest = batch.agg(F.min("accepted_at"), F.max("accepted_at")).first()
+        earliest = batch.agg(F.min("accepted_at")).first()[0]
         if earliest is None:
             return
         run = run_of(batch.sparkSession, checkpoint)
@@ -109,7 +109,7 @@ def count_events(
         seen = counted.apart_from(run, batch_id, since=day_of(earliest - horizon))
         seen = seen.filter(reachable).select(*EVENT_KEYS, "counted_at")
         seen = seen.join(batch.select(*EVENT_KEYS), list(EVENT_KEYS), "left_semi")
-        fresh = horizon_dedup(batch, horizon, already_counted=seen, span=latest - earliest)
+        fresh = horizon_dedup(batch, horizon, already_counted=seen)
         counted.append(fresh, batch_id, run=run)
 
     return _batches(events, write, checkpoint, "count-events")

@@ -3,8 +3,8 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from evertally.operators import dedup
 from evertally.operators.dedup import horizon_dedup
 
 EPOCH = datetime(2026, 1, 1, tzinfo=timezone.utc)
@@ -66,15 +66,9 @@ def test_horizon_must_be_positive(spark):
     arrivals=st.lists(st.tuples(st.sampled_from("abc"), st.integers(0, 60)), min_size=1, max_size=80),
     horizon=st.integers(1, 30),
     cells=st.integers(1, 40),
-    broadcast=st.booleans(),
 )
-def test_equals_brute_force(spark, arrivals, horizon, cells, broadcast):
-    before = dedup.BROADCAST_IDS
-    dedup.BROADCAST_IDS = before if broadcast else 0
-    try:
-        assert run(spark, arrivals, horizon, cells_per_horizon=cells) == expected(arrivals, horizon)
-    finally:
-        dedup.BROADCAST_IDS = before
+def test_equals_brute_force(spark, arrivals, horizon, cells):
+    assert run(spark, arrivals, horizon, cells_per_horizon=cells) == expected(arrivals, horizon)
 
 
 def test_hot_id_with_a_third_of_all_rows(spark):
@@ -82,9 +76,7 @@ def test_hot_id_with_a_third_of_all_rows(spark):
     assert run(spark, arrivals, 700, cells_per_horizon=3) == expected(arrivals, 700)
 
 
-@pytest.mark.parametrize("limit", [0, 50_000])
-def test_short_spans_need_one_cell_per_id(spark, monkeypatch, limit):
-    monkeypatch.setattr(dedup, "BROADCAST_IDS", limit)
+def test_short_spans_one_after_the_other(spark):
     horizon = 20
     arrivals = [(i, (t * 7 + ord(i)) % 51) for i in "abcdef" for t in range(ord(i) % 7, 45)]
     rows = lambda part: spark.createDataFrame([(i, 1, 0, at(t)) for i, t in part], ROW)
@@ -92,7 +84,7 @@ def test_short_spans_need_one_cell_per_id(spark, monkeypatch, limit):
     counted = None
     for start in range(0, 51, 10):
         part = rows([a for a in arrivals if start <= a[1] < start + 10])
-        fresh = horizon_dedup(part, reach, already_counted=counted, span=timedelta(seconds=9))
+        fresh = horizon_dedup(part, reach, already_counted=counted)
         counted = fresh if counted is None else counted.union(fresh)
     kept = {}
     for r in counted.collect():
@@ -123,3 +115,19 @@ def test_old_occurrence_does_not_matter(spark):
         [("a", 1, 0, at(0), datetime(2020, 1, 1))], ROW + ", occurred_at TIMESTAMP"
     )
     assert horizon_dedup(rows).count() == 1
+
+
+def test_the_source_is_read_once(spark):
+    """Lookups of stuck cells, which these hot ids need, work on what the first pass has written."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        reads.add(1)
+        return value
+
+    arrivals = [(i, t) for i in "abc" for t in range(0, 400)]
+    rows = spark.createDataFrame([(i, 1, 0, at(t)) for i, t in arrivals], ROW)
+    rows = rows.withColumn("event_id", F.udf(seen)("event_id"))
+    kept = horizon_dedup(rows, timedelta(seconds=45), cells_per_horizon=2)
+    assert kept.count() == len(greedy(range(400), 45)) * 3
+    assert reads.value == len(arrivals)

@@ -10,7 +10,7 @@ from conftest import SMALL
 from evertally.functions import contracts
 from evertally.operators import gate, reads, retention
 from evertally.operators.counts import shard_counts
-from evertally.operators.dedup import EVENT_KEYS, _arrivals, _cells_per_id
+from evertally.operators.dedup import EVENT_KEYS, _arrivals, _cells_per_id, _resolve, _walk
 from evertally.plans import mapping
 
 
@@ -59,12 +59,17 @@ def test_counting_combines_before_the_shuffle(spark):
 
 
 def test_dedup_combines_before_the_shuffle_and_stays_on_the_hash_path(spark):
-    cells = _cells_per_id(_arrivals(mapping.view_events(spark, SMALL), list(EVENT_KEYS), "accepted_at", 1000), list(EVENT_KEYS))
-    text = plan(cells)
-    assert "partial_min" in text and "SortAggregate" not in text
-    assert shuffles(cells) == 2
-    events = _arrivals(mapping.view_events(spark, SMALL), list(EVENT_KEYS), "accepted_at", None)
-    assert shuffles(_cells_per_id(events, list(EVENT_KEYS), one_cell=True)) == 1
+    keys = list(EVENT_KEYS)
+    arrivals = _arrivals(mapping.view_events(spark, SMALL), keys, "accepted_at", 1000)
+    assert shuffles(arrivals) == 1 and "SortAggregate" not in plan(arrivals)
+    ids = _cells_per_id(arrivals.checkpoint(), keys)
+    text = plan(ids)
+    assert "partial_min" in text and "SortAggregate" not in text and "FileScan" not in text
+    assert shuffles(ids) == 2
+    walked = _walk(ids.withColumn("_last", F.lit(None).cast("bigint")).withColumn("_kept", F.expr("array()").cast("array<bigint>")), 5000)
+    assert shuffles(walked) == 2 and "Join" not in plan(walked)
+    resolved = plan(_resolve(arrivals.checkpoint(), walked.checkpoint(), keys, 5000, 1000))
+    assert not re.search("CartesianProduct|NestedLoop|FileScan", resolved) and "partial_min" in resolved
 
 
 @pytest.fixture
