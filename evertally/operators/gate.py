@@ -118,9 +118,12 @@ def flag_stale(
     keys: Sequence[str] = ("video_id", "counter_shard_id"),
     order: Sequence[str] = ("arrival", "offset"),
     slice_width: timedelta = timedelta(minutes=1),
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """Add `stale`: the version is not above every version that arrived earlier for the key.
 
+    `stored` (keys, version; one row per key) is what was there before the first row.
+
     Every row comes back; one without a key, an arrival or a version is not stale, and makes none stale.
 
     The running maximum is built in two levels so that a hot key is never one window group: the
@@ -134,6 +137,9 @@ def flag_stale(
     slices = sliced.filter("_slice is not null").groupBy(*keys, "_slice").agg(F.max("version").alias("_slice_max"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = slices.select(*keys, "_slice", F.max("_slice_max").over(earlier).alias("_before"))
+    if stored is not None:  # joined to the slices, of which a hot key has few
+        known = stored.select(*keys, F.col("version").alias("_known"))
+        before = before.join(known, list(keys), "left").withColumn("_before", F.greatest("_before", "_known")).drop("_known")
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     previous = F.greatest("_before", F.max("version").over(inside))
     flagged = sliced.join(before, [*keys, "_slice"], "left")
@@ -142,8 +148,14 @@ def flag_stale(
 
 
 def flag_applied(
-    changes: DataFrame, order: Sequence[str] = ("arrival", "offset"), slice_width: timedelta = timedelta(minutes=1)
+    changes: DataFrame,
+    order: Sequence[str] = ("arrival", "offset"),
+    slice_width: timedelta = timedelta(minutes=1),
+    projection: DataFrame | None = None,
 ) -> DataFrame:
-    """Add `applied`: whether the projection's gate takes the change when it arrives."""
-    flagged = flag_stale(changes, ["video_id"], order, slice_width)
+    """Add `applied`: whether the projection's gate takes the change when it arrives.
+
+    `projection` is the stored side before the first change; without one, it was empty.
+    """
+    flagged = flag_stale(changes, ["video_id"], order, slice_width, projection)
     return flagged.withColumn("applied", ~F.col("stale")).drop("stale")

@@ -233,9 +233,11 @@ ORACLES: dict[str, str] = {
                  LEFT JOIN all_videos a ON a.video_id = s.video_id""",
     ),
     "projection_apply_outcome": _with(
-        TOTAL_FEED,
-        f"""SELECT "offset", video_id, version + {LARGE_VERSION} AS version,
-                   NOT {_STALE.format(keys='video_id')} AS applied FROM total_feed""",
+        STORED,
+        f"""SELECT f."offset", f.video_id, f.version + {LARGE_VERSION} AS version,
+                   NOT (f.stale OR coalesce(f.version <= CASE WHEN s.video_id % 7 = 0 THEN a.n ELSE s.n END, false)) AS applied
+            FROM (SELECT *, {_STALE.format(keys='video_id')} AS stale FROM total_feed) f
+                 LEFT JOIN stored s ON s.video_id = f.video_id LEFT JOIN all_videos a ON a.video_id = s.video_id""",
     ),
     "ledger_insert_if_absent": """
         SELECT 'gen-' || user_id AS id, 'execute-snapshot' AS type,
@@ -409,6 +411,12 @@ ORACLES: dict[str, str] = {
                 LEFT JOIN users u ON u.video_id = i.video_id AND u.video_id % 2 = 1
            WHERE i.video_id > 0""",
     ),
+    "resolve_counts_lost_projection": _with(
+        f"""{USERS},
+            ids AS (SELECT user_id AS video_id FROM requests UNION SELECT user_id * 2 - 1 FROM requests)""",
+        """SELECT i.video_id, coalesce(u.view_count, 0) AS views
+           FROM ids i LEFT JOIN users u ON u.video_id = i.video_id AND u.video_id % 2 = 1 WHERE i.video_id > 0""",
+    ),
     "projection_rebuild": _with(
         STORED,
         """SELECT 'video:' || coalesce(s.video_id, l.video_id) || ':views' AS key,

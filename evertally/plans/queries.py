@@ -13,6 +13,8 @@ from evertally.functions import contracts, identity, validation
 from evertally.operators import audit, cdc, counts, gate, ingest, metrics, reads, retention, split
 from evertally.operators.dedup import horizon_dedup
 from evertally.plans import mapping as m
+from evertally.session import fresh_folder
+from evertally.sources.folders import Folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,7 +86,8 @@ def projection_apply(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def projection_apply_outcome(spark: SparkSession, sf: str) -> DataFrame:
-    changes = gate.flag_applied(m.clean_changes(spark, sf), slice_width=HOUR)
+    stored = m.stored_projection(spark, sf)
+    changes = gate.flag_applied(m.clean_changes(spark, sf), slice_width=HOUR, projection=stored)
     return changes.select("offset", "video_id", "version", "applied")
 
 
@@ -408,6 +411,18 @@ def resolve_counts(spark: SparkSession, sf: str) -> DataFrame:
     return reads.resolve_counts(ids, m.user_projection(spark, sf), table)
 
 
+@query
+def resolve_counts_lost_projection(spark: SparkSession, sf: str) -> DataFrame:
+    """The projection's files go between planning and reading: the table answers."""
+    ids = m.requests(spark, sf).select(F.explode(F.array(F.col("user_id"), F.col("user_id") * 2 - 1)).alias("video_id"))
+    table = m.user_counters(spark, sf).filter("video_id % 2 = 1")
+    folder = Folder(spark, fresh_folder(spark, "projection"))
+    folder.publish(m.user_projection(spark, sf), "lost")
+    projection = spark.read.parquet(f"{folder.path}/lost")
+    folder.remove("lost")
+    return reads.resolve_counts(ids, reads.survived(lambda: projection, ids), table)
+
+
 @query
 def projection_rebuild(spark: SparkSession, sf: str) -> DataFrame:
     """Lost projection: re-read table plus pending changes, through the same gate."""

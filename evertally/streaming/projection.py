@@ -1,4 +1,10 @@
-"""Change feed to projection, with rebuild of a lost projection."""
+"""Change feed to projection, with rebuild of a lost projection.
+
+A rebuild reads the counter table again in chunks of ids, one with each micro-batch of changes, so that a table of any
+size is rebuilt beside the live feed and a micro-batch stays small. After each chunk the next id is noted in the
+projection's folder: a restart goes on from there. Chunks and changes meet the same version gate, hence a change that
+arrives before or after the chunk of its row wins if it is newer.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +18,13 @@ from pyspark.sql.streaming import DataStreamWriter
 from evertally import fixed_values as fixed
 from evertally.functions.contracts import REBUILD_LEDGER
 from evertally.operators import cdc, gate
+from evertally.settings import positive_count
 from evertally.sources.folders import Table
 
 MARKER = "_generation"
+PROGRESS = "_rebuilt"
+#: Ids of a chunk; at most as many rows.
+CHUNK_IDS = 1_000_000
 
 
 class Projection:
@@ -24,11 +34,19 @@ class Projection:
     how a loss is noticed. One writer maintains a projection.
     """
 
-    def __init__(self, table: Table, source: Table, ledger: Table, prefix: str = fixed.PROJECTION_PREFIX):
+    def __init__(
+        self,
+        table: Table,
+        source: Table,
+        ledger: Table,
+        prefix: str = fixed.PROJECTION_PREFIX,
+        chunk_ids: int = CHUNK_IDS,
+    ):
         self.table = table
         self.source = source
         self.ledger = ledger
         self.prefix = prefix
+        self.chunk_ids = positive_count("ids of a chunk", chunk_ids)
 
     def pending_generation(self) -> str | None:
         """The generation that still needs a rebuild; electing one when there is no marker."""
@@ -53,25 +71,42 @@ class Projection:
         self.ledger.replace(gate.insert_if_absent(known, row))
         return True
 
+    def _next_id(self, generation: str) -> int | None:
+        """The first id of the table that this rebuild has not read yet."""
+        noted = json.loads(self.table.folder.read_text(PROGRESS) or "{}")
+        rows = self.source.read()
+        if noted.get("generation") == generation:
+            rows = rows.filter(F.col("video_id") >= noted["next"])
+        return rows.agg(F.min("video_id")).first()[0]
+
+    def _chunk(self, first: int) -> DataFrame:
+        """The rows of a chunk; its bounds reach the scan."""
+        rows = self.source.read().filter(F.col("video_id").between(first, first + self.chunk_ids - 1))
+        return cdc.reread(rows).withColumn("offset", F.lit(-1).cast("bigint"))
+
     def apply(self, changes: DataFrame) -> None:
-        """Apply changes (video_id, count, version, offset), rebuilding first when the projection is new.
+        """Apply changes (video_id, count, version, offset), and one more chunk while the projection is rebuilt.
 
-        The re-read rows go through the same gate, so newer changes win in any order. The marker is
-        set last: a crash before it repeats a harmless rebuild.
+        Progress is noted after the chunk is stored, and the marker is set last: a crash before either repeats what is
+        harmless.
         """
         generation = self.pending_generation()
+        first = None
         if generation is not None:
             self.request(generation)
-            reread = cdc.reread(self.source.read()).withColumn("offset", F.lit(-1).cast("bigint"))
-            changes = changes.unionByName(reread.select(*changes.columns))
+            first = self._next_id(generation)
+            if first is not None:
+                changes = changes.unionByName(self._chunk(first).select(*changes.columns))
         stored = self.table.read()
         self.table.upsert(gate.newer_changes(changes, stored, prefix=self.prefix))
-        if generation is not None:
+        if first is not None:
+            self.table.folder.write_text(PROGRESS, json.dumps({"generation": generation, "next": first + self.chunk_ids}))
+        if generation is not None and self._next_id(generation) is None:
             self.mark_requested(generation)
 
     def recover(self) -> None:
-        """The periodic check: rebuild when the projection was lost, else do nothing."""
-        if self.pending_generation() is not None:
+        """The periodic check: rebuild, chunk by chunk, when the projection was lost, else do nothing."""
+        while self.pending_generation() is not None:
             nothing = "video_id BIGINT, count BIGINT, version BIGINT, offset BIGINT"
             self.apply(self.table.spark.createDataFrame([], nothing))
 

@@ -102,3 +102,23 @@ def test_empty_projection_reads_the_table(spark):
     table = spark.createDataFrame([(1, 9)], "video_id BIGINT, view_count BIGINT")
     lost = spark.createDataFrame([], contracts.PROJECTION)
     assert reads.resolve_counts(ids, lost, table).first()["views"] == 9
+
+
+def test_a_damaged_projection_leaves_the_table(spark, folder):
+    """Missing, removed while it is read, or no parquet at all: the table answers, and a sound projection is used."""
+    ids = spark.createDataFrame([(1,), (2,), (3,), (0,), (None,)], "video_id BIGINT")
+    table = spark.createDataFrame([(1, 10), (2, 20)], "video_id BIGINT, view_count BIGINT")
+    rows = spark.createDataFrame([("video:1:views", "11"), ("video:2:views", "x"), ("video:9:views", "9")], "key STRING, count STRING")
+    rows.coalesce(1).write.parquet(f"{folder}/projection")
+    sound = spark.read.parquet(f"{folder}/projection")
+
+    def views(load):
+        found = reads.resolve_counts(ids, reads.survived(load, ids), table)
+        return {r["video_id"]: r["views"] for r in found.collect()}
+
+    assert views(lambda: sound) == {1: 11, 2: 20, 3: 0}
+    assert views(lambda: spark.read.parquet(f"{folder}/nowhere")) == {1: 10, 2: 20, 3: 0}
+    spark.createDataFrame([("no parquet",)], "line STRING").write.text(f"{folder}/text")
+    assert views(lambda: spark.read.schema("key STRING, count STRING").parquet(f"{folder}/text")) == {1: 10, 2: 20, 3: 0}
+    with pytest.raises(ZeroDivisionError):  # a mistake of the caller is none of the source
+        views(lambda: 1 / 0)

@@ -205,3 +205,17 @@ def test_registered_gates_need_both_sides(spark, monkeypatch, name):
             used = {"version_gated_upsert": ("stored_counters", "total_feed"), "projection_rebuild": ("stored_counters", "total_feed")}
             if part in used.get(name, ("stored_projection", "clean_changes")):
                 assert result() != whole, part
+
+
+@pytest.mark.parametrize("width", [2, 1000])
+def test_outcomes_start_from_what_is_stored(spark, width):
+    pick = random.Random(width)
+    best = {1: 25, 2: 0}
+    values = [(pick.randint(1, 3), 0, pick.randint(0, 40)) for _ in range(200)]
+    stored = spark.createDataFrame(list(best.items()), "video_id BIGINT, version BIGINT")
+    expected = []
+    for video, _, version in values:
+        expected.append(version > best.get(video, -1))
+        best[video] = max(version, best.get(video, -1))
+    flagged = gate.flag_applied(snapshots(spark, values), slice_width=timedelta(seconds=width), projection=stored)
+    assert [r["applied"] for r in flagged.orderBy("offset").collect()] == expected

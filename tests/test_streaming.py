@@ -237,6 +237,36 @@ def test_crash_before_the_mark_repeats_the_rebuild_without_a_second_request(spar
     assert projection.pending_generation() is None
 
 
+def test_rebuild_goes_on_from_its_last_chunk(spark, folder, monkeypatch):
+    """Chunk by chunk beside live changes; killed in the third, restarted, and no finished chunk is read twice."""
+    counters = {video: 10 * video for video in (1, 2, 3, 7, 8, 21, 22, 23, 40)}
+    projection = projection_over(spark, folder, counters.items())
+    projection.chunk_ids = 5
+    read, chunk, upsert = [], Projection._chunk, Table.upsert
+    monkeypatch.setattr(Projection, "_chunk", lambda self, first: read.append(first) or chunk(self, first))
+    projection.apply(changes(spark, (8, 500)))  # newer than its row, which comes in the next chunk
+    assert stored(projection) == {1: 10, 2: 20, 3: 30, 8: 500}
+    projection.apply(changes(spark, (1, 11), (2, 1)))  # one newer, one older than the rebuilt row
+    assert stored(projection) == {1: 11, 2: 20, 3: 30, 7: 70, 8: 500}
+
+    def killed(self, rows):
+        raise OSError("killed")
+
+    monkeypatch.setattr(Table, "upsert", killed)
+    with pytest.raises(OSError):
+        projection.apply(changes(spark, (50, 5)))
+    monkeypatch.setattr(Table, "upsert", upsert)
+    assert projection.pending_generation() is not None
+    again = projection_over(spark, folder, counters.items())
+    again.chunk_ids = 5
+    again.apply(changes(spark, (50, 5)))
+    again.recover()
+    assert stored(again) == {**counters, 1: 11, 8: 500, 50: 5}
+    assert read == [1, 7, 21, 21, 40]  # the third chunk broke off before it was stored
+    again.recover()
+    assert len(read) == 5 and again.pending_generation() is None and again.ledger.read().count() == 1
+
+
 def test_old_generation_does_not_hide_a_newer_loss(spark, folder):
     projection = projection_over(spark, folder, [(1, 5)])
     old = projection.pending_generation()
