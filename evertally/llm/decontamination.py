@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -184,6 +185,7 @@ def marked(
 
 
 def _scanner(shards, kept: list[str], text: str, names: dict[str, str], clean: bool):
+    @w.lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text)
@@ -191,6 +193,7 @@ def _scanner(shards, kept: list[str], text: str, names: dict[str, str], clean: b
             if names["spans"] in batch.schema.names:
                 earlier = batch.column(names["spans"]).to_pylist(), batch.column(names["items"]).to_pylist()
             counts, spans, items, cleaned = [], [], [], {}
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)) if clean else None
             for base, part in normalised(texts):
                 hit = np.zeros(len(part), dtype=bool)
                 named: dict[int, set[str]] = {}
@@ -219,16 +222,16 @@ def _scanner(shards, kept: list[str], text: str, names: dict[str, str], clean: b
                     items.append(sorted(named.get(row, ())))
                     if clean:
                         data = texts[base + row].as_py().encode()
-                        offset = _row_offset(texts, base, base + row)
+                        offset = int(ends[base + row] - len(data) - (ends[base - 1] if base else 0))
                         cleaned[base + row] = _without(part, row, data, offset, spans[-1])
             columns = []
             for name in kept:
                 column = batch.column(name)
                 if clean and name == text and cleaned:
-                    values = column.to_pylist()
-                    for row, value in cleaned.items():
-                        values[row] = value
-                    column = pa.array(values, type=column.type)
+                    changed = np.zeros(len(column), dtype=bool)
+                    changed[list(cleaned)] = True
+                    texts_left = pa.array([cleaned[row] for row in sorted(cleaned)], type=column.type)
+                    column = pc.replace_with_mask(column, pa.array(changed), texts_left)
                 columns.append(column)
             total = np.concatenate(counts) if counts else np.empty(0, dtype=np.int64)
             columns += [
@@ -241,11 +244,6 @@ def _scanner(shards, kept: list[str], text: str, names: dict[str, str], clean: b
     return scan
 
 
-def _row_offset(texts: pa.Array, base: int, row: int) -> int:
-    """Bytes of the rows of a slice before `row`."""
-    return sum(len(value.as_py().encode()) for value in texts[base:row] if value.as_py() is not None)
-
-
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the hit spans."""
     rows, names = marked(docs, benchmark, [doc_id], **options)

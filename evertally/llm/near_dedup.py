@@ -82,6 +82,7 @@ def least_shared(size: int, percent: int, k: int) -> int:
     return max(1, min(exact, int(t * k - MARGIN * deviation)))
 
 
+@w.lean
 def _signatures(batches: Iterator[pa.RecordBatch], text: str, keep: list[str], length: int, percent: int, k: int):
     for batch in batches:
         for base, sets in shingle_sets(batch.column(text), length):
@@ -98,6 +99,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], text: str, keep: list[str], l
             )
 
 
+@w.lean
 def _keyed(batches: Iterator[pa.RecordBatch], text: str, key: str, length: int) -> Iterator[pa.RecordBatch]:
     """The rows with the key of their set, null for an empty one."""
     for batch in batches:
@@ -126,6 +128,7 @@ def linked(percent: int) -> Column:
     return 100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)
 
 
+@w.lean
 def _sets(batches: Iterator[pa.RecordBatch], text: str, length: int) -> Iterator[pa.RecordBatch]:
     """Sets of the rows that still are what their class says."""
     for batch in batches:
@@ -178,6 +181,13 @@ def _links_across(block: pa.Table, percent: int) -> pa.Table:
     )
 
 
+def _links_and_memory(block: pa.Table, percent: int) -> pa.Table:
+    try:
+        return _links_across(block, percent)
+    finally:
+        w.give_back()
+
+
 class NearDuplicates:
     """Classes of equal sets, and the links between them; making one runs the jobs."""
 
@@ -296,7 +306,7 @@ class NearDuplicates:
         rows = rows.join(self._sets(lists.select("turn.cls")), "cls")
         percent = self.percent
         return rows.groupBy("value", "i", "j").applyInArrow(
-            lambda block: _links_across(block, percent), "a binary, b binary"
+            lambda block: _links_and_memory(block, percent), "a binary, b binary"
         ).distinct()
 
     def groups(self) -> DataFrame:

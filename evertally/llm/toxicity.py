@@ -397,6 +397,7 @@ def trained(
     return Network({r["name"]: np.frombuffer(r["data"], dtype=np.float32).reshape(r["shape"]) for r in found})
 
 
+@w.lean
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The parameters of a network, a row each; none if a class is missing."""
     sample = pa.Table.from_batches(batches, schema=pa.schema([("text", pa.string()), ("toxic", pa.int32())]))
@@ -414,6 +415,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scorer(network, keep: list[str], text: str, score: str):
+    @w.lean
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [worst_windows(network.value, part) for _, part in slices(batch.column(text))] if network.value else []

@@ -7,8 +7,10 @@ end; a null text has no words. Memory is a fixed multiple of a slice, or of the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +146,29 @@ def words_by_slice(
         yield row, find_words(data, offsets, word_bytes, fold)
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Returns what this worker has freed to the system; allocators keep it otherwise for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # glibc only
+        _LIBC.malloc_trim(0)
+
+
+def lean(task: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A task over batches that gives its memory back at its end: Spark keeps workers for later stages."""
+
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch], **options) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches, **options)
+        finally:
+            give_back()
+
+    return run
+
+
 def member(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(whether each value is in the sorted table, its index there)."""
     if not len(table):
