@@ -111,7 +111,7 @@ def stream_video_totals(spark: SparkSession, sf: str) -> DataFrame:
 def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     base = fresh_folder(spark, "stream")
     rows = m.events_stream(spark, sf)
-    routed = BatchLog(spark, f"{base}/routed", counting.ROUTED)
+    routed = counting.routed_log(spark, f"{base}/routed")
     run(counting.route_events(m.event_records_of(rows), routed, f"{base}/checkpoints/routed"))
     return routed.read().select("topic", "partition", "offset", "key", "reason")
 
@@ -122,7 +122,7 @@ def stream_shard_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     base = fresh_folder(spark, "stream")
     records = m.snapshot_records(m.shard_feed(spark, sf), contracts.SHARD_SNAPSHOT, fixed.SHARDS_TOPIC)
     records.write.parquet(f"{base}/records")
-    routed = BatchLog(spark, f"{base}/routed", counting.ROUTED_SHARDS)
+    routed = counting.routed_log(spark, f"{base}/routed", counting.ROUTED_SHARDS)
     run(counting.route_shards(topics.file_records(spark, f"{base}/records"), routed, f"{base}/checkpoints/routed"))
     return routed.read().select("topic", "offset", "reason", "video_id", "counter_shard_id", "count", "version")
 

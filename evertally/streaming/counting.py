@@ -21,6 +21,7 @@ from evertally.operators.dedup import EVENT_KEYS, horizon_dedup
 from evertally.settings import positive_duration
 from evertally.sources.dated_log import DatedLog, day_of
 from evertally.sources.folders import BatchLog, Table, run_of
+from evertally.sources.sink_log import SinkLog
 from evertally.streaming.dedup import LATENESS, horizon_dedup_stream
 
 COUNTED = "event_id STRING, video_id BIGINT, counter_shard_id INT, counted_at TIMESTAMP"
@@ -45,8 +46,10 @@ def accept_requests(requests: DataFrame, secret: str) -> DataFrame:
     return events.select(F.lit(fixed.VIEWS_TOPIC).alias("topic"), *contracts.event_record())
 
 
-def publish_events(requests: DataFrame, secret: str, sent: BatchLog, checkpoint: str) -> DataStreamWriter:
+def publish_events(requests: DataFrame, secret: str, sent: BatchLog | SinkLog, checkpoint: str) -> DataStreamWriter:
     """Accepted requests to a log of event records, under the name that failed publishing is counted by."""
+    if isinstance(sent, SinkLog):
+        return sent.writer(accept_requests(requests, secret), checkpoint, "accept-requests")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         sent.append(batch, batch_id, run=run_of(batch.sparkSession, checkpoint))
@@ -54,13 +57,18 @@ def publish_events(requests: DataFrame, secret: str, sent: BatchLog, checkpoint:
     return _batches(accept_requests(requests, secret), write, checkpoint, "accept-requests")
 
 
-def route_events(records: DataFrame, routed: BatchLog, checkpoint: str) -> DataStreamWriter:
+def routed_log(spark: SparkSession, path: str, schema: str = ROUTED) -> SinkLog:
+    """Where checked records go: a folder per topic, dead letters under theirs."""
+    return SinkLog(spark, path, schema, ("topic",))
+
+
+def route_events(records: DataFrame, routed: BatchLog | SinkLog, checkpoint: str) -> DataStreamWriter:
     """Split a record stream: valid events and dead letters, each under its own topic folder."""
     return _route(records, split.checked_events, ROUTED, routed, checkpoint, "route-events")
 
 
 def route_shards(
-    records: DataFrame, routed: BatchLog, checkpoint: str, shard_count: int = fixed.SHARD_COUNT
+    records: DataFrame, routed: BatchLog | SinkLog, checkpoint: str, shard_count: int = fixed.SHARD_COUNT
 ) -> DataStreamWriter:
     """The same for shard snapshots: one of a shard that cannot be goes to the dead letters, not to a total."""
 
@@ -70,8 +78,12 @@ def route_shards(
     return _route(records, check, ROUTED_SHARDS, routed, checkpoint, "route-shards")
 
 
-def _route(records: DataFrame, check, schema: str, routed: BatchLog, checkpoint: str, name: str) -> DataStreamWriter:
+def _route(
+    records: DataFrame, check, schema: str, routed: BatchLog | SinkLog, checkpoint: str, name: str
+) -> DataStreamWriter:
     columns = [c.split()[0] for c in schema.split(", ")]
+    if isinstance(routed, SinkLog):
+        return routed.writer(split.routed(check(records)).select(*columns), checkpoint, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = split.routed(check(batch)).select(*columns)

@@ -13,6 +13,7 @@ from evertally.operators.dedup import horizon_dedup
 from evertally.sources import topics
 from evertally.sources.dated_log import DatedLog
 from evertally.sources.folders import BatchLog, Folder, Table
+from evertally.sources.sink_log import SinkLog
 from evertally.streaming import counting, listener
 from evertally.streaming.projection import Projection, project_changes
 
@@ -138,6 +139,51 @@ def test_requests_to_routed_events(spark, folder):
     assert bytes(letter["value"]) == b"broken" and letter["reason"] == "undecodable"
 
 
+def broken_off(spark, checkpoint, sink):
+    """The state after a crash in which files of batch 0 were written but not committed."""
+    for folder in (f"{checkpoint}/commits", f"{sink}/_spark_metadata"):
+        for name in ("0", ".0.crc"):
+            Folder(spark, folder).remove(name)
+
+
+def test_the_file_sink_commits_a_batch_once(spark, folder):
+    """A crash between writing and committing: the files of the broken batch are never read, its repetition is."""
+    rows = [("POST", "/api/videos/5/views", 5, f"u{i}@b.c", f"u{i}@b.c", "k1", "r", None, NOW) for i in range(7)]
+    spark.createDataFrame(rows, contracts.VIEW_REQUEST).repartition(3).write.parquet(f"{folder}/requests")
+    sent = SinkLog(spark, f"{folder}/sent", "topic STRING, key STRING, value BINARY")
+
+    def publish(checkpoint):
+        run(counting.publish_events(topics.file_requests(spark, f"{folder}/requests"), SECRET, sent, checkpoint))
+        return sent.read().count()
+
+    assert sent.read().count() == 0
+    assert publish(f"{folder}/c1") == 7
+    [first] = sent.runs()
+    broken_off(spark, f"{folder}/c1", f"{folder}/sent/run={first}")
+    assert publish(f"{folder}/c1") == 7 and sent.runs() == [first]
+    written = [n for n in Folder(spark, f"{folder}/sent/run={first}").names() if n.endswith(".parquet")]
+    assert len(written) > len(sent.read().inputFiles())  # what was left behind is there, and not read
+    assert publish(f"{folder}/c2") == 14  # a new checkpoint is a new run: its batch 0 is not taken for the old one
+    assert len(sent.runs()) == 2
+    assert sorted(r["n"] for r in sent.read().groupBy("run").agg(F.count("*").alias("n")).collect()) == [7, 7]
+    counted = sent.stream(first).writeStream.format("memory").queryName("sent_once").option("checkpointLocation", f"{folder}/c3")
+    run(counted)
+    assert spark.table("sent_once").count() == 7
+
+
+def test_routes_through_the_file_sink(spark, folder):
+    rows = []
+    for offset, shard in enumerate((0, 127, 128, -1)):
+        value = {"videoId": 1, "counterShardId": shard, "count": 3, "version": 3, "emittedAt": 1}
+        rows.append(("counter-shard-snapshots", 0, offset, "1", json.dumps(value).encode(), NOW))
+    spark.createDataFrame(rows, contracts.RAW_RECORD).write.parquet(f"{folder}/records")
+    routed = counting.routed_log(spark, f"{folder}/routed", counting.ROUTED_SHARDS)
+    for _ in range(2):
+        run(counting.route_shards(topics.file_records(spark, f"{folder}/records"), routed, f"{folder}/c"))
+    assert {r["offset"]: r["reason"] for r in routed.read().collect()} == {0: None, 1: None, 2: "key", 3: "contract"}
+    assert routed.read().count() == 4 and routed.read().filter("topic = 'counter-shard-snapshots.DLT'").count() == 2
+
+
 def test_failed_publishing_is_counted(spark, folder):
     rows = [("POST", "/api/videos/5/views", 5, "a@b.c", "a@b.c", "k1", "r", None, NOW)]
     spark.createDataFrame(rows, contracts.VIEW_REQUEST).write.parquet(f"{folder}/requests")
