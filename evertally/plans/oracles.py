@@ -166,6 +166,11 @@ _STALE = """coalesce(version <= max(version) OVER (PARTITION BY {keys} ORDER BY
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)"""
 
 
+_PART = """CASE WHEN arrival_us < epoch_us(TIMESTAMP '2024-01-09') THEN 0
+                WHEN arrival_us < epoch_us(TIMESTAMP '2024-01-17') THEN 1
+                WHEN arrival_us < epoch_us(TIMESTAMP '2024-01-25') THEN 2 ELSE 3 END"""
+
+
 _SNAPSHOT_REASON = """CASE WHEN "offset" % 83 = 0 THEN 'tombstone' WHEN "offset" % 97 = 0 THEN 'contract'
                             WHEN "offset" % 89 = 0 THEN 'key' END"""
 
@@ -403,6 +408,40 @@ ORACLES: dict[str, str] = {
            UNION ALL SELECT 'counter_cdc_processed', count(*) FROM stale_changes WHERE NOT stale
            UNION ALL SELECT 'counter_cdc_stale', count(*) FROM stale_changes WHERE stale""",
     ),
+    "stream_counter_metrics": _with(
+        f"""{ACCEPTED.replace(REQUESTS.strip(), IDENTIFIED.strip())},
+            {_chain('identified', WEEK_US, 'unique_events').strip()},
+            firsts AS MATERIALIZED (
+              SELECT event_id, video_id, counter_shard_id, min(t) AS t FROM identified GROUP BY ALL),
+            {_log('shard_log', 'video_id, counter_shard_id', 'count', DAY_US).strip()},
+            {_feed('shard_feed', 'shard_log', 'video_id, counter_shard_id', 'count').strip()},
+            {STORED.replace(FIRST, '').strip().removeprefix(',').strip()},
+            stale_shards AS (SELECT {_STALE.format(keys='video_id, counter_shard_id')} AS stale FROM shard_feed),
+            shard_parts AS (SELECT *, {_PART} AS part FROM shard_feed),
+            latest AS (
+              SELECT p.part, video_id, counter_shard_id, max(count) AS n
+              FROM (VALUES (0), (1), (2), (3)) p(part) JOIN shard_parts f ON f.part <= p.part GROUP BY ALL),
+            sums AS (SELECT part, video_id, sum(n) AS n FROM latest GROUP BY ALL),
+            emitted AS (SELECT n > coalesce(lag(n) OVER (PARTITION BY video_id ORDER BY part), 0) AS newer FROM sums),
+            change_parts AS (
+              SELECT *, {_STALE.format(keys='video_id')} AS late, {_PART} AS part FROM total_feed WHERE video_id % 4 > 0),
+            stale_changes AS (  -- from the second part on, the rebuilt rows are there
+              SELECT late OR (part > 0 AND coalesce(version <= s.n, false)) AS stale
+              FROM change_parts c LEFT JOIN stored s ON s.video_id = c.video_id)""",
+        f"""SELECT 'view_requests_total' AS metric, count(*) AS value FROM accepted
+            UNION ALL SELECT 'view_events_published_total', count(*) FROM accepted
+            UNION ALL SELECT 'unique_view_events_total', count(*) FROM unique_events
+            UNION ALL SELECT 'duplicate_view_events_total',
+                             (SELECT count(*) FROM identified) - (SELECT count(*) FROM unique_events)
+            UNION ALL SELECT 'counter_shard_snapshots_total', count(*) FROM shard_feed
+            UNION ALL SELECT 'stale_shard_snapshots_total', count(*) FROM stale_shards WHERE stale
+            UNION ALL SELECT 'video_total_snapshots_total', count(*) FROM emitted WHERE newer
+            UNION ALL SELECT 'counter_sink_success_total', (SELECT count(*) FROM emitted WHERE newer)
+                             + (SELECT count(*) FROM total_feed WHERE ({_SNAPSHOT_REASON}) IS NULL)
+            UNION ALL SELECT 'counter_cdc_rebuilds', 1
+            UNION ALL SELECT 'counter_cdc_processed', count(*) FROM stale_changes WHERE NOT stale
+            UNION ALL SELECT 'counter_cdc_stale', count(*) FROM stale_changes WHERE stale""",
+    ),
     "resolve_counts": _with(
         f"""{USERS},
             ids AS (SELECT user_id AS video_id FROM requests UNION SELECT user_id * 2 - 1 FROM requests)""",

@@ -20,6 +20,7 @@ from evertally.sources import topics
 from evertally.sources.dated_log import DatedLog
 from evertally.sources.folders import BatchLog, Table
 from evertally.streaming import counting, projection
+from evertally.streaming.counters import Counters
 
 AS_OF = datetime(2024, 1, 31)
 # Arrival dates at which the replay is cut; the first and last parts are open-ended
@@ -144,18 +145,23 @@ def stream_redelivery(spark: SparkSession, sf: str) -> DataFrame:
     return stored.unionByName(letters, allowMissingColumns=True)
 
 
-@query
-def stream_projection(spark: SparkSession, sf: str) -> DataFrame:
-    """Change feed to projection, starting with a rebuild from the counter table."""
-    base = fresh_folder(spark, "stream")
-    source = Table(spark, f"{base}/counter", contracts.VIDEO_COUNTER)
+def empty_projection(spark: SparkSession, sf: str, base: str) -> projection.Projection:
+    """A projection that is still to be built from the stored counters."""
+    source = Table(spark, f"{base}/source", contracts.VIDEO_COUNTER)
     source.replace(m.stored_counters(spark, sf))
-    target = projection.Projection(
+    return projection.Projection(
         Table(spark, f"{base}/projection", contracts.PROJECTION, ["key"]),
         source,
         Table(spark, f"{base}/ledger", contracts.REBUILD_LEDGER),
     )
 
+
+@query
+def stream_projection(spark: SparkSession, sf: str) -> DataFrame:
+    """Change feed to projection, starting with a rebuild from the counter table."""
+    base = fresh_folder(spark, "stream")
+    target = empty_projection(spark, sf, base)
+
     def project(changes: DataFrame) -> DataStreamWriter:
         return projection.project_changes(changes, target, f"{base}/checkpoints/projection")
 
@@ -174,3 +180,37 @@ def topic_retention(spark: SparkSession, sf: str) -> DataFrame:
         topic.append(records.filter(F.col("offset") % 3 == part), part)
     topic.expire_days(AS_OF)
     return topic.read().select("offset", "key", us("arrival", "arrival_us"), F.col("day").cast("string").alias("day"))
+
+
+@query
+def stream_counter_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The counters that the jobs themselves keep, each stage replayed in four restarts."""
+    base = fresh_folder(spark, "stream")
+    counters = Counters(spark, f"{base}/counters")
+
+    def stage(rows: DataFrame, at: str, name: str, build: Callable[[DataFrame, str], DataStreamWriter]) -> None:
+        replay(rows, at, f"{base}/{name}-input", lambda stream: build(stream, f"{base}/checkpoints/{name}"))
+
+    sent = BatchLog(spark, f"{base}/sent", "topic STRING, key STRING, value BINARY")
+    requests = m.raw_requests(spark, sf)
+    stage(requests, "accepted_at", "publish", lambda s, c: counting.publish_events(s, m.SECRET, sent, c, counters))
+
+    counted = counting.counted_log(spark, f"{base}/counted")
+    events = m.events(spark, sf)
+    stage(events, "ts", "count", lambda s, c: counting.count_events(m.view_events_of(s), counted, c, counters=counters))
+
+    totals = BatchLog(spark, f"{base}/totals", counting.TOTAL_SNAPSHOTS)
+    table = Table(spark, f"{base}/counter", contracts.VIDEO_COUNTER)
+    shards = Table(spark, f"{base}/latest", counting.LATEST_SHARDS, counts.SHARD)
+    feed = m.shard_feed(spark, sf)
+    stage(feed, "arrival", "totals", lambda s, c: counting.emit_totals(s, totals, table, shards, c, counters))
+
+    persisted = Table(spark, f"{base}/persisted", contracts.VIDEO_COUNTER)
+    dead = BatchLog(spark, f"{base}/dead", contracts.RAW_RECORD + ", reason STRING")
+    records = m.snapshot_records(m.total_feed(spark, sf), contracts.TOTAL_SNAPSHOT, fixed.TOTALS_TOPIC)
+    stage(records, "arrival", "persist", lambda s, c: counting.persist_totals(s, persisted, dead, c, counters))
+
+    target = empty_projection(spark, sf, base)
+    changes = m.usable_change_feed(spark, sf).filter(m.pending_video()).drop("video_id")
+    stage(changes, "arrival", "project", lambda s, c: projection.project_changes(s, target, c, counters))
+    return counters.read()

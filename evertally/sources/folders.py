@@ -123,6 +123,10 @@ class BatchLog:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self.folder.path)
 
+    def batch(self, run: str, batch_id: int) -> DataFrame:
+        """What one batch of a run has appended."""
+        return self.read().filter((F.col("run") == run) & (F.col("batch_id") == batch_id))
+
     def apart_from(self, run: str, batch_id: int, since: date | None = None) -> DataFrame:
         """What other runs and the earlier batches of this one have appended; a dated log needs no days before `since`."""
         return self.read().filter((F.col("run") != run) | (F.col("batch_id") < batch_id))

@@ -18,11 +18,14 @@ from evertally import fixed_values as fixed
 from evertally.functions import contracts
 from evertally.operators import counts, gate, ingest, split
 from evertally.operators.dedup import EVENT_KEYS, horizon_dedup
+from evertally.operators.metrics import shard_snapshot_counters, sink_counters
 from evertally.settings import positive_duration
 from evertally.sources.dated_log import DatedLog, day_of
 from evertally.sources.folders import BatchLog, Table, run_of
 from evertally.sources.sink_log import SinkLog
+from evertally.streaming.counters import Counters
 from evertally.streaming.dedup import LATENESS, horizon_dedup_stream
+from evertally.streaming.listener import observed
 
 COUNTED = "event_id STRING, video_id BIGINT, counter_shard_id INT, counted_at TIMESTAMP"
 SHARD_SNAPSHOTS = "video_id BIGINT, counter_shard_id INT, count BIGINT, version BIGINT, emitted_at TIMESTAMP"
@@ -46,13 +49,24 @@ def accept_requests(requests: DataFrame, secret: str) -> DataFrame:
     return events.select(F.lit(fixed.VIEWS_TOPIC).alias("topic"), *contracts.event_record())
 
 
-def publish_events(requests: DataFrame, secret: str, sent: BatchLog | SinkLog, checkpoint: str) -> DataStreamWriter:
-    """Accepted requests to a log of event records, under the name that failed publishing is counted by."""
+def publish_events(
+    requests: DataFrame, secret: str, sent: BatchLog | SinkLog, checkpoint: str, counters: Counters | None = None
+) -> DataStreamWriter:
+    """Accepted requests to a log of event records, under the name that failed publishing is counted by.
+
+    Through the file sink rows are counted by the listener, as observed in the stream.
+    """
     if isinstance(sent, SinkLog):
-        return sent.writer(accept_requests(requests, secret), checkpoint, "accept-requests")
+        events = observed(accept_requests(requests, secret), "view_events_published_total")
+        return sent.writer(events, checkpoint, "accept-requests")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        sent.append(batch, batch_id, run=run_of(batch.sparkSession, checkpoint))
+        run = run_of(batch.sparkSession, checkpoint)
+        sent.append(batch, batch_id, run=run)
+        if counters is not None:
+            published = sent.batch(run, batch_id).count()  # every accepted request is published
+            values = {"view_requests_total": published, "view_events_published_total": published}
+            counters.add("accept-requests", run, batch_id, values)
 
     return _batches(accept_requests(requests, secret), write, checkpoint, "accept-requests")
 
@@ -102,7 +116,11 @@ def counted_log(spark: SparkSession, path: str) -> DatedLog:
 
 
 def count_events(
-    events: DataFrame, counted: BatchLog, checkpoint: str, horizon: timedelta = fixed.DEDUP_HORIZON
+    events: DataFrame,
+    counted: BatchLog,
+    checkpoint: str,
+    horizon: timedelta = fixed.DEDUP_HORIZON,
+    counters: Counters | None = None,
 ) -> DataStreamWriter:
     """Deduplicate each micro-batch against what was counted within the last horizon.
 
@@ -111,7 +129,7 @@ def count_events(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.select(*EVENT_KEYS, "accepted_at")
-        earliest = batch.agg(F.min("accepted_at")).first()[0]
+        earliest, arrived = batch.agg(F.min("accepted_at"), F.count("*")).first()
         if earliest is None:
             return
         run = run_of(batch.sparkSession, checkpoint)
@@ -123,6 +141,10 @@ def count_events(
         seen = seen.join(batch.select(*EVENT_KEYS), list(EVENT_KEYS), "left_semi")
         fresh = horizon_dedup(batch, horizon, already_counted=seen)
         counted.append(fresh, batch_id, run=run)
+        if counters is not None:
+            unique = counted.batch(run, batch_id).count()
+            values = {"unique_view_events_total": unique, "duplicate_view_events_total": arrived - unique}
+            counters.add("count-events", run, batch_id, values)
 
     return _batches(events, write, checkpoint, "count-events")
 
@@ -162,8 +184,20 @@ def totals_of(videos: DataFrame, shards: Table) -> DataFrame:
     return counts.video_totals(shards.read().join(videos.select("video_id"), "video_id", "left_semi"))
 
 
+def snapshot_counts(batch: DataFrame, shards: Table) -> dict[str, int]:
+    """Snapshots of a batch, and those that are not above what came before them for their shard."""
+    order = ("arrival", "offset") if {"arrival", "offset"} <= set(batch.columns) else ("emitted_at", "version")
+    flagged = gate.flag_stale(batch, counts.SHARD, order, stored=shards.read())
+    return shard_snapshot_counters(flagged).first().asDict()
+
+
 def emit_totals(
-    snapshots: DataFrame, totals: BatchLog, table: Table, shards: Table, checkpoint: str
+    snapshots: DataFrame,
+    totals: BatchLog,
+    table: Table,
+    shards: Table,
+    checkpoint: str,
+    counters: Counters | None = None,
 ) -> DataStreamWriter:
     """Changed totals to the totals log and, behind the version gate, to the counter table.
 
@@ -172,14 +206,20 @@ def emit_totals(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        run = run_of(batch.sparkSession, checkpoint)
+        if counters is not None:  # before the table takes the batch in: a repetition would find it stale
+            counters.add("video-totals", run, batch_id, snapshot_counts(batch, shards))
         shards.upsert(newer_shards(batch, shards).select("video_id", "counter_shard_id", "count", "version"))
         fresh = gate.newer_totals(totals_of(batch, shards), table.read())
-        run = run_of(batch.sparkSession, checkpoint)
         totals.append(fresh.withColumn("emitted_at", F.current_timestamp()), batch_id, run=run)
         # what the log says was emitted is what the table gets, also when the batch is repeated
-        emitted = totals.read().filter((F.col("run") == run) & (F.col("batch_id") == batch_id))
+        emitted = totals.batch(run, batch_id)
         newer = gate.newer_totals(emitted, table.read())
         table.upsert(newer.withColumn("updated_at", F.current_timestamp()))
+        if counters is not None:
+            sent = emitted.count()
+            values = {"video_total_snapshots_total": sent, "counter_sink_success_total": sent}
+            counters.add("video-totals", run, batch_id, values)
 
     return _batches(snapshots, write, checkpoint, "video-totals")
 
@@ -195,7 +235,9 @@ def every_tick(writer: DataStreamWriter, interval: timedelta = fixed.SNAPSHOT_IN
     return writer.trigger(processingTime=f"{interval // timedelta(milliseconds=1)} milliseconds")
 
 
-def persist_totals(records: DataFrame, table: Table, dead: BatchLog, checkpoint: str) -> DataStreamWriter:
+def persist_totals(
+    records: DataFrame, table: Table, dead: BatchLog, checkpoint: str, counters: Counters | None = None
+) -> DataStreamWriter:
     """Total records of a topic to the counter table; bad records are quarantined.
 
     A failing table stops the query with its offset kept, and a restart retries the batch.
@@ -204,9 +246,12 @@ def persist_totals(records: DataFrame, table: Table, dead: BatchLog, checkpoint:
     def write(batch: DataFrame, batch_id: int) -> None:
         checked = split.checked_totals(batch).persist()
         try:
-            dead.append(split.dead_letters(checked), batch_id, run=run_of(batch.sparkSession, checkpoint))
+            run = run_of(batch.sparkSession, checkpoint)
+            dead.append(split.dead_letters(checked), batch_id, run=run)
             accepted = gate.newer_totals(split.valid(checked), table.read())
             table.upsert(accepted.withColumn("updated_at", F.current_timestamp()))
+            if counters is not None:
+                counters.add("persist-totals", run, batch_id, sink_counters(split.valid(checked)).first().asDict())
         finally:
             checked.unpersist()
 

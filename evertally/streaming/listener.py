@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from evertally.streaming.counters import Counters
+
 # Failure counters by query name (fixed values)
 FAILURE_COUNTERS = {
     "accept-requests": "view_event_publish_failures_total",
@@ -23,10 +25,14 @@ def observed(rows: DataFrame, name: str) -> DataFrame:
 
 
 class CounterListener(StreamingQueryListener):
-    """Adds up observed rows and failed queries; register with `spark.streams.addListener`."""
+    """Adds up observed rows and failed queries; register with `spark.streams.addListener`.
+
+    With `durable`, failures are kept there too, each under the run that failed.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, durable: Counters | None = None) -> None:
         self.counters: Counter[str] = Counter()
+        self.durable = durable
         self._names: dict[str, str | None] = {}
 
     def onQueryStarted(self, event) -> None:
@@ -42,4 +48,7 @@ class CounterListener(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         if event.exception:
             name = self._names.get(str(event.runId))
-            self.counters[FAILURE_COUNTERS.get(name, f"{name}_failures")] += 1
+            metric = FAILURE_COUNTERS.get(name, f"{name}_failures")
+            self.counters[metric] += 1
+            if self.durable is not None:
+                self.durable.add("failures", str(event.runId), 0, {metric: 1})

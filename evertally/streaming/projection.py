@@ -18,8 +18,10 @@ from pyspark.sql.streaming import DataStreamWriter
 from evertally import fixed_values as fixed
 from evertally.functions.contracts import REBUILD_LEDGER
 from evertally.operators import cdc, gate
+from evertally.operators.metrics import projection_counters
 from evertally.settings import positive_count
-from evertally.sources.folders import Table
+from evertally.sources.folders import Table, run_of
+from evertally.streaming.counters import Counters
 
 MARKER = "_generation"
 PROGRESS = "_rebuilt"
@@ -61,6 +63,10 @@ class Projection:
         if self.table.folder.read_text(MARKER) == generation:
             self.table.folder.write_text(MARKER, fixed.REQUESTED_PREFIX + generation)
 
+    def outcomes(self, changes: DataFrame) -> dict[str, int]:
+        """How many of the changes (with `arrival`) the projection takes as they arrive, and how many it does not."""
+        return projection_counters(gate.flag_applied(changes, projection=self.table.read())).first().asDict()
+
     def request(self, generation: str) -> bool:
         """Enter the rebuild in the ledger; false when it is already there."""
         entry = (generation, fixed.REBUILD_SIGNAL, json.dumps(fixed.REBUILD_REQUEST))
@@ -84,16 +90,16 @@ class Projection:
         rows = self.source.read().filter(F.col("video_id").between(first, first + self.chunk_ids - 1))
         return cdc.reread(rows).withColumn("offset", F.lit(-1).cast("bigint"))
 
-    def apply(self, changes: DataFrame) -> None:
+    def apply(self, changes: DataFrame) -> bool:
         """Apply changes (video_id, count, version, offset), and one more chunk while the projection is rebuilt.
 
         Progress is noted after the chunk is stored, and the marker is set last: a crash before either repeats what is
-        harmless.
+        harmless. Returns whether a rebuild was requested.
         """
         generation = self.pending_generation()
-        first = None
+        first, requested = None, False
         if generation is not None:
-            self.request(generation)
+            requested = self.request(generation)
             first = self._next_id(generation)
             if first is not None:
                 changes = changes.unionByName(self._chunk(first).select(*changes.columns))
@@ -103,6 +109,7 @@ class Projection:
             self.table.folder.write_text(PROGRESS, json.dumps({"generation": generation, "next": first + self.chunk_ids}))
         if generation is not None and self._next_id(generation) is None:
             self.mark_requested(generation)
+        return requested
 
     def recover(self) -> None:
         """The periodic check: rebuild, chunk by chunk, when the projection was lost, else do nothing."""
@@ -111,11 +118,21 @@ class Projection:
             self.apply(self.table.spark.createDataFrame([], nothing))
 
 
-def project_changes(feed: DataFrame, projection: Projection, checkpoint: str) -> DataStreamWriter:
-    """Apply a change feed. An unusable change stops the query with its offset kept: nothing is skipped."""
+def project_changes(
+    feed: DataFrame, projection: Projection, checkpoint: str, counters: Counters | None = None
+) -> DataStreamWriter:
+    """Apply a change feed. An unusable change stops the query with its offset kept: nothing is skipped.
+
+    Counted are the changes of the feed, not the rows of a rebuild.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        changes = cdc.strict(cdc.unwrap(batch)).select("video_id", "count", "version", "offset")
-        projection.apply(changes)
+        changes = cdc.strict(cdc.unwrap(batch))
+        if counters is not None:  # before they are applied: a repetition would find them stale
+            run = run_of(batch.sparkSession, checkpoint)
+            counters.add("project-changes", run, batch_id, projection.outcomes(changes))
+        requested = projection.apply(changes.select("video_id", "count", "version", "offset"))
+        if counters is not None:
+            counters.add("project-changes", run, batch_id, {"counter_cdc_rebuilds": int(requested)})
 
     return feed.writeStream.queryName("project-changes").option("checkpointLocation", checkpoint).foreachBatch(write)

@@ -15,6 +15,7 @@ from evertally.sources.dated_log import DatedLog
 from evertally.sources.folders import BatchLog, Folder, Table
 from evertally.sources.sink_log import SinkLog
 from evertally.streaming import counting, listener
+from evertally.streaming.counters import Counters
 from evertally.streaming.projection import Projection, project_changes
 
 SECRET = "test-only-secret-with-at-least-32-characters"
@@ -560,3 +561,27 @@ def test_kafka_options():
     for bad in (("", "t", None), ("s", " ", None), ("s", "t", 0)):
         with pytest.raises(ValueError):
             topics.kafka_options(*bad)
+
+
+def test_counters_take_a_batch_once(spark, folder):
+    counters = Counters(spark, f"{folder}/counters")
+    assert counters.read().count() == 0
+    counters.add("a", "r1", 0, {"x": 5, "y": 1})
+    counters.add("a", "r1", 0, {"x": 5, "y": 1})  # repeated
+    counters.add("a", "r1", 1, {"x": 2})
+    counters.add("a", "r1", 1, {"x": 2, "y": 3})  # broke off between the two
+    counters.add("a", "r2", 0, {"x": 10})  # another checkpoint
+    counters.add("b", "r1", 0, {"x": 100})
+    assert {r["metric"]: r["value"] for r in counters.read().collect()} == {"x": 117, "y": 4}
+
+
+def test_repeated_batches_are_not_counted_twice(spark, folder):
+    job = Counting(spark, folder)
+    counters = Counters(spark, f"{folder}/counters")
+    job.count = lambda *args: counting.count_events(*args, counters=counters)
+    assert job.deliver(("A", 0), ("A", 1), ("B", 0)) == 2
+    for name in ("0", ".0.crc"):
+        Folder(spark, f"{job.checkpoint('counted')}/commits").remove(name)
+    assert job.deliver(("C", 1), ("A", 2)) == 3
+    found = {r["metric"]: r["value"] for r in counters.read().collect()}
+    assert found == {"unique_view_events_total": 3, "duplicate_view_events_total": 2}
