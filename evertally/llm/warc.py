@@ -3,7 +3,7 @@
 Every task writes the records of its rows into one archive file, each record a gzip member of its own, so that a record
 can be read by its offset and length alone. Captures are sorted by URL key (host reversed, then path) into blocks of
 index lines, each block a gzip member; the directory holds the first key, file, offset and length of each block. A
-lookup searches the directory, reads one block, and then reads one range of one archive.
+lookup searches the sparse directories by bisection, reads the blocks they point at, and then ranges of the archives.
 
 A file belongs to one attempt of one task, and the written capture list names the file of each record, so a repeated task
 leaves at most a file that nothing names. Archives lie in the shared folder, read and written through its own file system.
@@ -40,6 +40,8 @@ BLOCK_LINES = 1000
 #: Records closer than this in an archive are read in one range.
 GAP_BYTES = 1 << 16
 READ_BYTES = 1 << 22
+#: Bytes of archives for each task that reads them back.
+TASK_BYTES = 1 << 23
 #: Of compression: 6 takes half as long again and saves a fortieth of the size.
 LEVEL = 3
 ASCII_SIGNS = string.punctuation
@@ -247,29 +249,52 @@ class Archive:
         in_order = in_order.sortWithinPartitions("url_key", "page_id", "file", "offset")
         return cls(spark, folder, captures, written(in_order.mapInArrow(_index_writer(folder), DIRECTORY), "directory"))
 
-    def indexed(self) -> DataFrame:
-        """file, offset, length of every capture, read back from the index blocks."""
-        blocks = self.directory.repartition("file", "offset")
-        return blocks.mapInArrow(_block_reader(self.folder), RANGES)
+    def blocks_of(self, keys: DataFrame) -> DataFrame:
+        """(key, file, offset, length) of the index blocks that can hold a capture of each `key`.
 
-    def read_back(self) -> DataFrame:
-        """Every record as it is in the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-        ranges = self.indexed().withColumn("part", F.floor(F.col("offset") / READ_BYTES))
-        ranges = ranges.repartition("file", "part").sortWithinPartitions("file", "offset")
-        return ranges.mapInArrow(_record_reader(self.folder), FIGURES)
+        Each task knows the key range of every index file (one row per file), and searches the directories of those that
+        can hold a key; no block is read.
+        """
+        files = self.directory.groupBy("file").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high"))
+        files = sorted((r["low"], r["high"], r["file"]) for r in files.collect())
+        wanted = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+        return wanted.mapInArrow(_searcher(self.folder, files), f"key string, {RANGES}")
 
-    def lookup(self, urls: DataFrame) -> DataFrame:
-        """(url, file, offset, length) of all captures of the given URLs.
+    def found(self, keys: DataFrame) -> DataFrame:
+        """(key, file, offset, length) of all captures of the given keys.
 
-        Each task knows the key range of every index file, searches the directories of those that can hold a key, and
-        reads only the blocks these point at.
+        A block is read once, with all keys that may lie in it; the blocks of a key with many captures are many tasks' work.
         """
-        files = self.directory.groupBy("file").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high"))
-        files = [(r["low"], r["high"], r["file"]) for r in files.collect()]  # one row per index file
-        key = F.udf(url_key, "string")
-        wanted = urls.select("url").distinct().withColumn("key", key("url"))
-        wanted = wanted.repartitionByRange("key").sortWithinPartitions("key")
-        return wanted.mapInArrow(_searcher(self.folder, sorted(files)), f"url string, {RANGES}")
+        blocks = self.blocks_of(keys).repartition(self._tasks(), "file", "offset")
+        blocks = blocks.sortWithinPartitions("file", "offset", "key")
+        return blocks.mapInArrow(_block_reader(self.folder), f"key string, {RANGES}")
+
+    def lookup(self, urls: DataFrame) -> DataFrame:
+        """(url, file, offset, length) of all captures of the given URLs; URLs of equal keys have the same captures."""
+        wanted = with_keys(urls.select("url").distinct())
+        return wanted.join(self.found(wanted), "key").select("url", "file", "offset", "length")
+
+    def records(self, ranges: DataFrame) -> DataFrame:
+        """The records at (file, offset, length): page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
+        ranges = ranges.select("file", "offset", "length").withColumn("part", F.floor(F.col("offset") / READ_BYTES))
+        ranges = ranges.repartition(self._tasks(), "file", "part").sortWithinPartitions("file", "offset")
+        return ranges.mapInArrow(_record_reader(self.folder), FIGURES)
+
+    def _tasks(self) -> int:
+        """Read tasks, by the bytes of the archives; the sizes of their ranges say nothing of the work."""
+        size = self.captures.agg(F.sum("length")).first()[0] or 0
+        return max(1, -(-size // TASK_BYTES))
+
+
+def with_keys(urls: DataFrame) -> DataFrame:
+    """Adds the `key` of each `url`."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([url_key(url) for url in batch.column("url").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("url"), keys], ["url", "key"])
+
+    return urls.select("url").mapInArrow(keyed, "url string, key string")
 
 
 def _index_lines(store: Store, name: str, offset: int, length: int) -> list[list[str]]:
@@ -277,12 +302,20 @@ def _index_lines(store: Store, name: str, offset: int, length: int) -> list[list
 
 
 def _block_reader(folder: str):
+    """The captures of the wanted keys; blocks come in order, each with its keys."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Store(folder)
+        store, at = Store(folder), None
+        captures: dict[str, list[tuple[str, int, int]]] = {}
         for batch in batches:
-            for block in batch.to_pylist():
-                lines = _index_lines(store, block["file"], block["offset"], block["length"])
-                yield _batch([(line[1], int(line[2]), int(line[3])) for line in lines], RANGES)
+            found = []
+            for row in batch.to_pylist():
+                if at != (row["file"], row["offset"]):
+                    at, captures = (row["file"], row["offset"]), {}
+                    for key, file, offset, length, *_ in _index_lines(store, *at, row["length"]):
+                        captures.setdefault(key, []).append((file, int(offset), int(length)))
+                found += [(row["key"], *place) for place in captures.get(row["key"], ())]
+            yield _batch(found, f"key string, {RANGES}")
 
     return read
 
@@ -295,7 +328,7 @@ def _searcher(folder: str, files: list[tuple[str, str, str]]):
         opened: tuple[str, list] = ("", [])  # keys come in order, so one directory at a time is enough
         for batch in batches:
             found = []
-            for url, key in zip(batch.column("url").to_pylist(), batch.column("key").to_pylist(), strict=True):
+            for key in batch.column("key").to_pylist():
                 last = bisect.bisect_right(files, key, key=lambda f: f[0])
                 first = last
                 while first and files[first - 1][1] >= key:
@@ -305,19 +338,17 @@ def _searcher(folder: str, files: list[tuple[str, str, str]]):
                         with store.open(f"{name}.dir") as beside:
                             lines = unpacked(beside.read()).decode().split("\n")[:-1]
                         opened = name, [line.split(" ") for line in lines]
-                    found += [(url, *place) for place in _search_file(store, *opened, key)]
-            yield _batch(found, f"url string, {RANGES}")
+                    found += [(key, name, *block) for block in _blocks_with(opened[1], key)]
+            yield _batch(found, f"key string, {RANGES}")
 
     return search
 
 
-def _search_file(store: Store, name: str, blocks: list[list[str]], key: str) -> Iterator[tuple[str, int, int]]:
+def _blocks_with(blocks: list[list[str]], key: str) -> Iterator[tuple[int, int]]:
     # captures of one key may start in the block before the first block that starts with it
     at = max(bisect.bisect_left(blocks, key, key=lambda block: block[0]) - 1, 0)
     while at < len(blocks) and blocks[at][0] <= key:
-        for line in _index_lines(store, name, int(blocks[at][1]), int(blocks[at][2])):
-            if line[0] == key:
-                yield line[1], int(line[2]), int(line[3])
+        yield int(blocks[at][1]), int(blocks[at][2])
         at += 1
 
 
@@ -363,5 +394,7 @@ def _figures(record: Record) -> tuple:
 
 
 def archive_report(pages: DataFrame) -> DataFrame:
-    """Writes the pages, and returns what the archives and their index hold for each."""
-    return Archive.write(pages).read_back().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Writes the pages, looks the keys of their URLs up, and returns what the archives hold for each."""
+    archive = Archive.write(pages)
+    records = archive.records(archive.found(with_keys(pages.select("url").distinct())))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -51,7 +51,8 @@ def test_round_trip_and_lookup(spark, folder, monkeypatch, min_bytes):
     monkeypatch.setattr(warc, "BLOCK_LINES", 2)
     pages = spark.createDataFrame([(*r, "x", 1) for r in ODD], PAGES + ", digest STRING, file BIGINT").repartition(3)
     archive = warc.Archive.write(pages, folder, min_bytes)
-    back = archive.read_back().drop("url")
+    keys = warc.with_keys(pages.select("url").distinct())
+    back = archive.records(archive.found(keys)).drop("url")
     expected = brute_force([(i, h) for i, _, h in ODD], min_bytes)
     assert found(back) == expected
     urls = sorted({u or "" for _, u, _ in ODD}) + ["http://nowhere.net/", "http://a.example.com/", "http://zzz/"]
@@ -75,3 +76,19 @@ def test_keys():
 
 def test_empty_table(spark):
     assert warc.archive_report(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_blocks_of_a_hot_key_are_read_by_many_tasks(spark, folder, monkeypatch):
+    """Every block is read once, with its keys; a key with a third of all captures is spread over its blocks."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 10)
+    monkeypatch.setattr(warc, "TASK_BYTES", 2000)
+    rows = [(i, "http://hot.org/" if i % 3 == 0 else f"http://h{i % 50}.org/{i}", f"page {i}") for i in range(900)]
+    archive = warc.Archive.write(spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING"), folder)
+    keys = warc.with_keys(spark.createDataFrame([(u,) for _, u, _ in rows], "url STRING").distinct())
+    blocks = archive.blocks_of(keys)
+    hot = blocks.filter("key = 'org,hot)/'")
+    assert 30 <= hot.count() <= 33 and hot.repartition(archive._tasks(), "file", "offset").selectExpr("spark_partition_id() p").distinct().count() > 5
+    assert blocks.select("file", "offset").distinct().count() == archive.directory.count()
+    found = archive.found(keys)
+    assert found.count() == found.select("file", "offset").distinct().count() == 900
+    assert sorted(r["page_id"] for r in archive.records(found).collect()) == list(range(900))
