@@ -442,6 +442,11 @@ ORACLES: dict[str, str] = {
             UNION ALL SELECT 'counter_cdc_processed', count(*) FROM stale_changes WHERE NOT stale
             UNION ALL SELECT 'counter_cdc_stale', count(*) FROM stale_changes WHERE stale""",
     ),
+    "stream_snapshot_per_tick": _with(
+        f"{FIRST}, {_log('shard_log', 'video_id, counter_shard_id', 'count', DAY_US // 24).strip()}",
+        """SELECT video_id, counter_shard_id, count, count AS version, emitted_us FROM shard_log
+           WHERE emitted_us < (SELECT max(t) FROM firsts) - 10000000""",
+    ),
     "resolve_counts": _with(
         f"""{USERS},
             ids AS (SELECT user_id AS video_id FROM requests UNION SELECT user_id * 2 - 1 FROM requests)""",

@@ -14,12 +14,12 @@ from evertally import fixed_values as fixed
 from evertally.functions import contracts
 from evertally.operators import counts
 from evertally.plans import mapping as m
-from evertally.plans.queries import query, us
+from evertally.plans.queries import HOUR, query, us
 from evertally.session import ROCKSDB, fresh_folder
 from evertally.sources import topics
 from evertally.sources.dated_log import DatedLog
 from evertally.sources.folders import BatchLog, Table
-from evertally.streaming import counting, projection
+from evertally.streaming import counting, projection, ticks
 from evertally.streaming.counters import Counters
 
 AS_OF = datetime(2024, 1, 31)
@@ -108,6 +108,22 @@ def stream_video_totals(spark: SparkSession, sf: str) -> DataFrame:
     return table.read().select("video_id", "view_count", "version")
 
 
+@query
+def stream_snapshot_per_tick(spark: SparkSession, sf: str) -> DataFrame:
+    """Snapshots by timers; the ticks of the last ten seconds wait for a newer arrival."""
+    base = fresh_folder(spark, "stream")
+    counted = m.first_arrivals(spark, sf)
+    snapshots = BatchLog(spark, f"{base}/shards", counting.SHARD_SNAPSHOTS)
+
+    def emit(rows: DataFrame) -> DataStreamWriter:
+        return ticks.emit_ticks(rows, snapshots, f"{base}/checkpoints/ticks", HOUR)
+
+    with state_stores(spark):
+        replay(counted, "counted_at", f"{base}/counted", emit)
+    names = "video_id", "counter_shard_id", "count", "version"
+    return snapshots.read().select(*names, us("emitted_at", "emitted_us"))
+
+
 @query
 def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     base = fresh_folder(spark, "stream")

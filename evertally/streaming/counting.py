@@ -68,7 +68,7 @@ def publish_events(
             values = {"view_requests_total": published, "view_events_published_total": published}
             counters.add("accept-requests", run, batch_id, values)
 
-    return _batches(accept_requests(requests, secret), write, checkpoint, "accept-requests")
+    return batches(accept_requests(requests, secret), write, checkpoint, "accept-requests")
 
 
 def routed_log(spark: SparkSession, path: str, schema: str = ROUTED) -> SinkLog:
@@ -103,7 +103,7 @@ def _route(
         rows = split.routed(check(batch)).select(*columns)
         routed.append(rows, batch_id, partition_by=("topic",), run=run_of(batch.sparkSession, checkpoint))
 
-    return _batches(records, write, checkpoint, name)
+    return batches(records, write, checkpoint, name)
 
 
 def valid_events(routed: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def count_events(
             values = {"unique_view_events_total": unique, "duplicate_view_events_total": arrived - unique}
             counters.add("count-events", run, batch_id, values)
 
-    return _batches(events, write, checkpoint, "count-events")
+    return batches(events, write, checkpoint, "count-events")
 
 
 def count_events_stateful(
@@ -159,18 +159,18 @@ def count_events_stateful(
     """The same with keyed state instead of the log: lower latency, lower throughput. Expired ids leave the state."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _append_whole(counted, batch, batch, batch_id, checkpoint)
+        append_whole(counted, batch, batch, batch_id, checkpoint)
 
-    return _batches(horizon_dedup_stream(events, horizon, lateness=lateness), write, checkpoint, "count-events").outputMode("update")
+    return batches(horizon_dedup_stream(events, horizon, lateness=lateness), write, checkpoint, "count-events").outputMode("update")
 
 
 def emit_shard_snapshots(counted: DataFrame, snapshots: BatchLog, checkpoint: str) -> DataStreamWriter:
     """Absolute count of every (video, shard) that changed in the micro-batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _append_whole(snapshots, counts.as_snapshot(batch, "count"), batch, batch_id, checkpoint)
+        append_whole(snapshots, counts.as_snapshot(batch, "count"), batch, batch_id, checkpoint)
 
-    return _batches(counts.shard_counts(counted), write, checkpoint, "shard-snapshots").outputMode("update")
+    return batches(counts.shard_counts(counted), write, checkpoint, "shard-snapshots").outputMode("update")
 
 
 def newer_shards(batch: DataFrame, shards: Table) -> DataFrame:
@@ -221,7 +221,7 @@ def emit_totals(
             values = {"video_total_snapshots_total": sent, "counter_sink_success_total": sent}
             counters.add("video-totals", run, batch_id, values)
 
-    return _batches(snapshots, write, checkpoint, "video-totals")
+    return batches(snapshots, write, checkpoint, "video-totals")
 
 
 def topic_records(snapshots: DataFrame, contract: contracts.Contract, topic: str) -> DataFrame:
@@ -255,14 +255,14 @@ def persist_totals(
         finally:
             checked.unpersist()
 
-    return _batches(records, write, checkpoint, "persist-totals")
+    return batches(records, write, checkpoint, "persist-totals")
 
 
-def _append_whole(log: BatchLog, rows: DataFrame, batch: DataFrame, batch_id: int, checkpoint: str) -> None:
+def append_whole(log: BatchLog, rows: DataFrame, batch: DataFrame, batch_id: int, checkpoint: str) -> None:
     """Append the rows of a stateful batch. One that is there already still has to renew its state."""
     if not log.append(rows, batch_id, run=run_of(batch.sparkSession, checkpoint)):
         batch.write.format("noop").mode("overwrite").save()
 
 
-def _batches(stream: DataFrame, write, checkpoint: str, name: str) -> DataStreamWriter:
+def batches(stream: DataFrame, write, checkpoint: str, name: str) -> DataStreamWriter:
     return stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(write)

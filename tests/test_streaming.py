@@ -14,7 +14,7 @@ from evertally.sources import topics
 from evertally.sources.dated_log import DatedLog
 from evertally.sources.folders import BatchLog, Folder, Table
 from evertally.sources.sink_log import SinkLog
-from evertally.streaming import counting, listener
+from evertally.streaming import counting, listener, ticks
 from evertally.streaming.counters import Counters
 from evertally.streaming.projection import Projection, project_changes
 
@@ -585,3 +585,27 @@ def test_repeated_batches_are_not_counted_twice(spark, folder):
     assert job.deliver(("C", 1), ("A", 2)) == 3
     found = {r["metric"]: r["value"] for r in counters.read().collect()}
     assert found == {"unique_view_events_total": 3, "duplicate_view_events_total": 2}
+
+
+def test_a_tick_over_two_batches_gives_one_snapshot(spark, folder):
+    """Changes wait for the end of their tick, over batches and restarts; quiet keys are not emitted."""
+    counted = BatchLog(spark, f"{folder}/counted", counting.COUNTED)
+    snapshots = BatchLog(spark, f"{folder}/shards", counting.SHARD_SNAPSHOTS)
+    minute = timedelta(minutes=1)
+
+    def deliver(batch, *rows):
+        events = [(f"{batch}-{n}", 1, shard, NOW + timedelta(seconds=s)) for n, (shard, s) in enumerate(rows)]
+        counted.append(spark.createDataFrame(events, counting.COUNTED), batch)
+        run(ticks.emit_ticks(counted.stream(), snapshots, f"{folder}/checkpoint", minute, timedelta(seconds=5)))
+        found = snapshots.read().collect()
+        return sorted((r["counter_shard_id"], r["count"], (r["emitted_at"] - NOW).total_seconds()) for r in found)
+
+    assert deliver(0, (0, 1), (0, 2), (1, 3)) == []
+    assert deliver(1, (0, 30), (1, 64)) == []  # the watermark is at 59 seconds
+    first = [(0, 3, 60.0), (1, 1, 60.0)]
+    assert deliver(2, (1, 70), (1, 71)) == first
+    assert deliver(3, (0, 130)) == sorted([*first, (1, 4, 120.0)])
+    late = sorted([*first, (1, 4, 120.0), (1, 5, 60.0), (0, 4, 180.0)])
+    assert deliver(4, (1, 58), (0, 200)) == late  # late for its tick, but counted
+    with pytest.raises(ValueError):
+        ticks.emit_ticks(counted.stream(), snapshots, f"{folder}/c", timedelta(microseconds=1500))
