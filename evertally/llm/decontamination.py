@@ -13,6 +13,7 @@ by `decontaminated` and never read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -125,17 +126,22 @@ class ItemIndex:
             yield row, start, number[start:end].tolist()
 
 
-def item_shards(benchmark: DataFrame, item_id: str, text: str, window: int) -> list[ItemIndex]:
-    """Indexes over all items; each collects one shard of about SHARD_BYTES of text."""
+def item_shards(benchmark: DataFrame, item_id: str, text: str, window: int) -> tuple[DataFrame, int]:
+    """(shard, index) of all items, as a written table, and the number of shards; each holds about SHARD_BYTES of text.
+
+    Every index is built by a task from its items. The driver sees none of the items.
+    """
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
     items = items.filter("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text")).cast("bigint")).first()[0] or 0
     count = max(1, -(-size // SHARD_BYTES))
-    shards = []
-    for shard in range(count):
-        mine = items.filter(F.pmod(F.xxhash64("text"), F.lit(count)) == shard).collect()
-        shards.append(ItemIndex.build([row["item"] for row in mine], [row["text"] for row in mine], window))
-    return shards
+
+    def build(shard: pa.Table) -> pa.Table:
+        index = ItemIndex.build(shard.column("item").to_pylist(), shard.column("text").to_pylist(), window)
+        return pa.table({"shard": shard.column("shard").slice(0, 1), "index": w.binary_column([pickle.dumps(index)])})
+
+    items = items.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(count)))
+    return written(items.groupBy("shard").applyInArrow(build, "shard bigint, index binary"), "item_indexes"), count
 
 
 def merged_spans(hit: np.ndarray) -> list[int]:
@@ -170,23 +176,26 @@ def marked(
             T.StructField(names["items"], T.ArrayType(T.StringType())),
         ]
     )
-    shards = item_shards(benchmark, item_id, item_text, window)
-    passes = [shards[at : at + SHARDS_PER_PASS] for at in range(0, len(shards), SHARDS_PER_PASS)]
+    shards, count = item_shards(benchmark, item_id, item_text, window)
     rows = docs.select(*dict.fromkeys([*carry, text]))
-    for number, group in enumerate(passes):
-        last = number == len(passes) - 1
+    for first in range(0, count, SHARDS_PER_PASS):
+        last = first + SHARDS_PER_PASS >= count
+        # the indexes of one pass at a time go through the driver, packed, as a broadcast does
+        group = shards.filter(F.col("shard").between(first, first + SHARDS_PER_PASS - 1)).orderBy("shard").collect()
+        group = docs.sparkSession.sparkContext.broadcast([bytes(row["index"]) for row in group])
         kept = carry if last else rows.columns[: len(dict.fromkeys([*carry, text]))]
         schema = T.StructType([rows.schema[column] for column in kept] + added.fields)
-        scan = _scanner(docs.sparkSession.sparkContext.broadcast(group), kept, text, names, clean and last)
-        rows = rows.mapInArrow(scan, schema)
+        rows = rows.mapInArrow(_scanner(group, kept, text, names, clean and last), schema)
         if not last:
             rows = written(rows, "marked")
+            group.unpersist()
     return rows, names
 
 
 def _scanner(shards, kept: list[str], text: str, names: dict[str, str], clean: bool):
     @w.lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = [pickle.loads(index) for index in shards.value]
         for batch in batches:
             texts = batch.column(text)
             earlier = None
@@ -197,7 +206,7 @@ def _scanner(shards, kept: list[str], text: str, names: dict[str, str], clean: b
             for base, part in normalised(texts):
                 hit = np.zeros(len(part), dtype=bool)
                 named: dict[int, set[str]] = {}
-                for index in shards.value:
+                for index in indexes:
                     for row, start, symbols in index.stretches(part):
                         for begin, end, found in index.occurrences(symbols):
                             hit[start + begin : start + end] = True

@@ -145,7 +145,7 @@ def learned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     weights = np.array([np.log((1 + total) / (1 + frequency.get(b, 0))) + 1 for b in range(BUCKETS)], dtype=np.float32)
     # distinct texts whose hash is below the language's share
     share = F.least(F.lit(1.0), SAMPLE_PER_LANGUAGE / F.col("texts"))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
+    draw = F.xxhash64("text").cast("double") / 2.0**64 + 0.5
     sample = rows.join(small_side(sizes, languages), "lang").filter(draw < share).select("lang", "text").distinct()
     sample = sample.mapInArrow(partial(_vectors, weights=weights), "lang string, vector array<float>")
     clusters = sample.groupBy("lang").applyInPandas(_centroids, "lang string, centroid array<float>, radius double")

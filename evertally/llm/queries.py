@@ -142,11 +142,62 @@ def op5_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf, "documents"), shingle_words=3, percent=85)
 
 
+#: Texts with A-Z lowered, in DuckDB.
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op5_near_duplicates"] = rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 2], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS i FROM texts WHERE len(words) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM texts
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+), components AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT t.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, t.doc_id = c.component_id AS kept
+FROM texts t LEFT JOIN sizes s ON s.doc_id = t.doc_id JOIN components c ON c.doc_id = t.doc_id
+"""
+
+
 @query
 def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.repeat_report(table(spark, sf, "documents"))
 
 
+ORACLES["op6_substring_dedup"] = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS sequence
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM texts WHERE len(words) >= 13)
+), repeated AS (
+  SELECT doc_id, i FROM windows QUALIFY min(doc_id) OVER (PARTITION BY sequence) < doc_id
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place FROM repeated
+), places AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM texts
+), kept AS (
+  SELECT p.doc_id, count(c.place) AS n_removed,
+         string_agg(p.word, ' ' ORDER BY p.place) FILTER (c.place IS NULL) AS text
+  FROM places p LEFT JOIN covered c ON c.doc_id = p.doc_id AND c.place = p.place GROUP BY p.doc_id
+)
+SELECT t.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""
+
+
 @query
 def op7_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return ann.nearest(table(spark, sf, "embeddings"))
@@ -162,9 +213,53 @@ def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.archive_report(table(spark, sf, "pages"))
 
 
+_SHA1_BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  ((('0x' || substr(sha1(html), (i // 8 * 10 + 1)::INTEGER, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INTEGER + 1, 1)), '')"""
+
+ORACLES["op9_warc"] = f"""
+WITH payloads AS (
+  SELECT page_id, html, min(page_id) OVER (PARTITION BY html) AS first
+  FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_SHA1_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM payloads
+"""
+
+
 @query
 def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
-    return decontamination.benchmark_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    hits = decontamination.benchmark_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+ORACLES["op10_benchmark_decontamination"] = rf"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), items AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item, least(len(words), 10) AS n, array_to_string(words[i:i + 9], ' ') AS sequence
+  FROM (SELECT item, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM items WHERE len(words) > 0)
+), windows AS (
+  SELECT doc_id, n, i, array_to_string(words[i:i + n - 1], ' ') AS sequence
+  FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i
+        FROM texts, (SELECT DISTINCT n FROM item_windows) WHERE len(words) >= n)
+), found AS (
+  SELECT w.doc_id, w.i, w.n, x.item FROM windows w JOIN item_windows x ON x.n = w.n AND x.sequence = w.sequence
+), hit AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM found) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id
+)
+SELECT t.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts t LEFT JOIN hit h ON h.doc_id = t.doc_id LEFT JOIN named m ON m.doc_id = t.doc_id
+"""
 
 
 def crc32_sql(text: str) -> str:

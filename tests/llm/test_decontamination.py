@@ -99,3 +99,20 @@ def test_empty_tables(spark):
     assert d.benchmark_hits(docs, items).count() == 0
     assert not any(r["n_hit"] for r in d.benchmark_hits(some, items).collect())
     assert d.decontaminated(some, items).count() == len(CASES)
+
+
+def test_indexes_are_built_in_tasks_and_held_a_pass_at_a_time(spark, monkeypatch):
+    """A benchmark of many shards: no item is collected, and no broadcast holds more than a pass."""
+    monkeypatch.setattr(d, "SHARD_BYTES", 400)
+    monkeypatch.setattr(d, "SHARDS_PER_PASS", 3)
+    items = [(f"i{n}", " ".join(f"w{n}x{k}" for k in range(14))) for n in range(60)]
+    benchmark = spark.createDataFrame(items, "item_id STRING, text STRING")
+    table, count = d.item_shards(benchmark, "item_id", "text", 10)
+    assert count > 9 and table.count() <= count and table.columns == ["shard", "index"]
+    sizes = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sizes.append(len(value)) or broadcast(self, value))
+    docs = [(n, f"before {text} after" if n % 2 else text.replace("x3", "y3"), "x", "s", 1) for n, (_, text) in enumerate(items)]
+    found = d.benchmark_hits(spark.createDataFrame(docs, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"), benchmark)
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in found.collect()} == {n: (14, 1) if n % 2 else (10, 1) for n in range(60)}
+    assert max(sizes) <= 3 and len(sizes) == -(-count // 3)
