@@ -168,7 +168,7 @@ def empty_projection(spark: SparkSession, sf: str, base: str) -> projection.Proj
     return projection.Projection(
         Table(spark, f"{base}/projection", contracts.PROJECTION, ["key"]),
         source,
-        Table(spark, f"{base}/ledger", contracts.REBUILD_LEDGER),
+        Table(spark, f"{base}/ledger", contracts.REBUILD_LEDGER, ["id"]),
     )
 
 

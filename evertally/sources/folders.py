@@ -13,8 +13,9 @@ import json
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evertally.operators.gate import latest_by
 from evertally.settings import positive_count
@@ -106,6 +107,11 @@ class Folder:
             stream.close()
 
 
+#: Buckets of a whole version, a folder each. Part of the layout: with another number, write the tables anew.
+BUCKETS = 64
+BUCKET = "table_bucket"
+
+
 class BatchLog:
     """Append-only log, one folder per micro-batch of a run."""
 
@@ -151,6 +157,9 @@ class Table:
     A micro-batch adds only its own rows. Of several rows of a key the one of greatest `newest` counts, so
     rows must be gated before; after `compact_every` such versions the next one is whole. A version that a
     newer whole one has made needless stays for `keep`, longer than any reader runs.
+
+    Whole versions lie in buckets of the first key, so a gate opens those that its micro-batch touches. The rows of
+    the few later versions are as many as recent micro-batches brought, and are not split.
     """
 
     def __init__(
@@ -182,16 +191,38 @@ class Table:
         whole = [at for at, (_, kind) in enumerate(versions) if kind == "whole"]
         return versions[whole[-1] :] if whole else versions
 
-    def read(self) -> DataFrame:
-        current = self._current()
-        if not current:
-            return self.spark.createDataFrame([], self.schema)
-        paths = [f"{self.folder.path}/v={number}-{kind}" for number, kind in current]
-        rows = self.spark.read.schema(self.schema).parquet(*paths)
-        if current[-1][1] == "whole":
-            return rows
+    def read(self, near: DataFrame | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+        """The table, or its keys and these columns; given `near`, all rows at least whose first key is in there."""
+        paths, later = [], False
+        for number, kind in self._current():
+            name = f"v={number}-{kind}"
+            paths += self._whole(name, near) if kind == "whole" else [f"{self.folder.path}/{name}"]
+            later = later or kind == "rows"
+        if paths:
+            rows = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(*paths)
+        else:
+            rows = self.spark.createDataFrame([], self.schema)
+        if columns is not None:
+            rows = rows.select(*dict.fromkeys([*self.keys, *columns, self.newest]))
         names = rows.columns
-        return latest_by(rows, self.keys, F.col(self.newest)).select(*names)
+        return latest_by(rows, self.keys, F.col(self.newest)).select(*names) if later else rows
+
+    def known(self, batch: DataFrame) -> DataFrame:
+        """(keys, version) of at least the keys of a micro-batch: what its gate compares with."""
+        return self.read(batch, [self.newest])
+
+    def _bucket(self) -> Column:
+        kind = StructType.fromDDL(self.schema)[self.keys[0]].dataType
+        return F.pmod(F.xxhash64(F.col(self.keys[0]).cast(kind)), F.lit(BUCKETS))
+
+    def _whole(self, name: str, near: DataFrame | None) -> list[str]:
+        """The folders of a whole version that can hold what is wanted; at most BUCKETS numbers come to the driver."""
+        path = f"{self.folder.path}/{name}"
+        there = {found for found in self.folder.names(name) if found.startswith(f"{BUCKET}=")}
+        if near is None or not there:  # a version without buckets is one of no rows, or of an earlier layout
+            return [path]
+        touched = near.select(self._bucket().alias(BUCKET)).distinct().collect()
+        return [f"{path}/{found}" for found in sorted({f"{BUCKET}={row[0]}" for row in touched} & there)]
 
     def replace(self, rows: DataFrame) -> None:
         """Make `rows` the table, as the next version."""
@@ -210,5 +241,9 @@ class Table:
 
     def _publish(self, rows: DataFrame, kind: str) -> None:
         number = max((number for number, _ in self.versions()), default=-1) + 1
-        if not self.folder.publish(rows, f"v={number}-{kind}"):
+        parts = ()
+        keyed = self.keys[0] in StructType.fromDDL(self.schema).names
+        if kind == "whole" and keyed:  # few files a bucket, and large buckets in several tasks
+            rows, parts = rows.withColumn(BUCKET, self._bucket()).hint("rebalance", BUCKET), (BUCKET,)
+        if not self.folder.publish(rows, f"v={number}-{kind}", parts):
             raise OSError(f"version {number} of {self.folder.path} was written by someone else")

@@ -176,18 +176,19 @@ def emit_shard_snapshots(counted: DataFrame, snapshots: BatchLog, checkpoint: st
 def newer_shards(batch: DataFrame, shards: Table) -> DataFrame:
     """Latest value per (video, shard) of a batch, where it is above the table's."""
     latest = counts.latest_shards(batch).withColumn("version", F.col("count"))
-    return gate.newer_rows(latest, shards.read(), counts.SHARD)
+    return gate.newer_rows(latest, shards.known(batch), counts.SHARD)
 
 
 def totals_of(videos: DataFrame, shards: Table) -> DataFrame:
     """(video_id, view_count) of these videos, over all their shards."""
-    return counts.video_totals(shards.read().join(videos.select("video_id"), "video_id", "left_semi"))
+    stored = shards.read(videos, ["count"])
+    return counts.video_totals(stored.join(videos.select("video_id"), "video_id", "left_semi"))
 
 
 def snapshot_counts(batch: DataFrame, shards: Table) -> dict[str, int]:
     """Snapshots of a batch, and those that are not above what came before them for their shard."""
     order = ("arrival", "offset") if {"arrival", "offset"} <= set(batch.columns) else ("emitted_at", "version")
-    flagged = gate.flag_stale(batch, counts.SHARD, order, stored=shards.read())
+    flagged = gate.flag_stale(batch, counts.SHARD, order, stored=shards.known(batch))
     return shard_snapshot_counters(flagged).first().asDict()
 
 
@@ -210,11 +211,11 @@ def emit_totals(
         if counters is not None:  # before the table takes the batch in: a repetition would find it stale
             counters.add("video-totals", run, batch_id, snapshot_counts(batch, shards))
         shards.upsert(newer_shards(batch, shards).select("video_id", "counter_shard_id", "count", "version"))
-        fresh = gate.newer_totals(totals_of(batch, shards), table.read())
+        fresh = gate.newer_totals(totals_of(batch, shards), table.known(batch))
         totals.append(fresh.withColumn("emitted_at", F.current_timestamp()), batch_id, run=run)
         # what the log says was emitted is what the table gets, also when the batch is repeated
         emitted = totals.batch(run, batch_id)
-        newer = gate.newer_totals(emitted, table.read())
+        newer = gate.newer_totals(emitted, table.known(emitted))
         table.upsert(newer.withColumn("updated_at", F.current_timestamp()))
         if counters is not None:
             sent = emitted.count()
@@ -248,7 +249,8 @@ def persist_totals(
         try:
             run = run_of(batch.sparkSession, checkpoint)
             dead.append(split.dead_letters(checked), batch_id, run=run)
-            accepted = gate.newer_totals(split.valid(checked), table.read())
+            valid = split.valid(checked)
+            accepted = gate.newer_totals(valid, table.known(valid))
             table.upsert(accepted.withColumn("updated_at", F.current_timestamp()))
             if counters is not None:
                 counters.add("persist-totals", run, batch_id, sink_counters(split.valid(checked)).first().asDict())

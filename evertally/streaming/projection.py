@@ -17,6 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from evertally import fixed_values as fixed
 from evertally.functions.contracts import REBUILD_LEDGER
+from evertally.functions.identity import projection_key
 from evertally.operators import cdc, gate
 from evertally.operators.metrics import projection_counters
 from evertally.settings import positive_count
@@ -65,7 +66,12 @@ class Projection:
 
     def outcomes(self, changes: DataFrame) -> dict[str, int]:
         """How many of the changes (with `arrival`) the projection takes as they arrive, and how many it does not."""
-        return projection_counters(gate.flag_applied(changes, projection=self.table.read())).first().asDict()
+        return projection_counters(gate.flag_applied(changes, projection=self._stored(changes))).first().asDict()
+
+    def _stored(self, changes: DataFrame) -> DataFrame:
+        """What the gate needs of the projection for these changes."""
+        keys = changes.select(projection_key(F.col("video_id"), self.prefix).alias("key"))
+        return self.table.read(keys, ["video_id", "count"])
 
     def request(self, generation: str) -> bool:
         """Enter the rebuild in the ledger; false when it is already there."""
@@ -103,8 +109,7 @@ class Projection:
             first = self._next_id(generation)
             if first is not None:
                 changes = changes.unionByName(self._chunk(first).select(*changes.columns))
-        stored = self.table.read()
-        self.table.upsert(gate.newer_changes(changes, stored, prefix=self.prefix))
+        self.table.upsert(gate.newer_changes(changes, self._stored(changes), prefix=self.prefix))
         if first is not None:
             self.table.folder.write_text(PROGRESS, json.dumps({"generation": generation, "next": first + self.chunk_ids}))
         if generation is not None and self._next_id(generation) is None:

@@ -525,6 +525,30 @@ def test_table_versions(spark, folder):
     assert [number for number, _ in table.versions()] == [4, 5]
 
 
+def test_gates_open_the_buckets_of_their_batch_only(spark, folder):
+    schema = "video_id BIGINT, view_count BIGINT, version BIGINT"
+    table = Table(spark, f"{folder}/table", schema)
+    table.replace(spark.range(500).selectExpr("id AS video_id", "id AS view_count", "5L AS version"))
+    assert len(table.read().inputFiles()) > 40
+    batch = spark.createDataFrame([(7, 9), (8, 3), (None, 1)], "video_id INT, version BIGINT")  # narrower than the table's key
+    known = table.known(batch)
+    assert len(known.inputFiles()) <= 3 and known.columns == ["video_id", "version"]
+    assert {r["video_id"]: r["version"] for r in known.collect() if r["video_id"] in (7, 8)} == {7: 5, 8: 5}
+    # later versions count too, whichever bucket they would be in
+    table.upsert(spark.createDataFrame([(7, 1, 9), (1000, 1, 1)], schema))
+    known = {r["video_id"]: r["version"] for r in table.known(batch).collect()}
+    assert known[7] == 9 and known[8] == 5 and known[1000] == 1
+    assert table.read().count() == 501
+    assert table.read(batch, ["view_count"]).filter("video_id = 7").first().asDict() == {"video_id": 7, "view_count": 1, "version": 9}
+    # a version without rows, and one from before there were buckets
+    empty = Table(spark, f"{folder}/empty", schema)
+    empty.replace(spark.createDataFrame([], schema))
+    assert empty.known(batch).isEmpty()
+    plain = Table(spark, f"{folder}/plain", schema)
+    plain.folder.publish(spark.createDataFrame([(7, 1, 2)], schema), "v=0-whole")
+    assert [tuple(r) for r in plain.known(batch).collect()] == [(7, 2)]
+
+
 def test_ticks_emit_changed_keys_until_stopped(spark, folder):
     job = Counting(spark, folder)
     job.events.append(spark.createDataFrame([("A", 123, 0, NOW), ("B", 123, 1, NOW)], EVENT), 0)
