@@ -16,6 +16,7 @@ from evertally.sources.folders import BatchLog, Folder, Table
 from evertally.sources.sink_log import SinkLog
 from evertally.streaming import counting, listener, ticks
 from evertally.streaming.counters import Counters
+from evertally.streaming.dedup import horizon_dedup_stream
 from evertally.streaming.projection import Projection, project_changes
 
 SECRET = "test-only-secret-with-at-least-32-characters"
@@ -91,6 +92,25 @@ def test_expired_ids_leave_the_state(spark, folder):
     assert max(state) < 3 * 20 * 14 and state[-1] < state[5]
 
 
+def test_ids_share_calls_and_state(spark, folder):
+    """Ids of a bucket are one group: few state rows for many ids, each judged alone, with the same names apart."""
+    events = BatchLog(spark, f"{folder}/events", EVENT)
+    rows = [(f"{i}\n\"{i % 7}", 1 + i % 2, i % 3, NOW + timedelta(seconds=i)) for i in range(300)]
+    rows += [(f"{i}\n\"{i % 7}", 2 - i % 2, i % 3, NOW + timedelta(seconds=i)) for i in range(0, 300, 5)]  # other videos
+    rows += [(i, v, s, t + timedelta(days=d)) for i, v, s, t in rows[::2] for d in (1, 7, 8, 15, 16, 24)]
+    names, found = ["event_id", "video_id", "counter_shard_id", "counted_at"], []
+    for part in range(2):
+        during = [r for r in rows if (r[3] < NOW + timedelta(days=12)) == (part == 0)]
+        events.append(spark.createDataFrame(during, EVENT), part)
+        stream = horizon_dedup_stream(events.stream(), buckets=4).writeStream.outputMode("update")
+        stream = stream.option("checkpointLocation", f"{folder}/checkpoint")
+        stream = stream.foreachBatch(lambda batch, _: found.extend(batch.select(names).collect()))
+        query = stream.trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * 4
+    assert sorted(found) == sorted(horizon_dedup(spark.createDataFrame(rows, EVENT)).select(names).collect())
+
+
 def test_snapshots_are_gated_by_version(spark, folder):
     job = Counting(spark, folder)
 
