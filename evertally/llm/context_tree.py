@@ -35,11 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evertally.llm.tables import written
-from evertally.llm.words import ASCII_LOWER, NOT_SPACE, SLICE_BYTES, find_words, member, text_slices
+from evertally.llm.words import ASCII_LOWER, NOT_SPACE, SLICE_BYTES, find_words, lean, member, text_slices
 
 DEPTH, HEAD = 5, 3
 #: Entries of each kind that are broadcast (16 bytes each), entries that a task merges before it emits, strings of a chunk.
-FREQUENT, MERGE_ENTRIES, CHUNK = 1 << 20, 1 << 21, 1 << 19
+FREQUENT, MERGE_ENTRIES, CHUNK = 1 << 20, 1 << 21, 1 << 18
+#: Text that a task scores at once, unless one text is longer; what the broadcast tables lack is held for as much.
+PIECE_BYTES = 4 << 20
 WORD, STRING = 0, 1
 END_WORD = np.int64(-(1 << 63))  # key of the end among the words
 EDGE = 0xFF
@@ -93,12 +95,16 @@ def _counted(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, ...]:
 COUNTS = "kind tinyint, key bigint, train bigint, total bigint"
 
 
+@lean
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, key, train, total) of rows (text, training), partly summed."""
     held: dict[int, list[tuple[np.ndarray, ...]]] = {WORD: [], STRING: []}
 
     def merged(kind: int) -> None:
-        held[kind] = [summed(*map(np.concatenate, zip(*held[kind], strict=True)))] if held[kind] else []
+        if held[kind]:
+            columns = list(map(np.concatenate, zip(*held[kind], strict=True)))
+            held[kind].clear()  # the parts are not needed beside their copies
+            held[kind].append(summed(*columns))
 
     def emitted(kind: int) -> Iterator[pa.RecordBatch]:
         for keys, train, total in held[kind]:
@@ -232,6 +238,7 @@ def _whole_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 HEADS = "head bigint, node int, zeros double, ones double, log double"
 
 
+@lean
 def _deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The nodes at depth HEAD of rows (head, string, train)."""
     for table in _whole_heads(batches):
@@ -265,6 +272,7 @@ def _upper_mixture(table: pa.Table) -> pa.Table:
 VALUES = "key bigint, total bigint, value double"
 
 
+@lean
 def _string_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """log10 probability of each string, from rows of the strings and of the upper mixtures of their heads."""
     for table in _whole_heads(batches):
@@ -340,13 +348,24 @@ def _looked_up(rows: np.ndarray, keys: np.ndarray, table: tuple[np.ndarray, np.n
     return value[at], known[at], (row[new], key[new], np.diff(np.append(new, len(row))))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in order, in batches of about PIECE_BYTES of text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        piece = np.cumsum(sizes, dtype=np.int64) // PIECE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(low, high - low)
+
+
 def _scorer(words, strings, columns: list[str], total: int):
     """A function for mapInArrow; `words` and `strings` are broadcast (keys, values); a word's value is its training count."""
 
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 40
         done = 0
-        for batch in batches:
+        for batch in _pieces(batches):
             size = batch.num_rows
             tokens, known, base, log = (np.zeros(size) for _ in range(4))
             n_bytes = np.zeros(size, dtype=np.int64)

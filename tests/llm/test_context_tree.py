@@ -3,10 +3,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from conftest import SMALL
-from evertally.llm import context_tree
+from evertally.llm import context_tree, words
 from evertally.llm.queries import QUERIES
 from pyspark.sql import functions as F
 
@@ -177,3 +178,26 @@ def test_held_out_texts_cost_little(spark):
     assert len(rows) == 1000 and 0 < len(held) < 250
     n_bytes = sum(-r["score"] * math.log2(10) / r["bits_per_byte"] for r in held)
     assert 1 < sum(-r["score"] for r in held) * math.log2(10) / n_bytes < 2.3
+
+
+def text_batch(texts):
+    columns = [pa.array(range(len(texts))), pa.array(texts, type=pa.string()), pa.array([True] * len(texts))]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "training"])
+
+
+def test_a_task_scores_bounded_pieces(monkeypatch):
+    """Every row once and in order, whatever the size of Spark's batches; only a longer text is a larger piece."""
+    monkeypatch.setattr(context_tree, "PIECE_BYTES", 100)
+    given = [text_batch(["a" * 30] * 50 + [None, "", "b" * 1000, "c"]), text_batch([]), text_batch([None, "d"])]
+    pieces = list(context_tree._pieces(iter(given)))
+    assert [v for p in pieces for v in p.column("text").to_pylist()] == [v for b in given for v in b.column("text").to_pylist()]
+    sizes = [[len(v or "") for v in p.column("text").to_pylist()] for p in pieces]
+    assert all(sum(s) <= 100 + max(s, default=0) for s in sizes)
+
+
+def test_tasks_give_their_memory_back(monkeypatch):
+    """Workers are kept for later stages: what a task has freed must not stay with them."""
+    returned = []
+    monkeypatch.setattr(words, "give_back", lambda: returned.append(True))
+    counted = pa.Table.from_batches(context_tree._count_batches(iter([text_batch(["a b", None])])))
+    assert returned == [True] and counted.num_rows == 8  # two words and the end; "a", " ", "b", the end, and that of no text
