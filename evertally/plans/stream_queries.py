@@ -25,6 +25,7 @@ from evertally.streaming.counters import Counters
 AS_OF = datetime(2024, 1, 31)
 # Arrival dates at which the replay is cut; the first and last parts are open-ended
 CUTS = ("2024-01-09", "2024-01-17", "2024-01-25")
+PART = "replay_part"
 
 
 def run(writer: DataStreamWriter) -> None:
@@ -52,14 +53,21 @@ def state_stores(spark: SparkSession) -> Iterator[None]:
 
 
 def replay(rows: DataFrame, at: str, path: str, build: Callable[[DataFrame], DataStreamWriter]) -> None:
-    """Deliver the rows part by part in arrival order; the query is restarted for every part."""
+    """Deliver the rows part by part in arrival order; the query is restarted for every part.
+
+    The rows are computed once, however many parts they are cut into.
+    """
+    spark = rows.sparkSession
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    log = BatchLog(rows.sparkSession, path, fields)
-    bounds = [F.lit(cut).cast("timestamp") for cut in CUTS]
-    for part, (start, end) in enumerate(zip([None, *bounds], [*bounds, None])):
-        during = F.lit(True) if start is None else F.col(at) >= start
-        during = during if end is None else during & (F.col(at) < end)
-        log.append(rows.filter(during), part)
+    log = BatchLog(spark, path, fields)
+    part_of = F.lit(0)
+    for part, cut in enumerate(CUTS, start=1):
+        part_of = F.when(F.col(at) >= F.lit(cut).cast("timestamp"), part).otherwise(part_of)
+    parts = rows.filter(F.col(at).isNotNull()).withColumn(PART, part_of)
+    parts.write.partitionBy(PART).parquet(f"{path}-parts")
+    cut_rows = spark.read.schema(parts.schema).parquet(f"{path}-parts")
+    for part in range(len(CUTS) + 1):
+        log.append(cut_rows.filter(F.col(PART) == part).drop(PART), part)
         run(build(log.stream()))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from evertally import fixed_values as fixed
 from evertally.functions import contracts
 from evertally.operators import counts, gate, ingest, split
-from evertally.operators.dedup import EVENT_KEYS, horizon_dedup
+from evertally.operators.dedup import EVENT_KEYS, dedup_arrivals, distinct_arrivals
 from evertally.operators.metrics import shard_snapshot_counters, sink_counters
 from evertally.settings import positive_duration
 from evertally.sources.dated_log import DatedLog, day_of
@@ -128,8 +128,9 @@ def count_events(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.select(*EVENT_KEYS, "accepted_at")
-        earliest, arrived = batch.agg(F.min("accepted_at"), F.count("*")).first()
+        # a micro-batch is computed again by each use: it is read once, and all that follows works on its arrivals
+        arrivals = distinct_arrivals(batch)
+        earliest, arrived = arrivals.agg(F.timestamp_micros(F.min("_t")), F.sum("_n")).first()
         if earliest is None:
             return
         run = run_of(batch.sparkSession, checkpoint)
@@ -138,15 +139,16 @@ def count_events(
         reachable = F.col("counted_at") >= F.lit(earliest) - F.lit(horizon)
         seen = counted.apart_from(run, batch_id, since=day_of(earliest - horizon))
         seen = seen.filter(reachable).select(*EVENT_KEYS, "counted_at")
-        seen = seen.join(batch.select(*EVENT_KEYS), list(EVENT_KEYS), "left_semi")
-        fresh = horizon_dedup(batch, horizon, already_counted=seen)
+        seen = seen.join(arrivals.select(*EVENT_KEYS), list(EVENT_KEYS), "left_semi")
+        fresh = dedup_arrivals(arrivals, horizon, already_counted=seen)
         counted.append(fresh, batch_id, run=run)
         if counters is not None:
             unique = counted.batch(run, batch_id).count()
             values = {"unique_view_events_total": unique, "duplicate_view_events_total": arrived - unique}
             counters.add("count-events", run, batch_id, values)
 
-    return batches(events, write, checkpoint, "count-events")
+    # Spark drops no columns of a micro-batch, so those that nothing needs end before it
+    return batches(events.select(*EVENT_KEYS, "accepted_at"), write, checkpoint, "count-events")
 
 
 def count_events_stateful(

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from evertally.functions import contracts
 from evertally.operators import counts
 from evertally.operators.dedup import horizon_dedup
+from evertally.plans import stream_queries
 from evertally.sources import topics
 from evertally.sources.dated_log import DatedLog
-from evertally.sources.folders import BatchLog, Folder, Table
+from evertally.sources.folders import BatchLog, Folder, Table, file_stream
 from evertally.sources.sink_log import SinkLog
 from evertally.streaming import counting, listener, ticks
 from evertally.streaming.counters import Counters
@@ -653,3 +654,45 @@ def test_a_tick_over_two_batches_gives_one_snapshot(spark, folder):
     assert deliver(4, (1, 58), (0, 200)) == late  # late for its tick, but counted
     with pytest.raises(ValueError):
         ticks.emit_ticks(counted.stream(), snapshots, f"{folder}/c", timedelta(microseconds=1500))
+
+
+def test_counting_reads_a_micro_batch_once(spark, folder):
+    """A micro-batch has no statistics and drops no columns: each reading of it would make all identities again."""
+    rows = [(f"{i % 60}", 1, 0, NOW + timedelta(days=i // 20)) for i in range(200)]
+    spark.createDataFrame(rows, EVENT).write.parquet(f"{folder}/events")
+    counted, counters, made = counting.counted_log(spark, f"{folder}/counted"), Counters(spark, f"{folder}/c"), spark.sparkContext.accumulator(0)
+
+    def identities(parts):
+        for part in parts:
+            made.add(part.num_rows)
+            yield part
+
+    events = file_stream(spark, f"{folder}/events", EVENT).mapInArrow(identities, EVENT)
+    run(counting.count_events(events, counted, f"{folder}/checkpoint", counters=counters))
+    names = ["event_id", "video_id", "counter_shard_id", "counted_at"]
+    batch = horizon_dedup(spark.createDataFrame(rows, EVENT))
+    assert sorted(counted.read().select(names).collect()) == sorted(batch.select(names).collect())
+    values = {row["metric"]: row["value"] for row in counters.read().collect()}
+    unique = counted.read().count()
+    assert values == {"unique_view_events_total": unique, "duplicate_view_events_total": 200 - unique}
+    assert made.value == 200
+
+
+def test_a_replay_computes_its_rows_once(spark, folder):
+    days = ("2024-01-08 23:59:59.999999", "2024-01-09", "2024-01-16", "2024-01-17", "2024-01-24", "2024-01-25", "2024-02-01")
+    rows = spark.createDataFrame([(i, day) for i, day in enumerate([*days, None])], "i INT, at STRING")
+    made, seen = spark.sparkContext.accumulator(0), []
+
+    def counted(parts):
+        for part in parts:
+            made.add(part.num_rows)
+            yield part
+
+    rows = rows.withColumn("at", F.col("at").cast("timestamp")).mapInArrow(counted, "i INT, at TIMESTAMP")
+
+    def build(stream):
+        writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
+        return writer.foreachBatch(lambda batch, _: seen.append(sorted(row["i"] for row in batch.collect())))
+
+    stream_queries.replay(rows, "at", f"{folder}/log", build)
+    assert seen == [[0], [1, 2], [3, 4], [5, 6]] and made.value == 8
