@@ -57,11 +57,15 @@ def requests_of(rows: DataFrame) -> DataFrame:
 
 
 def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_requests_of(events(spark, sf_dir))
+
+
+def raw_requests_of(rows: DataFrame) -> DataFrame:
     """Access-log form of the requests with malformed and spoofed values among them."""
     user = F.col("user_id").cast("string")
     video = F.when(every(41), 0).otherwise(F.col("video_id"))
     plain_path = F.concat(F.lit("/api/videos/"), video.cast("string"), F.lit("/views"))
-    return requests(spark, sf_dir).select(
+    return requests_of(rows).select(
         "source_id",
         F.when(every(7), "GET").otherwise("POST").alias("method"),
         F.when(every(37), "/api/videos//views")
@@ -161,7 +165,11 @@ def total_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def total_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replayed(total_log(spark, sf_dir), "video_id", "version")
+    return total_feed_of(total_log(spark, sf_dir))
+
+
+def total_feed_of(log: DataFrame) -> DataFrame:
+    return _replayed(log, "video_id", "version")
 
 
 def snapshot_records(feed: DataFrame, contract: contracts.Contract, topic: str) -> DataFrame:
@@ -187,8 +195,12 @@ def counter_table(totals: DataFrame) -> DataFrame:
 
 
 def stored_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_counters_of(total_log(spark, sf_dir))
+
+
+def stored_counters_of(log: DataFrame) -> DataFrame:
     """A counter table that is ahead of the feed for every third video and lacks every fifth."""
-    table = counter_table(before_midpoint(total_log(spark, sf_dir))).filter("video_id % 5 > 0")
+    table = counter_table(before_midpoint(log)).filter("video_id % 5 > 0")
     ahead = F.when(F.col("video_id") % 3 == 0, 1_000_000).otherwise(0)
     return table.withColumns({c: F.col(c) + ahead for c in ("view_count", "version")})
 
@@ -262,9 +274,12 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usable_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usable_change_feed_of(total_feed(spark, sf_dir))
+
+
+def usable_change_feed_of(feed: DataFrame) -> DataFrame:
     """Change envelopes without damage: what a strict projection can take."""
     json = cdc.envelope(F.lit("u"), F.col("offset") % 2 == 0)
-    feed = total_feed(spark, sf_dir)
     return feed.select("offset", "arrival", "emitted_at", "video_id", json.cast("binary").alias("value"))
 
 

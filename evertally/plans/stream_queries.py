@@ -57,17 +57,14 @@ def replay(rows: DataFrame, at: str, path: str, build: Callable[[DataFrame], Dat
 
     The rows are computed once, however many parts they are cut into.
     """
-    spark = rows.sparkSession
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    log = BatchLog(spark, path, fields)
+    log = BatchLog(rows.sparkSession, path, fields)
     part_of = F.lit(0)
     for part, cut in enumerate(CUTS, start=1):
         part_of = F.when(F.col(at) >= F.lit(cut).cast("timestamp"), part).otherwise(part_of)
-    parts = rows.filter(F.col(at).isNotNull()).withColumn(PART, part_of)
-    parts.write.partitionBy(PART).parquet(f"{path}-parts")
-    cut_rows = spark.read.schema(parts.schema).parquet(f"{path}-parts")
+    log.stage(rows.filter(F.col(at).isNotNull()).withColumn(PART, part_of), PART)
     for part in range(len(CUTS) + 1):
-        log.append(cut_rows.filter(F.col(PART) == part).drop(PART), part)
+        log.append_staged(PART, part, part)
         run(build(log.stream()))
 
 
@@ -169,10 +166,11 @@ def stream_redelivery(spark: SparkSession, sf: str) -> DataFrame:
     return stored.unionByName(letters, allowMissingColumns=True)
 
 
-def empty_projection(spark: SparkSession, sf: str, base: str) -> projection.Projection:
-    """A projection that is still to be built from the stored counters."""
+def empty_projection(counters: DataFrame, base: str) -> projection.Projection:
+    """A projection that is still to be built from these stored counters."""
+    spark = counters.sparkSession
     source = Table(spark, f"{base}/source", contracts.VIDEO_COUNTER)
-    source.replace(m.stored_counters(spark, sf))
+    source.replace(counters)
     return projection.Projection(
         Table(spark, f"{base}/projection", contracts.PROJECTION, ["key"]),
         source,
@@ -184,7 +182,7 @@ def empty_projection(spark: SparkSession, sf: str, base: str) -> projection.Proj
 def stream_projection(spark: SparkSession, sf: str) -> DataFrame:
     """Change feed to projection, starting with a rebuild from the counter table."""
     base = fresh_folder(spark, "stream")
-    target = empty_projection(spark, sf, base)
+    target = empty_projection(m.stored_counters(spark, sf), base)
 
     def project(changes: DataFrame) -> DataStreamWriter:
         return projection.project_changes(changes, target, f"{base}/checkpoints/projection")
@@ -216,11 +214,14 @@ def stream_counter_metrics(spark: SparkSession, sf: str) -> DataFrame:
         replay(rows, at, f"{base}/{name}-input", lambda stream: build(stream, f"{base}/checkpoints/{name}"))
 
     sent = BatchLog(spark, f"{base}/sent", "topic STRING, key STRING, value BINARY")
-    requests = m.raw_requests(spark, sf)
-    stage(requests, "accepted_at", "publish", lambda s, c: counting.publish_events(s, m.SECRET, sent, c, counters))
+    events = m.events(spark, sf)
+
+    def publish(rows: DataFrame, checkpoint: str) -> DataStreamWriter:  # requests are accepted at the event's time
+        return counting.publish_events(m.raw_requests_of(rows), m.SECRET, sent, checkpoint, counters)
+
+    stage(events, "ts", "publish", publish)
 
     counted = counting.counted_log(spark, f"{base}/counted")
-    events = m.events(spark, sf)
     stage(events, "ts", "count", lambda s, c: counting.count_events(m.view_events_of(s), counted, c, counters=counters))
 
     totals = BatchLog(spark, f"{base}/totals", counting.TOTAL_SNAPSHOTS)
@@ -231,10 +232,13 @@ def stream_counter_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
     persisted = Table(spark, f"{base}/persisted", contracts.VIDEO_COUNTER)
     dead = BatchLog(spark, f"{base}/dead", contracts.RAW_RECORD + ", reason STRING")
-    records = m.snapshot_records(m.total_feed(spark, sf), contracts.TOTAL_SNAPSHOT, fixed.TOTALS_TOPIC)
+    log = m.total_log(spark, sf)
+    log.write.parquet(f"{base}/total-log")  # three inputs come from it
+    log = spark.read.schema(log.schema).parquet(f"{base}/total-log")
+    records = m.snapshot_records(m.total_feed_of(log), contracts.TOTAL_SNAPSHOT, fixed.TOTALS_TOPIC)
     stage(records, "arrival", "persist", lambda s, c: counting.persist_totals(s, persisted, dead, c, counters))
 
-    target = empty_projection(spark, sf, base)
-    changes = m.usable_change_feed(spark, sf).filter(m.pending_video()).drop("video_id")
+    target = empty_projection(m.stored_counters_of(log), base)
+    changes = m.usable_change_feed_of(m.total_feed_of(log)).filter(m.pending_video()).drop("video_id")
     stage(changes, "arrival", "project", lambda s, c: projection.project_changes(s, target, c, counters))
     return counters.read()
