@@ -40,16 +40,25 @@ def horizon_dedup(
     Keys and arrival must not be null, which the event contract guarantees. `already_counted` (an
     earlier result) continues its chains: `events` then holds only later arrivals.
     """
-    arrivals = distinct_arrivals(events, keys, at)
+    arrivals = distinct_arrivals(events, horizon, keys, at, cells_per_horizon)
     return dedup_arrivals(arrivals, horizon, keys, cells_per_horizon, already_counted)
 
 
-def distinct_arrivals(events: DataFrame, keys: Sequence[str] = EVENT_KEYS, at: str = "accepted_at") -> DataFrame:
-    """The distinct arrivals `_t` (microseconds) of each id and how often they came, `_n`; written once, the source's only
-    reading. A hot id is spread over its arrivals."""
+def distinct_arrivals(
+    events: DataFrame,
+    horizon: timedelta = fixed.DEDUP_HORIZON,
+    keys: Sequence[str] = EVENT_KEYS,
+    at: str = "accepted_at",
+    cells_per_horizon: int = 4096,
+) -> DataFrame:
+    """The distinct arrivals of each id, and how often they came; written once, in the only reading of the source."""
     enable_checkpoints(events.sparkSession)
-    arrivals = events.select(*keys, F.unix_micros(at).alias("_t")).groupBy(*keys, "_t")
-    return arrivals.agg(F.count("*").alias("_n")).checkpoint()
+    return _arrivals(events, list(keys), at, _width(horizon, cells_per_horizon)).checkpoint()
+
+
+def _width(horizon: timedelta, cells_per_horizon: int) -> int:
+    reach = micros(positive_duration("horizon", horizon))
+    return max(1, reach // positive_count("cells per horizon", cells_per_horizon))
 
 
 def dedup_arrivals(
@@ -59,11 +68,9 @@ def dedup_arrivals(
     cells_per_horizon: int = 4096,
     already_counted: DataFrame | None = None,
 ) -> DataFrame:
-    """`horizon_dedup` of events whose `distinct_arrivals` are written."""
-    reach = micros(positive_duration("horizon", horizon))
-    width = max(1, reach // positive_count("cells per horizon", cells_per_horizon))
+    """`horizon_dedup` of events whose `distinct_arrivals`, of the same horizon and cells, are written."""
+    reach, width = micros(positive_duration("horizon", horizon)), _width(horizon, cells_per_horizon)
     keys = list(keys)
-    arrivals = arrivals.select(*keys, "_t", slice_start(F.col("_t"), width).alias("_cell"))
     ids = _cells_per_id(arrivals, keys)
     if already_counted is not None:
         last = already_counted.groupBy(*keys).agg(F.max(F.unix_micros("counted_at")).alias("_last"))
@@ -86,6 +93,12 @@ def _finished(chains: DataFrame, keys: list[str]) -> DataFrame:
     return chains.filter("_stuck is null").select(*keys, "_last", "_kept")
 
 
+def _arrivals(events: DataFrame, keys: list[str], at: str, width: int) -> DataFrame:
+    """The distinct arrivals `_t` of each id, their numbers `_n` and cells. A hot id is spread over its arrivals."""
+    arrivals = events.select(*keys, F.unix_micros(at).alias("_t")).groupBy(*keys, "_t").agg(F.count("*").alias("_n"))
+    return arrivals.withColumn("_cell", slice_start(F.col("_t"), width))
+
+
 def _cells_per_id(arrivals: DataFrame, keys: list[str]) -> DataFrame:
     cells = arrivals.groupBy(*keys, "_cell").agg(
         F.min("_t").alias("lo"),

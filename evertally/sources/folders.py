@@ -62,7 +62,7 @@ class Folder:
             return False
         aside = f".writing-{name.replace('/', '-')}"  # hidden from listings
         rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.path}/{aside}")
-        self.move(aside, name)
+        self._move(aside, name)
         return True
 
     def publish_parts(self, rows: DataFrame, part: str, name: str, partition_by: tuple[str, ...] = ()) -> None:
@@ -71,10 +71,10 @@ class Folder:
         rows.write.mode("overwrite").partitionBy(part, *partition_by).parquet(f"{self.path}/{aside}")
         for value in self.names(aside):
             if value.startswith(f"{part}=") and not self.has(f"{value}/{name}"):
-                self.move(f"{aside}/{value}", f"{value}/{name}")
+                self._move(f"{aside}/{value}", f"{value}/{name}")
         self.remove(aside)
 
-    def move(self, source: str, name: str) -> None:
+    def _move(self, source: str, name: str) -> None:
         self._fs.mkdirs(self._at(f"{self.path}/{name}").getParent())
         if not self._fs.rename(self._at(f"{self.path}/{source}"), self._at(f"{self.path}/{name}")):
             raise OSError(f"cannot publish {self.path}/{name}")
@@ -132,7 +132,7 @@ class BatchLog:
     def append_staged(self, part: str, value: int, batch_id: int, run: str = "direct") -> None:
         """Make the staged rows of this value a batch, without writing them again; no rows are an empty batch."""
         if self.folder.has(f"{STAGED}/{part}={value}"):
-            self.folder.move(f"{STAGED}/{part}={value}", f"run={run}/batch_id={batch_id}")
+            self.folder._move(f"{STAGED}/{part}={value}", f"run={run}/batch_id={batch_id}")
         else:
             self.append(self.spark.createDataFrame([], self.schema).drop("run", "batch_id"), batch_id, run=run)
 

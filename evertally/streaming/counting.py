@@ -129,7 +129,7 @@ def count_events(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # a micro-batch is computed again by each use: it is read once, and all that follows works on its arrivals
-        arrivals = distinct_arrivals(batch)
+        arrivals = distinct_arrivals(batch, horizon)
         earliest, arrived = arrivals.agg(F.timestamp_micros(F.min("_t")), F.sum("_n")).first()
         if earliest is None:
             return
