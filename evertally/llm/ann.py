@@ -1,20 +1,21 @@
 """Approximate nearest neighbours by inner product: NN-descent builds a graph, greedy search answers queries.
 
-1. Equal vectors are one node. The first neighbours of a node come from blocks: codes of random hyperplanes, at several
-   lengths, with large codes cut into blocks of bounded size, so that similar or hot vectors never meet all at once.
-2. NN-descent: every node brings together a sample of its neighbours and of the nodes that have it as neighbour, those
-   that have not met yet first, with their vectors; each pair that improves one's list is proposed, and lists keep the
-   best. Repeated until at most CHANGED of all list entries are new.
-3. A query starts from its own list, expands the best nodes not yet expanded, and keeps the best nodes, until all of
-   these are expanded. It remembers every node that it has met, so none is scored twice. How many nodes it keeps follows
-   the table: from BEAM on, doubled until TRIED queries find TARGET of what a comparison with all vectors finds; the
-   answers of these queries are used as they are. Queries go in batches whose vectors take QUERY_BYTES, which are
-   broadcast; a node comes with all queries of the batch that ask for it, as one row. Queries that find fewer than
-   wanted, which a graph of scattered parts can cause, are compared with all vectors, in blocks.
+1. Equal vectors are one node. Nodes are dealt by a hash to shards of about SHARD nodes, each a sample of the whole table
+   that one task holds. The first neighbours of a node come from blocks: codes of random hyperplanes, at several lengths,
+   with large codes cut into blocks of bounded size, so that similar or hot vectors never meet all at once.
+2. NN-descent in each shard: every node brings together a sample of its neighbours and of the nodes that have it as
+   neighbour, those that have not met yet first; each pair that improves one's list is proposed, and lists keep the best.
+   Repeated until at most CHANGED of all list entries are new.
+3. A query is searched in the graph of every shard: it starts from its own list where it is a node, and from the best of the
+   shard's entries, expands the best nodes not yet expanded, and keeps the best nodes, until all of these are expanded. It
+   remembers every node that it has met, so none is scored twice. How many nodes it keeps follows the table: from BEAM on,
+   over all shards, doubled until TRIED queries find TARGET of what a comparison with all vectors finds; the answers of
+   these queries are used as they are. Queries go in batches whose vectors take QUERY_BYTES, which are broadcast. Queries
+   that find fewer than wanted, which a graph of scattered parts can cause, are compared with all vectors.
 4. Nodes become the ids of their equal vectors, nearest first, ties to the smaller id.
 
-All steps are joins and aggregates; numpy multiplies the vectors inside them. Samples and beams bound the work only:
-every vector is indexed, and tests hold recall against brute force.
+What a task does with a shard is numpy (`shard_graph`). Samples and beams bound the work only: every vector is indexed, and
+tests hold recall against brute force.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those of
 another length than most; null ids take no part; rows that repeat an id count once, with the first vector in order; a
@@ -24,13 +25,15 @@ query is never its own neighbour; empty tables give empty results; extra columns
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evertally.llm import shard_graph
 from evertally.llm.tables import written
 
 WANTED = 20
@@ -43,6 +46,8 @@ TABLES, BLOCK = 9, 512
 BEAM, TARGET, TRIED = 224, 0.95, 200
 #: Bytes of the query vectors that are sent to every executor at a time.
 QUERY_BYTES = 16 << 20
+#: Nodes of a shard, and bytes of its vectors, on average.
+SHARD, SHARD_BYTES = 1 << 14, 64 << 20
 
 
 def usable(vector: str) -> Column:
@@ -62,70 +67,80 @@ def best(entry: Column, count: int) -> Column:
     return F.slice(F.array_sort(F.collect_set(entry)), 1, count)
 
 
-def coarse(distance: np.ndarray) -> np.ndarray:
-    """Without the last bits, in which the same pair can differ between products; lists would hold it twice."""
-    return (distance.astype(np.float32).view(np.int32) & np.int32(-128)).view(np.float32)
+def _graph(shard: pa.Table, settings: dict) -> pa.Table:
+    """The nodes of a shard by id, their vectors, and their neighbours by place, as one row."""
+    shard = shard.sort_by("node")
+    vectors = matrix(shard.column("vector").combine_chunks())
+    lists = shard_graph.neighbour_lists(vectors, **settings)
+    packed = [shard.column("shard")[:1], *([x.tobytes()] for x in (shard.column("node").to_numpy(), vectors, lists))]
+    return pa.table(packed, names=["shard", "nodes", "vectors", "lists"])
 
 
-def _codes(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _unpacked(batches: Iterator[pa.RecordBatch], element: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(nodes, vectors, lists) of each shard."""
     for batch in batches:
-        vectors = matrix(batch.column("vector"))
-        codes = []
-        for number in range(TABLES):
-            planes = np.random.default_rng(number).standard_normal((vectors.shape[1], 32)).astype(np.float32)
-            own = max(0, bits - number % 3)
-            signs = (vectors @ planes[:, :own] > 0).astype(np.int64)
-            codes.append(signs @ (1 << np.arange(own)) if own else np.zeros(len(vectors), dtype=np.int64))
-        codes = np.stack(codes, axis=1) if len(vectors) else np.empty((0, TABLES), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), batch.column("vector"), pa.array(list(codes), type=pa.list_(pa.int64()))], names=["node", "vector", "codes"]
-        )
-
-
-def _block_neighbours(block: pa.Table) -> pa.Table:
-    nodes = block.column("node").to_numpy()
-    vectors = matrix(block.column("vector").combine_chunks())
-    similar = vectors @ vectors.T
-    np.fill_diagonal(similar, -np.inf)
-    count = min(DEGREE, len(nodes) - 1)
-    if count < 1:
-        return pa.table({"node": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "distance": pa.array([], pa.float32())})
-    near = np.argpartition(-similar, count - 1, axis=1)[:, :count]
-    return pa.table(
-        {
-            "node": np.repeat(nodes, count),
-            "other": nodes[near].ravel(),
-            "distance": coarse(-np.take_along_axis(similar, near, axis=1).ravel()),
-        }
-    )
-
-
-def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs among the nodes that meet, one of them for the first time, where the distance is below the worst in the first one's list."""
-    for batch in batches:
-        met = batch.column("met")
-        sizes = np.diff(met.offsets.to_numpy())
-        flat = met.flatten()
-        nodes, worst = flat.field("node").to_numpy(), flat.field("worst").to_numpy()
-        fresh = flat.field("fresh").to_numpy(zero_copy_only=False)
-        vectors = matrix(flat.field("vector")) if len(flat) else np.empty((0, 1), dtype=np.float32)
-        begin = np.cumsum(sizes) - sizes
-        found = []
-        for size in np.unique(sizes).tolist():  # groups of one size at a time
-            groups = np.flatnonzero(sizes == size)
-            for part in np.array_split(groups, max(1, len(groups) // 1000)):
-                at = begin[part][:, None] + np.arange(size)
-                own = vectors[at]
-                distance = coarse(-(own @ own.transpose(0, 2, 1)))
-                better = (distance < worst[at][:, :, None]) & (fresh[at][:, :, None] | fresh[at][:, None, :])
-                better[:, np.arange(size), np.arange(size)] = False
-                group, a, b = np.nonzero(better)
-                found.append((nodes[at[group, a]], nodes[at[group, b]], distance[group, a, b]))
-        columns = [np.concatenate([f[i] for f in found]) if found else np.empty(0) for i in range(3)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int64)), pa.array(columns[2].astype(np.float32))],
-            names=["node", "other", "distance"],
-        )
+        for row in range(batch.num_rows):
+            nodes = np.frombuffer(batch.column("nodes")[row].as_py(), dtype=np.int64)
+            vectors = np.frombuffer(batch.column("vectors")[row].as_py(), dtype=element).reshape(len(nodes), -1)
+            yield nodes, vectors, np.frombuffer(batch.column("lists")[row].as_py(), dtype=np.int32).reshape(len(nodes), -1)
+
+
+def _places(nodes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Where ids are among nodes in order, or -1."""
+    at = np.minimum(np.searchsorted(nodes, ids), len(nodes) - 1)
+    return np.where(nodes[at] == ids, at, -1)
+
+
+def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+
+FOUND = "query bigint, beam array<struct<distance:double,other:bigint>>, asks array<bigint>"
+
+
+def _answers(queries: np.ndarray, distance: np.ndarray, other: np.ndarray, asks: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
+    """One row per query; distances are infinite where nothing was found."""
+    real = distance < np.inf
+    entries = pa.StructArray.from_arrays([pa.array(distance[real]), pa.array(other[real])], names=["distance", "other"])
+    asked, met = asks if asks else (np.zeros(len(queries), dtype=np.int64), np.empty(0, dtype=np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(queries), _lists(real.sum(axis=1), entries), _lists(asked, pa.array(met))], names=["query", "beam", "asks"])
+
+
+def _searches(batches: Iterator[pa.RecordBatch], asked: Broadcast, element: str, wanted: int, beam: int, part: int, parts: int, traced: bool) -> Iterator[pa.RecordBatch]:
+    """What one part of the queries finds in each shard, by exact distances, and what it was compared with if traced."""
+    ids, vectors = (x[part::parts] for x in asked.value)
+    for nodes, own, lists in _unpacked(batches, element):
+        scaled = shard_graph.scaled(own)
+        for first in range(0, len(ids), shard_graph.QUERIES):
+            queries, asking = ids[first : first + shard_graph.QUERIES], vectors[first : first + shard_graph.QUERIES]
+            itself = _places(nodes, queries)
+            places, met = shard_graph.greedy(scaled, lists, shard_graph.scaled(asking, each=True), itself, beam)
+            distance = shard_graph.exact_distances(own, asking, places)
+            order = np.lexsort((places, distance), axis=1)[:, :wanted]
+            places, distance = np.take_along_axis(places, order, axis=1), np.take_along_axis(distance, order, axis=1)
+            asks = None
+            if traced:
+                met[np.flatnonzero(itself >= 0), itself[itself >= 0]] = False
+                asks = met.sum(axis=1), nodes[np.nonzero(met)[1]]
+            yield _answers(queries, distance, nodes[places], asks)
+
+
+def _comparisons(batches: Iterator[pa.RecordBatch], asked: Broadcast, element: str, wanted: int) -> Iterator[pa.RecordBatch]:
+    """The best of each shard for all queries."""
+    ids, vectors = asked.value
+    for nodes, own, _ in _unpacked(batches, element):
+        own = own.astype(np.float64)
+        step = max(1, shard_graph.PIECE // len(nodes))
+        for first in range(0, len(ids), step):
+            queries = ids[first : first + step]
+            distance = -(vectors[first : first + step].astype(np.float64) @ own.T)
+            itself = _places(nodes, queries)
+            distance[np.flatnonzero(itself >= 0), itself[itself >= 0]] = np.inf
+            count = min(wanted, len(nodes))
+            last = np.partition(distance, count - 1, axis=1)[:, count - 1 : count]
+            tied, missing = distance == last, count - (distance < last).sum(axis=1, keepdims=True)
+            distance[(distance > last) | tied & (np.cumsum(tied, axis=1) > missing)] = np.inf  # of those as near, the smaller ids stay
+            yield _answers(queries, distance, np.broadcast_to(nodes, distance.shape), None)
 
 
 def _norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,40 +152,6 @@ def _norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("query"), distance, batch.column("query")], names=["query", "distance", "other"])
 
 
-def _grouped_scores(batches: Iterator[pa.RecordBatch], asked, limits) -> Iterator[pa.RecordBatch]:
-    """Exact distances of nodes and the queries that ask for them, of those below the query's limit; the queries' vectors
-    and limits are at hand."""
-    (ids, vectors), limit = asked.value, limits.value
-    for batch in batches:
-        queries = batch.column("queries")
-        row = np.repeat(np.arange(batch.num_rows), np.diff(queries.offsets.to_numpy()))
-        at = np.searchsorted(ids, queries.flatten().to_numpy())
-        own, others = matrix(batch.column("vector")) if batch.num_rows else None, batch.column("other").to_numpy()
-        for first in range(0, len(row), 100_000):
-            r, q = row[first : first + 100_000], at[first : first + 100_000]
-            distance = -np.einsum("nd,nd->n", vectors[q].astype(np.float64), own[r].astype(np.float64))
-            near = distance < limit[q]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[q[near]]), pa.array(distance[near]), pa.array(others[r[near]])], names=["query", "distance", "other"]
-            )
-
-
-def _against_block(block: pa.Table, wanted: int) -> pa.Table:
-    """The best of one block for each query in it."""
-    asks = np.array(block.column("asks").to_pylist(), dtype=bool)
-    vectors, ids = matrix(block.column("vector").combine_chunks()).astype(np.float64), block.column("node").to_numpy()
-    queries, others = ids[asks], ids[~asks]
-    distance = -(vectors[asks] @ vectors[~asks].T)
-    distance[queries[:, None] == others[None, :]] = np.inf
-    count = min(wanted, len(others))
-    if not count or not len(queries):
-        return pa.table({"query": pa.array([], pa.int64()), "distance": pa.array([], pa.float64()), "other": pa.array([], pa.int64())})
-    order = np.lexsort((np.broadcast_to(others, distance.shape), distance))[:, :count]
-    found = np.take_along_axis(distance, order, axis=1).ravel()
-    real = np.isfinite(found)
-    return pa.table({"query": np.repeat(queries, count)[real], "distance": found[real], "other": others[order].ravel()[real]})
-
-
 class Graph:
     """Nodes (one per distinct vector, named by its smallest id) and their neighbour lists; making one runs the jobs."""
 
@@ -191,138 +172,77 @@ class Graph:
         self.members = written(members.join(first, "key").select("key", "node", "id"), "members")
         first = self.members.filter("node = id").select("node", "key")
         self.nodes = written(self.rows.join(first, F.col("id") == F.col("node"), "inner").select("node", "vector"), "nodes")
-        self.size = self.nodes.count()
-        self.lists = self._first_lists()
-        self.rounds, changed = 0, self.size * DEGREE
-        while changed > CHANGED * self.size * min(DEGREE, self.size - 1):
-            self.lists, changed = self._descend()
-            self.rounds += 1
-
-    def _first_lists(self) -> DataFrame:
-        bits = max(0, int(np.ceil(np.log2(max(self.size, 1) / (BLOCK / 2)))))
-        kind = self.nodes.schema["vector"].dataType.simpleString()
-        coded = self.nodes.mapInArrow(partial(_codes, bits=bits), f"node bigint, vector {kind}, codes array<bigint>")
-        coded = written(coded.select("node", "vector", F.posexplode("codes").alias("number", "code")), "codes")
-        sizes = coded.groupBy("number", "code").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        coded = coded.join(sizes, ["number", "code"])
-        coded = coded.withColumn("block", F.pmod(F.xxhash64("node", "number"), F.col("blocks")))
-        found = coded.groupBy("number", "code", "block").applyInArrow(
-            lambda block: _block_neighbours(block), "node bigint, other bigint, distance float"
-        )
-        return written(self._merged(found).withColumn("met", F.array().cast("array<bigint>")), "lists")
-
-    @staticmethod
-    def _merged(entries: DataFrame) -> DataFrame:
-        """(node, list): the best DEGREE entries (distance, other) of each node."""
-        return entries.groupBy("node").agg(best(F.struct("distance", "other"), DEGREE).alias("list"))
-
-    def _descend(self) -> tuple[DataFrame, int]:
-        """The lists after one more round, and how many of their entries are new; `met` has the entries that have met."""
-        drawn = lambda entry: F.struct(F.array_contains("met", entry["other"]).alias("old"), F.xxhash64("node", entry["other"]).alias("draw"), entry["other"].alias("other"))
-        lists = self.lists.withColumn("meet", F.slice(F.array_sort(F.transform("list", drawn)), 1, MEETING))
-        near = lists.select("node", F.explode("meet").alias("entry")).select("node", "entry.other", (~F.col("entry.old")).alias("fresh"))
-        drawn = Window.partitionBy("other").orderBy(F.desc("fresh"), F.xxhash64("node", "other"))
-        back = near.withColumn("draw", F.row_number().over(drawn)).filter(F.col("draw") <= MEETING)
-        meetings = near.union(back.select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh")).repartition("node")
-        meetings = meetings.groupBy("node", "other").agg(F.max("fresh").alias("fresh"))
-        meetings = meetings.withColumn("any", F.max("fresh").over(Window.partitionBy("node"))).filter("any").drop("any")
-        worst = F.when(F.size("list") < DEGREE, float("inf")).otherwise(F.element_at("list", -1)["distance"]).cast("float")
-        guests = self.nodes.join(self.lists.select("node", worst.alias("worst")), "node").withColumnRenamed("node", "guest")
-        meetings = meetings.join(guests, F.col("other") == F.col("guest"))
-        guest = F.struct(F.col("guest").alias("node"), "vector", "worst", "fresh")
-        met = meetings.groupBy("node").agg(F.collect_list(guest).alias("met")).select("met")
-        found = met.mapInArrow(_proposals, "node bigint, other bigint, distance float")
-        edges = lists.select("node", F.explode("list").alias("entry")).select("node", "entry.other", "entry.distance")
-        merged = self._merged(found.union(edges))
-        met = F.array_union("met", F.transform("meet", lambda entry: entry["other"])).alias("met")
-        before = lists.select("node", met, F.transform("list", lambda entry: entry["other"]).alias("before"))
-        merged = merged.join(before, "node").withColumn("others", F.transform("list", lambda entry: entry["other"]))
-        changed = F.size(F.array_except("others", "before")).alias("changed")
-        merged = written(merged.select("node", "list", F.array_intersect("met", "others").alias("met"), changed), "lists")
-        return merged.drop("changed"), merged.agg(F.sum("changed")).first()[0] or 0
+        self.size, self.element = self.nodes.count(), "f4" if kind == "array<float>" else "f8"
+        length = max(1, sizes["n"] if sizes else 0)
+        self.shard_count = max(1, -(-self.size // min(SHARD, max(1, SHARD_BYTES // (8 * length)))))
+        self.shards = written(self._graphs(), "lists")
+
+    def _graphs(self) -> DataFrame:
+        """The shards and their neighbour lists, a row for each."""
+        settings = {"degree": DEGREE, "meeting": MEETING, "changed": CHANGED, "tables": TABLES, "block": BLOCK}
+        dealt = self.nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(self.shard_count)).cast("int"))
+        if self.shard_count > 1:  # each shard in a task of its own
+            dealt = dealt.repartitionByRange(3 * self.shard_count, "shard")
+        return dealt.groupBy("shard").applyInArrow(lambda shard: _graph(shard, settings), "shard int, nodes binary, vectors binary, lists binary")
+
+    def _shipped(self, queries: DataFrame) -> Iterator[Broadcast]:
+        """The ids and vectors of the query nodes, in batches of QUERY_BYTES."""
+        asked = self.nodes.join(queries.select("query"), F.col("node") == F.col("query")).select("query", "vector")
+        asked = written(asked, "queries")
+        count, length = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+        batches = max(1, -(-count * length * 4 // QUERY_BYTES))
+        for batch in range(batches):
+            rows = asked.filter(F.pmod(F.xxhash64("query"), F.lit(batches)) == batch).orderBy("query").toArrow().combine_chunks()
+            vectors = matrix(rows.column("vector").combine_chunks()) if rows.num_rows else np.empty((0, length), dtype=self.element)
+            shipped = asked.sparkSession.sparkContext.broadcast((rows.column("query").to_numpy(), vectors))
+            yield shipped
+            shipped.unpersist()
 
     def fitted(self, queries: DataFrame, wanted: int = WANTED) -> tuple[int, DataFrame, DataFrame]:
         """(beam, queries, found): the beam with which TRIED of the query nodes reach the target, these, and what they find."""
         tried = written(queries.orderBy(F.xxhash64("query"), "query").limit(TRIED), "tried")
         true = written(self.exact(tried, wanted).select("query", "other"), "true")
         expected, beam = true.count(), BEAM
-        found = self.search(tried, wanted, beam)
+        found = self.search(tried, wanted, beam, traced=False)
         while beam < self.size and found.join(true, ["query", "other"]).count() < TARGET * expected:
             beam *= 2
-            found = self.search(tried, wanted, beam)
+            found = self.search(tried, wanted, beam, traced=False)
         return beam, tried, found
 
-    def search(self, queries: DataFrame, wanted: int = WANTED, size: int = BEAM) -> DataFrame:
-        """(query, distance, other): the best nodes found for each query node, itself excluded, with beams of a size."""
-        asked = self.nodes.join(queries.select("query"), F.col("node") == F.col("query")).select("query", "vector")
-        asked = written(asked, "queries")
-        count, length = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
-        batches = max(1, -(-count * length * 4 // QUERY_BYTES))
-        found = None
-        for batch in range(batches):
-            some = asked.filter(F.pmod(F.xxhash64("query"), F.lit(batches)) == batch)
-            some = self._searched(some, wanted, size)
-            found = some if found is None else found.unionByName(some)
-        short = found.groupBy("query").count().filter(F.col("count") < min(wanted, self.size - 1)).select("query")
-        short = written(short.union(asked.select("query").join(found, "query", "left_anti")), "short")
+    def search(self, queries: DataFrame, wanted: int = WANTED, size: int = BEAM, traced: bool = True) -> DataFrame:
+        """(query, distance, other): the best nodes found for each query node, itself excluded, with beams of a size.
+
+        Traced, the written tables "asks" and "beam" tell of each query with which nodes it was compared.
+        """
+        found = reduce(DataFrame.unionByName, [self._searched(shipped, wanted, size, traced) for shipped in self._shipped(queries)])
+        short = written(found.filter(F.size("beam") < min(wanted, self.size - 1)).select("query"), "short")
+        found = found.select("query", F.explode("beam").alias("entry")).select("query", "entry.distance", "entry.other")
         if short.isEmpty():
             return found
         return found.join(short, "query", "left_anti").unionByName(self.exact(short, wanted))
 
-    def _searched(self, asked: DataFrame, wanted: int, size: int) -> DataFrame:
-        """The same for a batch of queries."""
-        rows = asked.orderBy("query").toArrow().combine_chunks()  # of QUERY_BYTES
-        vectors = matrix(rows.column("vector").combine_chunks()) if rows.num_rows else np.empty((0, 1), dtype=np.float32)
-        shipped = asked.sparkSession.sparkContext.broadcast((rows.column("query").to_numpy(), vectors))
-        none = F.array().cast("array<struct<distance:double,other:bigint>>")
-        # a query starts from itself: its own list is expanded first
-        itself = F.array("query")
-        beam = written(asked.select("query", none.alias("beam"), itself.alias("ahead"), itself.alias("met")), "beam")
-        while not beam.filter(F.size("ahead") > 0).isEmpty():
-            beam = self._hop(beam, size, shipped)
-        found = beam.select("query", F.explode(F.slice("beam", 1, wanted)).alias("entry"))
-        found = written(found.select("query", "entry.distance", "entry.other"), "found")
-        shipped.unpersist()
-        return found
-
-    def _hop(self, beam: DataFrame, size: int, shipped) -> DataFrame:
-        """Expands what lies ahead in each beam; what enters the beam thereby lies ahead next."""
-        reached = beam.select("query", F.explode("ahead").alias("at")).join(self.lists, F.col("at") == F.col("node"))
-        others = F.array_distinct(F.flatten(F.collect_list("list.other")))
-        reached = reached.groupBy("query").agg(others.alias("reached"))
-        new = F.array_except(F.coalesce("reached", F.array().cast("array<bigint>")), F.col("met"))
-        beam = written(beam.join(reached, "query", "left").withColumn("asks", new).drop("reached", "ahead"), "asks")
-
-        last = F.when(F.size("beam") < size, float("inf")).otherwise(F.element_at("beam", -1)["distance"])
-        limits = beam.select("query", last.alias("limit")).toArrow()
-        limits = limits.column("limit").to_numpy()[np.argsort(limits.column("query").to_numpy())]  # in the order of the shipped queries
-        limits = beam.sparkSession.sparkContext.broadcast(limits)
-        asking = beam.select("query", F.explode("asks").alias("other")).groupBy("other").agg(F.collect_list("query").alias("queries"))
-        asking = asking.join(self.nodes, F.col("other") == F.col("node")).select("other", "vector", "queries")
-        scored = asking.mapInArrow(partial(_grouped_scores, asked=shipped, limits=limits), "query bigint, distance double, other bigint")
-        scored = scored.groupBy("query").agg(best(F.struct("distance", "other"), size).alias("new"))
-
-        known = F.transform("beam", lambda entry: entry["other"])
-        merged = F.concat("beam", F.coalesce("new", F.array().cast(beam.schema["beam"].dataType)))
-        beam = beam.join(scored, "query", "left").withColumn("known", known)
-        beam = beam.withColumn("beam", F.slice(F.array_sort(merged), 1, size))
-        ahead = F.array_except(F.transform("beam", lambda entry: entry["other"]), "known")
-        beam = written(beam.select("query", "beam", ahead.alias("ahead"), F.concat("met", "asks").alias("met")), "beam")
-        limits.unpersist()
-        return beam
+    def _searched(self, shipped: Broadcast, wanted: int, size: int, traced: bool) -> DataFrame:
+        """(query, beam, met) of a batch of queries: what they find in all shards, of whose beams each has its share."""
+        parts = max(1, 2 * self.shards.sparkSession.sparkContext.defaultParallelism // self.shard_count)
+        beam = -(-size // self.shard_count)
+        search = partial(_searches, asked=shipped, element=self.element, wanted=wanted, beam=beam, parts=parts, traced=traced)
+        # a shard is read once for each part of the queries, so that few shards keep many tasks busy
+        found = reduce(DataFrame.unionByName, [self.shards.mapInArrow(partial(search, part=part), FOUND) for part in range(parts)])
+        if traced:
+            found = written(found, "asks")
+        best = F.slice(F.array_sort(F.flatten(F.collect_list("beam"))), 1, wanted)
+        met = F.concat(F.array("query"), F.flatten(F.collect_list("asks")))
+        return written(found.groupBy("query").agg(best.alias("beam"), met.alias("met")), "beam")
 
     def exact(self, queries: DataFrame, wanted: int = WANTED) -> DataFrame:
-        """The true best nodes for each query node: the queries against all nodes, in blocks."""
-        blocks = max(1, self.size // 4096)
-        others = self.nodes.select("node", "vector", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block"), F.lit(False).alias("asks"))
-        numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
-        asking = self.nodes.join(queries, F.col("node") == F.col("query"))
-        asking = asking.select("node", "vector", F.explode(numbers).alias("block"), F.lit(True).alias("asks"))
-        found = others.union(asking).groupBy("block").applyInArrow(
-            lambda block: _against_block(block, wanted), "query bigint, distance double, other bigint"
-        )
-        merged = found.groupBy("query").agg(best(F.struct("distance", "other"), wanted).alias("list"))
-        return merged.select("query", F.explode("list").alias("entry")).select("query", "entry.distance", "entry.other")
+        """The true best nodes for each query node: the queries against all nodes, shard by shard."""
+        merged = []
+        for shipped in self._shipped(queries):
+            found = self.shards.mapInArrow(partial(_comparisons, asked=shipped, element=self.element, wanted=wanted), FOUND)
+            best = F.slice(F.array_sort(F.flatten(F.collect_list("beam"))), 1, wanted)
+            merged.append(written(found.groupBy("query").agg(best.alias("beam")), "exact"))
+        merged = reduce(DataFrame.unionByName, merged)
+        return merged.select("query", F.explode("beam").alias("entry")).select("query", "entry.distance", "entry.other")
 
     def neighbours(self, queries: DataFrame, wanted: int = WANTED) -> DataFrame:
         """query_id, rank, vec_id, score of each query id."""
@@ -332,7 +252,7 @@ class Graph:
         own = written(own, "own")
         asked = own.select(F.col("node").alias("query")).distinct()
         self.beam, tried, found = self.fitted(asked, wanted)
-        found = found.unionByName(self.search(asked.join(tried, "query", "left_anti"), wanted, self.beam))
+        found = found.unionByName(self.search(asked.join(tried, "query", "left_anti"), wanted, self.beam, traced=False))
         itself = self.nodes.join(asked, F.col("node") == F.col("query")).select("query", "vector")
         found = found.unionByName(itself.mapInArrow(_norms, "query bigint, distance double, other bigint"))
         members = self.members.select(F.col("node").alias("of"), "id")

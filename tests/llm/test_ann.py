@@ -101,3 +101,36 @@ def test_vectors_of_doubles_are_scored_as_they_are(spark):
     docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
     for r in ann.nearest(docs).collect():
         assert r["score"] == pytest.approx(vectors[r["query_id"]] @ vectors[r["vec_id"]], rel=1e-14)
+
+
+def test_descent_and_hops_write_no_table_each(spark, monkeypatch):
+    """The work of rounds and hops stays in the tasks that hold a shard: the tables written do not grow with their number."""
+    rng = np.random.default_rng(9)
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(rng.standard_normal((600, 16)))]
+    kept = []
+    monkeypatch.setattr(ann, "written", lambda rows, name, f=ann.written: kept.append(name) or f(rows, name))
+    check(ann.nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)), rows, 0.97)
+    assert kept.count("lists") == 1
+    assert kept.count("beam") == kept.count("queries") - 1 and "asks" not in kept  # the comparison with all ships queries too
+
+
+def test_queries_are_searched_in_every_shard(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 250)
+    monkeypatch.setattr(ann, "QUERY_BYTES", 4000)  # several batches of queries
+    rng = np.random.default_rng(10)
+    vectors = rng.standard_normal((1500, 32))
+    # tight groups, scattered over the shards, and one large group of near copies
+    vectors[:600] = np.repeat(rng.standard_normal((60, 32)), 10, axis=0) + rng.standard_normal((600, 32)) * 0.05
+    vectors[600:900] = vectors[600] + rng.standard_normal((300, 32)) * 1e-4
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(vectors)]
+    graph = ann.Graph(spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS))
+    assert graph.shards.count() == graph.shard_count == 6
+    check(graph.neighbours(graph.rows.filter("id % 20 = 0").selectExpr("id AS query_id")), rows, 0.95)
+
+
+def test_equally_near_vectors_and_extreme_sizes(spark):
+    """Ties go to the smaller id whatever their number, and products beyond a float are compared."""
+    for size in (1e-30, 1.0, 1e30):
+        rows = [(i, [size, 0.0, 0.0] if not i else [0.0, size, size * (i % 7)]) for i in range(200)]
+        found = ann.nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS), every=1000).collect()
+        assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"])] == list(range(1, 21))
