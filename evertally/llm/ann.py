@@ -6,8 +6,9 @@
 2. NN-descent in each shard: every node brings together a sample of its neighbours and of the nodes that have it as
    neighbour, those that have not met yet first; each pair that improves one's list is proposed, and lists keep the best.
    Repeated until at most CHANGED of all list entries are new.
+   In the end a node also leads to some of those that have it in their lists.
 3. A query is searched in the graph of every shard: it starts from its own list where it is a node, and from the best of the
-   shard's entries, expands the best nodes not yet expanded, and keeps the best nodes, until all of these are expanded. It
+   shard's entries, of which every node is one or has one in its list, expands the best nodes not yet expanded, and keeps the best nodes, until all of these are expanded. It
    remembers every node that it has met, so none is scored twice. How many nodes it keeps follows the table: from BEAM on,
    over all shards, doubled until TRIED queries find TARGET of what a comparison with all vectors finds; the answers of
    these queries are used as they are. Queries go in batches whose vectors take QUERY_BYTES, which are broadcast. Queries
@@ -68,10 +69,10 @@ def best(entry: Column, count: int) -> Column:
 
 
 def _graph(shard: pa.Table, settings: dict) -> pa.Table:
-    """The nodes of a shard by id, their vectors, and their neighbours by place, as one row."""
+    """The nodes of a shard by id, their vectors, and the nodes that they lead to by place, as one row."""
     shard = shard.sort_by("node")
     vectors = matrix(shard.column("vector").combine_chunks())
-    lists = shard_graph.neighbour_lists(vectors, **settings)
+    lists = shard_graph.linked(shard_graph.neighbour_lists(vectors, **settings), settings["degree"] // 2)
     packed = [shard.column("shard")[:1], *([x.tobytes()] for x in (shard.column("node").to_numpy(), vectors, lists))]
     return pa.table(packed, names=["shard", "nodes", "vectors", "lists"])
 
@@ -110,11 +111,11 @@ def _searches(batches: Iterator[pa.RecordBatch], asked: Broadcast, element: str,
     """What one part of the queries finds in each shard, by exact distances, and what it was compared with if traced."""
     ids, vectors = (x[part::parts] for x in asked.value)
     for nodes, own, lists in _unpacked(batches, element):
-        scaled = shard_graph.scaled(own)
+        scaled, entries = shard_graph.scaled(own), shard_graph.entries(lists)
         for first in range(0, len(ids), shard_graph.QUERIES):
             queries, asking = ids[first : first + shard_graph.QUERIES], vectors[first : first + shard_graph.QUERIES]
             itself = _places(nodes, queries)
-            places, met = shard_graph.greedy(scaled, lists, shard_graph.scaled(asking, each=True), itself, beam)
+            places, met = shard_graph.greedy(scaled, lists, entries, shard_graph.scaled(asking, each=True), itself, beam)
             distance = shard_graph.exact_distances(own, asking, places)
             order = np.lexsort((places, distance), axis=1)[:, :wanted]
             places, distance = np.take_along_axis(places, order, axis=1), np.take_along_axis(distance, order, axis=1)

@@ -9,8 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 MOST_NODES = 1 << 16
-#: One in so many nodes is an entry, with which each query is compared first, and the least number of entries.
-ENTRY_SHARE, LEAST_ENTRIES = 16, 64
+#: One in so many nodes at least is an entry, with which each query is compared first.
+ENTRY_SHARE = 16
 #: Nodes of a beam that are expanded at a time, and queries that are searched at a time.
 WIDTH, QUERIES = 8, 256
 #: Products that are held at a time.
@@ -178,7 +178,40 @@ def neighbour_lists(vectors: np.ndarray, degree: int, meeting: int, changed: flo
     return lists
 
 
-def greedy(vectors: np.ndarray, lists: np.ndarray, queries: np.ndarray, own: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def linked(lists: np.ndarray, most: int) -> np.ndarray:
+    """Lists with up to that many of the nodes that have a node in theirs but not the other way, of which it is the nearest first.
+
+    Without them, what is near to few others could not be reached from these.
+    """
+    size, degree = lists.shape
+    node, rank = np.nonzero(lists >= 0)
+    other = lists[node, rank].astype(np.int64)
+    to, back = node * size + other, other * size + node
+    single = ~np.isin(back, to)
+    node, rank, other = node[single], rank[single], other[single]
+    order = np.lexsort((node, rank, other))
+    place = _places(other[order])
+    order, place = order[place < most], place[place < most]
+    more = np.full((size, most), -1, dtype=lists.dtype)
+    more[other[order], place] = node[order]
+    return np.hstack([lists, more])
+
+
+def entries(lists: np.ndarray) -> np.ndarray:
+    """A share of the nodes, and so many more that each node is one or has one among its neighbours."""
+    size = len(lists)
+    draw = _draw(np.arange(size), np.zeros(size, dtype=np.int64))
+    chosen = draw % ENTRY_SHARE == 0
+    neighbours = np.where(lists >= 0, lists, np.arange(size)[:, None])
+    while True:
+        without = ~(chosen | chosen[neighbours].any(axis=1))
+        if not without.any():
+            return np.flatnonzero(chosen)
+        waiting = np.where(without, draw * size + np.arange(size), np.iinfo(np.int64).max)
+        chosen |= without & (waiting <= waiting[neighbours].min(axis=1))
+
+
+def greedy(vectors: np.ndarray, lists: np.ndarray, entries: np.ndarray, queries: np.ndarray, own: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, met): the best nodes for each of some queries, filled up with -1, and which were scored; vectors are `scaled`.
 
     A query is compared with the entries, and starts from the best of them and, where it is a node itself (`own`, or -1),
@@ -224,12 +257,10 @@ def greedy(vectors: np.ndarray, lists: np.ndarray, queries: np.ndarray, own: np.
         np.negative(distance, out=distance)
         enter(row, place, distance)
 
-    count = max(size // ENTRY_SHARE, min(size, LEAST_ENTRIES))
-    entries = np.argsort(_draw(np.arange(size), np.zeros(size, dtype=np.int64)), kind="stable")[:count]
     distance = -(queries @ vectors[entries].T)
     distance[met[:, entries] >= 0] = np.inf
     met[:, entries] = 0
-    best = np.argpartition(distance, min(beam, count) - 1, axis=1)[:, :beam]
+    best = np.argpartition(distance, min(beam, len(entries)) - 1, axis=1)[:, :beam]
     enter(np.repeat(rows, best.shape[1]), entries[best].ravel(), np.take_along_axis(distance, best, axis=1).ravel())
     ask(rows[own >= 0], own[own >= 0])
     while True:

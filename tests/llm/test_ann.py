@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from evertally.llm import ann
+from evertally.llm import ann, shard_graph
 from evertally.llm.queries import QUERIES
 
 VECTORS = "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT"
@@ -128,6 +128,31 @@ def test_queries_are_searched_in_every_shard(spark, monkeypatch):
     check(graph.neighbours(graph.rows.filter("id % 20 = 0").selectExpr("id AS query_id")), rows, 0.95)
 
 
+def test_scattered_groups_are_reached_in_every_shard(spark, monkeypatch):
+    """Lists that stay within a group, and groups that no other node lists."""
+    for name, value in {"SHARD": 250, "DEGREE": 8, "MEETING": 4, "BLOCK": 32, "BEAM": 24}.items():
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(11)
+    vectors = np.repeat(rng.standard_normal((20, 32)), 60, axis=0) + rng.standard_normal((1200, 32)) * 0.05
+    vectors = np.concatenate([vectors, np.repeat(rng.standard_normal((30, 32)) * 2, 10, axis=0) + rng.standard_normal((300, 32)) * 0.05])
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(vectors / np.linalg.norm(vectors, axis=1)[:, None])]
+    check(ann.nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)), rows, 0.95)
+
+
+def test_entries_and_links():
+    rng = np.random.default_rng(12)
+    vectors = np.repeat(rng.standard_normal((30, 8)), 10, axis=0) + rng.standard_normal((300, 8)) * 0.01
+    lists = shard_graph.neighbour_lists(vectors, degree=6, meeting=4, changed=0.05, tables=9, block=32)
+    entries = shard_graph.entries(lists)
+    assert len(entries) < 150 and all(node in entries or set(lists[node]) & set(entries.tolist()) for node in range(300))
+    links = shard_graph.linked(lists, 3)
+    assert (links[:, :6] == lists).all()
+    for node in range(300):
+        single = [other for other in range(300) if node in lists[other] and other not in lists[node]]
+        single.sort(key=lambda other: (lists[other].tolist().index(node), other))
+        assert [other for other in links[node, 6:] if other >= 0] == single[:3]
+
+
 def test_equally_near_vectors_and_extreme_sizes(spark):
     """Ties go to the smaller id whatever their number, and products beyond a float are compared."""
     for size in (1e-30, 1.0, 1e30):
